@@ -14,6 +14,7 @@ as many hosts, the emptiest first, as it has siblings, whatever its input.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,39 +41,73 @@ CACHE_CHARS = 48
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, piece_key bigint"
 PACKED_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, task bigint, level int"
 
+#: The characters below U+0100 by the tokenizer's classes; they compose with none of each other and lower-case one to one.
+_SMALL, _NUMBERS, _BLANKS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
+#: What the tokenizer cuts a lower-case text of such characters into.
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_SMALL}]+|[{_NUMBERS}]|[^{_BLANKS}{_SMALL}{_NUMBERS}]+")
+WORD = re.compile(f"[{_SMALL}]+")
+WORD_END = "</w>"
+
 _tokenizers: dict = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """A worker's tokenizer and its cache of encoded words."""
+    """A worker's tokenizer, which of its ids end a word, and its cache of encoded stretches."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _tokenizers[path] = (t, {})
+        vocabulary = t.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        _tokenizers[path] = (t, ends, {})
     return _tokenizers[path]
 
 
-def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers.
+def _encode_words(words: list[str], tokenizer, ends: np.ndarray) -> list[bytes]:
+    """The ids of plain lower-case words, encoded as one text and told apart by their last tokens."""
+    if not words:
+        return []
+    ids = np.asarray(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+    if len(cuts) != len(words):  # a vocabulary without such ends
+        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+
+def _parts(text: str) -> list[str]:
+    """Stretches whose ids, one after the other, are the text's.
 
-    The tokenizer never lets a token span white space, so that a text's ids
-    are those of its stretches between blanks and line ends, one after the
-    other; stretches seen before come from the worker's cache.
+    No token spans white space. A text of characters below U+0100 is cut the
+    whole way into the tokenizer's own parts, any other at blanks and line ends.
     """
-    tokenizer, cache = _tokenizer(path)
-    for text in texts:
-        parts = text.replace("\n", " ").split(" ")
-        found = list(map(cache.get, parts))
-        if None in found:
-            new = list({p for p, got in zip(parts, found, strict=True) if got is None})
-            ids = {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            found = [ids[p] if got is None else got for p, got in zip(parts, found, strict=True)]
-            if len(cache) + len(ids) > CACHE_WORDS:
-                cache.clear()
-            cache.update((p, v) for p, v in ids.items() if len(p) <= CACHE_CHARS)
-        yield b"".join(found)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").split(" ")
+    return PARTS.findall(text.lower())
+
+
+def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers; parts seen before come from the worker's cache."""
+    tokenizer, ends, cache = _tokenizer(path)
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
+    parts = list(map(_parts, texts))
+    missing = set().union(*parts).difference(cache)
+    words = [p for p in missing if WORD.fullmatch(p)]
+    new = dict(zip(words, _encode_words(words, tokenizer, ends), strict=True))
+    if len(new) < len(missing):
+        other = list(missing.difference(new))
+        new.update(zip(other, (np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True))
+    cache.update(new)
+    for of_text in parts:
+        yield b"".join(map(cache.__getitem__, of_text))
+    for p in new:
+        if len(p) > CACHE_CHARS:
+            del cache[p]
 
 
 def tokenised_pieces(docs: DataFrame, path: str, width: int = WIDTH) -> DataFrame:
@@ -88,8 +123,8 @@ def tokenised_pieces(docs: DataFrame, path: str, width: int = WIDTH) -> DataFram
         key = TaskContext.get().partitionId() << 36
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("piece_key", pa.int64())])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode_texts([t or "" for t in part.column(1).to_pylist()], path), strict=True):
                     ids += end
