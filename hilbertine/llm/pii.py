@@ -106,17 +106,19 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("txt")).withColumn("h", F.xxhash64("txt", F.length("txt")))
     found = materialise(texts.withColumn("base", base_spans()).select("doc_id", "h", F.expr("if(size(base) > 0, txt, null)").alias("txt"), "base"))
     near = materialise(_contexts(found))
-    together = near.groupBy("entity", "term").agg(F.countDistinct("h").alias("n_tc")).filter(F.col("n_tc") >= support)
-    together = materialise(together)
-    counts = _text_counts(texts, together.select("term").distinct(), term_bound)
     entities = found.filter("size(base) > 0").select("h", F.explode("base").alias("b"), "txt").select("h", F.expr("xxhash64(b.k, lower(substring(txt, b.s + 1, b.e - b.s)))").alias("entity")).distinct()
     n_c = entities.groupBy("entity").agg(F.count("*").alias("n_c"))
     n = found.select("h").distinct().count() or 1
-    disclosing = (
-        together.join(n_c, "entity").join(counts, "term")
-        .filter(F.expr(f"log2({n} * n_tc / (n_t * n_c)) >= {threshold} * log2(greatest({n} / n_c, 1.0000001))"))
-        .select("entity", "term")
+    # PMI >= threshold * IC says that the term is in at most `most` texts; one that
+    # is near entities of any kind in more texts than that can't disclose this one
+    most = f"n_tc * pow({n} / n_c, {1 - threshold}) + 1e-9"
+    near_any = near.groupBy("term").agg(F.countDistinct("h").alias("n_near"))
+    together = materialise(
+        near.groupBy("entity", "term").agg(F.countDistinct("h").alias("n_tc")).filter(F.col("n_tc") >= support)
+        .join(n_c, "entity").join(near_any, "term").filter(F.expr(f"n_near <= {most}"))
     )
+    counts = _text_counts(texts, together.select("term").distinct(), term_bound)
+    disclosing = together.join(counts, "term").filter(F.expr(f"n_t <= {most}")).select("entity", "term")
     added = near.join(disclosing, ["entity", "term"]).groupBy("h").agg(F.expr("collect_set(struct(s as s, 4 as k, e as e))").alias("added"))
     rows = found.drop("txt").join(added, "h", "left").withColumn("added", F.expr(f"coalesce(added, cast(array() as {SPANS}))"))
     return rows.select(
