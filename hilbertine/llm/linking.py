@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .scratch import materialise
 from .text import mix
 
-#: Counters of a sketch, in slabs that are added up apart from each other.
-COUNTERS, SLABS = 1 << 21, 64
+#: Counters of a sketch. Counters travel in slabs, which are added up apart from each other.
+COUNTERS, SLAB = 1 << 21, 1 << 15
 SKETCH_SCHEMA = "slab int, counts binary"
 
 
@@ -48,16 +48,19 @@ def slot(values: np.ndarray) -> np.ndarray:
 
 def sketch_rows(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """The slabs of a task's counters that are not all zero."""
-    size = COUNTERS // SLABS
-    for i in range(SLABS):
-        part = counts[i * size : (i + 1) * size]
+    for i in range(0, len(counts), SLAB):
+        part = counts[i : i + SLAB]
         if part.any():
-            yield i, zlib.compress(part.astype("<i8").tobytes(), 1)
+            yield i // SLAB, zlib.compress(part.astype("<i8").tobytes(), 1)
 
 
-def summed_sketch(rows: DataFrame) -> np.ndarray:
-    """The sum of sketches given as rows (slab, counts): COUNTERS counters, whatever the input."""
-    size = COUNTERS // SLABS
+def sketch_batch(counts: np.ndarray) -> pa.RecordBatch:
+    rows = list(sketch_rows(counts))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slab", "counts"])
+
+
+def summed_sketch(rows: DataFrame, length: int = COUNTERS) -> np.ndarray:
+    """The sum of ``length`` counters given by tasks as rows (slab, counts); its size doesn't depend on the input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -68,9 +71,10 @@ def summed_sketch(rows: DataFrame) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["slab", "counts"])
 
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(length, np.int64)
     for i, raw in rows.repartition("slab").mapInArrow(add, SKETCH_SCHEMA).collect():
-        out[i * size : (i + 1) * size] += np.frombuffer(zlib.decompress(raw), "<i8")
+        part = np.frombuffer(zlib.decompress(raw), "<i8")
+        out[i * SLAB : i * SLAB + len(part)] += part
     return out
 
 
@@ -81,7 +85,6 @@ def ids_sketch(ids: DataFrame) -> np.ndarray:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             counts[slot(np.asarray(batch.column(0)).astype(np.int64).view(np.uint64))] = 1
-        rows = list(sketch_rows(counts))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slab", "counts"])
+        yield sketch_batch(counts)
 
     return summed_sketch(ids.na.drop().mapInArrow(count, SKETCH_SCHEMA)) > 0
