@@ -5,15 +5,18 @@ Documents with equal sets of shingles form a class, and classes are joined.
 1. Order. A counting sketch of all shingles gives one global order, rare
    shingles first. Two sets of Jaccard similarity t or more share a shingle
    among the first |s| - ceil(t |s|) + 1 of each (its prefix), in any such order.
-2. Groups. Each prefix shingle names its smallest class as a pivot; classes
-   that prove similar to a pivot form a group with it, so that a large
-   group of near copies costs one comparison for each member.
+2. Groups. Each prefix shingle names as a pivot the class that shares most of its
+   prefix. A class forms a group with the pivot that it shares most with.
+   Classes are compared with such pivots first, so that a large group of
+   near copies costs one comparison for each member. What is linked then needs
+   no further comparison within itself.
 3. Matrix. The token-group matrix holds, for each group (a chunk of bounded size
-   of it) and each prefix shingle, that a member has it. Shingles of one group only
-   are left out. A query's shingles are joined with the matrix; the number of
-   hits bounds the overlap with any member, and only groups where the bound
-   allows the similarity are opened. There, the query is compared with the group's
-   union and, if that bound holds too, with the members, exactly.
+   of it) and each prefix shingle, that a member has it. Shingles of linked
+   classes only are left out. A query's shingles are joined with the matrix; the
+   number of hits bounds the overlap with any member, and only groups where the
+   bound allows the similarity are opened. There, the query is compared with the
+   group's union and, if that bound holds too, with the members, exactly and
+   at once, by counting over the group's shingles.
 4. Components of the links are the result.
 
 No step holds the members of a group, the owners of a shingle or the links in
@@ -36,7 +39,7 @@ from .scratch import materialise
 from .text import U64, shingle_sets
 
 #: Shingles of one group chunk, and of the queries that one task compares with it in a row.
-CHUNK_SHINGLES = 200_000
+CHUNK_SHINGLES = 100_000
 
 
 def _class_of(shingles: np.ndarray) -> int:
@@ -117,11 +120,32 @@ def _least_hits(x: str, y: str, t: int) -> str:
     return f"((({t} * (({x}) + ({y})) + {99 + t}) div {100 + t}) - (({t} * greatest({x}, {y}) + 99) div 100) + 1)"
 
 
+class _Chunk:
+    """The members of a group chunk: their shingles in order, each with its owner."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]) -> None:
+        tokens = np.concatenate([s for _, _, s in members])
+        owner = np.repeat(np.arange(len(members)), [len(s) for _, _, s in members])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
+        self.cls, self.comp, self.size = np.array([m[0] for m in members]), [m[1] for m in members], np.array([len(m[2]) for m in members])
+
+    def similar(self, s: np.ndarray, t: int) -> np.ndarray:
+        """Members whose similarity with the set is t hundredths or more."""
+        low, high = np.searchsorted(self.tokens, s, "left"), np.searchsorted(self.tokens, s, "right")
+        if 100 * int((high > low).sum()) < t * len(s):  # the overlap with the union
+            return np.zeros(0, np.int64)
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.size))
+        return np.flatnonzero((100 + t) * common >= t * (self.size + len(s)))
+
+
 def _compare(docs: DataFrame, classes: DataFrame, need: DataFrame, n: int, t: int) -> DataFrame:
     """Links (a, b) between the queries (role 1) and the members (role 0) of each chunk (grp, salt).
 
-    ``need``: (grp, salt, role, cls). A query gets one link with each chunk at most,
-    which is enough where the members of a chunk are linked among themselves.
+    ``need``: (grp, salt, role, cls, comp). Of the links that a chunk shows, enough
+    are given to connect the components (comp) that they connect.
     """
     need = materialise(need.join(classes.selectExpr("cls", "rep as need_id"), "cls"))
     wanted = docs.sparkSession.sparkContext.broadcast(ids_sketch(need.select("need_id")))
@@ -132,49 +156,48 @@ def _compare(docs: DataFrame, classes: DataFrame, need: DataFrame, n: int, t: in
             yield batch.filter(pa.array(wanted.value[slot(ids)]))
 
     texts = _texts(docs).mapInArrow(pick, "doc_id bigint, text string")
-    sent = texts.join(need, F.col("doc_id") == F.col("need_id")).select("grp", "salt", "role", "cls", "text")
+    sent = texts.join(need, F.col("doc_id") == F.col("need_id")).select("grp", "salt", "role", "cls", "comp", "text")
     dealt = sent.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "role", "cls")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members, union, last = None, [], None, None
+        now, members, chunk, last = None, [], None, None
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
         for batch in batches:
             a, b = [], []
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            for i, s in shingle_sets(batch.column(4), n):
-                grp, salt, role, cls = keys[i]
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            for i, s in shingle_sets(batch.column(5), n):
+                grp, salt, role, cls, comp = keys[i]
                 if (grp, salt) != now:
-                    now, members, union, last = (grp, salt), [], None, None
+                    now, members, chunk, last = (grp, salt), [], None, None
+                    root.clear()
                 if _class_of(s) != cls or (role, cls) == last:
                     continue
                 last = (role, cls)
                 if role == 0:
-                    members.append((cls, s))
+                    members.append((cls, comp, s))
                     continue
-                if union is None:
-                    union = np.unique(np.concatenate([m for _, m in members])) if len(members) != 1 else members[0][1]
-                if 100 * _common(union, s) < t * len(s):
+                if not members:
                     continue
-                for other, m in members:
-                    if 100 * min(len(m), len(s)) >= t * max(len(m), len(s)) and (100 + t) * _common(m, s) >= t * (len(m) + len(s)):
+                if chunk is None:
+                    chunk = _Chunk(members)
+                for m in chunk.similar(s, t).tolist():
+                    x, y = find(comp), find(chunk.comp[m])
+                    if x != y:
+                        root[x] = y
                         a.append(cls)
-                        b.append(other)
-                        break
+                        b.append(int(chunk.cls[m]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return materialise(dealt.mapInArrow(verify, "a bigint, b bigint"))
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) < len(b):
-        a, b = b, a
-    if not len(b):
-        return 0
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    return int((a[at] == b).sum())
-
-
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """Components of documents whose sets of ``n``-word shingles have a Jaccard similarity of ``threshold`` or more.
 
@@ -194,46 +217,51 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> D
     classes = materialise(rows.filter("size > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
 
     by_token = Window.partitionBy("token")
-    prefixes = _prefixes(docs, n, t, counts)
     shared = materialise(
-        prefixes.withColumn("lo", F.min(F.struct("cls", "size")).over(by_token)).withColumn("hi", F.max("cls").over(by_token))
-        .filter("lo.cls < hi").selectExpr("token", "cls", "size", "lo.cls as pivot", "lo.size as pivot_size")
+        _prefixes(docs, n, t, counts).withColumn("lo", F.min("cls").over(by_token)).withColumn("hi", F.max("cls").over(by_token))
+        .filter("lo < hi").select("token", "cls", "size").distinct()
     )
-
-    similar_size = f"100 * least(size, pivot_size) >= {t} * greatest(size, pivot_size)"
-    pairs = materialise(
-        shared.filter(f"cls <> pivot and {similar_size}").groupBy("cls", "size", "pivot", "pivot_size").agg(F.count("*").alias("hits"))
-        .filter(f"hits >= {_least_hits('size', 'pivot_size', t)}").select("cls", "size", "pivot")
+    # the class with fewest shingles of its own is the likeliest centre of its kin
+    own = materialise(shared.groupBy("cls", "size").agg(F.count("*").alias("n")).selectExpr("cls", f"cast(round(1000000 * n / (size - ({t} * size + 99) div 100 + 1)) as int) as mark"))
+    best = F.max(F.struct("mark", "cls", "size")).over(by_token)
+    named = shared.join(own, "cls").withColumn("best", best).selectExpr("cls", "size", "best.cls as pivot", "best.size as pivot_size")
+    to_pivot = materialise(
+        named.filter(f"cls <> pivot and 100 * least(size, pivot_size) >= {t} * greatest(size, pivot_size)")
+        .groupBy("cls", "size", "pivot", "pivot_size").agg(F.count("*").alias("hits"))
     )
+    pairs = to_pivot.filter(f"hits >= {_least_hits('size', 'pivot_size', t)}").select("cls", "size", "pivot")
     salts = materialise(pairs.groupBy("pivot").agg((F.floor(F.sum("size") / CHUNK_SHINGLES) + 1).cast("int").alias("salts")))
     need = (
-        pairs.join(salts, "pivot").select(F.col("pivot").alias("grp"), F.pmod(F.xxhash64("cls"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), "cls")
-        .union(salts.select(F.col("pivot").alias("grp"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("cls")))
+        pairs.join(salts, "pivot").select(F.col("pivot").alias("grp"), F.pmod(F.xxhash64("cls"), "salts").cast("bigint").alias("salt"), F.lit(1).alias("role"), "cls", F.col("cls").alias("comp"))
+        .union(salts.select(F.col("pivot").alias("grp"), F.explode(F.expr("sequence(0L, salts - 1L)")).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("cls"), F.col("pivot").alias("comp")))
     )
     links = _compare(docs, classes, need, n, t)
     grouped = materialise(connected_components(links))
 
-    owned = shared.select("token", "cls", "size").join(grouped.selectExpr("node as cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    several = materialise(
-        owned.withColumn("lo", F.min("comp").over(by_token)).withColumn("hi", F.max("comp").over(by_token)).filter("lo < hi").select("token", "cls", "size", "comp").distinct()
-    )
-    members = several.select("cls", "size", "comp").distinct()
-    chunks = materialise(members.groupBy("comp").agg((F.floor(F.sum("size") / CHUNK_SHINGLES) + 1).cast("int").alias("chunks")))
-    chunked = several.join(chunks, "comp").withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
-    matrix = chunked.groupBy("token", "comp", "chunk").agg(F.min("size").alias("low"), F.max("size").alias("high")).withColumnsRenamed({"token": "m_token", "comp": "grp"})
-    ask = several.join(matrix, (F.col("token") == F.col("m_token")) & (F.col("comp") > F.col("grp")) & F.expr(f"100 * high >= {t} * size and 100 * size >= {t} * low"))
+    linked_as = grouped.selectExpr("node as cls", "comp")
+    owned = shared.join(linked_as, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    several = materialise(owned.withColumn("lo", F.min("comp").over(by_token)).withColumn("hi", F.max("comp").over(by_token)).filter("lo < hi").drop("lo", "hi"))
+    kin = to_pivot.groupBy("cls").agg(F.max(F.struct("hits", "pivot")).getField("pivot").alias("grp"))
+    members = materialise(several.select("cls", "size", "comp").distinct().join(kin, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")))
+    chunks = materialise(members.groupBy("grp").agg((F.floor(F.sum("size") / CHUNK_SHINGLES) + 1).cast("int").alias("chunks")))
+    members = materialise(members.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int")).drop("chunks"))
+    matrix = (
+        several.select("token", "cls").join(members, "cls").groupBy("token", "grp", "chunk")
+        .agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("first")).withColumnRenamed("token", "m_token")
+    )
+    # of a pair, the class with the larger identity is the query
+    ask = several.join(matrix, F.expr(f"token = m_token and cls > first and not (lo = comp and hi = comp) and 100 * high >= {t} * size and 100 * size >= {t} * low"))
     near, far = f"greatest(low, ({t} * size + 99) div 100)", f"least(high, (100 * size) div {t})"
     opened = materialise(
-        ask.groupBy("cls", "size", "grp", "chunk").agg(F.count("*").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .filter(f"hits >= least({_least_hits('size', near, t)}, {_least_hits('size', far, t)})").select("cls", "size", "grp", "chunk")
+        ask.groupBy("cls", "size", "comp", "grp", "chunk").agg(F.count("*").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .filter(f"hits >= least({_least_hits('size', near, t)}, {_least_hits('size', far, t)})").select("cls", "size", "comp", "grp", "chunk")
     )
-    queries = materialise(opened.groupBy("grp", "chunk").agg((F.floor(F.sum("size") / CHUNK_SHINGLES) + 1).cast("int").alias("salts")))
-    hosts = members.join(chunks, "comp").select(F.col("comp").alias("grp"), F.pmod(F.xxhash64("cls"), "chunks").cast("int").alias("chunk"), "cls")
     # a chunk is sent to as many tasks as its queries need
+    tasks = materialise(opened.groupBy("grp", "chunk").agg((F.floor(F.sum("size") / (4 * CHUNK_SHINGLES)) + 1).cast("int").alias("salts")))
     place = "cast(salt * 1000000L + chunk as bigint)"
     need = (
-        opened.join(queries, ["grp", "chunk"]).withColumn("salt", F.pmod(F.xxhash64("cls"), "salts")).select("grp", F.expr(place).alias("salt"), F.lit(1).alias("role"), "cls")
-        .union(hosts.join(queries, ["grp", "chunk"]).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).select("grp", F.expr(place).alias("salt"), F.lit(0).alias("role"), "cls"))
+        opened.join(tasks, ["grp", "chunk"]).withColumn("salt", F.pmod(F.xxhash64("cls"), "salts")).select("grp", F.expr(place).alias("salt"), F.lit(1).alias("role"), "cls", "comp")
+        .union(members.join(tasks, ["grp", "chunk"]).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).select("grp", F.expr(place).alias("salt"), F.lit(0).alias("role"), "cls", "comp"))
     )
     more = _compare(docs, classes, need, n, t)
     final = connected_components(grouped.selectExpr("node as a", "comp as b").union(more))
