@@ -111,7 +111,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, s
         sets.select("set_key", "wins", F.explode("wins").alias("win")).join(by_win, "win")
         .groupBy("set_key", "wins").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     )
-    joined = found.join(items, ["set_key", "wins"], "left")
+    # rows without hits, most of all, would meet under one key
+    joined = found.filter("n_hit > 0").join(items, ["set_key", "wins"], "left").unionByName(found.filter("n_hit = 0").withColumn("items", F.expr("cast(null as array<string>)")))
     return joined.select(
         "doc_id", "n_words", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
