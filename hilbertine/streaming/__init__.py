@@ -1,0 +1 @@
+"""No operator here is a streaming one: tables are maintained in rounds (``plans.maintenance``)."""
