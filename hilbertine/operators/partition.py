@@ -16,12 +16,13 @@ def perturb(rows: DataFrame, delta: int, iteration: int = 0) -> DataFrame:
     """Rows (id, x, y, z) moved by -delta to delta along each axis and keyed anew.
 
     The step is linear-congruential in id, iteration and axis, so that it doesn't depend on order.
+    The result is cached: classifying and dealing both read it, and its keys are computed once.
     """
     out = rows
     for i, c in enumerate("xyz"):
         step = f"((id * {1103515245 + 2 * i} + {iteration * 12345 + 7919 * (i + 1)}) % {2 * delta + 1}) - {delta}"
         out = out.withColumn(c, F.expr(f"cast({cubes.clamp(f'{c} + {step}')} as bigint)"))
-    return with_hilbert_key(out.drop("key") if "key" in rows.columns else out)
+    return with_hilbert_key(out.drop("key") if "key" in rows.columns else out).cache()
 
 
 def partition_permutation(rows: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -718,7 +718,7 @@ def m3(spark, sf_dir):
     return _long(staged.filter("leaf = 3"), "id", "slot", "ptype", "flags")
 
 
-@query("m4_integrate_staged", f"{_STAGED}, s as (select id, b, slot, slot = here as was, case when slot = here then 4 else ptype end as ptype, case slot when here then last when last then here else slot end as at from indexed_, g where leaf = 3) select id, cast(b + row_number() over (order by ptype, was, at) - 1 as bigint) as slot, cast(ptype as bigint) as ptype, cast(0 as bigint) as flags from s")
+@query("m4_integrate_staged", f"{_STAGED}, s as (select id, b, slot, slot = here as was, case when slot = here then 4 else ptype end as ptype, case slot when here then last when last then here else slot end as spot from indexed_, g where leaf = 3) select id, cast(b + row_number() over (order by ptype, was, spot) - 1 as bigint) as slot, cast(ptype as bigint) as ptype, cast(0 as bigint) as flags from s")
 def m4(spark, sf_dir):
     rows = _subsorted(spark, sf_dir).withColumn("flags", F.lit(0)).withColumn("gas_idx", F.expr("if(ptype = 0, type_idx, null)"))
     staged, _ = mutate.stage_gas_to_star(rows, 3, 2, rows.filter("ptype = 4").count())
