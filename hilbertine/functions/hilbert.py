@@ -1,7 +1,7 @@
 """Three-dimensional Hilbert keys.
 
 The curve is built from one rule. Its octants are visited along a Gray path, and the
-curve within each is the whole one, turned or mirrored; the 48 orientations that
+curve within each is the whole one, turned or mirrored; the 24 orientations that
 arise are the states. Three levels are looked up at a time, so that a key takes
 seven lookups that stay inside generated code.
 """
