@@ -73,5 +73,36 @@ def queries() -> dict[str, Query]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_JACCARD = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))
+ when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as a, doc_id as b from d union select r.a, e.y from r join e on r.b = e.x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id
+from d left join n on n.doc_id = d.doc_id join (select a, min(b) as c from r group by a) m on m.a = d.doc_id
+"""
+
+_CONTAMINATION = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+i as (select item, w, least(10, len(w)) as n from b where len(w) > 0),
+bw as (select distinct item, n, array_to_string(w[k:k+n-1], ' ') as win from (select item, n, w, unnest(range(1, len(w) - n + 2)) as k from i)),
+z as (select distinct n from bw),
+dw as (select doc_id, n, k, array_to_string(w[k:k+n-1], ' ') as win from (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as k from d, z where len(w) >= n)),
+h as (select * from dw where (n, win) in (select (n, win) from bw)),
+c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256 from (select distinct doc_id, item from h join bw using (n, win)) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join t using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose rows plain SQL gives; the others are tested against brute force."""
+    return {"op1_ngram_join": _JACCARD, "op5_decontamination": _CONTAMINATION}
