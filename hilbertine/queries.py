@@ -15,6 +15,7 @@ from .functions.hilbert import hilbert_sql, with_hilbert_key
 from .operators import account, arena, exchange, layouts, leaves, mutate, order, partition
 from .plans import maintenance
 from .schema import array_count, record_bytes, schema_for
+from .shipping import shipped
 from .sources import generate, random
 from .sources.views import CLUSTERED, PARTICLES, particles
 
@@ -801,7 +802,7 @@ def leaf_maintenance(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {name: shipped(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
