@@ -1,7 +1,7 @@
 """Fuzzy line de-duplication.
 
 Lines are normalised to their words, A-Z lower-cased, and equal ones form a
-class. A class has a 64-bit SimHash of its words. Two SimHashes that differ in
+class. A class has a 64-bit SimHash of its longer words. Two SimHashes that differ in
 at most ``BITS`` bits agree on all of some choice of blocks (pigeonhole), so
 classes meet under the keys of such choices; those within the distance are
 compared by edit similarity. Of each connected group of lines the first
@@ -33,27 +33,37 @@ from .text import U64, byte_class, mix, runs, word_hashes, words
 BITS = 3
 MIN_WORDS = 5
 LETTERS = byte_class("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-#: Word hashes turned into bits at a time.
-BIT_ROWS = 1 << 15
+#: Words of so many bytes or fewer are mostly the commonest ones, which would make all SimHashes alike;
+#: they are left out of a line's SimHash if it has enough others.
+COMMON_BYTES, LEAST_TELLING = 4, 3
+_LANES = np.uint64(0x0101010101010101)
 
 
 def simhashes(h: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each run of ``count`` word hashes from ``first``: a bit is set if most words have it."""
-    out = np.zeros(len(first), U64)
+    """64-bit SimHash of each run of ``count`` word hashes from ``first``: a bit is set if most words have it.
+
+    The words that have a bit are counted eight bits at a time, in the bytes of
+    64-bit sums over at most 255 words.
+    """
     if not len(first):
-        return out
-    ones = np.zeros((len(first), 64), np.int32)
-    line = np.repeat(np.arange(len(first)), count)
-    for at in range(0, len(h), BIT_ROWS):
-        part = line[at : at + BIT_ROWS]
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        bits = np.unpackbits(h[at : at + BIT_ROWS].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones[part[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    packed = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little")
-    return packed.view("<u8").reshape(-1).astype(U64)
-
-
-def _lines(texts: pa.Array, min_words: int) -> Iterator[tuple]:
+        return np.zeros(0, U64)
+    parts = -(-count // 255)
+    line = np.repeat(np.arange(len(first)), parts)
+    at = first[line] + 255 * (np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts))
+    out = np.zeros(len(first), U64)
+    several = len(line) > len(first)
+    begin = np.cumsum(parts) - parts
+    for k in range(8):
+        sums = np.add.reduceat((h >> U64(k)) & _LANES, at)
+        ones = sums.astype("<u8").view(np.uint8).reshape(-1, 8)  # byte j: words with bit 8 j + k
+        if several:
+            ones = np.add.reduceat(ones, begin, axis=0, dtype=np.int64)
+        set_bits = 2 * ones.astype(np.int64) > count[:, None]
+        out |= np.left_shift(set_bits.astype(U64), np.arange(8, dtype=U64) * U64(8) + U64(k)).sum(1, dtype=U64)
+    return out
+
+
+def _lines(texts: pa.Array, min_words: int, with_simhash: bool = True) -> Iterator[tuple]:
     """For each run of texts: row, number, hash, SimHash, bytes and ends of the lines that have enough words."""
     for base, data, offsets in runs(texts):
         ends = np.flatnonzero(data == 10)
@@ -73,10 +83,18 @@ def _lines(texts: pa.Array, min_words: int) -> Iterator[tuple]:
         place = np.arange(len(h)) - np.repeat(first, size)
         hashes = mix(np.add.reduceat(mix(h + mix(place.astype(U64) + U64(1))), first))
         row = np.searchsorted(offsets, starts[keep], "right") - 1
+        sim = None
+        if with_simhash:
+            telling = (end - start)[chosen] > COMMON_BYTES
+            of = np.repeat(np.arange(len(keep)), size)
+            enough = np.bincount(of, weights=telling, minlength=len(keep)) >= LEAST_TELLING
+            telling |= ~enough[of]
+            n = np.bincount(of[telling], minlength=len(keep))
+            sim = simhashes(h[telling], np.cumsum(n) - n, n)
         breaks = np.searchsorted(ends, starts[keep])  # line ends before the line
         number = breaks - np.searchsorted(ends, offsets[row])
         stop = bounds[keep + 1]
-        yield base + row, number, hashes, simhashes(h, first, size), data, starts[keep], stop
+        yield base + row, number, hashes, sim, data, starts[keep], stop
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -105,7 +123,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            for _, _, hashes, _, data, start, stop in _lines(batch.column(2), min_words):
+            for _, _, hashes, _, data, start, stop in _lines(batch.column(2), min_words, False):
                 lines, texts = [], []
                 for i in np.flatnonzero(slots.value[slot(hashes)]).tolist():
                     if (key := int(hashes[i])) not in done:
@@ -126,7 +144,7 @@ def _normal(line: bytes) -> list[str]:
 
 
 def block_masks(classes: int, bits: int = BITS) -> list[int]:
-    """Masks (signed 64-bit) of the block choices of which a pair within ``bits`` bits shares one.
+    """Masks (64-bit) of the block choices of which a pair within ``bits`` bits shares one.
 
     The number of blocks grows until a key has some two bits more than it takes to tell the classes apart.
     """
@@ -137,17 +155,71 @@ def block_masks(classes: int, bits: int = BITS) -> list[int]:
     edges = [64 * i // blocks for i in range(blocks + 1)]
     parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
     masks = [sum(c) for c in combinations(parts, blocks - bits)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return masks
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose normalised lines have the edit similarity."""
-    wanted = materialise(pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct())
-    texts = materialise(_line_texts(docs, wanted, min_words))
+def _signed(mask: int) -> str:
+    """A 64-bit mask as a SQL literal."""
+    return f"{mask}L" if mask < 1 << 63 else f"({mask - (1 << 64) + 1}L - 1L)"
+
+
+def edit_distance(a: str, b: str, most: int) -> int:
+    """The edit distance of two texts, or any number above ``most`` if it exceeds that.
+
+    What they begin and end with alike is left out; the rest is compared a
+    character at a time, with a whole column of the table in the bits of two integers.
+    """
+    n = min(len(a), len(b))
+    head = next((i for i in range(n) if a[i] != b[i]), n)
+    a, b = a[head:], b[head:]
+    n = min(len(a), len(b))
+    tail = next((i for i in range(n) if a[-1 - i] != b[-1 - i]), n)
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return max(len(a), len(b))
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    last = 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for j, c in enumerate(b):
+        same = where.get(c, 0)
+        vertical = same | down
+        cross = (((same & up) + up) ^ up) | same
+        rise = down | (full & ~(cross | up))
+        fall = up & cross
+        score += bool(rise & last) - bool(fall & last)
+        if score - (len(b) - 1 - j) > most:
+            return most + 1
+        rise = (rise << 1 | 1) & full
+        fall = fall << 1 & full
+        up = fall | (full & ~(vertical | rise))
+        down = rise & vertical
+    return score
+
+
+def are_similar(a: str, b: str, similarity: float) -> bool:
+    """Whether the edit distance is at most 1 - similarity of the longer text; a bound by words in place settles most pairs."""
+    allowed = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    u, v = a.split(" "), b.split(" ")
+    if len(u) == len(v) and sum(max(len(p), len(q)) for p, q in zip(u, v, strict=True) if p != q) <= allowed:
+        return True
+    return edit_distance(a, b, allowed) <= allowed
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose normalised lines (line, norm) have the edit similarity."""
     both = pairs.join(texts.selectExpr("line as a", "norm as na"), "a").join(texts.selectExpr("line as b", "norm as nb"), "b")
-    allowed = f"cast(floor({1 - similarity} * greatest(length(na), length(nb)) + 1e-9) as int)"
-    far = f"abs(length(na) - length(nb)) > {allowed}"
-    return materialise(both.filter(f"not ({far}) and levenshtein(na, nb, {allowed}) >= 0").select("a", "b"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [are_similar(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return materialise(both.select("a", "b", "na", "nb").mapInArrow(verify, "a bigint, b bigint"))
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -159,24 +231,30 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     place = F.struct("doc_id", "text_key", "number")
     classes = materialise(seen.groupBy("line").agg(F.min("sim").alias("sim"), F.min(place).alias("first"), F.count("*").alias("n")))
     masks = block_masks(classes.count(), bits)
-    keys = classes.select("line", "sim", F.expr("explode(array(" + ", ".join(f"struct({i} as blocks, sim & {m}L as part)" if m != -(1 << 63) else f"struct({i} as blocks, sim & (-9223372036854775807L - 1) as part)" for i, m in enumerate(masks)) + "))").alias("key")).select("line", "sim", "key.blocks", "key.part")
-    by_key = Window.partitionBy("blocks", "part")
+    parts = ", ".join(f"hash({i}, sim & {_signed(m)})" for i, m in enumerate(masks))  # what the hash confuses is told apart by the distance
+    keys = classes.select("line", "sim", F.explode(F.expr(f"array({parts})")).alias("part"))
+    by_key = Window.partitionBy("part")
     close = lambda x, y: f"bit_count({x} ^ {y}) <= {bits}"
-    shared = materialise(
-        keys.withColumn("lo", F.min(F.struct("line", "sim")).over(by_key)).withColumn("hi", F.max("line").over(by_key))
-        .filter("lo.line < hi").select("blocks", "part", "line", "sim", F.col("lo.line").alias("pivot"), F.col("lo.sim").alias("pivot_sim"))
+    # with two classes under a key, the pivot settles the only pair
+    met = materialise(
+        keys.withColumn("lo", F.min(F.struct("line", "sim")).over(by_key)).withColumn("met", F.count("*").over(by_key))
+        .select("part", "line", "sim", "met", F.col("lo.line").alias("pivot"), F.expr(close("sim", "lo.sim")).alias("near")).filter("line <> pivot and (near or met > 2)")
     )
-    to_pivot = materialise(shared.filter("line <> pivot and " + close("sim", "pivot_sim")).selectExpr("line as a", "pivot as b").distinct())
-    links = _similar(to_pivot, docs, min_words, similarity)
+    to_pivot = materialise(met.filter("near").selectExpr("line as a", "pivot as b").distinct())
+    # every class that either round may compare
+    wanted = materialise(met.select("line").union(to_pivot.select("b")).distinct())
+    texts = materialise(_line_texts(docs, wanted, min_words))
+    links = _similar(to_pivot, texts, similarity)
     groups = materialise(connected_components(links).withColumnsRenamed({"node": "line"}))
-    owned = shared.select("blocks", "part", "line", "sim").join(groups, "line", "left").withColumn("comp", F.coalesce("comp", "line"))
+    shared = met.filter("met > 2").select("part", "line", "sim")
+    owned = shared.join(groups, "line", "left").withColumn("comp", F.coalesce("comp", "line"))
     several = materialise(owned.withColumn("lo", F.min("comp").over(by_key)).withColumn("hi", F.max("comp").over(by_key)).filter("lo < hi").drop("lo", "hi"))
     x, y = several.alias("x"), several.alias("y")
     pairs = materialise(
-        x.join(y, F.expr("x.blocks = y.blocks and x.part = y.part and x.comp > y.comp and " + close("x.sim", "y.sim"))).selectExpr("x.line as a", "y.line as b").distinct()
+        x.join(y, F.expr("x.part = y.part and x.comp > y.comp and " + close("x.sim", "y.sim"))).selectExpr("x.line as a", "y.line as b").distinct()
         .join(to_pivot, ["a", "b"], "left_anti")
     )
-    final = connected_components(groups.selectExpr("line as a", "comp as b").union(_similar(pairs, docs, min_words, similarity)))
+    final = connected_components(groups.selectExpr("line as a", "comp as b").union(_similar(pairs, texts, similarity)))
     linked = materialise(final.withColumnsRenamed({"node": "line"}).join(classes, "line"))
     firsts = materialise(linked.groupBy("comp").agg(F.min("first").alias("keep")))
     of_groups = linked.join(firsts, "comp").select("line", "keep")
@@ -197,7 +275,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     gone = seen.join(groups, "line").filter("not (struct(doc_id, text_key, number) <=> keep)")
     drop = materialise(gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("numbers")).selectExpr("doc_id as drop_id", "text_key as drop_key", "numbers as drop_numbers"))
     whole = docs.select(F.struct("*").alias("doc"))
-    met = whole.join(drop, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("drop_id")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("drop_key")), "left")
+    # as many rows as documents with repeated lines: the same join at every size
+    met = whole.join(drop.hint("merge"), F.col("doc.doc_id").cast("long").eqNullSafe(F.col("drop_id")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("drop_key")), "left")
     left = F.expr("array_join(filter(split(doc.text, '\\n'), (x, i) -> not array_contains(drop_numbers, i)), '\\n')")
     text = F.when(F.col("drop_numbers").isNull(), F.col("doc.text")).otherwise(left)
     new = {"text": text.alias("text")}
