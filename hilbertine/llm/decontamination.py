@@ -48,15 +48,20 @@ def _in(value: str, members: list[str]) -> str:
 
 
 def _hits_by_set(docs: DataFrame, sets: list[tuple[int, list[str]]], anchors: list[str]) -> DataFrame:
-    """docs (with ``w``) and ``hits``: an array of (start, size, window hash)."""
-    found = docs.withColumn("at", F.expr(f"array_remove(transform(w, (x, i) -> if({_in('lower(x)', anchors)}, i, -1)), -1)"))
+    """docs (with ``w``) and ``hits``: an array of (start, size, window hash).
+
+    Words and anchors are bound inside one expression: a filter on hits, which the
+    optimizer pushes down to where w is made, would else repeat their making.
+    """
+    at = f"array_remove(transform(v, (x, i) -> if({_in('lower(x)', anchors)}, i, -1)), -1)"
     parts = []
     for size, members in sets:
-        last = f"size(w) - {size}"
+        last = f"size(v) - {size}"
         starts = f"array_distinct(flatten(transform(at, i -> sequence(greatest(0, i - {size - 1}), least(i, {last})))))"
-        real = f"filter({starts}, s -> {_in(_window('w', 's', size), members)})"
-        parts.append(f"if(size(at) = 0 or {last} < 0, array(), transform({real}, s -> struct(s as s, {size} as size, xxhash64({_window('w', 's', size)}) as win)))")
-    return found.withColumn("hits", F.expr(f"cast(concat({', '.join(parts)}) as array<struct<s:int,size:int,win:bigint>>)")).drop("at")
+        real = f"filter({starts}, s -> {_in(_window('v', 's', size), members)})"
+        parts.append(f"if(size(at) = 0 or {last} < 0, array(), transform({real}, s -> struct(s as s, {size} as size, xxhash64({_window('v', 's', size)}) as win)))")
+    found = f"cast(concat({', '.join(parts)}) as array<struct<s:int,size:int,win:bigint>>)"
+    return docs.withColumn("hits", F.expr(f"get(transform(array(w), v -> get(transform(array({at}), at -> {found}), 0)), 0)"))
 
 
 def _hits_by_join(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
