@@ -43,8 +43,11 @@ def with_type_index(rows: DataFrame, out: str = "type_idx", by_type: bool = Fals
 
 
 def fill(kind: str, rows: DataFrame) -> Layout:
-    """Lay out rows (slot, id, key, ptype, ...) with payload in the order in which they come."""
-    indexed = with_type_index(rows)
+    """Lay out rows (slot, id, key, ptype, ...) with payload in the order in which they come.
+
+    All tables of the layout are cut from the indexed rows, which are cached.
+    """
+    indexed = with_type_index(rows).cache()
     typed = {name: indexed.filter(F.col("ptype") == t).select("type_idx", F.col("id").alias("owner"), *[F.expr(e).alias(c) for c, e in fields.items()]) for name, (t, fields) in PAYLOADS.items()}
     common = indexed.select("*", *[F.expr(e).alias(c) for c, e in COMMON.items()])
     if kind == "A":  # whole rows by group; the directory has slot, group and index only
@@ -85,11 +88,11 @@ def reshuffle(layout: Layout, perm: DataFrame) -> Layout:
         return replace(layout, common=gather(layout.common, perm))
     moved = gather(layout.common, perm)
     if layout.kind == "A":
-        new = ranked(moved.withColumnRenamed("type_idx", "old_idx"), "slot", [], "type_idx", within="grp")
+        new = ranked(moved.withColumnRenamed("type_idx", "old_idx"), "slot", [], "type_idx", within="grp").cache()
         typed = {g: new.filter(F.col("grp") == g).select("old_idx", F.col("type_idx").alias("new_idx")).join(t.withColumnRenamed("type_idx", "old_idx"), "old_idx").withColumnRenamed("new_idx", "type_idx").drop("old_idx") for g, t in layout.typed.items()}
         return replace(layout, common=new.drop("old_idx"), typed=typed)
     old = with_type_index(layout.common).select("id", F.col("type_idx").alias("old_idx"))
-    both = with_type_index(moved).join(old, "id")
+    both = with_type_index(moved).join(old, "id").cache()
     typed = {}
     for name, payload in layout.typed.items():
         places = both.filter(F.expr("ptype & 127") == PAYLOADS[name][0]).select("old_idx", F.col("type_idx").alias("new_idx"))

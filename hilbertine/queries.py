@@ -351,11 +351,11 @@ def p9(spark, sf_dir):
 
 def _laid(spark, sf_dir, kind):
     """Rows laid out by id, before any order."""
-    return layouts.fill(kind, with_hilbert_key(particles(spark, sf_dir)).withColumn("slot", F.col("id")))
+    return layouts.fill(kind, with_hilbert_key(particles(spark, sf_dir)).withColumn("slot", F.col("id")).cache())
 
 
 def _sorted(laid, spark, sf_dir):
-    return layouts.reshuffle(laid, order.sort_permutation(with_hilbert_key(particles(spark, sf_dir)), slot="id"))
+    return layouts.reshuffle(laid, order.sort_permutation(with_hilbert_key(particles(spark, sf_dir)), slot="id").cache())
 
 
 _LOGICAL = "select slot, id, cast(ptype as bigint) as ptype, id*1e-3 as vel_x, case when ptype=0 then id*1e-4 end as density, case when ptype=4 then id*1e-5 end as stellar_age, case when ptype=5 then id*1e-6 end as bh_mass from (select * replace (cast(id as double) as id) from rows_)".replace("select slot, id,", "select slot, cast(id as bigint) as id,")
