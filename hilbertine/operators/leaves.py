@@ -95,7 +95,8 @@ def coverage_violations(leaves: DataFrame, rows: DataFrame, max_side: int = CELL
     homes = rows.join(find_leaf(rows.select("key").distinct(), leaves).withColumnRenamed("leaf", "at"), "key")
     spans = leaves.select(F.col("leaf").alias("at"), "begin", "end")
     outside = homes.join(spans, "at", "left").filter("at is null or slot < begin or slot >= end").selectExpr("'key' as what", "at as leaf")
-    total = leaves.agg(F.max("end").alias("covered")).crossJoin(rows.agg(F.count("*").alias("n"))).filter("coalesce(covered, 0) <> n").selectExpr("'total' as what", "cast(null as bigint) as leaf")
+    n = rows.count()
+    total = leaves.agg(F.coalesce(F.max("end"), F.lit(0)).alias("covered")).filter(F.col("covered") != n).selectExpr("'total' as what", "cast(null as bigint) as leaf")
     return gaps.unionByName(wide).unionByName(outside).unionByName(total)
 
 

@@ -87,6 +87,7 @@ def compact(layout: Layout) -> tuple[Layout, DataFrame]:
         typed[name] = kept.withColumn("type_idx", F.col("__new")).drop("__new")
         moves = kept.select(F.col("type_idx").alias("__old"), "__new")
         common = common.join(moves, F.expr(f"(ptype & 127) = {PAYLOADS[name][0]} and type_idx = __old"), "left").withColumn("type_idx", F.coalesce("__new", "type_idx")).select(*layout.common.columns)
-        row = payload.agg(F.count("*").alias("before")).crossJoin(kept.agg(F.count("*").alias("after"))).withColumn("grp", F.lit(name))
-        stats = row if stats is None else stats.unionByName(row)
-    return replace(layout, common=common, typed=typed), stats.select("grp", "before", "after")
+        for rows, before in ((payload, True), (kept, False)):
+            row = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("grp"), *[F.expr("n" if b == before else "0L").alias(c) for b, c in ((True, "before"), (False, "after"))])
+            stats = row if stats is None else stats.unionByName(row)
+    return replace(layout, common=common, typed=typed), stats.groupBy("grp").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))

@@ -54,8 +54,8 @@ def partition_violations(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     placed = met.filter("leaf is not null")
     wrong = placed.filter("slot < begin or slot >= end").selectExpr("'range' as what", "slot")
     gas = placed.filter("(ptype = 0) <> (slot < gas_end)").selectExpr("'gas' as what", "slot")
-    edge = ranges.agg(F.max("end").alias("edge"))
-    outside = met.filter("leaf is null").crossJoin(F.broadcast(edge)).filter("slot < edge").selectExpr("'outside' as what", "slot")
+    edge = ranges.agg(F.max("end")).first()[0] or 0
+    outside = met.filter("leaf is null").filter(F.col("slot") < edge).selectExpr("'outside' as what", "slot")
     return wrong.unionByName(gas).unionByName(outside)
 
 
