@@ -1,13 +1,21 @@
 """Fuzzy line de-duplication.
 
 Lines are normalised to their words, A-Z lower-cased, and equal ones form a
-class. A class has a 64-bit SimHash of its longer words. Two SimHashes that differ in
+class. Classes that may be similar meet under keys, those that do are compared by
+edit similarity, and of each connected group of lines the first occurrence, by
+doc_id and place, stays. There are two kinds of keys.
+
+Words (``bits`` None, as the queries use): a counting sketch of all lines' words
+gives one order, rare words first; every three of a line's first ``RAREST`` words are
+a key. Two lines meet if three of these words are the same in both, whatever
+else differs, so that a few replaced words don't part them. Of the pairs that meet
+only those go uncompared whose lengths rule the similarity out. Lines whose words nearly
+all differ by a character or so don't meet.
+
+SimHash (``bits`` given): a class has a 64-bit SimHash of its longer words. Two SimHashes that differ in
 at most ``BITS`` bits agree on all of some choice of blocks (pigeonhole), so
 classes meet under the keys of such choices; those within the distance are
-compared by edit similarity. Of each connected group of lines the first
-occurrence, by doc_id and place, stays.
-
-SimHash finds pairs whose words are nearly all the same; lines that are similar
+compared. This finds pairs whose words are nearly all the same; lines that are similar
 at the threshold but differ in more of their words are not found by it.
 
 The blocks are chosen by the number of classes so that a key stays selective; any
@@ -26,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .linking import connected_components, ids_sketch, slot
+from .linking import COUNTERS, SKETCH_SCHEMA, connected_components, ids_sketch, sketch_batch, slot, summed_sketch
 from .scratch import materialise
 from .text import U64, byte_class, mix, runs, word_hashes, words
 
 BITS = 3
+#: Words of a line, the rarest ones, of which every three are a key; of a line with at most FEW such words every two are, too.
+RAREST, FEW = 6, 4
 MIN_WORDS = 5
 LETTERS = byte_class("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 #: Words of so many bytes or fewer are mostly the commonest ones, which would make all SimHashes alike;
@@ -80,8 +90,7 @@ def _lines(texts: pa.Array, min_words: int, with_simhash: bool = True) -> Iterat
         chosen = np.repeat(count >= min_words, count)
         h, size = h[chosen], count[keep]
         first = np.cumsum(size) - size
-        place = np.arange(len(h)) - np.repeat(first, size)
-        hashes = mix(np.add.reduceat(mix(h + mix(place.astype(U64) + U64(1))), first))
+        hashes = _hashes(h, first, size)
         row = np.searchsorted(offsets, starts[keep], "right") - 1
         sim = None
         if with_simhash:
@@ -101,21 +110,102 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
 
 
-def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_key, number, line, sim) of each line that has enough words."""
+def _occurrences(docs: DataFrame, min_words: int, with_simhash: bool = True) -> DataFrame:
+    """(doc_id, text_key, number, line, sim) of each line that has enough words; sim is null without SimHashes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, number, hashes, sim, *_ in _lines(batch.column(2), min_words):
+            for row, number, hashes, sim, *_ in _lines(batch.column(2), min_words, with_simhash):
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(sim.view(np.int64))],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.nulls(len(row), pa.int64()) if sim is None else pa.array(sim.view(np.int64))],
                     names=["doc_id", "text_key", "number", "line", "sim"],
                 )
 
     return _rows(docs).mapInArrow(scan, "doc_id bigint, text_key bigint, number int, line bigint, sim bigint")
 
 
+def _word_counts(docs: DataFrame, min_words: int) -> np.ndarray:
+    """A counting sketch of the words of all lines that have enough words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, h, _ in _line_words(batch.column(2), min_words):
+                counts += np.bincount(slot(h), minlength=COUNTERS)
+        yield sketch_batch(counts)
+
+    return summed_sketch(_rows(docs).mapInArrow(scan, SKETCH_SCHEMA))
+
+
+def _line_words(texts: pa.Array, min_words: int) -> Iterator[tuple]:
+    """For each run of texts: hash and code points (normalised) of the lines that have enough words; hash and line of their words."""
+    for _, data, offsets in runs(texts):
+        ends = np.flatnonzero(data == 10)
+        starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], ends[ends < len(data) - 1] + 1])).astype(np.int64)
+        line, start, end = words(data, np.append(starts, len(data)), LETTERS) if len(starts) else (np.zeros(0, np.int64),) * 3
+        count = np.bincount(line, minlength=len(starts))
+        keep = np.flatnonzero(count >= min_words)
+        if not len(keep):
+            continue
+        chosen = count[line] >= min_words
+        h, size = word_hashes(data, start, end)[chosen], count[keep]
+        first = np.cumsum(size) - size
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        length = np.add.reduceat((points[end] - points[start])[chosen], first) + size - 1
+        yield _hashes(h, first, size), length, h, np.repeat(np.arange(len(keep)), size)
+
+
+def _hashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A line's identity: the hash of its words in their places."""
+    place = np.arange(len(h)) - np.repeat(first, size)
+    return mix(np.add.reduceat(mix(h + mix(place.astype(U64) + U64(1))), first))
+
+
+def word_keys(h: np.ndarray, line: np.ndarray, lines: int, how_many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key for every three of each line's rarest words by the sketch ``how_many``.
+
+    A word that the sketch shows to stand but once is in no other line and left out.
+    """
+    often = how_many[slot(h)]
+    line, h, often = line[often > 1], h[often > 1], often[often > 1]
+    rank = (np.minimum(often, (1 << 24) - 1).astype(U64) << U64(40)) | (h >> U64(24))
+    order = np.lexsort((rank, line))
+    line, rank, h = line[order], rank[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (line[1:] != line[:-1]) | (rank[1:] != rank[:-1])
+    line, h = line[new], h[new]
+    count = np.bincount(line, minlength=lines)
+    first = np.cumsum(count) - count
+    out_line, out = [], []
+    for n in range(1, RAREST + 1):
+        those = np.flatnonzero(count == n if n < RAREST else count >= n)
+        for k in {min(n, 3)} | ({2} if 2 <= n <= FEW else set()):
+            for c in combinations(range(n), k):
+                out_line.append(those)
+                out.append(mix(sum((mix(h[first[those] + i]) for i in c), np.full(len(those), k, U64))))
+    return np.concatenate(out_line), np.concatenate(out)
+
+
+def _keys_by_words(docs: DataFrame, min_words: int) -> DataFrame:
+    """(line, sim, part): the keys of each class; sim is the length of the normalised line. A task gives a class once."""
+    counts = docs.sparkSession.sparkContext.broadcast(np.minimum(_word_counts(docs, min_words), 2**31 - 1).astype(np.int32))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            for hashes, length, h, of in _line_words(batch.column(2), min_words):
+                fresh = np.zeros(len(hashes), bool)
+                for i, key in enumerate(hashes.tolist()):
+                    if key not in done:
+                        done.add(key)
+                        fresh[i] = True
+                line, part = word_keys(h[fresh[of]], of[fresh[of]], len(hashes), counts.value)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[line].view(np.int64)), pa.array(length[line].astype(np.int64)), pa.array(part.view(np.int64))], names=["line", "sim", "part"])
+
+    return _rows(docs).mapInArrow(scan, "line bigint, sim bigint, part bigint")
+
+
 def _line_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """(line, norm) for the classes in ``wanted`` (line)."""
     slots = docs.sparkSession.sparkContext.broadcast(ids_sketch(wanted))
@@ -222,19 +312,23 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return materialise(both.select("a", "b", "na", "nb").mapInArrow(verify, "a bigint, b bigint"))
 
 
-def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8, bits: int | None = BITS) -> tuple[DataFrame, DataFrame]:
     """Occurrences of lines, and (line, keep) for each line class of which an occurrence goes.
 
     keep is the (doc_id, text_key, number) that stays of the class's group.
     """
-    seen = materialise(_occurrences(docs, min_words))
+    seen = materialise(_occurrences(docs, min_words, bits is not None))
     place = F.struct("doc_id", "text_key", "number")
     classes = materialise(seen.groupBy("line").agg(F.min("sim").alias("sim"), F.min(place).alias("first"), F.count("*").alias("n")))
-    masks = block_masks(classes.count(), bits)
-    parts = ", ".join(f"hash({i}, sim & {_signed(m)})" for i, m in enumerate(masks))  # what the hash confuses is told apart by the distance
-    keys = classes.select("line", "sim", F.explode(F.expr(f"array({parts})")).alias("part"))
+    if bits is None:
+        keys = _keys_by_words(docs, min_words)
+        close = lambda x, y: f"abs({x} - {y}) <= floor({1 - similarity} * greatest({x}, {y}) + 1e-9)"
+    else:
+        masks = block_masks(classes.count(), bits)
+        parts = ", ".join(f"hash({i}, sim & {_signed(m)})" for i, m in enumerate(masks))  # what the hash confuses is told apart by the distance
+        keys = classes.select("line", "sim", F.explode(F.expr(f"array({parts})")).alias("part"))
+        close = lambda x, y: f"bit_count({x} ^ {y}) <= {bits}"
     by_key = Window.partitionBy("part")
-    close = lambda x, y: f"bit_count({x} ^ {y}) <= {bits}"
     # with two classes under a key, the pivot settles the only pair
     met = materialise(
         keys.withColumn("lo", F.min(F.struct("line", "sim")).over(by_key)).withColumn("met", F.count("*").over(by_key))
@@ -262,14 +356,15 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     return seen, materialise(of_groups.union(repeated))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8, bits: int = BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8, bits: int | None = BITS) -> DataFrame:
     """``docs`` with every near-repeated line removed but one of its group.
 
     All columns are kept; text loses the lines, n_chars (if there) follows, and
     n_lines_dropped is added. Lines end at a line feed. Those of fewer than
     ``min_words`` words are never touched, nor is a text that loses no line. A
     null text stays null. Rows that repeat a doc_id with equal texts are
-    treated alike. An empty table gives an empty one.
+    treated alike. An empty table gives an empty one. ``bits`` limits what is compared to
+    SimHashes within so many bits; None compares what shares rare words.
     """
     seen, groups = line_groups(docs, min_words, similarity, bits)
     gone = seen.join(groups, "line").filter("not (struct(doc_id, text_key, number) <=> keep)")

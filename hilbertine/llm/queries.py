@@ -58,7 +58,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), bits=None)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

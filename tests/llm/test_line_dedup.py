@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from hilbertine.llm import line_dedup as ld
+from hilbertine.llm import queries
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import docs, edges, none  # noqa: E402
@@ -126,3 +127,27 @@ def test_edit_distance_and_similarity():
         most = rng.randint(0, 8)
         assert (ld.edit_distance(a, b, most) <= most) == (d <= most)
         assert ld.are_similar(a, b, 0.8) == (d <= 0.2 * max(len(a), len(b)) + 1e-9)
+
+
+def edited(rng, replaced):
+    """A line and a copy with so many words replaced, at an edit similarity of 0.8 or more."""
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuv") for _ in range(rng.randint(2, 9)))
+    pool = [word() for _ in range(400)]
+    while True:
+        a = [rng.choice(pool) for _ in range(rng.choice([6, 12, 25, 50]) * replaced)]
+        b = list(a)
+        for i in rng.sample(range(len(a)), replaced):
+            b[i] = rng.choice(pool)
+        x, y = " ".join(a), " ".join(b)
+        if x != y and ld.are_similar(x, y, 0.8):
+            return x, y
+
+
+@pytest.mark.parametrize("replaced", [1, 2])
+def test_query_finds_lines_with_replaced_words(spark, tmp_path, replaced):
+    rng = random.Random(replaced)
+    pairs = [edited(rng, replaced) for _ in range(150)]
+    docs(spark, [x for p in pairs for x in p]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert all(got[2 * i] == a for i, (a, _) in enumerate(pairs))
+    assert sum(got[2 * i + 1] == "" for i in range(150)) >= 148
