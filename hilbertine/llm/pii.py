@@ -5,7 +5,8 @@ protected entities. Over distinct texts of the whole corpus, a term's
 co-occurrence with an entity estimates the information that it discloses, the
 point-wise mutual information PMI(term; entity); the entity's own information
 content is IC(entity) = -log2 p(entity). A term for which PMI >= threshold * IC
-gives the entity away and is removed or generalised like the entity itself.
+gives the entity away and is removed or generalised like the entity itself, wherever
+it stands: far from the entity, or in a text without it.
 
 Everything is made of DataFrame functions. Positions are code points and come
 from the matches and the stretches between them.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .scratch import materialise
 
@@ -29,8 +31,6 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"\p{L}{4,}"
 
-#: Code points on either side of an entity in which terms are looked for.
-CONTEXT = 80
 #: A term discloses an entity from this share of its information on, and from so many distinct texts with both.
 THRESHOLD, SUPPORT = 0.9, 3
 #: Most terms whose table is broadcast; beyond it the counts are joined by shuffles.
@@ -68,30 +68,24 @@ def joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(array({names})[x.k], ':', x.s, ':', x.e)), ',')")
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(h, entity, term, s, e) for each term near an entity, over distinct texts."""
-    texts = found.filter("size(base) > 0").select("h", "txt", "base").dropDuplicates(["h"])
-    each = texts.select("h", "txt", "base", F.explode("base").alias("b")).select(
-        "h", "base", F.expr("xxhash64(b.k, lower(substring(txt, b.s + 1, b.e - b.s)))").alias("entity"),
-        F.expr(f"array(greatest(0, b.s - {CONTEXT}), b.e)").alias("from"),
-        F.expr(f"array(substring(txt, greatest(0, b.s - {CONTEXT}) + 1, b.s - greatest(0, b.s - {CONTEXT})), substring(txt, b.e + 1, {CONTEXT}))").alias("near"),
-    )
-    side = each.select("h", "base", "entity", F.expr("explode(arrays_zip(from, near))").alias("c")).select("h", "base", "entity", F.col("c.from").alias("at"), F.col("c.near").alias("near"))
-    terms = side.select("h", "base", "entity", "at", "near", F.expr(f"explode({spans_of('near', TERM, 4)})").alias("t"))
-    # a word that the edge of the context may have cut is left out
-    whole = terms.filter(f"(t.s > 0 or at = 0) and t.e < {CONTEXT}").withColumn("s", F.expr("at + t.s")).withColumn("e", F.expr("at + t.e"))
-    clear = whole.filter("not exists(base, x -> x.s < e and s < x.e)")
-    return clear.select("h", "entity", F.expr("lower(substring(near, t.s + 1, t.e - t.s))").alias("term"), "s", "e").distinct()
+def _terms(texts: DataFrame) -> DataFrame:
+    """(h, term, s, e) for each term of ``texts`` (h, txt, base) that overlaps none of its base spans.
+
+    Places are sums over the stretches before; rows of a text, not an array that grows by copying.
+    """
+    p = TERM.replace("\\", "\\\\")
+    found = f"regexp_extract_all(txt, '{p}', 0)"
+    each = texts.select("h", "base", F.expr(f"posexplode(zip_with({found}, slice(split(txt, '{p}', -1), 1, size({found})), (m, g) -> struct(m, g)))").alias("i", "x"))
+    end = F.sum(F.expr("length(x.g) + length(x.m)")).over(Window.partitionBy("h").orderBy("i"))
+    placed = each.select("h", "base", F.expr("lower(x.m)").alias("term"), end.cast("int").alias("e"), F.expr("length(x.m)").alias("l")).withColumn("s", F.expr("e - l"))
+    return placed.filter("not exists(base, x -> x.s < e and s < x.e)").select("h", "term", "s", "e")
 
 
-def _text_counts(docs: DataFrame, terms: DataFrame, bound: int) -> DataFrame:
-    """(term, n_t): distinct texts of the whole corpus that hold the term."""
-    words = docs.select(F.explode(F.expr("array_distinct(regexp_extract_all(lower(txt), '\\\\p{L}{4,}', 0))")).alias("term"), "h")
-    if terms.limit(bound + 1).count() <= bound:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-        return words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    pairs = words.join(terms, "term", "left_semi").distinct()
-    return pairs.groupBy("term").agg(F.count("*").alias("n_t"))
+def _term_texts(docs: DataFrame, terms: DataFrame, bound: int) -> DataFrame:
+    """(term, h) for each of ``terms`` and each text of the whole corpus that holds it."""
+    words = docs.select(F.explode(F.expr("array_distinct(transform(regexp_extract_all(txt, '\\\\p{L}{4,}', 0), x -> lower(x)))")).alias("term"), "h")
+    few = terms.limit(bound + 1).count() <= bound
+    return words.join(F.broadcast(terms) if few else terms, "term", "left_semi").distinct()
 
 
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, term_bound: int = TERM_BOUND) -> DataFrame:
@@ -105,21 +99,28 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: i
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("txt")).withColumn("h", F.xxhash64("txt", F.length("txt")))
     found = materialise(texts.withColumn("base", base_spans()).select("doc_id", "h", F.expr("if(size(base) > 0, txt, null)").alias("txt"), "base"))
-    near = materialise(_contexts(found))
-    entities = found.filter("size(base) > 0").select("h", F.explode("base").alias("b"), "txt").select("h", F.expr("xxhash64(b.k, lower(substring(txt, b.s + 1, b.e - b.s)))").alias("entity")).distinct()
-    n_c = entities.groupBy("entity").agg(F.count("*").alias("n_c"))
+    private = found.filter("size(base) > 0").select("h", "txt", "base").dropDuplicates(["h"])
+    entities = materialise(private.select("h", F.explode("base").alias("b"), "txt").select("h", F.expr("xxhash64(b.k, lower(substring(txt, b.s + 1, b.e - b.s)))").alias("entity")).distinct())
+    n_c = entities.groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= support)
+    # only entities that have the support are paired; the joins are the same at every size
+    supported = materialise(entities.join(n_c.hint("merge"), "entity"))
+    near = materialise(_terms(private).select("h", "term").distinct())
     n = found.select("h").distinct().count() or 1
     # PMI >= threshold * IC says that the term is in at most `most` texts; one that
-    # is near entities of any kind in more texts than that can't disclose this one
+    # is in more texts with entities of any kind can't disclose this one
     most = f"n_tc * pow({n} / n_c, {1 - threshold}) + 1e-9"
-    near_any = near.groupBy("term").agg(F.countDistinct("h").alias("n_near"))
+    near_any = near.withColumn("n_near", F.count("*").over(Window.partitionBy("term"))).filter(F.col("n_near") >= support)
+    # n_tc is at most n_c: what even that rules out is not paired
+    pairs = supported.join(near_any.hint("merge"), "h").filter(F.expr(f"n_near <= {most.replace('n_tc', 'n_c')}"))
     together = materialise(
-        near.groupBy("entity", "term").agg(F.countDistinct("h").alias("n_tc")).filter(F.col("n_tc") >= support)
-        .join(n_c, "entity").join(near_any, "term").filter(F.expr(f"n_near <= {most}"))
+        pairs.groupBy("entity", "term", "n_c", "n_near").agg(F.count("*").alias("n_tc")).filter(F.col("n_tc") >= support).filter(F.expr(f"n_near <= {most}"))
     )
-    counts = _text_counts(texts, together.select("term").distinct(), term_bound)
-    disclosing = together.join(counts, "term").filter(F.expr(f"n_t <= {most}")).select("entity", "term")
-    added = near.join(disclosing, ["entity", "term"]).groupBy("h").agg(F.expr("collect_set(struct(s as s, 4 as k, e as e))").alias("added"))
+    held = materialise(_term_texts(texts, together.select("term").distinct(), term_bound))
+    counts = held.groupBy("term").agg(F.count("*").alias("n_t"))
+    disclosing = materialise(together.join(counts, "term").filter(F.expr(f"n_t <= {most}")).select("term").distinct())
+    holders = held.join(disclosing, "term", "left_semi").select("h").distinct()
+    marked = texts.join(holders, "h", "left_semi").dropDuplicates(["h"]).select("h", "txt", base_spans().alias("base"))
+    added = _terms(marked).join(disclosing, "term").groupBy("h").agg(F.expr("collect_set(struct(s as s, 4 as k, e as e))").alias("added"))
     rows = found.drop("txt").join(added, "h", "left").withColumn("added", F.expr(f"coalesce(added, cast(array() as {SPANS}))"))
     return rows.select(
         "doc_id", *[F.expr(f"cast(size(filter(base, x -> x.k = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])],

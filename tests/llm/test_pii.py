@@ -65,3 +65,14 @@ def test_edges(spark):
     rows = pii.find_personal_data(edges(spark)).collect()
     assert len(rows) == 8 and {r.spans for r in rows} == {""}
     assert pii.find_personal_data(none(spark)).count() == 0
+
+
+def test_terms_far_from_the_entity_and_in_texts_without_it(spark):
+    far = " and so on with things from somewhere" * 20
+    texts = [f"note {i}: wrote from q@mail.example.com{far}, Quixotina. Quixotina" for i in range(40)]
+    texts += ["Quixotina note: things from somewhere"]
+    texts += [f"filler {i} wrote about things from somewhere, note with mail example" for i in range(300)]
+    got = terms(spark, texts)
+    at = [m.start() for m in re.finditer("Quixotina", texts[0])]
+    assert got[0] == [f"term:{a}:{a + 9}" for a in at] and got[40] == ["term:0:9"]
+    assert not got[50]
