@@ -120,6 +120,17 @@ def _least_hits(x: str, y: str, t: int) -> str:
     return f"((({t} * (({x}) + ({y})) + {99 + t}) div {100 + t}) - (({t} * greatest({x}, {y}) + 99) div 100) + 1)"
 
 
+def _least_hits_of_any(x: str, near: str, far: str, t: int) -> str:
+    """SQL for the least of ``_least_hits`` over all sizes y from near to far.
+
+    Up to x it doesn't fall as y grows, so that near has the least. Beyond, it falls by
+    t^2 / (100 (100 + t)) a size but for two roundings of less than 1, so that
+    only the last sizes, on which that makes 2, can have it.
+    """
+    last = 200 * (100 + t) // (t * t) + 1
+    return f"least({_least_hits(x, near, t)}, array_min(transform(sequence(greatest({near}, {far} - {last}L), {far}), y -> {_least_hits(x, 'y', t)})))"
+
+
 class _Chunk:
     """The members of a group chunk: their shingles in order, each with its owner."""
 
@@ -254,7 +265,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> D
     near, far = f"greatest(low, ({t} * size + 99) div 100)", f"least(high, (100 * size) div {t})"
     opened = materialise(
         ask.groupBy("cls", "size", "comp", "grp", "chunk").agg(F.count("*").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .filter(f"hits >= least({_least_hits('size', near, t)}, {_least_hits('size', far, t)})").select("cls", "size", "comp", "grp", "chunk")
+        .filter(f"hits >= {_least_hits_of_any('size', near, far, t)}").select("cls", "size", "comp", "grp", "chunk")
     )
     # a chunk is sent to as many tasks as its queries need
     tasks = materialise(opened.groupBy("grp", "chunk").agg((F.floor(F.sum("size") / (4 * CHUNK_SHINGLES)) + 1).cast("int").alias("salts")))

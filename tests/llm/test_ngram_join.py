@@ -82,3 +82,31 @@ def test_edges(spark):
     rows = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(edges(spark), 5, 0.8).collect()), key=str)
     assert rows == sorted([(0, 1, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 3, 4), (4, 3, 4), (5, 3, 4), (6, 1, 6)], key=str)
     assert ngram_join.jaccard_components(none(spark)).count() == 0
+
+
+@pytest.mark.parametrize("t", [50, 80, 85, 97])
+def test_no_size_in_a_group_needs_fewer_hits_than_opens_it(spark, t):
+    least = lambda x, y: -(-t * (x + y) // (100 + t)) - -(-t * max(x, y) // 100) + 1
+    cases = [(x, a, b) for x in range(5, 41) for a in range(-(-t * x // 100), x + 9) for b in range(a, 100 * x // t + 1)]
+    got = spark.createDataFrame(cases, "x long, a long, b long").selectExpr("x", "a", "b", f"{ngram_join._least_hits_of_any('x', 'a', 'b', t)} as n").collect()
+    assert [(r.x, r.a, r.b, r.n) for r in got] == [(x, a, b, min(least(x, y) for y in range(a, b + 1))) for x, a, b in cases]
+    if t == 85:
+        assert (24, 22, 27, 1) in {(r.x, r.a, r.b, r.n) for r in got} and min(least(24, 22), least(24, 27)) == 2
+
+
+def test_many_small_families_against_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for f in range(300):
+        base = [f"w{f}x{i}" for i in range(rng.randint(15, 33))]
+        for v in range(rng.randint(5, 9)):
+            w = list(base)
+            for k in range(rng.randint(0, 2)):
+                i = rng.randint(0, len(w))
+                w[i : i + rng.randint(0, 1)] = [f"n{f}x{v}x{k}"] * rng.randint(0, 1)
+            texts.append((f, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs(spark, [x for _, x in texts]), 4, 0.85).collect()}
+    for f in range(300):
+        at = [i for i, (g, _) in enumerate(texts) if g == f]
+        want = brute([texts[i][1] for i in at], 4, 85)
+        assert [got[i] for i in at] == [at[want[j][1]] for j in range(len(at))]
