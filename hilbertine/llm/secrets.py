@@ -3,7 +3,9 @@
 Besides the fixed patterns, every long run of token characters is scanned with
 a window whose Shannon entropy is kept up to date from counts alone: moving
 the window by one changes two counts, hence two terms of the sum. Each
-character class has its own window and threshold. An allow-list suppresses
+character class has its own window and threshold, and its window moves over every
+longest stretch of the class within a run, so that a key of hex digits counts as
+such behind a name and "=" or a "/". A run is marked whole. An allow-list suppresses
 runs that are known to be harmless.
 """
 
@@ -60,13 +62,18 @@ def hottest_window(run: str, window: int) -> float:
     return best
 
 
+def is_allowed(run: str) -> bool:
+    return any(a.fullmatch(run) for a in ALLOWED)
+
+
 def is_secret(run: str) -> bool:
-    """Whether a run of token characters looks random and is not allowed."""
-    if any(a.fullmatch(run) for a in ALLOWED):
+    """Whether a run of token characters is not allowed and holds a stretch of one class that is not allowed either and looks random."""
+    if is_allowed(run):
         return False
     for members, window, least in CLASSES.values():
-        if members.fullmatch(run):
-            return len(run) >= window and hottest_window(run, window) >= least
+        for m in members.finditer(run):
+            if len(m[0]) >= window and not is_allowed(m[0]) and hottest_window(m[0], window) >= least:
+                return True
     return False
 
 

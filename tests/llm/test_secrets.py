@@ -48,3 +48,11 @@ def test_edges(spark):
     rows = secrets.scan_secrets(edges(spark)).collect()
     assert len(rows) == 8 and {r.spans for r in rows} == {""}
     assert secrets.scan_secrets(none(spark)).count() == 0
+
+
+def test_hex_keys_behind_other_characters():
+    rng = random.Random(6)
+    for form, digits, n in (("sig={}", "0123456789ABCDEF", 32), ("/{}", "0123456789ABCDEF", 32), ("v1/{}/x", "0123456789abcdef", 28)):
+        runs = [form.format("".join(rng.choice(digits) for _ in range(n))) for _ in range(200)]
+        assert sum(secrets.find_secrets(f"see {r} there") == ([], [(4, 3, 4 + len(r))]) for r in runs) >= 198
+    assert not any(map(secrets.is_secret, ["id=550e8400-e29b-41d4-a716-446655440000", "no=123456789012345678901234567890", "path/to/internationalisations/of/words2"]))
