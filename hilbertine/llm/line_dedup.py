@@ -3,24 +3,19 @@
 Lines are normalised to their words, A-Z lower-cased, and equal ones form a
 class. Classes that may be similar meet under keys, those that do are compared by
 edit similarity, and of each connected group of lines the first occurrence, by
-doc_id and place, stays. There are two kinds of keys.
-
-Words (``bits`` None, as the queries use): a counting sketch of all lines' words
-gives one order, rare words first; every three of a line's first ``RAREST`` words are
-a key. Two lines meet if three of these words are the same in both, whatever
-else differs, so that a few replaced words don't part them. Of the pairs that meet
-only those go uncompared whose lengths rule the similarity out. Lines whose words nearly
-all differ by a character or so don't meet.
-
-SimHash (``bits`` given): a class has a 64-bit SimHash of its longer words. Two SimHashes that differ in
-at most ``BITS`` bits agree on all of some choice of blocks (pigeonhole), so
-classes meet under the keys of such choices; those within the distance are
-compared. This finds pairs whose words are nearly all the same; lines that are similar
-at the threshold but differ in more of their words are not found by it.
-
-The blocks are chosen by the number of classes so that a key stays selective; any
-choice finds the same pairs. As with sets of shingles, classes first meet the
-smallest one under a key, so that a large group costs no pairs within it.
+doc_id and place, stays.
+
+Keys. A counting sketch of all lines' words gives one order, rare words first;
+every two of a line's first ``RAREST`` words are a key. So lines meet whose rarest
+words are the same but for a few, whatever else differs. Of the pairs that meet, only
+those go uncompared whose lengths rule the similarity out. SimHashes under
+pigeonhole blocks, the usual keys for this, can't reach the similarity that is asked
+for: one word of ten replaced changes some nine of 64 bits.
+
+Comparing. Classes first meet the smallest one under a key, so that a large
+group of kin costs one comparison for each member. What these links leave apart
+under a key is compared in blocks of bounded size, each pair under the
+smallest key that it shares; a large group makes many blocks for many tasks.
 """
 
 from __future__ import annotations
@@ -34,176 +29,168 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .linking import COUNTERS, SKETCH_SCHEMA, connected_components, ids_sketch, sketch_batch, slot, summed_sketch
+from .editing import similar
+from .linking import COUNTERS, SKETCH_SCHEMA, connected_components, ids_sketch, sketch_rows, slot, summed_sketch
 from .scratch import materialise
-from .text import U64, byte_class, mix, runs, word_hashes, words
+from .text import LOWER, U64, byte_class, mix, runs, word_hashes, words
 
-BITS = 3
-#: Words of a line, the rarest ones, of which every three are a key; of a line with at most FEW such words every two are, too.
-RAREST, FEW = 6, 4
 MIN_WORDS = 5
+#: Words of a line, the rarest ones, of which every two are a key.
+RAREST = 5
 LETTERS = byte_class("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-#: Words of so many bytes or fewer are mostly the commonest ones, which would make all SimHashes alike;
-#: they are left out of a line's SimHash if it has enough others.
-COMMON_BYTES, LEAST_TELLING = 4, 3
-_LANES = np.uint64(0x0101010101010101)
+#: The ``rarity`` (of 8192 occurrences) from which on a word's keys are not gathered by key in one task.
+HOT, SALTS = 8 * 13, 64
+#: Classes, and characters of their lines, of one side of a block.
+BLOCK_LINES, BLOCK_CHARS = 256, 1 << 20
+#: Pairs that are compared side by side.
+PAIRS = 4096
 
 
-def simhashes(h: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each run of ``count`` word hashes from ``first``: a bit is set if most words have it.
+def split_wide(data: np.ndarray, line: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with those that hold a character from U+0800 on replaced by their overlapping pairs of characters.
 
-    The words that have a bit are counted eight bits at a time, in the bytes of
-    64-bit sums over at most 255 words.
+    Scripts without blanks between words would else make one word of a whole line.
     """
-    if not len(first):
-        return np.zeros(0, U64)
-    parts = -(-count // 255)
-    line = np.repeat(np.arange(len(first)), parts)
-    at = first[line] + 255 * (np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts))
-    out = np.zeros(len(first), U64)
-    several = len(line) > len(first)
-    begin = np.cumsum(parts) - parts
-    for k in range(8):
-        sums = np.add.reduceat((h >> U64(k)) & _LANES, at)
-        ones = sums.astype("<u8").view(np.uint8).reshape(-1, 8)  # byte j: words with bit 8 j + k
-        if several:
-            ones = np.add.reduceat(ones, begin, axis=0, dtype=np.int64)
-        set_bits = 2 * ones.astype(np.int64) > count[:, None]
-        out |= np.left_shift(set_bits.astype(U64), np.arange(8, dtype=U64) * U64(8) + U64(k)).sum(1, dtype=U64)
-    return out
-
-
-def _lines(texts: pa.Array, min_words: int, with_simhash: bool = True) -> Iterator[tuple]:
-    """For each run of texts: row, number, hash, SimHash, bytes and ends of the lines that have enough words."""
-    for base, data, offsets in runs(texts):
+    wide = np.zeros(len(start), bool)
+    wide[np.searchsorted(start, np.flatnonzero(data >= 0xE0), "right") - 1] = True
+    if not wide.any():
+        return line, start, end
+    ch = np.flatnonzero((data & 0xC0) != 0x80)
+    w = np.searchsorted(start, ch, "right") - 1
+    inside = (w >= 0) & (ch < end[w]) & wide[w]
+    ch, w = ch[inside], w[inside]
+    after = np.append(w[1:], -1)  # the word of the next character, and of the one after it
+    third, at = np.concatenate([w[2:], [-1, -1]])[: len(w)], np.concatenate([ch[2:], [0, 0]])[: len(w)]
+    stop = np.where(third == w, at, end[w])
+    first = np.append(True, w[1:] != w[:-1])
+    whole = (after == w) | first  # of one character alone, or followed by another
+    new_start = np.concatenate([start[~wide], ch[whole]])
+    order = np.argsort(new_start, kind="stable")
+    return np.concatenate([line[~wide], line[w[whole]]])[order], new_start[order], np.concatenate([end[~wide], stop[whole]])[order]
+
+
+class _Lines:
+    """The lines of a run of texts that have enough words, and their words' hashes.
+
+    row, number: place of the line; begin, stop: its bytes; key: its identity, the hash of
+    its words in order; length: code points when normalised; h, of: hash and line of each word.
+    """
+
+    def __init__(self, base: int, data: np.ndarray, offsets: np.ndarray, min_words: int) -> None:
         ends = np.flatnonzero(data == 10)
         starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], ends[ends < len(data) - 1] + 1])).astype(np.int64)
-        if not len(starts):
-            continue
         bounds = np.append(starts, len(data))
-        line, start, end = words(data, bounds, LETTERS)
-        h = word_hashes(data, start, end)
+        line, start, end = words(data, bounds, LETTERS) if len(starts) else (np.zeros(0, np.int64),) * 3
+        letters = np.bincount(line, weights=end - start, minlength=len(starts)).astype(np.int64)
+        spaces = np.bincount(line, minlength=len(starts)) - 1
+        high = data >= 0x80
+        if high.any():
+            after = np.concatenate([[0], np.cumsum((data & 0xC0) == 0x80, dtype=np.int64)])
+            letters -= np.diff(after[bounds])  # bytes that continue a character
+            if len(start) and (data >= 0xE0).any():
+                line, start, end = split_wide(data, line, start, end)
         count = np.bincount(line, minlength=len(starts))
         keep = np.flatnonzero(count >= min_words)
-        if not len(keep):
-            continue
-        chosen = np.repeat(count >= min_words, count)
-        h, size = h[chosen], count[keep]
+        chosen = count[line] >= min_words
+        h, size = word_hashes(data, start[chosen], end[chosen]), count[keep]
         first = np.cumsum(size) - size
-        hashes = _hashes(h, first, size)
-        row = np.searchsorted(offsets, starts[keep], "right") - 1
-        sim = None
-        if with_simhash:
-            telling = (end - start)[chosen] > COMMON_BYTES
-            of = np.repeat(np.arange(len(keep)), size)
-            enough = np.bincount(of, weights=telling, minlength=len(keep)) >= LEAST_TELLING
-            telling |= ~enough[of]
-            n = np.bincount(of[telling], minlength=len(keep))
-            sim = simhashes(h[telling], np.cumsum(n) - n, n)
-        breaks = np.searchsorted(ends, starts[keep])  # line ends before the line
-        number = breaks - np.searchsorted(ends, offsets[row])
-        stop = bounds[keep + 1]
-        yield base + row, number, hashes, sim, data, starts[keep], stop
+        place = (np.arange(len(h)) - np.repeat(first, size)).astype(U64)
+        self.data, self.begin, self.stop = data, starts[keep], bounds[keep + 1]
+        self.key = mix(np.add.reduceat(mix(h + mix(place + U64(1))), first)) if len(keep) else np.zeros(0, U64)
+        self.length, self.h, self.of = (letters + spaces)[keep], h, np.repeat(np.arange(len(keep)), size)
+        row = np.searchsorted(offsets, self.begin, "right") - 1
+        self.row = base + row
+        self.number = np.searchsorted(ends, self.begin) - np.searchsorted(ends, offsets[row])
 
+    def normal(self, i: int) -> str:
+        return " ".join(self.data[self.begin[i] : self.stop[i]].tobytes().translate(_SPACED).decode("utf-8", "replace").split())
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
 
+_SPACED = bytes(LOWER[i] if LETTERS[i] else 32 for i in range(256))
 
-def _occurrences(docs: DataFrame, min_words: int, with_simhash: bool = True) -> DataFrame:
-    """(doc_id, text_key, number, line, sim) of each line that has enough words; sim is null without SimHashes."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, number, hashes, sim, *_ in _lines(batch.column(2), min_words, with_simhash):
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.nulls(len(row), pa.int64()) if sim is None else pa.array(sim.view(np.int64))],
-                    names=["doc_id", "text_key", "number", "line", "sim"],
-                )
+def _lines(texts: pa.Array, min_words: int) -> Iterator[_Lines]:
+    for base, data, offsets in runs(texts):
+        found = _Lines(base, data, offsets, min_words)
+        if len(found.key):
+            yield found
+
 
-    return _rows(docs).mapInArrow(scan, "doc_id bigint, text_key bigint, number int, line bigint, sim bigint")
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
 
 
-def _word_counts(docs: DataFrame, min_words: int) -> np.ndarray:
-    """A counting sketch of the words of all lines that have enough words."""
+def _occurrences_and_sketch(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, text_key, number, line) of each line that has enough words, and the tasks' sketches of its words (slab, counts)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("number", pa.int32()), ("line", pa.int64()), ("slab", pa.int32()), ("counts", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts, pending, ready = np.zeros(COUNTERS, np.int64), [], 0
         for batch in batches:
-            for _, _, h, _ in _line_words(batch.column(2), min_words):
-                counts += np.bincount(slot(h), minlength=COUNTERS)
-        yield sketch_batch(counts)
-
-    return summed_sketch(_rows(docs).mapInArrow(scan, SKETCH_SCHEMA))
+            for x in _lines(batch.column(2), min_words):
+                pending.append(slot(x.h))
+                ready += len(x.h)
+                if ready > COUNTERS:
+                    counts += np.bincount(np.concatenate(pending), minlength=COUNTERS)
+                    pending, ready = [], 0
+                at, k = pa.array(x.row), len(x.row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x.number.astype(np.int32)), pa.array(x.key.view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+        if pending:
+            counts += np.bincount(np.concatenate(pending), minlength=COUNTERS)
+        rows = list(sketch_rows(counts))
+        k = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
-
-def _line_words(texts: pa.Array, min_words: int) -> Iterator[tuple]:
-    """For each run of texts: hash and code points (normalised) of the lines that have enough words; hash and line of their words."""
-    for _, data, offsets in runs(texts):
-        ends = np.flatnonzero(data == 10)
-        starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], ends[ends < len(data) - 1] + 1])).astype(np.int64)
-        line, start, end = words(data, np.append(starts, len(data)), LETTERS) if len(starts) else (np.zeros(0, np.int64),) * 3
-        count = np.bincount(line, minlength=len(starts))
-        keep = np.flatnonzero(count >= min_words)
-        if not len(keep):
-            continue
-        chosen = count[line] >= min_words
-        h, size = word_hashes(data, start, end)[chosen], count[keep]
-        first = np.cumsum(size) - size
-        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        length = np.add.reduceat((points[end] - points[start])[chosen], first) + size - 1
-        yield _hashes(h, first, size), length, h, np.repeat(np.arange(len(keep)), size)
+    return _rows(docs).mapInArrow(scan, f"doc_id bigint, text_key bigint, number int, line bigint, {SKETCH_SCHEMA}")
 
 
-def _hashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A line's identity: the hash of its words in their places."""
-    place = np.arange(len(h)) - np.repeat(first, size)
-    return mix(np.add.reduceat(mix(h + mix(place.astype(U64) + U64(1))), first))
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """The counters of a sketch in steps of an eighth of a doubling; 0 for words that stand but once."""
+    return np.minimum(np.round(8 * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
 
 
-def word_keys(h: np.ndarray, line: np.ndarray, lines: int, how_many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line and key for every three of each line's rarest words by the sketch ``how_many``.
+def word_keys(h: np.ndarray, of: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, key, and whether the key may have very many lines, for every two of each line's rarest words by ``rarity``; ``of`` rises.
 
     A word that the sketch shows to stand but once is in no other line and left out.
     """
-    often = how_many[slot(h)]
-    line, h, often = line[often > 1], h[often > 1], often[often > 1]
-    rank = (np.minimum(often, (1 << 24) - 1).astype(U64) << U64(40)) | (h >> U64(24))
-    order = np.lexsort((rank, line))
-    line, rank, h = line[order], rank[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (line[1:] != line[:-1]) | (rank[1:] != rank[:-1])
-    line, h = line[new], h[new]
-    count = np.bincount(line, minlength=lines)
-    first = np.cumsum(count) - count
-    out_line, out = [], []
-    for n in range(1, RAREST + 1):
-        those = np.flatnonzero(count == n if n < RAREST else count >= n)
-        for k in {min(n, 3)} | ({2} if 2 <= n <= FEW else set()):
-            for c in combinations(range(n), k):
-                out_line.append(those)
-                out.append(mix(sum((mix(h[first[those] + i]) for i in c), np.full(len(those), k, U64))))
-    return np.concatenate(out_line), np.concatenate(out)
-
-
-def _keys_by_words(docs: DataFrame, min_words: int) -> DataFrame:
-    """(line, sim, part): the keys of each class; sim is the length of the normalised line. A task gives a class once."""
-    counts = docs.sparkSession.sparkContext.broadcast(np.minimum(_word_counts(docs, min_words), 2**31 - 1).astype(np.int32))
+    out_line, out, hot = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, bool)]
+    for low in range(0, int(of[-1]) + 1 if len(of) else 0, 1 << 24):
+        a, b = np.searchsorted(of, [low, low + (1 << 24)])
+        how = level[slot(h[a:b])]
+        some = how > 0
+        v = ((of[a:b] - low).astype(U64)[some] << U64(40)) | (how[some].astype(U64) << U64(32)) | (h[a:b][some] >> U64(32))
+        v.sort()
+        v = v[np.append(True, v[1:] != v[:-1])] if len(v) else v
+        line = (v >> U64(40)).astype(np.int64)
+        m = mix(v & U64((1 << 40) - 1))
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(v) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(v)))
+        for i, j in combinations(range(RAREST), 2):
+            those = first[count > j]
+            out_line.append(line[those] + low)
+            out.append(mix(m[those + i] + m[those + j]))
+            hot.append(((v[those + i] >> U64(32)) & U64(255)) >= HOT)  # a key has no more lines than its rarer word
+    return np.concatenate(out_line), np.concatenate(out), np.concatenate(hot)
+
+
+def _keys(docs: DataFrame, min_words: int, counts: np.ndarray) -> DataFrame:
+    """(line, length, part, hot): the keys of each class and its length when normalised. A task gives a class once."""
+    level = docs.sparkSession.sparkContext.broadcast(rarity(counts))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            for hashes, length, h, of in _line_words(batch.column(2), min_words):
-                fresh = np.zeros(len(hashes), bool)
-                for i, key in enumerate(hashes.tolist()):
+            for x in _lines(batch.column(2), min_words):
+                fresh = np.zeros(len(x.key), bool)
+                for i, key in enumerate(x.key.tolist()):
                     if key not in done:
                         done.add(key)
                         fresh[i] = True
-                line, part = word_keys(h[fresh[of]], of[fresh[of]], len(hashes), counts.value)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[line].view(np.int64)), pa.array(length[line].astype(np.int64)), pa.array(part.view(np.int64))], names=["line", "sim", "part"])
+                line, part, hot = word_keys(x.h[fresh[x.of]], x.of[fresh[x.of]], level.value)
+                yield pa.RecordBatch.from_arrays([pa.array(x.key[line].view(np.int64)), pa.array(np.minimum(x.length[line], 2**31 - 1).astype(np.int32)), pa.array(part.view(np.int64)), pa.array(hot)], names=["line", "length", "part", "hot"])
 
-    return _rows(docs).mapInArrow(scan, "line bigint, sim bigint, part bigint")
+    return _rows(docs).mapInArrow(scan, "line bigint, length int, part bigint, hot boolean")
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
@@ -213,91 +200,22 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            for _, _, hashes, _, data, start, stop in _lines(batch.column(2), min_words, False):
+            for x in _lines(batch.column(2), min_words):
                 lines, texts = [], []
-                for i in np.flatnonzero(slots.value[slot(hashes)]).tolist():
-                    if (key := int(hashes[i])) not in done:
+                for i in np.flatnonzero(slots.value[slot(x.key)]).tolist():
+                    if (key := int(x.key[i])) not in done:
                         done.add(key)
-                        lines.append(hashes[i])
-                        texts.append(" ".join(_normal(data[start[i] : stop[i]].tobytes())))
+                        lines.append(x.key[i])
+                        texts.append(x.normal(i))
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(lines, U64).view(np.int64)), pa.array(texts, pa.string())], names=["line", "norm"])
 
     found = _rows(docs).mapInArrow(scan, "line bigint, norm string")
     return found.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("norm").alias("norm"))
 
 
-_SPACED = bytes(i + 32 if 65 <= i <= 90 else i if LETTERS[i] else 32 for i in range(256))
-
-
-def _normal(line: bytes) -> list[str]:
-    return line.translate(_SPACED).decode("utf-8", "replace").split()
-
-
-def block_masks(classes: int, bits: int = BITS) -> list[int]:
-    """Masks (64-bit) of the block choices of which a pair within ``bits`` bits shares one.
-
-    The number of blocks grows until a key has some two bits more than it takes to tell the classes apart.
-    """
-    for blocks in range(bits + 1, 3 * bits + 1):
-        width = 64 * (blocks - bits) // blocks
-        if 4 * classes <= 1 << width:
-            break
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    masks = [sum(c) for c in combinations(parts, blocks - bits)]
-    return masks
-
-
-def _signed(mask: int) -> str:
-    """A 64-bit mask as a SQL literal."""
-    return f"{mask}L" if mask < 1 << 63 else f"({mask - (1 << 64) + 1}L - 1L)"
-
-
-def edit_distance(a: str, b: str, most: int) -> int:
-    """The edit distance of two texts, or any number above ``most`` if it exceeds that.
-
-    What they begin and end with alike is left out; the rest is compared a
-    character at a time, with a whole column of the table in the bits of two integers.
-    """
-    n = min(len(a), len(b))
-    head = next((i for i in range(n) if a[i] != b[i]), n)
-    a, b = a[head:], b[head:]
-    n = min(len(a), len(b))
-    tail = next((i for i in range(n) if a[-1 - i] != b[-1 - i]), n)
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not a or not b:
-        return max(len(a), len(b))
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    last = 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for j, c in enumerate(b):
-        same = where.get(c, 0)
-        vertical = same | down
-        cross = (((same & up) + up) ^ up) | same
-        rise = down | (full & ~(cross | up))
-        fall = up & cross
-        score += bool(rise & last) - bool(fall & last)
-        if score - (len(b) - 1 - j) > most:
-            return most + 1
-        rise = (rise << 1 | 1) & full
-        fall = fall << 1 & full
-        up = fall | (full & ~(vertical | rise))
-        down = rise & vertical
-    return score
-
-
-def are_similar(a: str, b: str, similarity: float) -> bool:
-    """Whether the edit distance is at most 1 - similarity of the longer text; a bound by words in place settles most pairs."""
-    allowed = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-    if abs(len(a) - len(b)) > allowed:
-        return False
-    u, v = a.split(" "), b.split(" ")
-    if len(u) == len(v) and sum(max(len(p), len(q)) for p, q in zip(u, v, strict=True) if p != q) <= allowed:
-        return True
-    return edit_distance(a, b, allowed) <= allowed
+def _near(x: str, y: str, similarity: float) -> str:
+    """SQL: whether the lengths allow the similarity."""
+    return f"abs({x} - {y}) <= floor({1 - similarity} * greatest({x}, {y}) + 1e-9)"
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -306,49 +224,131 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [are_similar(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            for at in range(0, batch.num_rows, PAIRS):
+                some = batch.slice(at, PAIRS)
+                kept = similar(some.column(2).to_pylist(), some.column(3).to_pylist(), similarity)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], names=["a", "b"]).filter(pa.array(kept))
 
     return materialise(both.select("a", "b", "na", "nb").mapInArrow(verify, "a bigint, b bigint"))
 
 
-def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8, bits: int | None = BITS) -> tuple[DataFrame, DataFrame]:
+def _links_in_blocks(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between classes of one block (part, block) that are not of one component.
+
+    ``rows``: (part, block, side, line, comp, pivot, norm, parts), side being its chunk and parts the keys that the
+    class has here, in order. A pair is compared under the first key it shares, and not
+    with the pivot of that key, which has been compared. Of a block's links enough
+    are given to connect what they connect.
+    """
+
+    def close(pairs: list[tuple]) -> Iterator[tuple[int, int]]:
+        hits = similar([x[4] for x, _ in pairs], [y[4] for _, y in pairs], similarity)
+        root: dict = {}
+
+        def find(k: tuple) -> tuple:
+            while root.get(k, k) != k:
+                k = root[k]
+            return k
+
+        for k in np.flatnonzero(hits).tolist():
+            x, y = pairs[k]
+            u, v = find((x[:2], x[3])), find((y[:2], y[3]))
+            if u != v:
+                root[u] = v
+                yield x[2], y[2]
+
+    def candidates(group: list[tuple]) -> Iterator[tuple]:
+        group.sort(key=lambda x: len(x[4]))
+        for i, x in enumerate(group):
+            most = (len(x[4]) + 1e-9) / similarity
+            for y in group[i + 1 :]:
+                if len(y[4]) > most:
+                    break
+                if x[3] != y[3] and (x[1] <= 0 or x[7] != y[7]) and x[6] != x[2] and x[6] != y[2] and x[5].isdisjoint(y[5]):
+                    yield x, y
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, pairs, last = [], [], None
+        for batch in batches:
+            links = []
+            for part, block, side, line, comp, pivot, norm, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, block) != last:
+                    for pair in candidates(group):
+                        pairs.append(pair)
+                        if len(pairs) >= PAIRS:
+                            links += close(pairs)
+                            pairs = []
+                    group, last = [], (part, block)
+                if not group or group[-1][2] != line:  # [5]: the keys before this one
+                    group.append((part, block, line, comp, norm, frozenset(parts[: parts.index(part)]), pivot, side))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+        links = []
+        for pair in candidates(group):
+            pairs.append(pair)
+            if len(pairs) >= PAIRS:
+                links += close(pairs)
+                pairs = []
+        links += close(pairs) if pairs else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    dealt = rows.select("part", "block", "side", "line", "comp", "pivot", "norm", "parts").repartition("part", "block").sortWithinPartitions("part", "block", "line")
+    return materialise(dealt.mapInArrow(compare, "a bigint, b bigint"))
+
+
+def _blocks(inner: str, outer: str, is_inner: str, chunk: str) -> str:
+    """SQL for the blocks in which a class of a key stands.
+
+    The classes of the pivot's component (inner) are linked already and meet only
+    the others (outer); these meet each other, too. Both sides are dealt into chunks. In a block
+    above 0 two chunks meet each other, in one up to 0 all of its classes meet.
+    """
+    return (
+        f"if({inner} = 1 and {outer} = 1, array(0L), if({is_inner}, transform(sequence(0L, {outer} - 1), i -> i * {inner} + {chunk} + 1), "
+        f"concat(transform(sequence(0L, {inner} - 1), i -> {chunk} * {inner} + i + 1), "
+        f"transform(sequence(0L, {outer} - 1), i -> if(i = {chunk}, -i - 1, {inner} * {outer} + least({chunk}, i) * {outer} + greatest({chunk}, i) + 1)))))"
+    )
+
+
+def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Occurrences of lines, and (line, keep) for each line class of which an occurrence goes.
 
     keep is the (doc_id, text_key, number) that stays of the class's group.
     """
-    seen = materialise(_occurrences(docs, min_words, bits is not None))
-    place = F.struct("doc_id", "text_key", "number")
-    classes = materialise(seen.groupBy("line").agg(F.min("sim").alias("sim"), F.min(place).alias("first"), F.count("*").alias("n")))
-    if bits is None:
-        keys = _keys_by_words(docs, min_words)
-        close = lambda x, y: f"abs({x} - {y}) <= floor({1 - similarity} * greatest({x}, {y}) + 1e-9)"
-    else:
-        masks = block_masks(classes.count(), bits)
-        parts = ", ".join(f"hash({i}, sim & {_signed(m)})" for i, m in enumerate(masks))  # what the hash confuses is told apart by the distance
-        keys = classes.select("line", "sim", F.explode(F.expr(f"array({parts})")).alias("part"))
-        close = lambda x, y: f"bit_count({x} ^ {y}) <= {bits}"
-    by_key = Window.partitionBy("part")
-    # with two classes under a key, the pivot settles the only pair
+    scanned = materialise(_occurrences_and_sketch(docs, min_words))
+    seen = scanned.filter("slab is null").select("doc_id", "text_key", "number", "line")
+    classes = materialise(seen.groupBy("line").agg(F.min(F.struct("doc_id", "text_key", "number")).alias("first"), F.count("*").alias("n")))
+    keys = _keys(docs, min_words, summed_sketch(scanned.filter("slab is not null").select("slab", "counts")))
+    # the smallest class under a key is its pivot; a key that may be very common is gathered in two steps
+    here = Window.partitionBy("part", F.when(F.col("hot"), F.pmod("line", F.lit(SALTS))))
+    local = materialise(keys.withColumn("lo", F.min(F.struct("line", "length")).over(here)).withColumn("hi", F.max("line").over(here)).filter("hot or lo.line < hi"))
+    hot = local.filter("hot").select("part", "line", "length")
+    pivots = hot.groupBy("part").agg(F.min(F.struct("line", "length")).alias("lo"), F.max("line").alias("hi")).filter("lo.line < hi")
+    under = local.filter("not hot").select("part", "line", "length", "lo").union(hot.join(pivots, "part").select("part", "line", "length", "lo"))
     met = materialise(
-        keys.withColumn("lo", F.min(F.struct("line", "sim")).over(by_key)).withColumn("met", F.count("*").over(by_key))
-        .select("part", "line", "sim", "met", F.col("lo.line").alias("pivot"), F.expr(close("sim", "lo.sim")).alias("near")).filter("line <> pivot and (near or met > 2)")
+        under.select("part", "line", "length", F.col("lo.line").alias("pivot"), F.col("lo.length").alias("pivot_length"))
+        .filter("line <> pivot").withColumn("near", F.expr(_near("length", "pivot_length", similarity)))
     )
     to_pivot = materialise(met.filter("near").selectExpr("line as a", "pivot as b").distinct())
+    # under a key with one class besides the pivot, the pivot settles the only pair
+    more = materialise(met.groupBy("part").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.first("pivot").alias("line"), F.first("pivot_length").alias("length")).filter("lo < hi"))
+    meeting = met.join(more.select("part"), "part", "left_semi").select("part", "line", "length", "pivot").union(more.selectExpr("part", "line", "length", "line as pivot"))
     # every class that either round may compare
-    wanted = materialise(met.select("line").union(to_pivot.select("b")).distinct())
+    wanted = materialise(meeting.select("line").union(to_pivot.select("a")).union(to_pivot.select("b")).distinct())
     texts = materialise(_line_texts(docs, wanted, min_words))
-    links = _similar(to_pivot, texts, similarity)
-    groups = materialise(connected_components(links).withColumnsRenamed({"node": "line"}))
-    shared = met.filter("met > 2").select("part", "line", "sim")
-    owned = shared.join(groups, "line", "left").withColumn("comp", F.coalesce("comp", "line"))
-    several = materialise(owned.withColumn("lo", F.min("comp").over(by_key)).withColumn("hi", F.max("comp").over(by_key)).filter("lo < hi").drop("lo", "hi"))
-    x, y = several.alias("x"), several.alias("y")
-    pairs = materialise(
-        x.join(y, F.expr("x.part = y.part and x.comp > y.comp and " + close("x.sim", "y.sim"))).selectExpr("x.line as a", "y.line as b").distinct()
-        .join(to_pivot, ["a", "b"], "left_anti")
+    groups = materialise(connected_components(_similar(to_pivot, texts, similarity)).withColumnsRenamed({"node": "line"}))
+    of_pivot = groups.selectExpr("line as pivot", "comp as pivot_comp")
+    owned = materialise(
+        meeting.join(groups, "line", "left").join(of_pivot, "pivot", "left")
+        .select("part", "line", "length", "pivot", F.coalesce("comp", "line").alias("comp"), F.expr("coalesce(comp, line) = coalesce(pivot_comp, pivot)").alias("inner")).distinct()
     )
-    final = connected_components(groups.selectExpr("line as a", "comp as b").union(_similar(pairs, texts, similarity)))
+    chunks = lambda side: f"greatest(1L, cast(ceil(greatest(sum(if({side}, 1, 0)) / {BLOCK_LINES}, sum(if({side}, length, 0)) / {BLOCK_CHARS})) as bigint))"
+    open_parts = owned.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.expr(chunks("inner")).alias("n_inner"), F.expr(chunks("not inner")).alias("n_outer")).filter("lo < hi").drop("lo", "hi")
+    several = materialise(owned.join(open_parts, "part"))
+    chunk = "pmod(xxhash64(line), if(inner, n_inner, n_outer))"
+    placed = several.select("part", "line", "comp", "pivot", F.expr(f"if(inner, -1L, {chunk})").alias("side"), F.explode(F.expr(_blocks("n_inner", "n_outer", "inner", chunk))).alias("block"))
+    with_keys = several.groupBy("line").agg(F.array_sort(F.collect_set("part")).alias("parts")).join(texts, "line")
+    found = _links_in_blocks(placed.join(with_keys, "line"), similarity)
+    final = connected_components(groups.selectExpr("line as a", "comp as b").union(found))
     linked = materialise(final.withColumnsRenamed({"node": "line"}).join(classes, "line"))
     firsts = materialise(linked.groupBy("comp").agg(F.min("first").alias("keep")))
     of_groups = linked.join(firsts, "comp").select("line", "keep")
@@ -356,26 +356,30 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     return seen, materialise(of_groups.union(repeated))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8, bits: int | None = BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with every near-repeated line removed but one of its group.
 
     All columns are kept; text loses the lines, n_chars (if there) follows, and
-    n_lines_dropped is added. Lines end at a line feed. Those of fewer than
-    ``min_words`` words are never touched, nor is a text that loses no line. A
+    n_lines_dropped is added, in place of a column of that name. Lines end at a line feed.
+    Those of fewer than ``min_words`` words are never touched, nor is a text that loses no line; a run of
+    characters from U+0800 on counts as its overlapping pairs. A
     null text stays null. Rows that repeat a doc_id with equal texts are
-    treated alike. An empty table gives an empty one. ``bits`` limits what is compared to
-    SimHashes within so many bits; None compares what shares rare words.
+    treated alike. An empty table gives an empty one. With ``drop_emptied``, a document of
+    whose text nothing but blanks is left goes; one that had no words before stays.
     """
-    seen, groups = line_groups(docs, min_words, similarity, bits)
+    seen, groups = line_groups(docs, min_words, similarity)
     gone = seen.join(groups, "line").filter("not (struct(doc_id, text_key, number) <=> keep)")
-    drop = materialise(gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("numbers")).selectExpr("doc_id as drop_id", "text_key as drop_key", "numbers as drop_numbers"))
+    drop = materialise(gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("numbers")).select(F.struct("doc_id", "text_key", "numbers").alias("gone")))
     whole = docs.select(F.struct("*").alias("doc"))
     # as many rows as documents with repeated lines: the same join at every size
-    met = whole.join(drop.hint("merge"), F.col("doc.doc_id").cast("long").eqNullSafe(F.col("drop_id")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("drop_key")), "left")
-    left = F.expr("array_join(filter(split(doc.text, '\\n'), (x, i) -> not array_contains(drop_numbers, i)), '\\n')")
-    text = F.when(F.col("drop_numbers").isNull(), F.col("doc.text")).otherwise(left)
-    new = {"text": text.alias("text")}
+    met = whole.join(drop.hint("merge"), F.col("doc.doc_id").cast("long").eqNullSafe(F.col("gone.doc_id")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("gone.text_key")), "left")
+    left = F.expr("array_join(filter(split(cast(doc.text as string), '\\n'), (x, i) -> not array_contains(gone.numbers, i)), '\\n')")
+    changed = met.select("doc", "gone", F.when(F.col("gone").isNotNull(), left).alias("rest"))
+    if drop_emptied:
+        changed = changed.filter("gone is null or rest rlike '[^\\\\x09-\\\\x0D ]'")
+    new = {"text": F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.col("rest")).alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("drop_numbers").isNull(), F.col("doc.n_chars")).otherwise(F.length(left)).cast(kind).alias("n_chars")
-    return met.select(*[new.get(c, F.col(f"doc.`{c}`")) for c in docs.columns], F.coalesce(F.size("drop_numbers"), F.lit(0)).cast("long").alias("n_lines_dropped"))
+        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("doc.n_chars")).otherwise(F.length("rest").cast(kind)).alias("n_chars")
+    others = [c for c in docs.columns if c != "n_lines_dropped"]
+    return changed.select(*[new.get(c, F.col(f"doc.`{c}`")) for c in others], F.coalesce(F.size("gone.numbers"), F.lit(0)).cast("long").alias("n_lines_dropped"))

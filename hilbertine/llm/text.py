@@ -13,14 +13,11 @@ U64 = np.uint64
 RUN_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
 _POSITION = [int(x) | 1 for x in _rng.integers(1, 2**63, 64, dtype=np.int64)]
-_powers: dict[int, np.ndarray] = {}
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
 def byte_class(members: str) -> np.ndarray:
@@ -46,18 +43,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is not None and len(have) >= n:
-        return have[:n]
-    out = np.full(n, U64(base), U64)
-    out[:1] = 1
-    out = np.multiply.accumulate(out)
-    if n <= 4 * RUN_BYTES:
-        _powers[base] = out
-    return out
-
-
 def runs(texts: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) for consecutive runs of rows; a null text is empty."""
     texts = pc.fill_null(texts, "")
@@ -80,25 +65,32 @@ def runs(texts: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, np.ndar
 def words(data: np.ndarray, offsets: np.ndarray, members: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row index, start and end (bytes) of each maximal run of ``members``; none spans two rows."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = members[data]
-    begins = inside[1:] & ~inside[:-1]  # begins[i]: byte i begins a word; one more at the end
-    ends = inside[:-1] & ~inside[1:]  # ends[i]: a word ends before byte i
+    inside[1:-1] = np.frombuffer(data.tobytes().translate(members.astype(np.uint8).tobytes()), bool)
+    edges = np.flatnonzero(inside[1:] ^ inside[:-1])  # a word begins, ends, begins ...
+    start, end = edges[::2], edges[1::2]
     cut = offsets[1:-1]
     cut = cut[(cut > 0) & (cut < len(data))]
-    split = cut[inside[cut] & inside[cut + 1]]
-    begins[split] = True
-    ends[split] = True
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    return np.searchsorted(offsets, start, "right") - 1, start, end
+    split = np.unique(cut[inside[cut] & inside[cut + 1]])
+    if len(split):
+        start, end = np.sort(np.concatenate([start, split])), np.sort(np.concatenate([end, split]))
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets))), start, end
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word with A-Z lower-cased: a polynomial over its bytes, mixed."""
+    """64-bit hash of each word with A-Z lower-cased, mixed from eight bytes at a time."""
     if not len(start):
         return np.zeros(0, U64)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE_CODE[LOWER[data]] * _power(_BASE, len(data)), out=total[1:])
-    return mix((total[end] - total[start]) * _power(_BASE_INVERSE, len(data))[start] + (end - start).astype(U64))
+    low = data.tobytes().translate(LOWER) + bytes(8)
+    eight = np.ndarray((len(data) + 1,), "<u8", low, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    h = mix((eight[start] & _FIRST_BYTES[np.minimum(size, 8)]) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    more, done = np.flatnonzero(size > 8), 8
+    while len(more):
+        rest = eight[start[more] + done] & _FIRST_BYTES[np.minimum(size[more] - done, 8)]
+        h[more] = mix((h[more] ^ U64(done)) * U64(0xD6E8FEB86659FD93) + rest)
+        done += 8
+        more = more[size[more] > done]
+    return h
 
 
 def shingle_hashes(row: np.ndarray, h: np.ndarray, n: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,13 +8,15 @@ import pytest
 
 from hilbertine.llm import line_dedup as ld
 from hilbertine.llm import queries
+from hilbertine.llm.editing import similar
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import docs, edges, none  # noqa: E402
 
 
 def normal(line):
-    return ld._normal(line.encode())
+    found = list(ld._lines(pa.array([line]), 1))
+    return found[0].normal(0).split(" ") if found else []
 
 
 def distance(a, b):
@@ -26,18 +28,14 @@ def distance(a, b):
     return row[-1]
 
 
-def sim(line):
-    ((_, _, _, s, *_),) = list(ld._lines(pa.array([line]), 1))
-    return int(s[0])
-
-
 def brute(texts, min_words, similarity):
-    at = [(i, n, line) for i, t in enumerate(texts) for n, line in enumerate((t or "").split("\n")) if len(normal(line)) >= min_words]
+    """The lines that go, (text, number), by all pairs of lines, and how many groups have several lines."""
     norms = {}
-    for i, n, line in at:
-        norms.setdefault(" ".join(normal(line)), []).append((i, n))
+    for i, t in enumerate(texts):
+        for n, line in enumerate((t or "").split("\n")):
+            if len(normal(line)) >= min_words:
+                norms.setdefault(" ".join(normal(line)), []).append((i, n))
     keys = list(norms)
-    sims = [sim(k) for k in keys]
     root = list(range(len(keys)))
 
     def find(x):
@@ -47,22 +45,35 @@ def brute(texts, min_words, similarity):
 
     for i in range(len(keys)):
         for j in range(i):
-            if (sims[i] ^ sims[j]).bit_count() <= 3 and distance(keys[i], keys[j]) <= (1 - similarity) * max(len(keys[i]), len(keys[j])) + 1e-9:
+            most = (1 - similarity) * max(len(keys[i]), len(keys[j])) + 1e-9
+            if abs(len(keys[i]) - len(keys[j])) <= most and distance(keys[i], keys[j]) <= most:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     groups = {}
     for i, k in enumerate(keys):
         groups.setdefault(find(i), []).extend(norms[k])
-    gone = {x for g in groups.values() for x in sorted(g)[1:]}
-    return ["\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) if t is not None else None for i, t in enumerate(texts)], len([g for g in groups.values() if len(g) > 1])
+    return {x for g in groups.values() for x in sorted(g)[1:]}, len([g for g in groups.values() if len(g) > 1])
+
+
+def gone(before, after):
+    """Which lines of texts went; a text keeps the order of its lines."""
+    out = set()
+    for i, (x, y) in enumerate(zip(before, after, strict=True)):
+        left = (y or "").split("\n")
+        for n, line in reversed(list(enumerate((x or "").split("\n")))):
+            if left and left[-1] == line:
+                left.pop()
+            else:
+                out.add((i, n))
+    return out
 
 
 def corpus(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
-    pool = [[word() for _ in range(rng.choice([3, 6, 12, 60, 90]))] for _ in range(60)]
+    pool = [[word() for _ in range(rng.choice([3, 6, 12, 30]))] for _ in range(50)]
     out = []
-    for _ in range(130):
+    for _ in range(100):
         lines = []
         for _ in range(rng.randint(0, 5)):
             w = list(rng.choice(pool)) if rng.random() < 0.7 else [word() for _ in range(rng.randint(0, 15))]
@@ -74,28 +85,30 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+def test_against_all_pairs(spark, seed):
     texts = corpus(seed)
     got = {r.doc_id: r.text for r in ld.dedup_lines(docs(spark, texts).repartition(3)).collect()}
     want, groups = brute(texts, 5, 0.8)
-    assert groups > 20 and [got[i] for i in range(len(texts))] == want
+    found = gone(texts, [got[i] for i in range(len(texts))])
+    assert groups > 20 and not found - want and len(found) >= 0.97 * len(want)
 
 
-def test_simhash_by_definition():
-    rng = np.random.default_rng(3)
-    h = rng.integers(0, 2**63, 70_000, dtype=np.int64).astype(np.uint64)
-    first, count = np.array([0, 5, 40_000]), np.array([5, 39_995, 30_000])
-    want = [sum(1 << b for b in range(64) if 2 * int(((h[f : f + n] >> np.uint64(b)) & np.uint64(1)).sum()) > n) for f, n in zip(first, count, strict=True)]
-    assert ld.simhashes(h, first, count).tolist() == want
+def test_blocks_give_what_all_pairs_give(spark, monkeypatch):
+    texts = corpus(3)
+    want = sorted((r.doc_id, r.text or "") for r in ld.dedup_lines(docs(spark, texts)).collect())
+    monkeypatch.setattr(ld, "BLOCK_LINES", 2)
+    monkeypatch.setattr(ld, "HOT", 0)
+    assert sorted((r.doc_id, r.text or "") for r in ld.dedup_lines(docs(spark, texts)).collect()) == want
 
 
-@pytest.mark.parametrize("classes", [10, 10**6, 10**8, 10**11])
-def test_any_choice_of_blocks_is_complete(classes):
-    rng = random.Random(4)
-    masks = ld.block_masks(classes)
-    for _ in range(500):
-        flip = sum(1 << b for b in rng.sample(range(64), 3))
-        assert any(flip & m == 0 for m in masks)
+@pytest.mark.parametrize(("inner", "outer"), [(1, 1), (1, 3), (2, 1), (3, 4)])
+def test_any_two_classes_meet_in_one_block(spark, inner, outer):
+    sides = [("true", c) for c in range(inner)] + [("false", c) for c in range(outer)]
+    row = spark.range(1).selectExpr(*[f"{ld._blocks(f'{inner}L', f'{outer}L', side, f'{c}L')} as x{i}" for i, (side, c) in enumerate(sides)]).first()
+    for i, x in enumerate(sides):
+        for j, y in enumerate(sides):
+            met = len([k for k in set(row[i]) & set(row[j]) if k <= 0 or i != j])
+            assert met == (0 if (inner, outer) != (1, 1) and x[0] == y[0] == "true" else 1)
 
 
 def test_columns_stay_and_counts_follow(spark):
@@ -113,20 +126,36 @@ def test_edges(spark):
     assert ld.dedup_lines(none(spark)).count() == 0
 
 
-def test_edit_distance_and_similarity():
+def test_edit_similarity():
     rng = random.Random(8)
-    for _ in range(3000):
-        a = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 40)))
+    pairs = []
+    for _ in range(2000):
+        a = "".join(rng.choice("abc ") for _ in range(rng.choice([0, 1, 5, 40, 63, 64, 65, 129, 600])))
         b = list(a)
-        for _ in range(rng.randint(0, 6)):
+        for _ in range(rng.randint(0, max(6, len(a) // 5))):
             i = rng.randint(0, len(b))
-            b[i : i + rng.randint(0, 2)] = [rng.choice("abc é")] * rng.randint(0, 2)
-        b = "".join(b)
-        d = distance(a, b)
-        assert ld.edit_distance(a, b, 100) == d
-        most = rng.randint(0, 8)
-        assert (ld.edit_distance(a, b, most) <= most) == (d <= most)
-        assert ld.are_similar(a, b, 0.8) == (d <= 0.2 * max(len(a), len(b)) + 1e-9)
+            b[i : i + rng.randint(0, 2)] = [rng.choice("abc é漢")] * rng.randint(0, 2)
+        pairs.append((a, "".join(b)))
+    pairs = pairs[:300] + [p for p in pairs[300:] if len(p[0]) < 200]
+    got = similar([a for a, _ in pairs], [b for _, b in pairs], 0.8).tolist()
+    assert got == [distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in pairs] and 0.1 < sum(got) / len(got) < 0.95
+
+
+def test_unspaced_scripts_count_by_pairs_of_characters(spark):
+    line = "本作品は次の条件の下で自由に利用することができます。"
+    got = ld.dedup_lines(docs(spark, [f"{line}\n短い", line.replace("自由", "無料"), "短い", "x"])).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [f"{line}\n短い", "", "短い", "x"]
+    data = np.frombuffer("漢字a bc 字".encode(), np.uint8)
+    _, start, end = ld.split_wide(data, *ld.words(data, np.array([0, len(data)]), ld.LETTERS))
+    assert [data[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)] == ["漢字", "字a", "bc", "字"]
+
+
+def test_clashing_columns_and_emptied_documents(spark):
+    line = "This work is licensed under the terms below"
+    d = docs(spark, [line, line.upper(), "", None]).selectExpr("*", "7 as n_lines_dropped", "1 as gone", "2 as doc", "3 as rest", "4 as drop_id")
+    got = ld.dedup_lines(d, drop_emptied=True).orderBy("doc_id")
+    assert [(r.text, r.n_lines_dropped, r.gone, r.doc, r.rest) for r in got.collect()] == [(line, 0, 1, 2, 3), ("", 0, 1, 2, 3), (None, 0, 1, 2, 3)]
+    assert sorted(got.columns) == sorted(d.columns)
 
 
 def edited(rng, replaced):
@@ -139,7 +168,7 @@ def edited(rng, replaced):
         for i in rng.sample(range(len(a)), replaced):
             b[i] = rng.choice(pool)
         x, y = " ".join(a), " ".join(b)
-        if x != y and ld.are_similar(x, y, 0.8):
+        if x != y and similar([x], [y], 0.8)[0]:
             return x, y
 
 
