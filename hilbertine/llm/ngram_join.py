@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,13 +51,17 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def _sets_and_sketch(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, cls) of each document, and the tasks' sketches of all shingles (slab, counts)."""
+    """(doc_id, text_key, size, cls) of each document, and the tasks' sketches of all shingles (slab, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         pending: list[np.ndarray] = []
-        names = ["doc_id", "size", "cls", "slab", "counts"]
+        names = ["doc_id", "text_key", "size", "cls", "slab", "counts"]
         for batch in batches:
             sizes, classes = [], []
             for _, s in shingle_sets(batch.column(1), n):
@@ -68,14 +72,14 @@ def _sets_and_sketch(docs: DataFrame, n: int) -> DataFrame:
                     counts += np.bincount(slot(np.concatenate(pending)), minlength=COUNTERS)
                     pending = []
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if pending:
             counts += np.bincount(slot(np.concatenate(pending)), minlength=COUNTERS)
         rows = list(sketch_rows(counts))
         k = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
 
-    return _texts(docs).mapInArrow(scan, f"doc_id bigint, size bigint, cls bigint, {SKETCH_SCHEMA}")
+    return _texts(docs).withColumn("text_key", _text_key("text")).mapInArrow(scan, f"doc_id bigint, text_key bigint, size bigint, cls bigint, {SKETCH_SCHEMA}")
 
 
 def _prefixes(docs: DataFrame, n: int, t: int, counts: np.ndarray) -> DataFrame:
@@ -209,21 +213,11 @@ def _compare(docs: DataFrame, classes: DataFrame, need: DataFrame, n: int, t: in
     return materialise(dealt.mapInArrow(verify, "a bigint, b bigint"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Components of documents whose sets of ``n``-word shingles have a Jaccard similarity of ``threshold`` or more.
-
-    Returns one row per row of ``docs`` (doc_id, text): doc_id, n_shingles
-    (size of its set) and component_id, the smallest doc_id reachable by links.
-    Words are runs of anything but blanks, A-Z lower-cased; a text of
-    fewer than ``n`` words has its whole sequence as its one shingle. A
-    text that is null or has no words has an empty set and is linked with
-    nothing. Equal sets are linked. Rows that repeat a doc_id take part each
-    with their own text; null doc_ids are passed over in the minimum. An
-    empty table gives no rows; other columns are not used. ``threshold`` counts in hundredths.
-    """
+def _components(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text_key, size, cls) of each row; (cls, rep, copies) of each class; (cls, comp) of each class that is linked."""
     t = round(100 * threshold)
     scanned = materialise(_sets_and_sketch(docs, n))
-    rows = scanned.filter("slab is null").select("doc_id", "size", "cls")
+    rows = scanned.filter("slab is null").select("doc_id", "text_key", "size", "cls")
     counts = summed_sketch(scanned.filter("slab is not null").select("slab", "counts"))
     classes = materialise(rows.filter("size > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
 
@@ -277,21 +271,45 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> D
     more = _compare(docs, classes, need, n, t)
     final = connected_components(grouped.selectExpr("node as a", "comp as b").union(more))
 
-    named = materialise(final.withColumnsRenamed({"node": "cls"}).join(classes, "cls"))
+    return rows, classes, materialise(final.withColumnsRenamed({"node": "cls"}))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Components of documents whose sets of ``n``-word shingles have a Jaccard similarity of ``threshold`` or more.
+
+    Returns one row per row of ``docs`` (doc_id, text): doc_id, n_shingles
+    (size of its set) and component_id, the smallest doc_id reachable by links.
+    Words are runs of anything but blanks, A-Z lower-cased; a text of
+    fewer than ``n`` words has its whole sequence as its one shingle. A
+    text that is null or has no words has an empty set and is linked with
+    nothing. Equal sets are linked. Rows that repeat a doc_id take part each
+    with their own text; null doc_ids are passed over in the minimum. An
+    empty table gives no rows; other columns are not used. ``threshold`` counts in hundredths.
+    """
+    rows, classes, linked = _components(docs, n, threshold)
+    named = materialise(linked.join(classes, "cls"))
     smallest = materialise(named.groupBy("comp").agg(F.min("rep").alias("component_id")))
-    linked = named.join(smallest, "comp").select("cls", "component_id")
-    copies = classes.filter("copies > 1").join(linked, "cls", "left_anti").selectExpr("cls", "rep as component_id")
-    into = materialise(linked.union(copies))
+    into = named.join(smallest, "comp").select("cls", "component_id")
+    copies = classes.filter("copies > 1").join(into, "cls", "left_anti").selectExpr("cls", "rep as component_id")
+    into = materialise(into.union(copies))
     return rows.join(into, (rows["cls"] == into["cls"]) & (rows["size"] > 0), "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that are not the first of their component; all columns are kept.
+    """``docs`` with one document of each component; all columns are kept.
 
-    The documents without words are linked with nothing and stay. Rows that repeat a kept doc_id stay alike.
+    The row with the smallest doc_id stays, a null one counting as the largest, and of several texts
+    under it the one with the smallest hash. The documents without words are linked with
+    nothing and stay. Rows that repeat both doc_id and text stay or go alike. An empty table gives an empty one.
     """
-    found = jaccard_components(docs, n, threshold)
-    drop = materialise(found.filter("doc_id <> component_id").selectExpr("doc_id as drop_id").distinct())
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("drop_id"), "left_anti")
+    rows, classes, linked = _components(docs, n, threshold)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    several = linked.select("cls", "comp").union(classes.filter("copies > 1").join(linked, "cls", "left_anti").selectExpr("cls", "cls as comp"))
+    placed = materialise(rows.filter("size > 0").join(several, "cls").select("comp", place.alias("place")))
+    first = placed.groupBy("comp").agg(F.min("place").alias("first"))
+    drop = materialise(placed.join(first, "comp").filter("place <> first").select(F.struct("place.doc_id", "place.text_key").alias("gone")).distinct())
+    whole = docs.select(F.struct("*").alias("doc"))
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("gone.doc_id")) & (_text_key("doc.text") == F.col("gone.text_key"))
+    return whole.join(drop, same, "left_anti").select("doc.*")

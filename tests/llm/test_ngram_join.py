@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from hilbertine.llm import linking, ngram_join
 
@@ -70,6 +71,14 @@ def test_one_of_each_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4] and kept.columns == d.columns
 
 
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    near, other = "a b c d e f g h i j k l", "wholly other words make up this text"
+    rows = [(1, near, 0), (2, near.upper(), 1), (2, other, 2), (None, near, 3), (None, other + " too", 4), (5, other, 5), (1, near, 6)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, gone int").withColumn("drop_id", F.lit(1)).withColumn("doc", F.lit("x"))
+    kept = ngram_join.keep_one_of_each(d)
+    assert sorted(r.gone for r in kept.collect()) == [0, 2, 4, 6] and kept.columns == d.columns
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(9)
     ids = rng.sample(range(-500, 500), 300)
