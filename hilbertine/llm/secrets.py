@@ -5,8 +5,8 @@ a window whose Shannon entropy is kept up to date from counts alone: moving
 the window by one changes two counts, hence two terms of the sum. Each
 character class has its own window and threshold, and its window moves over every
 longest stretch of the class within a run, so that a key of hex digits counts as
-such behind a name and "=" or a "/". A run is marked whole. An allow-list suppresses
-runs that are known to be harmless.
+such behind a name and "=" or a "/". A run is marked whole, unless a pattern's span covers
+it. An allow-list suppresses runs that are known to be harmless.
 """
 
 from __future__ import annotations
@@ -84,9 +84,15 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    added = []
+    reach, covered = 0, []  # (start, furthest end so far): a stretch is covered if the last one that starts in time reaches its end
+    for a, _, b in base:
+        reach = max(reach, b)
+        covered.append((a, reach))
+    added, i = [], 0
     for m in CANDIDATE.finditer(text):
-        if is_secret(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base):
+        while i < len(covered) and covered[i][0] <= m.start():
+            i += 1
+        if (i == 0 or covered[i - 1][1] < m.end()) and is_secret(m[0]):
             added.append((m.start(), 3, m.end()))
     return base, added
 
@@ -120,13 +126,13 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(text: str, mark: str = "[SECRET]") -> str:
-    """``text`` with every found span replaced; overlapping spans are replaced as one."""
+    """``text`` with every found span replaced; overlapping spans are replaced as one. A null text stays null."""
+    if text is None:
+        return None
     base, added = find_secrets(text)
-    out, at = [], 0
+    out, at, last = [], 0, -1  # last: where the last replaced stretch ends
     for a, _, b in sorted(base + added):
-        if b <= at:
-            continue
-        if a >= at:
+        if a >= last:
             out += [text[at:a], mark]
-        at = b
+        at = last = max(b, at)
     return "".join(out) + text[at:]
