@@ -52,16 +52,16 @@ _tokenizers: dict = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """A worker's tokenizer, which of its ids end a word, and its cache of encoded stretches."""
+    """A worker's tokenizer, which of its ids end a word, its added tokens' texts, and its cache of encoded stretches."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        special = [a.content.lower() for a in t.get_added_tokens_decoder().values()]
         vocabulary = t.get_vocab(with_added_tokens=True)
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        _tokenizers[path] = (t, ends, {})
+        _tokenizers[path] = (t, ends, special, {})
     return _tokenizers[path]
 
 
@@ -91,11 +91,20 @@ def _parts(text: str) -> list[str]:
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers; parts seen before come from the worker's cache."""
-    tokenizer, ends, cache = _tokenizer(path)
+    """Each text's ids as little-endian unsigned 32-bit integers; parts seen before come from the worker's cache.
+
+    A text that holds the text of an added token, such as the one for the end of a
+    text, is given to the tokenizer whole, which finds these before anything else.
+    """
+    tokenizer, ends, special, cache = _tokenizer(path)
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    parts = list(map(_parts, texts))
+    whole = {}
+    for i, text in enumerate(texts):
+        low = text.lower()
+        if any(s in low for s in special):
+            whole[i] = np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    parts = [[] if i in whole else _parts(text) for i, text in enumerate(texts)]
     missing = set().union(*parts).difference(cache)
     words = [p for p in missing if WORD.fullmatch(p)]
     new = dict(zip(words, _encode_words(words, tokenizer, ends), strict=True))
@@ -103,8 +112,8 @@ def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
         other = list(missing.difference(new))
         new.update(zip(other, (np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True))
     cache.update(new)
-    for of_text in parts:
-        yield b"".join(map(cache.__getitem__, of_text))
+    for i, of_text in enumerate(parts):
+        yield whole[i] if i in whole else b"".join(map(cache.__getitem__, of_text))
     for p in new:
         if len(p) > CACHE_CHARS:
             del cache[p]

@@ -36,6 +36,12 @@ def check(rows, want, width):
     return len(by_seq)
 
 
+def test_texts_of_added_tokens_are_what_the_tokenizer_makes_of_them(spark):
+    texts = ["a <|endoftext|> b", "<|startoftext|><|endoftext|>", "x<|ENDOFTEXT|>y", "<|endoftext|", "plain words"]
+    rows = packing.pack_documents(docs(spark, texts), PATH).collect()
+    check(rows, dict(enumerate(texts)), 2048)
+
+
 def test_pieces_and_sequences(spark):
     rng = random.Random(1)
     vocabulary = ["Tree", "naïve", "don't", "x1y", "12,5", "…", "straße", "éa", "́b", "ΑΣ", "日本語", "a\tb", "\x1c", " c"]
