@@ -70,9 +70,12 @@ def _hits_by_join(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> Data
     texts = key.select("text_key", "w").dropDuplicates(["text_key"])
     parts = [f"if(size(w) < {size}, array(), transform(sequence(0, greatest(0, size(w) - {size})), s -> struct(s as s, {size} as size, xxhash64({_window('w', 's', size)}) as win)))" for size in sizes]
     each = texts.select("text_key", F.expr(f"explode(cast(concat({', '.join(parts)}) as array<struct<s:int,size:int,win:bigint>>))").alias("hit"))
-    known = windows.select(F.xxhash64("win").alias("win"), "size").distinct()
-    hit = each.join(known, (F.col("hit.win") == known["win"]) & (F.col("hit.size") == known["size"])).groupBy("text_key").agg(F.collect_list("hit").alias("hits"))
-    return key.join(hit, "text_key", "left").withColumn("hits", F.expr("coalesce(hits, cast(array() as array<struct<s:int,size:int,win:bigint>>))")).drop("text_key")
+    known = windows.select(F.xxhash64("win").alias("win"), "size", F.col("win").alias("exact")).distinct()
+    met = each.join(known, (F.col("hit.win") == known["win"]) & (F.col("hit.size") == known["size"]))
+    hit = met.groupBy("text_key").agg(F.collect_list(F.struct("hit.s", "hit.size", "hit.win", "exact")).alias("found"))
+    # the text's own words verify what the hashes have found
+    real = f"transform(filter(found, h -> {_window('w', 'h.s', 'h.size')} = h.exact), h -> struct(h.s as s, h.size as size, h.win as win))"
+    return key.join(hit, "text_key", "left").withColumn("hits", F.expr(f"coalesce({real}, cast(array() as array<struct<s:int,size:int,win:bigint>>))")).drop("text_key", "found")
 
 
 #: Words inside the union of the hits, which are sorted by their start.
@@ -100,8 +103,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, s
     contaminated (n_hit > 0).
 
     A null or empty text has no words and no hits; items without words are
-    never found; rows that repeat a doc_id or item_id are each worked on alike;
-    a null doc_id is kept; an empty benchmark gives no hits; other columns are
+    never found; rows that repeat a doc_id or item_id are each worked on alike; a null
+    item_id counts as one item and is left out of items_sha256; a null doc_id is kept; an empty benchmark gives no hits; other columns are
     not used.
     """
     base, windows = with_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("w")), benchmark, n, set_bound)
@@ -114,25 +117,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, s
     by_win = windows.select(F.xxhash64("win").alias("win"), "item_id").distinct()
     items = (
         sets.select("set_key", "wins", F.explode("wins").alias("win")).join(by_win, "win")
-        .groupBy("set_key", "wins").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+        .groupBy("set_key", "wins").agg(F.array_sort(F.collect_set(F.struct("item_id"))).alias("items"))
     )
     # rows without hits, most of all, would meet under one key
-    joined = found.filter("n_hit > 0").join(items, ["set_key", "wins"], "left").unionByName(found.filter("n_hit = 0").withColumn("items", F.expr("cast(null as array<string>)")))
+    joined = found.filter("n_hit > 0").join(items, ["set_key", "wins"], "left").unionByName(found.filter("n_hit = 0").withColumn("items", F.expr("cast(null as array<struct<item_id:string>>)")))
     return joined.select(
         "doc_id", "n_words", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.coalesce(F.array_join("items.item_id", ","), F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_bound: int = SET_BOUND) -> DataFrame:
-    """``docs`` without the rows whose text holds a window of the benchmark; all columns are kept."""
+    """``docs`` without the rows whose text holds a window of the benchmark; all columns are kept.
+
+    A null or empty text holds none and stays; rows that repeat a doc_id are told apart by their
+    texts; an empty benchmark drops nothing; an empty table gives an empty one.
+    """
     whole = docs.select(F.struct("*").alias("doc"), words_of(F.col("text")).alias("w"))
     kept, _ = with_hits(whole, benchmark, n, set_bound)
     return kept.filter("size(hits) = 0").select("doc.*")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_bound: int = SET_BOUND) -> DataFrame:
-    """``docs`` with the hit words removed; a text that is hit is rewritten as its other words, blank-separated."""
+    """``docs`` with the hit words removed; a text that is hit is rewritten as its other words, blank-separated.
+
+    All rows and columns stay; a text without hits, also a null or empty one, stays as it is.
+    """
     whole = docs.select(F.struct("*").alias("doc"), words_of(F.col("text")).alias("w"))
     found, _ = with_hits(whole, benchmark, n, set_bound)
     rest = "array_join(filter(w, (x, i) -> not exists(hits, h -> i >= h.s and i < h.s + h.size)), ' ')"
