@@ -4,6 +4,8 @@ import re
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from hilbertine.llm import pii
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -48,7 +50,9 @@ def test_terms_that_give_an_entity_away(spark):
         assert got[0] == [f"term:{texts[0].index('Quixotina')}:{texts[0].index('Quixotina') + 9}"]
         assert not got[50]
     found = pii.find_personal_data(docs(spark, texts))
-    clean = {r.doc_id: r.text for r in pii.redact(docs(spark, texts), found).collect()}
+    d = docs(spark, texts).withColumn("cut", F.lit(1)).withColumn("found", F.lit(2))
+    assert pii.redact(d, found).columns == d.columns
+    clean = {r.doc_id: r.text for r in pii.redact(d, found).collect()}
     assert clean[0] == "note 0: [term] wrote from [email] about things" and clean[60] == texts[60]
 
 
@@ -71,8 +75,64 @@ def test_terms_far_from_the_entity_and_in_texts_without_it(spark):
     far = " and so on with things from somewhere" * 20
     texts = [f"note {i}: wrote from q@mail.example.com{far}, Quixotina. Quixotina" for i in range(40)]
     texts += ["Quixotina note: things from somewhere"]
-    texts += [f"filler {i} wrote about things from somewhere, note with mail example" for i in range(300)]
+    texts += [f"filler {i} wrote about things from somewhere, and so note with mail example" for i in range(300)]
     got = terms(spark, texts)
     at = [m.start() for m in re.finditer("Quixotina", texts[0])]
     assert got[0] == [f"term:{a}:{a + 9}" for a in at] and got[40] == ["term:0:9"]
     assert not got[50]
+
+
+LEVELS = {
+    "email": lambda v: {v, "user " + re.sub("[^a-z]+", " ", v.split("@")[0]), "domain " + v.split("@")[1]},
+    "ip": lambda v: {v, "net " + ".".join(v.split(".")[:3])},
+    "card": lambda v: {re.sub("[^0-9]", "", v), "issuer " + re.sub("[^0-9]", "", v)[:6]},
+    "phone": lambda v: {re.sub("[^0-9]", "", v), "area " + re.sub("[^0-9]", "", v)[:6]},
+}
+
+
+def disclosing(texts, threshold=0.9, support=3):
+    """The terms that give an entity away, by the definition over all pairs of terms and entities."""
+    with_term, with_entity, n = {}, {}, len(texts)
+    outside = {}
+    for i, t in enumerate(texts):
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in filter(None, brute(t).split(",")))]
+        for k, a, b in spans:
+            for e in LEVELS[k](t[a:b].lower()):
+                with_entity.setdefault((k, e), set()).add(i)
+        for m in re.finditer(r"[^\W\d_]{3,}", t):
+            with_term.setdefault(m[0].lower(), set()).add(i)
+            if not any(a < m.end() and m.start() < b for _, a, b in spans):
+                outside.setdefault(m[0].lower(), set()).add(i)
+    out = set()
+    for t, rows in with_term.items():
+        for others in with_entity.values():
+            both = outside.get(t, set()) & others
+            if len({texts[i] for i in both}) >= support and n * len(both) / (len(rows) * len(others)) >= (n / len(others)) ** threshold * (1 - 1e-9):
+                out.add(t)
+    return out
+
+
+def test_disclosing_terms_against_the_definition(spark):
+    rng = random.Random(12)
+    word = lambda k: "".join(rng.choice("aeioulmnrst") for _ in range(k))
+    common = [word(4) for _ in range(60)]
+    names = [word(6) for _ in range(12)]
+    texts = []
+    for i in range(500):
+        w = [rng.choice(common) for _ in range(25)] + [word(7)]
+        if i % 5 == 0:
+            who = rng.randrange(12)
+            w += [[f"{names[who]}.{rng.randint(1, 99)}@mail{who % 3}.example.com"], [f"10.{who}.7.{rng.randint(1, 250)}"], [f"+1 ({200 + who}) 555-{rng.randint(1000, 9999)}"], ["4111 1111 1111 1111"]][who % 4]
+            w += [f"teamof{'abcdefghijkl'[who]}"] + ["the" + "xyz"[who % 3]] * rng.randint(0, 1)
+        elif i % 41 == 0:
+            w += ["teamof" + rng.choice("abcdefghijkl")]
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+    texts += texts[:40] * 2
+    want = disclosing(texts)
+    got = set()
+    for i, spans in terms(spark, texts).items():
+        got |= {texts[i][int(a) : int(b)].lower() for _, a, b in (x.split(":") for x in spans)}
+        here = sorted(f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{3,}", re.sub(r"\S+@\S+", lambda m: "1" * len(m[0]), texts[i])) if m[0].lower() in want)
+        assert sorted(spans) == here
+    assert got == want and len([w for w in want if w.startswith("teamof")]) >= 6
