@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 #: Characters that the arrays of one batch of pairs hold.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 17
 #: Texts up to this length are compared side by side; of longer ones, whole columns are numbers anyway.
-SIDE_BY_SIDE = 512
+SIDE_BY_SIDE = 1024
 
 
 def _codes(texts: list[str], width: int, fill: int) -> np.ndarray:
@@ -28,20 +28,20 @@ def _alike_from_start(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def _shifted(x: np.ndarray, low: int) -> np.ndarray:
-    """Rows of 64-bit words as one number each, shifted up by a bit; ``low`` enters."""
+    """Columns of 64-bit words as one number each, shifted up by a bit; ``low`` enters."""
     out = x << np.uint64(1)
-    out[:, 1:] |= x[:, :-1] >> np.uint64(63)
-    out[:, 0] |= np.uint64(low)
+    out[1:] |= x[:-1] >> np.uint64(63)
+    out[0] |= np.uint64(low)
     return out
 
 
 def _sum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sum of rows of 64-bit words as one number each."""
+    """Sum of columns of 64-bit words as one number each."""
     out = x + y
     over = out < x
-    for w in range(1, x.shape[1]):
-        out[:, w] += over[:, w - 1]
-        over[:, w] |= over[:, w - 1] & (out[:, w] == 0)
+    for w in range(1, len(x)):
+        out[w] += over[w - 1]
+        over[w] |= over[w - 1] & (out[w] == 0)
     return out
 
 
@@ -52,38 +52,40 @@ def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     falls, for all pairs side by side; pairs that can't come within leave on the way.
     """
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    width = 64 * int(-(-la.max() // 64))
-    p, t = _codes(a, width, 0xFFFFFFFF), _codes(b, int(lb.max()), 0xFFFFFFFE)
-    kinds = np.unique(np.concatenate([p.ravel(), t.ravel()]))
-    if len(kinds) <= 256:
-        p, t = np.searchsorted(kinds, p).astype(np.uint8), np.searchsorted(kinds, t).astype(np.uint8)
+    p, t = _codes(a, 64 * int(-(-la.max() // 64)), 0xFFFFFFFF), _codes(b, int(lb.max()), 0xFFFFFFFE)
+    kinds, t = np.unique(t, return_inverse=True)
+    t = t.reshape(len(b), -1)
+    # where each kind of character stands in the first text, as bits: (kind, word, pair)
+    places = np.stack([np.ascontiguousarray(np.packbits(p == k, axis=1, bitorder="little").view("<u8").T) for k in kinds])
     out = np.zeros(len(a), bool)
     at = np.arange(len(a))
     word, bit = (la - 1) // 64, ((la - 1) % 64).astype(np.uint64)
-    up, down = np.full((len(a), width // 64), ~np.uint64(0)), np.zeros((len(a), width // 64), np.uint64)
+    up, down = np.full(places.shape[1:], ~np.uint64(0)), np.zeros(places.shape[1:], np.uint64)
     score, one = la.copy(), np.uint64(1)
     for j in range(t.shape[1]):
-        same = np.packbits(p == t[:, j : j + 1], axis=1, bitorder="little").view("<u8")
+        same = places[t[:, j], :, at].T
+        either = same | down
         cross = (_sum(same & up, up) ^ up) | same
         rise, fall = down | ~(cross | up), up & cross
-        rows = np.arange(len(at))
-        score = score + ((rise[rows, word] >> bit) & one).astype(np.int64) - ((fall[rows, word] >> bit) & one).astype(np.int64)
+        here = np.arange(len(at))
+        score = score + ((rise[word, here] >> bit) & one).astype(np.int64) - ((fall[word, here] >> bit) & one).astype(np.int64)
         done = lb == j + 1
         out[at[done]] = score[done] <= most[done]
-        rise, fall = _shifted(rise, 1), _shifted(fall, 0)
-        up, down = fall | ~(same | down | rise), rise & (same | down)
+        rise = _shifted(rise, 1)
+        up, down = _shifted(fall, 0) | ~(either | rise), rise & either
         if j % 16 == 15 or j + 1 == t.shape[1]:
             stay = (lb > j + 1) & (score - (lb - j - 1) <= most)
             if not stay.any():
                 break
             if stay.sum() < 0.8 * len(stay):
-                p, t, at, la, lb, word, bit, up, down, score, most = (x[stay] for x in (p, t, at, la, lb, word, bit, up, down, score, most))
+                t, at, la, lb, word, bit, score, most = (x[stay] for x in (t, at, la, lb, word, bit, score, most))
+                up, down = np.ascontiguousarray(up[:, stay]), np.ascontiguousarray(down[:, stay])
     return out
 
 
-def is_within(a: str, b: str, most: int) -> bool:
-    """``within`` for one pair, a column's rises and falls as two long numbers."""
-    where: dict[str, int] = {}
+def is_within(a: Sequence, b: Sequence, most: int) -> bool:
+    """``within`` for one pair of texts or lists of words, a column's rises and falls as two long numbers."""
+    where: dict = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -142,9 +144,14 @@ def similar(a: list[str], b: list[str], similarity: float) -> np.ndarray:
         rest = longer[rows] - head - tail
         out[rows] = rest <= most[rows]
         open_ = np.flatnonzero((rest > most[rows]) & (shorter > head + tail))
+        by_words = np.array([differ_in_place(x[i], y[i]) <= most[rows[i]] for i in open_], bool)
+        out[rows[open_[by_words]]] = True
+        open_ = open_[~by_words]
         for i in open_[rest[open_] > SIDE_BY_SIDE]:
             k = int(most[rows[i]])
-            out[rows[i]] = differ_in_place(x[i], y[i]) <= k or is_within(x[i], y[i], k)
+            u, v = x[i].split(" "), y[i].split(" ")
+            # so many words changed can't make more edits than that
+            out[rows[i]] = is_within(u, v, k // (1 + max(map(len, u + v)))) or is_within(x[i], y[i], k)
         open_ = open_[rest[open_] <= SIDE_BY_SIDE]
         for some in _batches(rest[open_]):
             i = open_[some]

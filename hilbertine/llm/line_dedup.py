@@ -319,8 +319,9 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     classes = materialise(seen.groupBy("line").agg(F.min(F.struct("doc_id", "text_key", "number")).alias("first"), F.count("*").alias("n")))
     keys = _keys(docs, min_words, summed_sketch(scanned.filter("slab is not null").select("slab", "counts")))
     # the smallest class under a key is its pivot; a key that may be very common is gathered in two steps
-    here = Window.partitionBy("part", F.when(F.col("hot"), F.pmod("line", F.lit(SALTS))))
-    local = materialise(keys.withColumn("lo", F.min(F.struct("line", "length")).over(here)).withColumn("hi", F.max("line").over(here)).filter("hot or lo.line < hi"))
+    here = Window.partitionBy("part", "salt")
+    salted = keys.withColumn("salt", F.when(F.col("hot"), F.pmod("line", F.lit(SALTS))).otherwise(0).cast("int"))
+    local = materialise(salted.withColumn("lo", F.min(F.struct("line", "length")).over(here)).withColumn("hi", F.max("line").over(here)).filter("hot or lo.line < hi").drop("salt", "hi"))
     hot = local.filter("hot").select("part", "line", "length")
     pivots = hot.groupBy("part").agg(F.min(F.struct("line", "length")).alias("lo"), F.max("line").alias("hi")).filter("lo.line < hi")
     under = local.filter("not hot").select("part", "line", "length", "lo").union(hot.join(pivots, "part").select("part", "line", "length", "lo"))

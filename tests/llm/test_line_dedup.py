@@ -28,7 +28,11 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(texts, min_words, similarity):
+def alike(a, b, similarity):
+    return [distance(x, y) <= (1 - similarity) * max(len(x), len(y)) + 1e-9 for x, y in zip(a, b, strict=True)]
+
+
+def brute(texts, min_words, similarity, alike=alike):
     """The lines that go, (text, number), by all pairs of lines, and how many groups have several lines."""
     norms = {}
     for i, t in enumerate(texts):
@@ -43,12 +47,11 @@ def brute(texts, min_words, similarity):
             x = root[x]
         return x
 
-    for i in range(len(keys)):
-        for j in range(i):
-            most = (1 - similarity) * max(len(keys[i]), len(keys[j])) + 1e-9
-            if abs(len(keys[i]) - len(keys[j])) <= most and distance(keys[i], keys[j]) <= most:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
+    pairs = [(i, j) for i in range(len(keys)) for j in range(i) if abs(len(keys[i]) - len(keys[j])) <= (1 - similarity) * max(len(keys[i]), len(keys[j])) + 1e-9]
+    for (i, j), hit in zip(pairs, alike([keys[i] for i, _ in pairs], [keys[j] for _, j in pairs], similarity), strict=True):
+        if hit:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
     groups = {}
     for i, k in enumerate(keys):
         groups.setdefault(find(i), []).extend(norms[k])
