@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import BH, GAS, STAR, PhysicsConfig
 from ..schema import record_bytes
@@ -75,6 +80,89 @@ def pack(layout: Layout, chosen: DataFrame, config: PhysicsConfig) -> dict[str,
     return out
 
 
+def _record(schema: T.StructType, left_out: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(column, NumPy type) of a record's fields, eight bytes each, in the order of the columns."""
+    return [(f.name, "<f8" if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else "<i8") for f in schema if f.name not in left_out]
+
+
+_PLACE = {"common": "seq", "gas": "block_seq", "star": "block_seq", "bh": "block_seq"}
+
+
+def to_buffer(message: dict[str, DataFrame], config: PhysicsConfig) -> DataFrame:
+    """The bytes of a message as rows (offset, bytes): the header, then a record of its block's size for each row.
+
+    Laid one after the other by offset, the rows are the message; blocks are packed tightly.
+    """
+    size, spark = record_bytes(config), message["common"].sparkSession
+    n = {b: message[b].count() if b in message else 0 for b in BLOCKS}
+    sizes = [n[b] * size[b] for b in BLOCKS]
+    words = [*n.values(), MAGIC | VERSION << 32, *sizes, HEADER_BYTES + sum(sizes)]
+    out = spark.createDataFrame([(0, bytearray(np.asarray(words, "<i8").tobytes()))], "offset long, bytes binary")
+    at = HEADER_BYTES
+    for b, of_block in zip(BLOCKS, sizes, strict=True):
+        if n[b]:
+            out = out.unionByName(_encoded(message[b], _PLACE[b], size[b], at))
+        at += of_block
+    return out
+
+
+def _encoded(rows: DataFrame, place: str, size: int, at: int) -> DataFrame:
+    record = _record(rows.schema, (place,))
+    if 8 * len(record) > size:
+        raise ValueError("the fields exceed the record")
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            raw = np.zeros((len(f), size), np.uint8)
+            for i, (name, kind) in enumerate(record):
+                raw[:, 8 * i : 8 * i + 8] = f[name].to_numpy().astype(kind).view(np.uint8).reshape(-1, 8)
+            yield pd.DataFrame({"offset": at + size * f[place].to_numpy(), "bytes": [r.tobytes() for r in raw]})
+
+    return rows.mapInPandas(encode, "offset long, bytes binary")
+
+
+def read_header(buffer: DataFrame) -> DataFrame:
+    """The header of a message's bytes, and ``buffer_bytes``, how many there are."""
+    raw = buffer.filter("offset = 0").first()
+    if raw is None or len(raw["bytes"]) != HEADER_BYTES:
+        raise ValueError("no header")
+    words = [int(w) for w in np.frombuffer(bytes(raw["bytes"]), "<i8")]
+    names = [*(f"n_{b}" for b in BLOCKS), "magic", "version", *(f"{b}_bytes" for b in BLOCKS), "total_bytes"]
+    found = buffer.agg(F.sum(F.length("bytes"))).first()[0]
+    row = (*words[:4], words[4] & 0xFFFFFFFF, words[4] >> 32, *words[5:], found)
+    return buffer.sparkSession.createDataFrame([row], ", ".join(f"{c} long" for c in [*names, "buffer_bytes"]))
+
+
+def from_buffer(buffer: DataFrame, like: dict[str, T.StructType], config: PhysicsConfig) -> dict[str, DataFrame]:
+    """The blocks of a message from its bytes; ``like``: the schema of each block.
+
+    ValueError if the header is not one, contradicts itself, or says more bytes than there are.
+    """
+    header = block_offsets(validate_header(read_header(buffer), config)).first()
+    if not header["valid"]:
+        raise ValueError("the header isn't valid")
+    size, out = record_bytes(config), {}
+    for b in BLOCKS:
+        if b in like:
+            at = header[f"{b}_offset"]
+            part = buffer.filter((F.col("offset") >= at) & (F.col("offset") < at + header[f"{b}_bytes"]))
+            out[b] = _decoded(part, like[b], _PLACE[b], size[b], at)
+    return out
+
+
+def _decoded(rows: DataFrame, schema: T.StructType, place: str, size: int, at: int) -> DataFrame:
+    record = _record(schema, (place,))
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            raw = np.frombuffer(b"".join(map(bytes, f["bytes"])), np.uint8).reshape(len(f), size)
+            columns = {name: np.ascontiguousarray(raw[:, 8 * i : 8 * i + 8]).view(kind).ravel() for i, (name, kind) in enumerate(record)}
+            columns[place] = (f["offset"].to_numpy() - at) // size
+            yield pd.DataFrame({c: columns[c] for c in schema.names})
+
+    return rows.mapInPandas(decode, schema)
+
+
 def unpack(layout: Layout, message: dict[str, DataFrame], at: int, n: dict[str, int], capacity: dict[str, int] | None = None) -> Layout:
     """Put a message's rows behind slot ``at`` of a layout and its payload behind what each table holds (``n``).
 

@@ -86,18 +86,17 @@ def reshuffle(layout: Layout, perm: DataFrame) -> Layout:
     """
     if layout.kind in ("B", "Bc"):
         return replace(layout, common=gather(layout.common, perm))
-    moved = gather(layout.common, perm)
     if layout.kind == "A":
+        moved = gather(layout.common, perm)
         new = ranked(moved.withColumnRenamed("type_idx", "old_idx"), "slot", [], "type_idx", within="grp").cache()
         typed = {g: new.filter(F.col("grp") == g).select("old_idx", F.col("type_idx").alias("new_idx")).join(t.withColumnRenamed("type_idx", "old_idx"), "old_idx").withColumnRenamed("new_idx", "type_idx").drop("old_idx") for g, t in layout.typed.items()}
         return replace(layout, common=new.drop("old_idx"), typed=typed)
-    old = with_type_index(layout.common).select("id", F.col("type_idx").alias("old_idx"))
-    both = with_type_index(moved).join(old, "id").cache()
+    both = with_type_index(gather(with_type_index(layout.common, "old_idx"), perm)).cache()
     typed = {}
     for name, payload in layout.typed.items():
         places = both.filter(F.expr("ptype & 127") == PAYLOADS[name][0]).select("old_idx", F.col("type_idx").alias("new_idx"))
         typed[name] = places.join(payload.withColumnRenamed("type_idx", "old_idx"), "old_idx").withColumnRenamed("new_idx", "type_idx").drop("old_idx")
-    return replace(layout, common=moved, typed=typed)
+    return replace(layout, common=both.drop("old_idx", "type_idx"), typed=typed)
 
 
 def swap_same_type(layout: Layout, i: int, j: int) -> Layout:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import cubes
 from ..functions.hilbert import BITS, CELLS
+from .order import range_cuts, range_of
 
 #: Rows of one block of consecutive slots.
 BLOCK_ROWS = 500_000
@@ -65,34 +66,54 @@ def build_leaves(rows: DataFrame, target: int, tolerance: float = 0.5, max_side:
     return leaves.withColumn("underfull", count < least).withColumn("overfull", count > most)
 
 
-def find_leaf(keys: DataFrame, leaves: DataFrame, key: str = "key") -> DataFrame:
+def find_leaf(keys: DataFrame, leaves: DataFrame, key: str = "key", broadcast_leaves: int = BROADCAST_LEAVES, n: int | None = None) -> DataFrame:
     """``keys`` with ``leaf``: the leaf whose cube holds the key, or null.
 
-    A point-in-interval lookup as equi-joins: a cube of level l is found by the key's
-    first 3 l bits, so each key is looked up once for each level that leaves
-    have (22 at most), and cubes don't overlap. Leaves are broadcast up to
-    ``BROADCAST_LEAVES`` and joined by a shuffle beyond.
+    Cubes don't overlap, and there is one way for few leaves and one for any number. Up to
+    ``broadcast_leaves`` leaves are broadcast: a cube of level l is found by the key's first
+    3 l bits, for each level that leaves have. Beyond, keys and leaves are dealt over the same
+    ranges of the key, and a key takes the last leaf that has begun; of each range only that last
+    leaf is gathered. Either way the keys are read once. ``n``: how many keys there are, if known.
     """
     found = {r["level"]: r["count"] for r in leaves.groupBy("level").count().collect()}  # 22 rows at most
-    levels, few = sorted(found), sum(found.values()) <= BROADCAST_LEAVES
-    cut = leaves.select(F.col("level").alias("__level"), F.expr(cubes.prefix("key_begin", "level")).alias("__prefix"), F.col("leaf").alias("__leaf"))
-    if not levels:
+    if not found:
         return keys.withColumn("leaf", F.lit(None).cast("long"))
-    found = keys
-    for level in levels:
+    if sum(found.values()) > broadcast_leaves:
+        return _find_by_ranges(keys, leaves, key, sum(found.values()) + (keys.count() if n is None else n))
+    cut = leaves.select(F.col("level").alias("__level"), F.expr(cubes.prefix("key_begin", "level")).alias("__prefix"), F.col("leaf").alias("__leaf"))
+    out = keys
+    for level in sorted(found):
         one = cut.filter(F.col("__level") == level).select(F.col("__prefix").alias(f"__p{level}"), F.col("__leaf").alias(f"__l{level}"))
-        one = F.broadcast(one) if few else one
-        found = found.join(one, F.expr(cubes.prefix(key, str(level))) == F.col(f"__p{level}"), "left").drop(f"__p{level}")
-    return found.withColumn("leaf", F.coalesce(*[f"__l{x}" for x in levels])).drop(*[f"__l{x}" for x in levels])
+        out = out.join(F.broadcast(one), F.expr(cubes.prefix(key, str(level))) == F.col(f"__p{level}"), "left").drop(f"__p{level}")
+    return out.withColumn("leaf", F.coalesce(*[f"__l{x}" for x in sorted(found)])).drop(*[f"__l{x}" for x in sorted(found)])
+
+
+def _find_by_ranges(keys: DataFrame, leaves: DataFrame, key: str, n: int, rows_per_range: int = BLOCK_ROWS) -> DataFrame:
+    cut = leaves.select(F.col("key_begin").alias("__key"), F.struct("leaf", "key_last").alias("__here"))
+    cuts = range_cuts(keys.select(F.col(key).alias("__key")).union(cut.select("__key")), "__key", n, rows_per_range)
+    events = keys.select(F.col(key).alias("__key"), F.struct("*").alias("__row")).unionByName(cut, allowMissingColumns=True).withColumn("__range", range_of("__key", cuts))
+    last = cut.groupBy(range_of("__key", cuts).alias("__range")).agg(F.max_by("__here", "__key").alias("__end")).collect()  # a row a range
+    carried, now, ends = [], None, {r["__range"]: r["__end"] for r in last}
+    for r in range(len(cuts) + 1):
+        carried.append((r, now))
+        now = (ends[r]["leaf"], ends[r]["key_last"]) if r in ends else now
+    before = F.broadcast(keys.sparkSession.createDataFrame(carried, "__range int, __carried struct<leaf: bigint, key_last: bigint>"))
+    so_far = Window.partitionBy("__range").orderBy("__key", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = events.withColumn("__at", F.last("__here", ignorenulls=True).over(so_far)).filter("__row is not null").join(before, "__range")
+    at = at.withColumn("__at", F.coalesce("__at", "__carried"))
+    return at.select("__row.*", F.when(F.col("__key") <= F.col("__at.key_last"), F.col("__at.leaf")).cast("long").alias("leaf"))
 
 
 def coverage_violations(leaves: DataFrame, rows: DataFrame, max_side: int = CELLS) -> DataFrame:
-    """(what, leaf) for each breach: a gap or overlap, a key outside its cube, a cube too wide, rows not covered."""
-    order = Window.orderBy("begin")
-    chain = leaves.withColumn("prev_end", F.coalesce(F.lag("end").over(order), F.lit(0))).withColumn("prev_last", F.lag("key_last").over(order))
-    gaps = chain.filter("begin <> prev_end or prev_last >= key_begin").selectExpr("'gap' as what", "leaf")
+    """(what, leaf) for each breach: a gap or overlap, a key outside its cube, a cube too wide, rows not covered.
+
+    A leaf is compared with the one numbered before it by a join.
+    """
+    before = leaves.selectExpr("leaf + 1 as leaf", "end as prev_end", "key_last as prev_last")
+    chain = leaves.select("leaf", "begin", "key_begin").join(before, "leaf", "left")
+    gaps = chain.filter("begin <> coalesce(prev_end, 0) or prev_last >= key_begin or (leaf > 0 and prev_end is null)").selectExpr("'gap' as what", "leaf")
     wide = leaves.filter(F.col("side_cells") > max(max_side, 1)).selectExpr("'side' as what", "leaf")
-    homes = rows.join(find_leaf(rows.select("key").distinct(), leaves).withColumnRenamed("leaf", "at"), "key")
+    homes = find_leaf(rows.select("slot", "key"), leaves).withColumnRenamed("leaf", "at")
     spans = leaves.select(F.col("leaf").alias("at"), "begin", "end")
     outside = homes.join(spans, "at", "left").filter("at is null or slot < begin or slot >= end").selectExpr("'key' as what", "at as leaf")
     n = rows.count()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,24 +41,50 @@ def star_payload(n_star: int, count: int, like: DataFrame) -> DataFrame:
     return like.sparkSession.range(n_star, n_star + count).select(F.col("id").alias("type_idx"), *zero).select(*like.columns)
 
 
-def stage_gas_to_star(rows: DataFrame, leaf: int, j: int, n_star: int, star_capacity: int | None = None) -> tuple[DataFrame, int]:
-    """Mark gas row j of a leaf as about to become a star; returns the rows and the star's slot, or -1.
+def stage_gas_to_star(rows: DataFrame, requests: DataFrame, n_star: int, star_capacity: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Mark gas rows as about to become stars, any number in any leaves at once.
 
-    The row changes places with the last unstaged gas row of the leaf, gets the staged
-    bit and the flag of a pending change. Rows: slot, leaf, ptype, flags, gas_idx.
+    ``rows``: slot, leaf, ptype, flags, gas_idx, in type order within a leaf. ``requests``: seq, leaf, j: the
+    j-th unstaged gas row of the leaf as it is when the requests of smaller seq are done. Such a row changes places with
+    the last unstaged gas row of its leaf, payload and all, and gets the staged bit and the flag of a pending
+    change. Returns the rows and (seq, star): the new star's index, from n_star on in the order of seq, or -1
+    where there is no such row or no room. Only rows that requests concern move; leaves
+    are worked on side by side.
     """
-    gas = rows.filter((F.col("leaf") == leaf) & (F.col("ptype") == GAS)).agg(F.min("slot").alias("first"), F.count("*").alias("n")).first()
-    if j < 0 or j >= gas["n"] or (star_capacity is not None and n_star >= star_capacity):
-        return rows, -1
-    here, last = gas["first"] + j, gas["first"] + gas["n"] - 1
-    at = F.col("slot") == here
-    idx = {r["slot"]: r["gas_idx"] for r in rows.filter(F.col("slot").isin(here, last)).select("slot", "gas_idx").collect()}
-    out = rows.withColumn("ptype", F.when(at, F.col("ptype").bitwiseOR(F.lit(STAGED))).otherwise(F.col("ptype")))
-    out = out.withColumn("flags", F.when(at, F.col("flags").bitwiseOR(F.lit(PARTICLE_FLAGS["PendingMutation"]))).otherwise(F.col("flags")))
-    # payload moves with the row: the pair keeps its two places
-    out = out.withColumn("gas_idx", F.when(at, idx[last]).when(F.col("slot") == last, idx[here]).otherwise(F.col("gas_idx")))
-    out = out.withColumn("slot", F.when(at, last).when(F.col("slot") == last, here).otherwise(F.col("slot")).cast("long"))
-    return out, n_star
+    gas = rows.filter(F.col("ptype") == GAS).groupBy("leaf").agg(F.min("slot").alias("first"), F.count("*").alias("n"))
+    asked = requests.select("seq", "leaf", "j").join(gas, "leaf", "left")
+    room = 2**62 if star_capacity is None else max(0, star_capacity - n_star)
+
+    def fit(key: tuple, r: pd.DataFrame) -> pd.DataFrame:
+        left, out = (0 if pd.isna(r["n"].iloc[0]) else int(r["n"].iloc[0])), []
+        for seq, j in sorted(zip(r["seq"], r["j"], strict=True)):
+            out.append((seq, 0 <= j < left))
+            left -= 0 <= j < left
+        return pd.DataFrame(out, columns=["seq", "fits"])
+
+    fits = asked.groupBy("leaf").applyInPandas(fit, "seq bigint, fits boolean")
+    numbered = ranked(fits.filter("fits"), "seq", [], "place").withColumn("ok", F.col("place") < room)
+    stars = requests.select("seq").join(numbered.select("seq", F.expr(f"if(ok, place + {n_star}L, -1L)").alias("star")), "seq", "left").na.fill(-1, ["star"])
+    taken = asked.join(numbered.filter("ok").select("seq"), "seq", "left_semi")
+
+    def swap(key: tuple, r: pd.DataFrame) -> pd.DataFrame:
+        n = int(r["n"].iloc[0])
+        at = list(range(n))  # which row stands in each place of the leaf's gas
+        for k, j in enumerate(r.sort_values("seq")["j"]):
+            last = n - 1 - k
+            at[j], at[last] = at[last], at[j]
+        first = int(r["first"].iloc[0])
+        return pd.DataFrame([(first + was, first + now, now >= n - len(r)) for now, was in enumerate(at) if was != now or now >= n - len(r)], columns=["old_slot", "new_slot", "staged"])
+
+    moves = taken.groupBy("leaf").applyInPandas(swap, "old_slot bigint, new_slot bigint, staged boolean")
+    kept = rows.select("slot", F.col("gas_idx").alias("__idx")).withColumnRenamed("slot", "__slot")
+    moved = rows.join(moves, F.col("slot") == F.col("old_slot"), "left").join(kept, F.col("new_slot") == F.col("__slot"), "left")
+    staged, flag = F.coalesce("staged", F.lit(False)), PARTICLE_FLAGS["PendingMutation"]
+    out = moved.withColumn("ptype", F.when(staged, F.col("ptype").bitwiseOR(F.lit(STAGED))).otherwise(F.col("ptype")).cast(rows.schema["ptype"].dataType))
+    out = out.withColumn("flags", F.when(staged, F.col("flags").bitwiseOR(F.lit(flag))).otherwise(F.col("flags")).cast(rows.schema["flags"].dataType))
+    # payload moves with the row: a place keeps its index
+    out = out.withColumn("gas_idx", F.when(F.col("new_slot").isNotNull(), F.col("__idx")).otherwise(F.col("gas_idx"))).withColumn("slot", F.coalesce("new_slot", "slot"))
+    return out.select(*rows.columns), stars
 
 
 def integrate_staged(rows: DataFrame) -> DataFrame:
@@ -78,16 +105,24 @@ def orphans(layout: Layout, name: str) -> DataFrame:
 
 
 def compact(layout: Layout) -> tuple[Layout, DataFrame]:
-    """Drop payload without a common row, close the gaps in order, and renew the indices; also returns (grp, before, after)."""
-    common, typed, stats = layout.common, {}, None
-    for name, payload in layout.typed.items():
-        own = F.expr("ptype & 127") == PAYLOADS[name][0]
-        live = common.filter(own).select("type_idx").distinct()
-        kept = ranked(payload.join(live, "type_idx", "left_semi"), "type_idx", [], "__new")
-        typed[name] = kept.withColumn("type_idx", F.col("__new")).drop("__new")
-        moves = kept.select(F.col("type_idx").alias("__old"), "__new")
-        common = common.join(moves, F.expr(f"(ptype & 127) = {PAYLOADS[name][0]} and type_idx = __old"), "left").withColumn("type_idx", F.coalesce("__new", "type_idx")).select(*layout.common.columns)
-        for rows, before in ((payload, True), (kept, False)):
-            row = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("grp"), *[F.expr("n" if b == before else "0L").alias(c) for b, c in ((True, "before"), (False, "after"))])
-            stats = row if stats is None else stats.unionByName(row)
-    return replace(layout, common=common, typed=typed), stats.groupBy("grp").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    """Drop payload without a common row, close the gaps in order, and renew the indices; also returns (grp, before, after).
+
+    All tables' indices are settled in one pass and joined to the common rows once.
+    """
+    name = "case ptype & 127 " + " ".join(f"when {t} then '{k}'" for k, (t, _) in PAYLOADS.items()) + " end"
+    held = None
+    for grp, payload in layout.typed.items():
+        part = payload.select(F.lit(grp).alias("__grp"), F.col("type_idx").alias("__old"))
+        held = part if held is None else held.unionByName(part)
+    live = layout.common.select(F.expr(name).alias("__grp"), F.col("type_idx").alias("__old")).filter("__grp is not null").distinct()
+    moves = ranked(held.join(live, ["__grp", "__old"], "left_semi"), "__old", [], "__new", within="__grp").cache()
+    common = layout.common.withColumn("__of", F.expr(name)).join(moves.withColumnRenamed("__grp", "__g"), F.expr("__of = __g and type_idx = __old"), "left")
+    common = common.withColumn("type_idx", F.coalesce("__new", "type_idx")).select(*layout.common.columns)
+    typed = {}
+    for grp, payload in layout.typed.items():
+        own = moves.filter(F.col("__grp") == grp).select("__old", "__new")
+        typed[grp] = payload.join(own, F.col("type_idx") == F.col("__old")).withColumn("type_idx", F.col("__new")).select(*payload.columns)
+    both = held.select("__grp", F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(moves.select("__grp", F.lit(0).alias("b"), F.lit(1).alias("a")))
+    names = layout.common.sparkSession.createDataFrame([(k,) for k in layout.typed], "grp string")
+    counts = both.groupBy("__grp").agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
+    return replace(layout, common=common, typed=typed), names.join(counts, F.col("grp") == F.col("__grp"), "left").select("grp", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("before", "after")])

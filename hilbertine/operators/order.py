@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,30 +12,47 @@ RANGE_ROWS, RANGES = 500_000, 10_000
 BROADCAST_ROWS = 1_000_000
 
 
-def with_range(df: DataFrame, by: str, out: str, rows_per_range: int = RANGE_ROWS) -> DataFrame:
-    """``df`` with ``out``: ranges of the bigint column ``by`` of about equal size, in order; equal values share one."""
-    n = df.count()
+def range_cuts(df: DataFrame, by: str, n: int, rows_per_range: int = RANGE_ROWS) -> list[int]:
+    """Values of the bigint column ``by`` that cut its ``n`` rows into ranges of about equal size."""
     parts = min(RANGES, -(-n // rows_per_range))
     if parts <= 1:
-        return df.withColumn(out, F.lit(0))
+        return []
     shares = ", ".join(f"{i / parts:.8f}D" for i in range(1, parts))
-    cuts = sorted(set(df.agg(F.expr(f"percentile_approx({by}, array({shares}), {max(10_000, 20 * parts)})")).first()[0]))
-    return df.withColumn(out, F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c <= {by}))"))
+    return sorted(set(df.agg(F.expr(f"percentile_approx({by}, array({shares}), {max(10_000, 20 * parts)})")).first()[0]))
 
 
-def ranked(df: DataFrame, by: str, then: list[str], out: str, within: str | list[str] | None = None, rows_per_range: int = RANGE_ROWS) -> DataFrame:
+def range_of(by: str, cuts: list[int]) -> Column:
+    """The range that a value falls into: how many cuts are at most it."""
+    return F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c <= {by}))") if cuts else F.lit(0)
+
+
+def running_sum(df: DataFrame, by: str, value: str, out: str, block: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of a smaller ``by`` (a bigint from 0, no two alike).
+
+    Rows are summed in blocks of ``by`` and shifted by what the blocks before hold.
+    """
+    dealt = df.withColumn("__block", F.expr(f"{by} div {block}"))
+    sums = dealt.groupBy("__block").agg(F.sum(value).alias("__sum"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    within = Window.partitionBy("__block").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return summed.join(before, "__block").withColumn(out, F.col(out) + F.col("__before")).select(*df.columns, out)
+
+
+def ranked(df: DataFrame, by: str, then: list[str], out: str, within: str | list[str] | None = None, rows_per_range: int = RANGE_ROWS, n: int | None = None) -> DataFrame:
     """``df`` with ``out``: each row's place (from 0) in the order of ``by`` (a bigint column), then ``then``, overall or within groups.
 
     Rows are dealt over ranges of ``by``, numbered in each, and shifted by what the
-    ranges before hold; a range's count is all that leaves its task.
+    ranges before hold; a range's count is all that leaves its task. ``n`` is the number of rows, if known.
     """
     groups = [within] if isinstance(within, str) else list(within or [])
-    dealt = with_range(df, by, "__range", rows_per_range)
+    cuts = range_cuts(df, by, df.count() if n is None else n, rows_per_range)
+    dealt = df.withColumn("__range", range_of(by, cuts))
     order = Window.partitionBy("__range", *groups).orderBy(by, *then)
     numbered = dealt.withColumn(out, F.row_number().over(order).cast("long") - 1)
-    counts = dealt.groupBy("__range", *groups).agg(F.count("*").alias("__n"))
-    if dealt.select(F.max("__range")).first()[0] in (None, 0):
+    if not cuts:
         return numbered.drop("__range")
+    counts = dealt.groupBy("__range", *groups).agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*groups or [F.lit(0)]).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     joined = numbered.join(before, ["__range", *groups])
     return joined.withColumn(out, F.col(out) + F.col("__before")).select(*df.columns, out)
@@ -46,6 +63,37 @@ def sort_permutation(rows: DataFrame, key: str = "key", slot: str = "slot") -> D
     return ranked(rows.select(F.col(key).alias("key"), F.col(slot).alias("old_slot")), "key", ["old_slot"], "new_slot").select("new_slot", "old_slot")
 
 
+def radix_ranked(df: DataFrame, by: str, then: list[str], out: str, digit: int = 10, bits: int = 63, most: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with ``out``: the place of each row in the order of ``by`` (a bigint of at most ``bits`` bits, not negative), then ``then``.
+
+    A radix order by leading digits: rows are counted by their first ``digit`` bits, buckets of more
+    than ``most`` rows by the digits after these, and so on; each bucket is ordered by itself and
+    begins where the smaller ones end. Unlike quantiles, buckets need no estimate.
+    """
+    buckets: list[tuple[int, int, int]] = []  # (shift, prefix, rows)
+    shift, open_ = bits, [0]
+    while open_:
+        above, shift = shift, max(0, shift - digit)
+        chosen = df if above == bits else df.filter(F.expr(f"shiftright({by}, {above}) in ({', '.join(f'{p}L' for p in open_)})"))
+        counts = chosen.groupBy(F.expr(f"shiftright({by}, {shift})").alias("prefix")).agg(F.count("*").alias("n")).collect()  # digits of buckets that are too large
+        buckets += [(shift, r["prefix"], r["n"]) for r in counts if r["n"] <= most or not shift]
+        open_ = [r["prefix"] for r in counts if r["n"] > most and shift]
+    buckets.sort(key=lambda b: b[1] << b[0])
+    starts, at = [], 0
+    for s, p, k in buckets:
+        starts.append((s, p, at))
+        at += k
+    table = df.sparkSession.createDataFrame(starts, "__shift int, __prefix long, __start long")
+    dealt = None
+    for s in sorted({s for s, _, _ in starts}):  # some six digits at most
+        part = df.join(F.broadcast(table.filter(F.col("__shift") == s)), F.expr(f"shiftright({by}, {s})") == F.col("__prefix"))
+        dealt = part if dealt is None else dealt.unionByName(part)
+    if dealt is None:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    order = Window.partitionBy("__shift", "__prefix").orderBy(by, *then)
+    return dealt.withColumn(out, F.col("__start") + F.row_number().over(order) - 1).select(*df.columns, out)
+
+
 def inverse(perm: DataFrame) -> DataFrame:
     return perm.selectExpr("old_slot as new_slot", "new_slot as old_slot")
 
@@ -95,9 +143,28 @@ def swap_pairs_of_rows(rows: DataFrame, pairs: DataFrame, slot: str = "slot") ->
     return rows.join(moves, slot, "left").withColumn(slot, F.coalesce("new_slot", slot)).select(*rows.columns)
 
 
-def registry(sizes: dict[str, int], rows: dict[str, int]) -> dict[str, int]:
-    """What a registry of arrays (bytes of an element, rows) reports."""
-    return {"size": len(sizes), "max_elem_size": max(sizes.values(), default=0), "max_elem_bytes": max((sizes[k] * rows[k] for k in sizes), default=0)}
+#: A registry refuses more arrays than this.
+REGISTRY_ARRAYS = 32
+
+
+class Registry:
+    """The arrays that move together: bytes of an element and rows of each."""
+
+    def __init__(self, sizes: dict[str, int] | None = None, rows: dict[str, int] | None = None) -> None:
+        self.arrays: dict[str, tuple[int, int]] = {}
+        for name, size in (sizes or {}).items():
+            self.add(name, size, (rows or {}).get(name, 0))
+
+    def add(self, name: str, size: int, rows: int) -> None:
+        if len(self.arrays) >= REGISTRY_ARRAYS:
+            raise ValueError(f"more than {REGISTRY_ARRAYS} arrays")
+        self.arrays[name] = (size, rows)
+
+    def clear(self) -> None:
+        self.arrays.clear()
+
+    def report(self) -> dict[str, int]:
+        return {"size": len(self.arrays), "max_elem_size": max((s for s, _ in self.arrays.values()), default=0), "max_elem_bytes": max((s * n for s, n in self.arrays.values()), default=0)}
 
 
 def type_permutations(rows: DataFrame, perm: DataFrame) -> DataFrame:

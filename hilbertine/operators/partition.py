@@ -4,33 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import cubes
 from ..functions.hilbert import with_hilbert_key
 from .leaves import find_leaf
-from .order import ranked
+from .order import ranked, running_sum
 
 
 def perturb(rows: DataFrame, delta: int, iteration: int = 0) -> DataFrame:
     """Rows (id, x, y, z) moved by -delta to delta along each axis and keyed anew.
 
     The step is linear-congruential in id, iteration and axis, so that it doesn't depend on order.
-    The result is cached: classifying and dealing both read it, and its keys are computed once.
     """
     out = rows
     for i, c in enumerate("xyz"):
         step = f"((id * {1103515245 + 2 * i} + {iteration * 12345 + 7919 * (i + 1)}) % {2 * delta + 1}) - {delta}"
         out = out.withColumn(c, F.expr(f"cast({cubes.clamp(f'{c} + {step}')} as bigint)"))
-    return with_hilbert_key(out.drop("key") if "key" in rows.columns else out).cache()
+    return with_hilbert_key(out.drop("key") if "key" in rows.columns else out)
+
+
+def dealt(rows: DataFrame, leaves: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows (slot, key, ptype, ...) with ``leaf`` and ``new_slot``: by leaf, gas first in each, else in their order; rows outside all leaves last.
+
+    One lookup and one numbering; all columns travel along, so that no gather follows. ``n``: how many rows there are, if known.
+    """
+    n = rows.count() if n is None else n
+    # leaves are numbered from 0, so that this bucket is behind all of theirs
+    bucket = find_leaf(rows, leaves, n=n).withColumn("__bucket", F.coalesce(F.col("leaf") * 2 + F.expr("if(ptype = 0, 0, 1)"), F.lit(2**62) + F.expr("if(ptype = 0, 0, 1)")))
+    return ranked(bucket, "__bucket", ["slot"], "new_slot", n=n).drop("__bucket")
 
 
 def partition_permutation(rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(new_slot, old_slot, leaf): rows (slot, key, ptype) by leaf, gas first in each, else in their order; rows outside all leaves last."""
-    last = leaves.agg(F.coalesce(F.max("leaf"), F.lit(-1))).first()[0] + 1
-    homes = find_leaf(rows.select("slot", "key", "ptype"), leaves)
-    bucket = homes.withColumn("bucket", F.coalesce("leaf", F.lit(last)) * 2 + F.expr("if(ptype = 0, 0, 1)"))
-    return ranked(bucket, "bucket", ["slot"], "new_slot").selectExpr("new_slot", "slot as old_slot", "leaf")
+    """(new_slot, old_slot, leaf) of ``dealt``."""
+    return dealt(rows.select("slot", "key", "ptype"), leaves).selectExpr("new_slot", "slot as old_slot", "leaf")
 
 
 def leaf_histogram(homes: DataFrame) -> DataFrame:
@@ -39,13 +45,9 @@ def leaf_histogram(homes: DataFrame) -> DataFrame:
 
 
 def updated_ranges(leaves: DataFrame, homes: DataFrame) -> DataFrame:
-    """Leaves with the ranges of the rows that are in them now; an empty leaf keeps its place with no width.
-
-    The table of leaves is small beside the rows, so its running sum is one window.
-    """
+    """Leaves with the ranges of the rows that are in them now; an empty leaf keeps its place with no width."""
     counts = leaves.select("leaf").join(leaf_histogram(homes), "leaf", "left").na.fill(0, ["n", "n_gas"])
-    before = F.coalesce(F.sum("n").over(Window.orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("begin", before).selectExpr("leaf", "begin", "begin + n as end", "begin as gas_begin", "begin + n_gas as gas_end")
+    return running_sum(counts, "leaf", "n", "begin").selectExpr("leaf", "begin", "begin + n as end", "begin as gas_begin", "begin + n_gas as gas_end")
 
 
 def partition_violations(rows: DataFrame, ranges: DataFrame) -> DataFrame:

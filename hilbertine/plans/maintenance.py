@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.hilbert import CELLS, with_hilbert_key
 from ..operators.leaves import build_leaves, find_leaf
-from ..operators.order import apply_permutation, ranked
-from ..operators.partition import partition_permutation, perturb, updated_ranges
+from ..operators.order import ranked
+from ..operators.partition import dealt, perturb, updated_ranges
+
+#: Rounds of maintenance that one plan holds without a checkpoint.
+PLAN_ROUNDS = 8
 
 
 def slotted(particles: DataFrame) -> DataFrame:
@@ -29,16 +32,23 @@ def leaf_occupancy(particles: DataFrame, target: int = 32, tolerance: float = 0.
 def maintain(particles: DataFrame, iterations: int, delta: int, target: int = 32, tolerance: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Rows and leaf ranges after some rounds of moving, classifying and dealing.
 
-    Each round's rows are cut from their history by a checkpoint where the session has a folder for them.
+    A round looks each row's leaf up once and deals the rows with all their columns. With a
+    folder for checkpoints, each round's rows are cut from their history; without one, as many rounds as
+    a plan should hold (``PLAN_ROUNDS``) are taken, more are refused.
     """
+    reliable = particles.sparkSession.sparkContext.getCheckpointDir() is not None
+    if iterations > PLAN_ROUNDS and not reliable:
+        raise ValueError(f"set a checkpoint folder for more than {PLAN_ROUNDS} rounds")
     rows = slotted(particles)
+    n = rows.count()
     leaves = build_leaves(rows, target, tolerance).cache()
-    ranges = leaves
-    reliable = particles.sparkSession.sparkContext.getCheckpointDir() is not None
+    homes = None
     for i in range(iterations):
-        rows = perturb(rows, delta, i)
-        perm = partition_permutation(rows, leaves)
-        rows = apply_permutation(rows, perm.select("new_slot", "old_slot"))
-        ranges = updated_ranges(leaves, find_leaf(rows, leaves))
-        rows = rows.checkpoint() if reliable else rows
-    return rows, ranges
+        moved = perturb(rows, delta, i).cache()  # its keys are computed once
+        homes = dealt(moved, leaves, n).withColumn("slot", F.col("new_slot")).drop("new_slot")
+        if reliable:
+            homes = homes.checkpoint()
+            moved.unpersist()
+            rows.unpersist()
+        rows = homes.drop("leaf")
+    return rows, leaves if homes is None else updated_ranges(leaves, homes)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import PRESETS
-from .functions import cubes, flags
+from .functions import cubes, flags, marks
 from .functions.hilbert import hilbert_sql, with_hilbert_key
 from .operators import account, arena, exchange, layouts, leaves, mutate, order, partition
 from .plans import maintenance
@@ -92,6 +92,7 @@ def _values(rows: list[tuple], names: str) -> str:
 
 # --- sources -----------------------------------------------------------------------------------------
 
+# Fixed values throughout: sizes and byte counts in the SQL below are the published ones.
 SIZES = (1, 20, 1000, 32768, 1_000_000)
 
 
@@ -100,13 +101,52 @@ def s1(spark, sf_dir):
     return _table(spark, [(n, *generate.counts_from_total(n).values()) for n in SIZES], "n long, gas long, dm long, star long, bh long")
 
 
-@query("s2_random_stream")
+# The generator in SQL, on 128-bit unsigned integers. The numbers are fixed values of it.
+_FULL = f"{2**64}::uhugeint"
+
+
+def _turned(x: str, by: int) -> str:
+    return f"(((({x}) << {by}) | (({x}) >> {64 - by})) % {_FULL})"
+
+
+def _seeded(source: str, carried: str) -> str:
+    """CTEs that end in ``state_`` (carried, s0 to s3) from ``source`` (carried, seed)."""
+
+    def each(name: str, old: str, change) -> str:
+        return f"{name} as (select {carried}, {', '.join(f'{change(f"s{i}")} as s{i}' for i in range(4))} from {old})"
+
+    spread = ", ".join(f"(seed + {(i + 1) * 0x9E3779B97F4A7C15 % 2**64}::uhugeint) % {_FULL} as s{i}" for i in range(4))
+    return ", ".join([
+        f"mix0_ as (select {carried}, {spread} from {source})",
+        each("mix1_", "mix0_", lambda c: f"(xor({c}, {c} >> 30) * {0xBF58476D1CE4E5B9}::uhugeint) % {_FULL}"),
+        each("mix2_", "mix1_", lambda c: f"(xor({c}, {c} >> 27) * {0x94D049BB133111EB}::uhugeint) % {_FULL}"),
+        each("state_", "mix2_", lambda c: f"xor({c}, {c} >> 31)"),
+    ])
+
+
+_DRAWN = f"({_turned(f'(s1 * 5::uhugeint) % {_FULL}', 7)} * 9::uhugeint) % {_FULL}"
+_NEXT = f"xor(s0, xor(s3, s1)) as s0, xor(s1, xor(s2, s0)) as s1, xor(xor(s2, s0), (s1 << 17) % {_FULL}) as s2, {_turned('xor(s3, s1)', 45)} as s3"
+
+
+def _draws(seed: int, n: int) -> str:
+    """CTEs that end in ``draws_`` (i, value): one generator's first n numbers."""
+    return f"seed_ as (select 0 as i, {seed}::uhugeint as seed), {_seeded('seed_', 'i')}, run_ as (select i, s0, s1, s2, s3 from state_ union all select i + 1, {_NEXT} from run_ where i + 1 < {n}), draws_ as (select cast(i as bigint) as i, {_DRAWN} as value from run_)"
+
+
+@query("s2_random_stream", f"with recursive {_draws(12345, 1000)} select i, cast(value as varchar) as value from draws_")
 def s2(spark, sf_dir):
     draws = random.stream(12345)
     return _table(spark, [(i, str(next(draws))) for i in range(1000)], "i long, value string")
 
 
-@query("s3_positions_plain")
+def _positions(n: int, seed: int) -> str:
+    """CTEs that end in ``particles`` (id, x, y, z): a generator for each row, three draws of it."""
+    cell = f"cast(({_DRAWN}) % 2097152::uhugeint as bigint)"
+    rows = f"row_ as (select cast(unnest(range({n})) as bigint) as id), seed_ as (select id, ({seed}::uhugeint + {0xD1B54A32D192ED03}::uhugeint * (id + 1)::uhugeint) % {_FULL} as seed from row_)"
+    return f"{rows}, {_seeded('seed_', 'id')}, one_ as (select id, {cell} as x, {_NEXT} from state_), two_ as (select id, x, {cell} as y, {_NEXT} from one_), particles as (select id, x, y, {cell} as z from two_)"
+
+
+@query("s3_positions_plain", f"with recursive {_positions(15_000, 12345)}, {hilbert_sql('particles', 'id, x, y, z')} select id, x, y, z, key from hilbert_keyed")
 def s3(spark, sf_dir):
     return generate.generate_positions(spark, 15_000)
 
@@ -121,7 +161,10 @@ def s5(spark, sf_dir):
     return with_hilbert_key(particles(spark, sf_dir)).select("id", "key")
 
 
-@query("s6_random_keys")
+_CELLS_OF_ROW = ", ".join(f"cast(max(value) filter (i % 3 = {k}) % 2097152::uhugeint as bigint) as {c}" for k, c in enumerate("xyz"))
+
+
+@query("s6_random_keys", f"with recursive {_draws(12345, 6000)}, particles as (select i // 3 as r, {_CELLS_OF_ROW} from draws_ group by 1), {hilbert_sql('particles', 'r, x, y, z')} select x, y, z, key from hilbert_keyed")
 def s6(spark, sf_dir):
     x, y, z = generate.random_cells_exact(2000, 1 << 21, 12345)
     return with_hilbert_key(spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "z": z})))
@@ -130,9 +173,12 @@ def s6(spark, sf_dir):
 _N = "(select count(*) from orders)"
 
 
-@query("s7_assign_types", f"with n_ as (select {_N} as n), c as (select n, n*4949//10000 as dm, n*5//1000 as star, n//10000 as bh from n_), t as (select unnest([0,1,2,3,4,5]) as ptype) select cast(ptype as bigint) as ptype, cast(case ptype when 0 then n-dm-star-bh when 1 then dm//3 when 2 then dm//3 when 3 then dm-2*(dm//3) when 4 then star else bh end as bigint) as n from t, c where case ptype when 0 then n-dm-star-bh when 1 then dm//3 when 2 then dm//3 when 3 then dm-2*(dm//3) when 4 then star else bh end > 0")
+_BOUNDS_OF_TYPES = "b_ as (select n - dm - star - bh as b0, dm // 3 as third, dm, star, n from (select n, n * 4949 // 10000 as dm, n * 5 // 1000 as star, n // 10000 as bh from (select count(*) as n from orders)))"
+
+
+@query("s7_assign_types", f"with {_BOUNDS_OF_TYPES}, r_ as (select o_orderkey as id, row_number() over (order by {generate.draw('o_orderkey', 67890)}, o_orderkey) - 1 as r from orders) select id, cast(case when r < b0 then 0 when r < b0 + third then 1 when r < b0 + 2 * third then 2 when r < b0 + dm then 3 when r < b0 + dm + star then 4 else 5 end as bigint) as ptype from r_, b_")
 def s7(spark, sf_dir):
-    return _long(generate.assign_types(particles(spark, sf_dir).select("id")).groupBy("ptype").agg(F.count("*").alias("n")), "ptype", "n")
+    return _long(generate.assign_types(particles(spark, sf_dir).select("id")), "id", "ptype")
 
 
 @query("s8_fill_layout", f"{with_idx(slotted())} select slot, id, cast(ptype as bigint) as ptype, type_idx, slot*1e-3 as vel_x, slot as ti_current, case when ptype=0 then slot*1e-4 end as density, case when ptype=0 then cast(slot%1000 as double) end as metals0, case when ptype=4 then slot*1e-5 end as stellar_age, case when ptype=5 then slot*1e-6 end as bh_mass from (select * replace (cast(slot as double) as slot) from idx_)".replace("select slot, id,", "select cast(slot as bigint) as slot, id,").replace("slot as ti_current", "cast(slot as bigint) as ti_current"))
@@ -149,16 +195,21 @@ def s9(spark, sf_dir):
     return rows.join(new, "slot", "left").withColumn("y", F.coalesce("new_y", "y")).select("slot", "id", "x", "y", "z")
 
 
-@query("s10_sparse_permutation", "select cast(1500 * count(*) / count(*) as bigint) as asked, cast(count(*) as bigint) as n from orders".replace("1500 * count(*) / count(*)", "floor(0.1 * count(*))"))
+@query("s10_sparse_permutation", f"with n_ as (select count(*) as n, cast(floor(0.1 * count(*)) as bigint) as k from orders), r_ as (select o_orderkey as slot, k, row_number() over (order by {generate.draw('o_orderkey', 98765)}, o_orderkey) - 1 as r from orders, n_) select a.slot as new_slot, b.slot as old_slot from r_ a join r_ b on b.r = case when a.r < a.k then (a.r + 1) % a.k else a.r end")
 def s10(spark, sf_dir):
-    perm = generate.sparse_permutation(_rows(spark, sf_dir).select("slot"), 0.1)
-    valid = perm.groupBy("old_slot").count().filter("count = 1").count() == perm.count()
-    return perm.agg(F.count_if(F.col("new_slot") != F.col("old_slot")).alias("asked"), F.count("*").alias("n")).filter(F.lit(valid))
+    return generate.sparse_permutation(particles(spark, sf_dir).selectExpr("id as slot"), 0.1)
+
+
+_PAIRS = 150
 
 
-@query("s11_swap_pairs")
+@query("s11_swap_pairs", f"""with p as ({PARTICLES}), c_ as (select ptype, count(*) as m from p group by ptype having count(*) > 1),
+m_ as (select id as slot, p.ptype, m, row_number() over (order by p.ptype, id) - 1 as place, count(*) over () as n from p join c_ on c_.ptype = p.ptype),
+f_ as (select ptype, min(place) as first from m_ group by ptype), d_ as (select cast(unnest(range({_PAIRS})) as bigint) as seq),
+one_ as (select seq, slot as i, first, m, place, {generate.draw('seq', 13580)} as step from d_ join m_ on place = {generate.draw('seq', 13579)} % n join f_ on f_.ptype = m_.ptype)
+select seq, i, slot as j from one_ join m_ on m_.place = first + (one_.place - first + 1 + step % (one_.m - 1)) % one_.m""")
 def s11(spark, sf_dir):
-    return generate.swap_pairs(_rows(spark, sf_dir).select("slot", "ptype"))
+    return generate.swap_pairs(particles(spark, sf_dir).selectExpr("id as slot", "ptype"), _PAIRS)
 
 
 _ARRAYS = [(p, lay, array_count(c, lay)) for p, c in PRESETS.items() for lay in ("B", "C", "Bc")]
@@ -190,7 +241,10 @@ def f1(spark, sf_dir):
 _LEVEL = "(id % 22)"
 
 
-@query("f2_cube_arithmetic", f"{keyed()} select id, {cubes.prefix('key', _LEVEL)} as prefix, {cubes.key_begin('key', _LEVEL)} as key_begin, {cubes.key_last('key', _LEVEL)} as key_last, {cubes.side(_LEVEL)} as side, cast(case when id % 3000 = 0 then 21 else (select min(l) from (select unnest(range(22)) as l) where (2097152 >> l) <= id % 3000) end as bigint) as level_for_side from hilbert_keyed")
+_CUBE = "(cast(1 as hugeint) << (3 * (21 - id % 22)))"  # keys of a cube
+
+
+@query("f2_cube_arithmetic", f"{keyed()} select id, cast(key // {_CUBE} as bigint) as prefix, cast(key // {_CUBE} * {_CUBE} as bigint) as key_begin, cast(key // {_CUBE} * {_CUBE} + {_CUBE} - 1 as bigint) as key_last, cast(power(2, 21 - id % 22) as bigint) as side, cast(case when id % 3000 = 0 then 21 else (select min(l) from (select unnest(range(22)) as l) where (2097152 >> l) <= id % 3000) end as bigint) as level_for_side from hilbert_keyed")
 def f2(spark, sf_dir):
     rows = with_hilbert_key(particles(spark, sf_dir))
     level = "case " + " ".join(f"when {(1 << 21) >> k} <= id % 3000 then {k}" for k in range(22)) + " else 21 end"
@@ -212,15 +266,12 @@ def f4(spark, sf_dir):
     return _table(spark, [(t, tol, *cubes.bounds(t, tol)) for t, tol in _BOUNDS], "target long, tolerance double, least_rows long, most_rows long")
 
 
-@query("f5_clamp", f"select id, cast({cubes.clamp('x - 1000000')} as bigint) as low, cast({cubes.clamp('x + 1000000')} as bigint) as high from ({PARTICLES})")
+@query("f5_clamp", f"select id, case when x < 1000000 then 0 else x - 1000000 end as low, case when x + 1000000 > 2097151 then 2097151 else x + 1000000 end as high from ({PARTICLES})")
 def f5(spark, sf_dir):
     return particles(spark, sf_dir).selectExpr("id", f"cast({cubes.clamp('x - 1000000')} as bigint) as low", f"cast({cubes.clamp('x + 1000000')} as bigint) as high")
 
 
-_KINDS = ", ".join(f"{f()} as {f.__name__}" for f in (flags.is_gas, flags.is_dm, flags.is_star, flags.is_bh, flags.is_baryon))
-
-
-@query("f6_type_predicates", f"select id, {_KINDS} from ({PARTICLES})")
+@query("f6_type_predicates", f"select id, [true, false, false, false, false, false][ptype + 1] as is_gas, ptype between 1 and 3 as is_dm, [false, false, false, false, true, false][ptype + 1] as is_star, ptype > 4 as is_bh, ptype % 4 = 0 as is_baryon from ({PARTICLES})")
 def f6(spark, sf_dir):
     return particles(spark, sf_dir).selectExpr("id", *[f"{f()} as {f.__name__}" for f in (flags.is_gas, flags.is_dm, flags.is_star, flags.is_bh, flags.is_baryon)])
 
@@ -228,7 +279,7 @@ def f6(spark, sf_dir):
 _STAGE = ["id", f"cast({flags.mark_staged('ptype')} as bigint) as marked", f"{flags.is_staged(flags.mark_staged('ptype'))} as staged", f"cast({flags.bare_type(flags.mark_staged('ptype'))} as bigint) as bare"]
 
 
-@query("f7_staged_bit", f"select {', '.join(_STAGE)} from ({PARTICLES})")
+@query("f7_staged_bit", f"select id, cast(ptype + 128 as bigint) as marked, true as staged, cast(ptype as bigint) as bare from ({PARTICLES})")
 def f7(spark, sf_dir):
     return particles(spark, sf_dir).selectExpr(*_STAGE)
 
@@ -236,7 +287,7 @@ def f7(spark, sf_dir):
 _FLAGS = ["id", f"cast({flags.set_flag('id % 64', 32)} as bigint) as pending", f"cast({flags.clear_flag('id % 64', 1)} as bigint) as inactive", f"{flags.has_flag('id % 64', 4)} as wakes", f"cast({flags.set_flag('id % 256', flags.LEAF_FLAGS['HasStar'])} as bigint) as leaf_flags"]
 
 
-@query("f8_flags", f"select {', '.join(_FLAGS)} from ({PARTICLES})")
+@query("f8_flags", f"select id, id % 64 + case when id % 64 < 32 then 32 else 0 end as pending, id % 64 - id % 2 as inactive, id % 8 >= 4 as wakes, id % 256 + case when id // 16 % 2 = 0 then 16 else 0 end as leaf_flags from ({PARTICLES})")
 def f8(spark, sf_dir):
     return particles(spark, sf_dir).selectExpr(*_FLAGS)
 
@@ -247,13 +298,13 @@ def f9(spark, sf_dir):
     return rows.select("id", "x", flags.optional(rows, "potential", -1).cast("long").alias("potential"))
 
 
-@query("f10_debug_marker")
-def f10(spark, sf_dir):
-    def mark(frames):
-        for f in frames:
-            yield pd.DataFrame({"id": f["id"], "mark": random.marker64(f["id"].to_numpy(), 7).astype(str), "short": random.marker32(f["id"].to_numpy(), 7).astype("int64")})
+_M0 = f"xor(id::uhugeint, {(marks.SEED + (7 << 32)) % 2**64}::uhugeint)"
+_MARK = f"with a_ as (select id, {_M0} as m from ({PARTICLES})), b_ as (select id, (xor(m, m >> 33) * {marks.FACTOR}::uhugeint) % {_FULL} as m from a_), c_ as (select id, xor(m, m >> 33) as m from b_)"
 
-    return particles(spark, sf_dir).select("id").mapInPandas(mark, "id bigint, mark string, short bigint")
+
+@query("f10_debug_marker", f"{_MARK} select id, cast(m as varchar) as mark, cast(xor(m, m >> 32) % 4294967296::uhugeint as bigint) as short from c_")
+def f10(spark, sf_dir):
+    return marks.with_marks(particles(spark, sf_dir).select("id"), 7)
 
 
 @query("f11_get_set_by_slot", f"{slotted()} select slot, case when slot = 5 then 99 else id end as id, case when slot = 7 then cast(123 as bigint) else key end as key, cast(ptype as bigint) as ptype from rows_ where slot in (0, 5, 7, (select max(slot) from rows_))")
@@ -296,7 +347,7 @@ def p1(spark, sf_dir):
 
 @query("p2_radix_order", f"{slotted(CLUSTERED)} select slot, id, key from rows_")
 def p2(spark, sf_dir):
-    return _rows(spark, sf_dir, True).select("slot", "id", "key")
+    return order.radix_ranked(with_hilbert_key(particles(spark, sf_dir, True)).cache(), "key", ["id"], "slot", most=1_000).select("slot", "id", "key")
 
 
 @query("p3_permutation_and_inverse", f"{slotted()} select slot as new_slot, id as old_slot, true as forward from rows_ union all select id, slot, false from rows_")
@@ -345,7 +396,7 @@ def p8(spark, sf_dir):
 @query("p9_registry", "select cast(4 as bigint) as size, cast(128 as bigint) as max_elem_size, cast(128 * (select count(*) from orders) as bigint) as max_elem_bytes")
 def p9(spark, sf_dir):
     n = particles(spark, sf_dir).count()
-    r = order.registry(account.BENCH_COMMON, dict.fromkeys(account.BENCH_COMMON, n))
+    r = order.Registry(account.BENCH_COMMON, dict.fromkeys(account.BENCH_COMMON, n)).report()
     return _table(spark, [tuple(r.values())], "size long, max_elem_size long, max_elem_bytes long")
 
 
@@ -433,14 +484,15 @@ def l3(spark, sf_dir):
 
 
 def _dealt(spark, sf_dir):
-    rows, made, _ = _homes(spark, sf_dir)
-    changed = partition.perturb(rows, DELTA)
-    return changed, made, partition.partition_permutation(changed, made)
+    """Moved rows with their leaf and new slot, and the leaves."""
+    rows = _rows(spark, sf_dir)
+    made = leaves.build_leaves(rows, TARGET, TOLERANCE).cache()
+    return partition.dealt(partition.perturb(rows, DELTA).cache(), made, rows.count()), made
 
 
 @query("l4_partition_permutation", f"{moved()} select row_number() over (order by coalesce(leaf, 9000000000), case when ptype = 0 then 0 else 1 end, slot) - 1 as new_slot, cast(slot as bigint) as old_slot from home_")
 def l4(spark, sf_dir):
-    return _dealt(spark, sf_dir)[2].select("new_slot", "old_slot")
+    return _dealt(spark, sf_dir)[0].selectExpr("new_slot", "slot as old_slot")
 
 
 _RANGES = "c as (select l.leaf, count(h.id) as n, count(h.id) filter (h.ptype = 0) as g from leaf_ l left join home_ h on h.leaf = l.leaf group by l.leaf), e as (select *, cast(coalesce(sum(n) over (order by leaf rows between unbounded preceding and 1 preceding), 0) as bigint) as b from c)"
@@ -448,8 +500,8 @@ _RANGES = "c as (select l.leaf, count(h.id) as n, count(h.id) filter (h.ptype =
 
 @query("l5_updated_ranges", f"{moved()}, {_RANGES} select leaf, b as \"begin\", cast(b + n as bigint) as \"end\", b as gas_begin, cast(b + g as bigint) as gas_end from e")
 def l5(spark, sf_dir):
-    changed, made, _ = _dealt(spark, sf_dir)
-    return partition.updated_ranges(made, leaves.find_leaf(changed, made))
+    homes, made = _dealt(spark, sf_dir)
+    return partition.updated_ranges(made, homes)
 
 
 @query("l6_perturb", f"{moved()} select id, x, y, z, key from moved_keyed")
@@ -465,9 +517,11 @@ def l7(spark, sf_dir):
 
 @query("l8_partition_violations", "select cast('' as varchar) as what, cast(0 as bigint) as slot where false")
 def l8(spark, sf_dir):
-    changed, made, perm = _dealt(spark, sf_dir)
-    homes = leaves.find_leaf(order.apply_permutation(changed, perm.select("new_slot", "old_slot")), made)
-    return partition.partition_violations(homes, partition.updated_ranges(made, homes))
+    homes, made = _dealt(spark, sf_dir)
+    homes = homes.cache()
+    perm = homes.selectExpr("new_slot", "slot as old_slot")
+    moved = leaves.find_leaf(order.apply_permutation(homes.drop("leaf", "new_slot"), perm), made).cache()
+    return partition.partition_violations(moved, partition.updated_ranges(made, moved))
 
 
 @query("l9_order_violations", f"{slotted()} select cast(id as bigint) as at from (select id, key, lag(key) over (order by id) as b from rows_) where key < b")
@@ -483,8 +537,13 @@ def l10(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     n = rows.count()
     at = F.col("slot").isin(0, n // 2, n - 1)
-    changed = rows.withColumn("old", F.col("key")).withColumn("key", F.when(at, F.col("key").bitwiseXOR(F.lit(1))).otherwise(F.col("key")))
-    return changed.withColumn("key", F.col("old")).filter(at).select("slot", "id", "key")
+    saved = rows.filter(at).select("slot", F.col("key").alias("saved"))
+    changed = rows.withColumn("key", F.when(at, F.col("key").bitwiseXOR(F.lit(1))).otherwise(F.col("key"))).cache()
+    differ = changed.join(saved, "slot").filter("key <> saved").count()
+    back = changed.join(F.broadcast(saved), "slot", "left").withColumn("key", F.coalesce("saved", "key")).drop("saved")
+    # nothing is returned unless the change was seen and nothing is left of it
+    whole = back.exceptAll(rows.select(*back.columns)).isEmpty()
+    return back.filter(at).select("slot", "id", "key").filter(F.lit(differ == saved.count() and whole))
 
 
 @query("l11_payload_violations", "select cast(0 as bigint) as slot where false")
@@ -561,14 +620,13 @@ def a2(spark, sf_dir):
 
 @query("a3_leaf_histogram", f"{moved()} select leaf, count(*) as n, count(*) filter (ptype = 0) as n_gas from home_ where leaf is not null group by leaf")
 def a3(spark, sf_dir):
-    changed, made, _ = _dealt(spark, sf_dir)
-    return partition.leaf_histogram(leaves.find_leaf(changed, made))
+    return partition.leaf_histogram(_dealt(spark, sf_dir)[0])
 
 
 @query("a4_prefix_sum", f"{moved()}, {_RANGES} select leaf, b as before from e")
 def a4(spark, sf_dir):
-    changed, made, _ = _dealt(spark, sf_dir)
-    return partition.updated_ranges(made, leaves.find_leaf(changed, made)).selectExpr("leaf", "begin as before")
+    homes, made = _dealt(spark, sf_dir)
+    return partition.updated_ranges(made, homes).selectExpr("leaf", "begin as before")
 
 
 @query("a5_under_and_overfull", f"{tiled(CLUSTERED)} select count(*) filter (\"end\" - \"begin\" < 16) as underfull, count(*) filter (\"end\" - \"begin\" > 48) as overfull from leaf_")
@@ -653,16 +711,26 @@ def x6(spark, sf_dir):
     return out
 
 
-@query("x7_message_buffer", f"{_CHOSEN} select 80+n_common*192+n_gas*256+n_star*128+n_bh*320 as buffer_bytes from c")
+_SIZES = " union all ".join(f"select '{b}', n_{b}, n_{b} * {size}, {at} from c where n_{b} > 0" for b, size, at in (("common", 192, "80"), ("gas", 256, "80 + n_common * 192"), ("star", 128, "80 + n_common * 192 + n_gas * 256"), ("bh", 320, "80 + n_common * 192 + n_gas * 256 + n_star * 128")))
+
+
+@query("x7_message_buffer", f"{_CHOSEN} select 'header' as block, cast(1 as bigint) as records, cast(80 as bigint) as bytes, cast(0 as bigint) as first_offset union all {_SIZES}")
 def x7(spark, sf_dir):
-    return _header(spark, sf_dir).selectExpr("total_bytes as buffer_bytes")
+    """What the bytes of a message hold by block; nothing if their header isn't valid."""
+    buffer = exchange.to_buffer(_message(spark, sf_dir)[1], SPH).cache()
+    header = exchange.block_offsets(exchange.validate_header(exchange.read_header(buffer), SPH)).first()
+    block = "'header'"
+    for b in exchange.BLOCKS:
+        block = f"if(offset >= {header[f'{b}_offset']}, '{b}', {block})"
+    return buffer.groupBy(F.expr(block).alias("block")).agg(F.count("*").alias("records"), F.sum(F.length("bytes")).alias("bytes"), F.min("offset").alias("first_offset")).filter(F.lit(header["valid"]))
 
 
 @query("x8_unpack", f"{slotted()} select slot, id, cast(ptype as bigint) as ptype, case when ptype = 0 then cast(id as double)*1e-4 end as density from rows_ where slot < 300 union all select slot - 100 + 300, id, ptype, case when ptype = 0 then cast(id as double)*1e-4 end from rows_ where slot >= 100 and slot < 1100")
 def x8(spark, sf_dir):
     laid, message = _message(spark, sf_dir)
     n = {k: laid.typed[k].count() for k in ("gas", "star", "bh")}
-    out = exchange.unpack(laid, message, 300, n)
+    buffer = exchange.to_buffer(message, SPH)
+    out = exchange.unpack(laid, exchange.from_buffer(buffer, {k: v.schema for k, v in message.items()}, SPH), 300, n)
     return layouts.logical(out).select("slot", "id", F.col("ptype").cast("long").alias("ptype"), "density")
 
 
@@ -682,7 +750,7 @@ def x10(spark, sf_dir):
 # --- mutation --------------------------------------------------------------------------------------------
 
 _SUBSORTED = f"{tiled()}, typed_ as (select id, key, ptype, leaf, \"begin\" as b, cast(\"begin\" + {_SUB} as bigint) as slot from rows_ r {_HOME}), indexed_ as (select *, row_number() over (partition by case when ptype in (1, 2, 3) then 1 else ptype end order by slot) - 1 as type_idx from typed_)"
-_PICK = "pick_ as (select id, row_number() over (order by slot) - 1 as seq from (select *, row_number() over (partition by leaf order by slot) as r from indexed_ where ptype = 0) where r = 2 and leaf < 20)"
+_PICK = "pick_ as (select id, row_number() over (order by slot) - 1 as seq from (select *, row_number() over (partition by leaf order by slot) as r from indexed_ where ptype = 0) where r = 2)"
 _MUTATED = f"{_SUBSORTED}, {_PICK}, n_ as (select count(*) as s from indexed_ where ptype = 4), new_ as (select i.id, leaf, b, slot, case when p.id is not null then 4 else ptype end as ptype, case when p.id is not null then s + seq else type_idx end as type_idx, coalesce(-1 - seq, 0) as front from indexed_ i left join pick_ p using (id), n_)"
 
 
@@ -694,7 +762,7 @@ def _subsorted(spark, sf_dir):
 
 def _mutated(spark, sf_dir):
     rows = _subsorted(spark, sf_dir)
-    gas = order.ranked(rows.filter("ptype = 0 and leaf < 20").select("id", "leaf", "slot"), "slot", [], "r", within="leaf").filter("r = 1")
+    gas = order.ranked(rows.filter("ptype = 0").select("id", "leaf", "slot"), "slot", [], "r", within="leaf").filter("r = 1")
     chosen = order.ranked(gas.select("id", "slot"), "slot", [], "seq").select("id", "seq")
     return mutate.mutate_gas_to_star(rows, chosen, rows.filter("ptype = 4").count())
 
@@ -709,21 +777,24 @@ def m2(spark, sf_dir):
     return _mutated(spark, sf_dir).groupBy("leaf").agg(F.count_if(F.col("ptype") == 0).alias("n_gas"), F.count_if(F.col("ptype") == 4).alias("n_star"))
 
 
-_STAGED = f"{_SUBSORTED}, g as (select min(slot) + 2 as here, min(slot) + count(*) - 1 as last from indexed_ where leaf = 3 and ptype = 0)"
+_STAGED = f"{_SUBSORTED}, g as (select leaf, min(slot) + 2 as here, min(slot) + count(*) - 1 as last from indexed_ where ptype = 0 group by leaf having count(*) > 2), i as (select indexed_.*, g.here, g.last from indexed_ left join g using (leaf))"
+
+
+def _staged(spark, sf_dir):
+    """The third gas row of every leaf staged; a leaf with fewer refuses."""
+    rows = _subsorted(spark, sf_dir).withColumn("flags", F.lit(0)).withColumn("gas_idx", F.expr("if(ptype = 0, type_idx, null)")).cache()
+    asked = rows.select("leaf").distinct().selectExpr("leaf as seq", "leaf", "2L as j")
+    return mutate.stage_gas_to_star(rows, asked, rows.filter("ptype = 4").count())[0]
 
 
-@query("m3_stage_gas_to_star", f"{_STAGED} select id, cast(case slot when here then last when last then here else slot end as bigint) as slot, cast(case when slot = here then 128 else ptype end as bigint) as ptype, cast(case when slot = here then 32 else 0 end as bigint) as flags from indexed_, g where leaf = 3")
+@query("m3_stage_gas_to_star", f"{_STAGED} select id, cast(case when slot = here then last when slot = last then here else slot end as bigint) as slot, cast(case when slot = here then 128 else ptype end as bigint) as ptype, cast(case when slot = here then 32 else 0 end as bigint) as flags from i")
 def m3(spark, sf_dir):
-    rows = _subsorted(spark, sf_dir).withColumn("flags", F.lit(0)).withColumn("gas_idx", F.expr("if(ptype = 0, type_idx, null)"))
-    staged, _ = mutate.stage_gas_to_star(rows, 3, 2, rows.filter("ptype = 4").count())
-    return _long(staged.filter("leaf = 3"), "id", "slot", "ptype", "flags")
+    return _long(_staged(spark, sf_dir), "id", "slot", "ptype", "flags")
 
 
-@query("m4_integrate_staged", f"{_STAGED}, s as (select id, b, slot, slot = here as was, case when slot = here then 4 else ptype end as ptype, case slot when here then last when last then here else slot end as spot from indexed_, g where leaf = 3) select id, cast(b + row_number() over (order by ptype, was, spot) - 1 as bigint) as slot, cast(ptype as bigint) as ptype, cast(0 as bigint) as flags from s")
+@query("m4_integrate_staged", f"{_STAGED}, s as (select id, leaf, b, slot, coalesce(slot = here, false) as was, case when slot = here then 4 else ptype end as ptype, case when slot = here then last when slot = last then here else slot end as spot from i) select id, cast(b + row_number() over (partition by leaf order by ptype, was, spot) - 1 as bigint) as slot, cast(ptype as bigint) as ptype, cast(0 as bigint) as flags from s")
 def m4(spark, sf_dir):
-    rows = _subsorted(spark, sf_dir).withColumn("flags", F.lit(0)).withColumn("gas_idx", F.expr("if(ptype = 0, type_idx, null)"))
-    staged, _ = mutate.stage_gas_to_star(rows, 3, 2, rows.filter("ptype = 4").count())
-    return _long(mutate.integrate_staged(staged.filter("leaf = 3")), "id", "slot", "ptype", "flags")
+    return _long(mutate.integrate_staged(_staged(spark, sf_dir)), "id", "slot", "ptype", "flags")
 
 
 _LIVE = f"with p as ({PARTICLES}) select id, row_number() over (order by id) - 1 as type_idx, cast(id as double)*1e-4 as density from p where ptype = 0 and id % 6 <> 0"

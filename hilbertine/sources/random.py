@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 U = np.uint64
+# Fixed values of the seeding.
 _GOLDEN, _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 
@@ -58,15 +59,3 @@ def stream(seed: int) -> Iterator[int]:
         s0 ^= s3
         s2 ^= t
         state = [s0, s1, s2, (s3 << 45 | s3 >> 19) & full]
-
-
-def marker64(ids: np.ndarray, tag: int) -> np.ndarray:
-    """A 64-bit mark of an id and a tag."""
-    x = np.asarray(ids).astype(np.int64).view(U) ^ U((0x9E3779B97F4A7C15 + (tag << 32)) % 2**64)
-    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
-    return x ^ (x >> U(33))
-
-
-def marker32(ids: np.ndarray, tag: int) -> np.ndarray:
-    x = marker64(ids, tag)
-    return (x ^ (x >> U(32))) & U(0xFFFFFFFF)

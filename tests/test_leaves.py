@@ -2,8 +2,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from hilbertine.functions import cubes
-from hilbertine.operators import leaves
+from hilbertine.operators import leaves, partition
 from hilbertine.plans import maintenance
 from hilbertine.sources import generate
 
@@ -63,3 +65,44 @@ def test_keys_outside_have_no_leaf(spark):
     made = leaves.build_leaves(rows, 1, 0, 1)
     keys = spark.createDataFrame([(100,), (101,), (102,), (2**62,)], "key long")
     assert [r.leaf for r in leaves.find_leaf(keys, made).orderBy("key").collect()] == [0, 1, None, None]
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_both_ways_of_lookup(spark, few, monkeypatch):
+    monkeypatch.setattr(leaves._find_by_ranges, "__defaults__", (7,))
+    rng = random.Random(6)
+    keys = sorted(rng.randrange(2**40) for _ in range(60))
+    made = leaves.build_leaves(spark.createDataFrame(list(enumerate(keys)), "slot long, key long"), 4, 0.5).cache()
+    asked = [*keys, *[rng.randrange(2**41) for _ in range(100)], 0, 2**63 - 1]
+    got = leaves.find_leaf(spark.createDataFrame([(i, k, k % 7) for i, k in enumerate(asked)], "id long, key long, leaf_idx long"), made, broadcast_leaves=few).collect()
+    cubes_ = [(r.key_begin, r.key_last, r.leaf) for r in made.collect()]
+    assert len(got) == len(asked) and all(r.leaf == next((x for a, b, x in cubes_ if a <= r.key <= b), None) and r.leaf_idx == r.key % 7 for r in got)
+
+
+def test_breaches_of_coverage_are_found(spark):
+    rng = random.Random(7)
+    keys = sorted(rng.randrange(2**63 - 1) for _ in range(200))
+    rows = spark.createDataFrame(list(enumerate(keys)), "slot long, key long")
+    made = leaves.build_leaves(rows, 8, 0.5).cache()
+    found = lambda broken, side=2**21: {(r.what, r.leaf) for r in leaves.coverage_violations(broken, rows, side).collect()}
+    assert found(made) == set()
+    last = made.count() - 1
+    change = lambda leaf, column, to: made.withColumn(column, F.expr(f"if(leaf = {leaf}, {to}, {column})"))
+    assert found(change(3, "end", "end + 1")) == {("gap", 4)}
+    assert {("gap", 3), ("key", 3)} <= found(change(3, "begin", "begin + 1"))
+    assert ("gap", 5) in found(change(4, "key_last", "9223372036854775807"))
+    assert found(change(last, "end", "end - 1")) == {("total", None), ("key", last)}
+    missing = found(made.filter("leaf <> 2"))
+    assert ("gap", 3) in missing and ("key", None) in missing
+    assert {w for w, _ in found(made, 1)} == {"side"}
+
+
+def test_breaches_of_the_partition_are_found(spark):
+    rows = spark.createDataFrame([(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 4), (4, None, 0)], "slot long, leaf long, ptype int")
+    ranges = partition.updated_ranges(spark.createDataFrame([(0,), (1,)], "leaf long"), rows)
+    found = lambda r: {(x.what, x.slot) for x in partition.partition_violations(r, ranges).collect()}
+    moved = lambda **to: rows.withColumn("slot", F.expr("case slot " + " ".join(f"when {k[1:]} then {v}" for k, v in to.items()) + " else slot end"))
+    assert found(rows) == set()
+    assert found(moved(s0=1, s1=0)) == {("gas", 0), ("gas", 1)}
+    assert {("range", 1), ("range", 2)} <= found(moved(s1=2, s2=1))
+    assert {("outside", 3), ("range", 4)} <= found(moved(s3=4, s4=3))

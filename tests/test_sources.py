@@ -29,10 +29,15 @@ def test_positions(spark):
 def test_types_and_permutations(spark):
     types = generate.types_exact(1000, 67890)
     assert types[:16].tolist() == [3, 0, 0, 2, 3, 1, 0, 3, 1, 0, 0, 3, 0, 3, 0, 0] and np.bincount(types, minlength=6).tolist() == [501, 164, 164, 166, 5, 0]
-    perm = generate.sparse_permutation_exact(20, 0.3, 98765)
-    assert {int(i): int(p) for i, p in enumerate(perm) if i != p} == {14: 17, 17: 18, 18: 14}
-    assert (generate.sparse_permutation_exact(2000, 0.1, 98765) != np.arange(2000)).sum() == 199
     assert all(types[i] == types[j] and i != j for i, j in generate.swap_pairs_exact(types, 200, 1))
+    rows = spark.range(40).selectExpr("id as slot", "cast(if(id = 7, 5, id % 3) as int) as ptype")
+    kind = {r.slot: r.ptype for r in rows.collect()}
+    pairs = generate.swap_pairs(rows, 500).collect()
+    assert sorted(r.seq for r in pairs) == list(range(500)) and all(kind[r.i] == kind[r.j] and r.i != r.j for r in pairs) and len({r.i for r in pairs}) == 39
+    with pytest.raises(ValueError):
+        generate.swap_pairs(rows.filter("slot < 3"), 5)
+    perm = generate.sparse_permutation(rows, 0.3).collect()
+    assert sorted(r.old_slot for r in perm) == sorted(r.new_slot for r in perm) == list(range(40)) and sum(r.old_slot != r.new_slot for r in perm) == 12
     drawn = generate.assign_types(spark.range(1000)).groupBy("ptype").agg(F.count("*").alias("n")).collect()
     assert {r.ptype: r.n for r in drawn} == {0: 501, 1: 164, 2: 164, 3: 166, 4: 5}
 
