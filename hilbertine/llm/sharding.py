@@ -2,7 +2,7 @@
 
 Groups of equal texts are indivisible unless one alone exceeds the capacity
 of a shard. Sorted by size, each enters the shard with the tightest remaining
-capacity that holds it, found in an ordered set of remaining capacities.
+capacity that holds it, found in a balanced tree of remaining capacities.
 
 The packing itself is done on a table of bounded size. A group larger than
 ``capacity / FINE`` is an item of its own, of which all shards together hold at
@@ -12,12 +12,12 @@ most ``shards * FINE``. Smaller groups are gathered by hash into at most
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import materialise
+
 ROW_BYTES = 16
 FINE = 2_000
 BUNDLES = 1 << 16
@@ -25,14 +25,64 @@ BUNDLES = 1 << 16
 SLOT_ROWS = 20_000
 
 
+class _Rooms:
+    """A treap of (room, shard): a search tree by these, balanced by a hash of the shard."""
+
+    def __init__(self) -> None:
+        self.top: list | None = None  # node: [key, priority, left, right]
+
+    def add(self, room: int, shard: int) -> None:
+        low, high = self._split(self.top, (room, shard))
+        node = [(room, shard), (shard + 1) * 0x9E3779B97F4A7C15 % 2**64, None, None]
+        self.top = self._merged(self._merged(low, node), high)
+
+    def take(self, size: int) -> tuple[int, int]:
+        """Remove the least room that holds ``size``, of the smallest shard, or else the largest room."""
+        low, high = self._split(self.top, (size, -1))
+        first = high is not None
+        path, node = [], high if first else low
+        while node[2 if first else 3] is not None:
+            path.append(node)
+            node = node[2 if first else 3]
+        rest = node[3 if first else 2]
+        if path:
+            path[-1][2 if first else 3] = rest
+        elif first:
+            high = rest
+        else:
+            low = rest
+        self.top = self._merged(low, high)
+        return node[0]
+
+    def _split(self, node: list | None, key: tuple) -> tuple[list | None, list | None]:
+        """The nodes below ``key``, and the others."""
+        if node is None:
+            return None, None
+        if node[0] < key:
+            node[3], high = self._split(node[3], key)
+            return node, high
+        low, node[2] = self._split(node[2], key)
+        return low, node
+
+    def _merged(self, a: list | None, b: list | None) -> list | None:
+        """One tree of two, all of ``a`` being below all of ``b``."""
+        if a is None or b is None:
+            return a if b is None else b
+        if a[1] > b[1]:
+            a[3] = self._merged(a[3], b)
+            return a
+        b[2] = self._merged(a, b[2])
+        return b
+
+
 def best_fit_decreasing(items: list[tuple[int, int]], shards: int, capacity: int) -> dict[int, int]:
     """Shard of each (key, size); an item that no shard can hold goes to the emptiest."""
-    room = [(capacity, shard) for shard in range(shards)]
-    out = {}
+    rooms, out = _Rooms(), {}
+    for shard in range(shards):
+        rooms.add(capacity, shard)
     for key, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        at = bisect_left(room, (size, -1))
-        left, shard = room.pop(at if at < len(room) else -1)
-        insort(room, (left - size, shard))
+        left, shard = rooms.take(size)
+        rooms.add(left - size, shard)
         out[key] = shard
     return out
 
@@ -48,12 +98,13 @@ def shard_documents(docs: DataFrame, shards: int = 40, fine: int = FINE, bundles
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
+    # texts are read once; what follows works on these four numbers
+    rows = materialise(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text, F.octet_length(text)).alias("grp"),
-    )
+    ))
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
     capacity = -(-(total or 0) // shards) or 1
     sizes = rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))

@@ -31,6 +31,41 @@ def test_sizes_are_near_equal_and_groups_stay_together(spark):
             assert where.setdefault(texts[r.doc_id], r.shard) == r.shard
 
 
+def naive(sizes, shards, capacity):
+    """Best-fit decreasing by looking through all shards for each item."""
+    room, out = [capacity] * shards, {}
+    for key, size in sorted(sizes.items(), key=lambda x: -x[1]):
+        fits = [s for s in range(shards) if room[s] >= size]
+        shard = min(fits, key=lambda s: (room[s], s)) if fits else max(range(shards), key=lambda s: (room[s], s))
+        room[shard] -= size
+        out[key] = shard
+    return out
+
+
+def test_placement_against_brute_force(spark):
+    rng = random.Random(8)
+    lengths = rng.sample(range(1, 4000), 300)
+    texts = [f"{i}".ljust(n, "x") for i, n in enumerate(lengths)]
+    texts += [t for t in texts[:40] for _ in range(rng.randint(1, 3))]
+    sizes = {}
+    for t in texts:
+        sizes[t] = sizes.get(t, 0) + len(t) + 16
+    sizes = {t: s for t, s in sizes.items() if list(sizes.values()).count(s) == 1}  # ties are placed in any order
+    texts = [t for t in texts if t in sizes]
+    rng.shuffle(texts)
+    want = naive(sizes, 6, -(-sum(sizes.values()) // 6))
+    rows = sharding.shard_documents(docs(spark, texts), 6, fine=10**9).collect()
+    assert len(rows) == len(texts) and all(r.shard == want[texts[r.doc_id]] for r in rows)
+    check(rows, 6)
+
+
+def test_tree_of_rooms():
+    rng = random.Random(9)
+    for shards in (1, 2, 40):
+        sizes = {k: s for k, s in enumerate(sorted((rng.randint(1, 500) for _ in range(400)), reverse=True))}
+        assert sharding.best_fit_decreasing(list(sizes.items()), shards, 90_000 // shards) == naive(sizes, shards, 90_000 // shards)
+
+
 def test_tightest_bin_first():
     assert sharding.best_fit_decreasing([(0, 5), (1, 4), (2, 3), (3, 3)], 2, 8) == {0: 0, 1: 1, 2: 0, 3: 1}
 
