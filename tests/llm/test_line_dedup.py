@@ -28,12 +28,11 @@ def distance(a, b):
     return row[-1]
 
 
-def alike(a, b, similarity):
-    return [distance(x, y) <= (1 - similarity) * max(len(x), len(y)) + 1e-9 for x, y in zip(a, b, strict=True)]
+def brute(texts, min_words, similarity):
+    """The lines that go, (text, number), by all pairs of lines, and how many groups have several lines.
 
-
-def brute(texts, min_words, similarity, alike=alike):
-    """The lines that go, (text, number), by all pairs of lines, and how many groups have several lines."""
+    Pairs are compared by ``similar``, which has a test of its own against the definition.
+    """
     norms = {}
     for i, t in enumerate(texts):
         for n, line in enumerate((t or "").split("\n")):
@@ -48,7 +47,7 @@ def brute(texts, min_words, similarity, alike=alike):
         return x
 
     pairs = [(i, j) for i in range(len(keys)) for j in range(i) if abs(len(keys[i]) - len(keys[j])) <= (1 - similarity) * max(len(keys[i]), len(keys[j])) + 1e-9]
-    for (i, j), hit in zip(pairs, alike([keys[i] for i, _ in pairs], [keys[j] for _, j in pairs], similarity), strict=True):
+    for (i, j), hit in zip(pairs, similar([keys[i] for i, _ in pairs], [keys[j] for _, j in pairs], similarity), strict=True):
         if hit:
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)

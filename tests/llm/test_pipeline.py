@@ -5,7 +5,6 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from hilbertine.llm import ngram_join, packing, toxicity
-from hilbertine.llm.editing import similar
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import docs, edges, none  # noqa: E402
@@ -39,7 +38,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     rows = {i: t for i, t in rows.items() if scores[i] < 0.3}
     assert sum(i in rows for i in range(500) if not toxic[i]) / toxic.count(0) > 0.97
     keys = sorted(rows)
-    drop, _ = repeated_lines([rows[i] for i in keys], 5, 0.8, similar)
+    drop, _ = repeated_lines([rows[i] for i in keys], 5, 0.8)
     left = ["\n".join(x for n, x in enumerate(rows[i].split("\n")) if (p, n) not in drop) for p, i in enumerate(keys)]
     rows = {i: t for i, t in zip(keys, left, strict=True) if t == rows[i] or t.strip()}
     keys = sorted(rows)
