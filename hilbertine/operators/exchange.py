@@ -30,10 +30,10 @@ def select_list(common: DataFrame, indices: DataFrame) -> DataFrame:
     return common.join(indices.select("seq", "slot"), "slot")
 
 
-def exchange_counts(chosen: DataFrame) -> DataFrame:
-    """Rows of each block that a selection sends."""
+def exchange_counts(chosen: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of each block that a selection sends, in all or for each message named by the columns ``by``."""
     bare = F.expr("ptype & 127")
-    return chosen.agg(F.count("*").alias("n_common"), *[F.count_if(bare == t).alias(f"n_{k}") for k, t in (("gas", GAS), ("star", STAR), ("bh", BH))])
+    return chosen.groupBy(*by).agg(F.count("*").alias("n_common"), *[F.count_if(bare == t).alias(f"n_{k}") for k, t in (("gas", GAS), ("star", STAR), ("bh", BH))])
 
 
 def exchange_header(counts: DataFrame, config: PhysicsConfig) -> DataFrame:

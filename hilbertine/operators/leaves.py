@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cubes
+from ..functions.flags import LEAF_FLAGS
 from ..functions.hilbert import BITS, CELLS
-from .order import range_cuts, range_of
+from .order import range_cuts
 
 #: Rows of one block of consecutive slots.
 BLOCK_ROWS = 500_000
@@ -91,8 +92,8 @@ def find_leaf(keys: DataFrame, leaves: DataFrame, key: str = "key", broadcast_le
 def _find_by_ranges(keys: DataFrame, leaves: DataFrame, key: str, n: int, rows_per_range: int = BLOCK_ROWS) -> DataFrame:
     cut = leaves.select(F.col("key_begin").alias("__key"), F.struct("leaf", "key_last").alias("__here"))
     cuts = range_cuts(keys.select(F.col(key).alias("__key")).union(cut.select("__key")), "__key", n, rows_per_range)
-    events = keys.select(F.col(key).alias("__key"), F.struct("*").alias("__row")).unionByName(cut, allowMissingColumns=True).withColumn("__range", range_of("__key", cuts))
-    last = cut.groupBy(range_of("__key", cuts).alias("__range")).agg(F.max_by("__here", "__key").alias("__end")).collect()  # a row a range
+    events = keys.select(F.col(key).alias("__key"), F.struct("*").alias("__row")).unionByName(cut, allowMissingColumns=True).withColumn("__range", cuts.range_of("__key"))
+    last = cut.groupBy(cuts.range_of("__key").alias("__range")).agg(F.max_by("__here", "__key").alias("__end")).collect()  # a row a range
     carried, now, ends = [], None, {r["__range"]: r["__end"] for r in last}
     for r in range(len(cuts) + 1):
         carried.append((r, now))
@@ -134,6 +135,18 @@ def with_offsets(leaves: DataFrame) -> DataFrame:
     return leaves.withColumn("type_offset", F.expr(running)).withColumn("common_end", F.expr("begin + aggregate(type_count, 0L, (a, x) -> a + x)"))
 
 
+def leaf_state(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The table that is kept while rows change: leaf, type_count, type_offset, flags; one count of the rows (leaf, ptype), a leaf without rows among them.
+
+    Types with the staged bit count as staged only. Afterwards deltas are merged into it (``mutate.merge_conversions``).
+    """
+    counts = rows.groupBy("leaf").agg(F.array(*[F.count_if(F.col("ptype") == i) for i in range(6)]).alias("__n"), F.count_if(F.expr("ptype >= 128")).alias("__staged"))
+    met = leaves.select("leaf", "begin").join(counts, "leaf", "left").withColumn("type_count", F.coalesce("__n", F.expr("array_repeat(0L, 6)")))
+    has = {"HasGas": "type_count[0] > 0", "HasDM": "type_count[1] + type_count[2] + type_count[3] > 0", "HasStar": "type_count[4] > 0", "HasBH": "type_count[5] > 0", "HasStaged": "coalesce(__staged, 0) > 0"}
+    flags = " + ".join(f"if({test}, {LEAF_FLAGS[name]}, 0)" for name, test in has.items())
+    return with_offsets(met).select("leaf", "type_count", "type_offset", F.expr(flags).alias("flags"))
+
+
 def leaf_moments(rows: DataFrame) -> DataFrame:
     """Extension: total mass and centre of mass of each leaf (x, y, z, mass)."""
     weighted = [(F.sum(F.col("mass") * F.col(c)) / F.sum("mass")).alias(f"com_{c}") for c in "xyz"]

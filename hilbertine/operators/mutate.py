@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from bisect import insort
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,31 +11,104 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import GAS, STAGED, STAR
-from ..functions.flags import PARTICLE_FLAGS
+from ..functions.flags import LEAF_FLAGS, PARTICLE_FLAGS
 from .layouts import PAYLOADS, Layout
 from .order import ranked
 
 
 def mutate_gas_to_star(rows: DataFrame, chosen: DataFrame, n_star: int, star_capacity: int | None = None) -> DataFrame:
-    """Gas rows become stars at the front of their leaf's stars.
+    """Gas rows named by their ids become stars at the front of their leaf's stars.
 
     ``rows``: slot, leaf, ptype, type_idx, in type order within a leaf. ``chosen``: id,
-    seq (0, 1, ...): each is moved to the front after those before it, so
-    that the last comes first. A new star's payload index is n_star + seq. Rows
-    that aren't gas, or exceed the capacity, stay as they are. All other rows keep their order.
+    seq (any order of the requests): each is moved to the front after those before it, so
+    that the last comes first. A new star's payload index is n_star and how many requests were granted before. Rows
+    that aren't gas are refused and use up neither an index nor room. All other rows keep their order.
     """
+    gas = rows.filter(F.col("ptype") == GAS).select("id")
     room = 2**62 if star_capacity is None else max(0, star_capacity - n_star)
-    marked = rows.join(chosen.withColumnRenamed("seq", "__seq"), "id", "left")
-    goes = (F.col("__seq") < room) & (F.col("ptype") == GAS)
-    marked = marked.withColumn("__go", F.coalesce(goes, F.lit(False)))
+    granted = ranked(chosen.select("id", F.col("seq").cast("long").alias("__seq")).join(gas, "id", "left_semi"), "__seq", ["id"], "__nth").filter(F.col("__nth") < room)
+    marked = rows.join(granted.select("id", "__nth"), "id", "left").withColumn("__go", F.col("__nth").isNotNull())
     changed = marked.withColumn("ptype", F.when(F.col("__go"), STAR).otherwise(F.col("ptype")).cast(rows.schema["ptype"].dataType)).withColumn(
-        "type_idx", F.when(F.col("__go"), n_star + F.col("__seq")).otherwise(F.col("type_idx")).cast("long")
+        "type_idx", F.when(F.col("__go"), n_star + F.col("__nth")).otherwise(F.col("type_idx")).cast("long")
     )
     first = F.min("slot").over(Window.partitionBy("leaf"))
-    order = Window.partitionBy("leaf").orderBy("ptype", F.when(F.col("__go"), -F.col("__seq") - 1).otherwise(0), "slot")
+    order = Window.partitionBy("leaf").orderBy("ptype", F.when(F.col("__go"), -F.col("__nth") - 1).otherwise(0), "slot")
     return changed.withColumn("__first", first).withColumn("slot", F.col("__first") + F.row_number().over(order) - 1).select(*rows.columns)
 
 
+@dataclass(frozen=True)
+class Converted:
+    """What ``convert_gas`` changes: rows, the leaf table, and counters; ``stars`` (seq, star): each request's new index, or -1."""
+
+    rows: DataFrame
+    leaves: DataFrame
+    stars: DataFrame
+    counters: DataFrame
+
+
+def convert_gas(rows: DataFrame, leaves: DataFrame, requests: DataFrame, n_gas: int, n_star: int, star_capacity: int | None = None, live_gas: bool = True) -> Converted:
+    """Gas rows named by their place in a leaf become stars, with the leaf table kept up instead of counted anew.
+
+    ``rows``: slot, leaf, ptype, type_idx, in type order within a leaf. ``leaves``: leaf, type_count, type_offset, flags, as
+    ``leaves.leaf_state`` makes them and this function returns them. ``requests``: seq, leaf, j: the j-th gas row of the leaf as it is when the
+    requests of smaller seq are done. Refused (-1, nothing changes) is a j that the leaf doesn't have, and whatever comes
+    when the stars are at capacity. A granted row goes to the front of its leaf's stars.
+
+    Only leaves with granted requests change: their counts, offsets and flags by a delta, their rows by it, too, for a row's new
+    slot follows from its type, how many granted gas rows lay before it, and the delta. ``counters`` (n_gas, n_star): the
+    fine layout counts gas that lives (``live_gas``), the coarse one what its table holds until compaction.
+    """
+    known = leaves.select("leaf", F.element_at("type_count", 1).alias("n"), F.element_at("type_offset", 1).alias("gas_at"), F.element_at("type_offset", STAR + 1).alias("star_at"))
+    asked = requests.select(F.col("seq").cast("long").alias("seq"), "leaf", F.col("j").cast("long").alias("j")).join(known, "leaf", "left")
+    room = 2**62 if star_capacity is None else max(0, star_capacity - n_star)
+
+    def take(key: tuple, r: pd.DataFrame) -> pd.DataFrame:
+        """Which places of the leaf's gas the requests take, one after the other: only requests are in memory, not rows."""
+        n, taken, out = (0 if pd.isna(r["n"].iloc[0]) else int(r["n"].iloc[0])), [], []
+        for seq, j in sorted(zip(r["seq"], r["j"], strict=True)):
+            at = None
+            if 0 <= j < n - len(taken):
+                at = int(j)
+                for t in taken:  # ascending: those before shift it
+                    if t > at:
+                        break
+                    at += 1
+                insort(taken, at)
+            out.append((seq, at))
+        return pd.DataFrame(out, columns=["seq", "at"]).astype({"at": "Int64"})
+
+    places = asked.groupBy("leaf").applyInPandas(take, "seq long, at long")
+    numbered = ranked(places.filter("at is not null"), "seq", [], "nth").filter(F.col("nth") < room)
+    stars = requests.select(F.col("seq").cast("long").alias("seq")).join(numbered.select("seq", (F.col("nth") + n_star).alias("star")), "seq", "left").na.fill(-1, ["star"])
+    granted = asked.join(numbered, "seq").cache()
+    order = Window.partitionBy("leaf").orderBy("at")
+    moves = granted.select("leaf", (F.col("gas_at") + F.col("at")).alias("slot"), (F.col("nth") + n_star).cast("long").alias("__star"), (F.col("star_at") - 1 - F.row_number().over(Window.partitionBy("leaf").orderBy("nth")) + 1).alias("__to"))
+    gone = granted.select("leaf", "gas_at", "at", "star_at", F.row_number().over(order).alias("k")).groupBy("leaf").agg(
+        F.count("*").alias("__k"), F.first("gas_at").alias("__gas_at"), F.first("star_at").alias("__star_at"), F.sort_array(F.collect_list("at")).alias("__taken")
+    )  # as many numbers as the leaf has requests
+    delta = gone.select("leaf", "__k")
+    changed = rows.join(moves.select("slot", "__star", "__to"), "slot", "left").join(gone, "leaf", "left")
+    before = F.expr("case when slot >= __star_at then 0 when ptype = 0 then size(filter(__taken, t -> t < slot - __gas_at)) else __k end")
+    slot = F.when(F.col("__star").isNotNull(), F.col("__to")).when(F.col("__k").isNotNull(), F.col("slot") - before).otherwise(F.col("slot"))
+    moved = changed.withColumn("__slot", slot.cast("long")).withColumn("ptype", F.when(F.col("__star").isNotNull(), STAR).otherwise(F.col("ptype")).cast(rows.schema["ptype"].dataType))
+    moved = moved.withColumn("type_idx", F.coalesce("__star", "type_idx")).withColumn("slot", F.col("__slot")).select(*rows.columns)
+    made = delta.agg(F.coalesce(F.sum("__k"), F.lit(0)).cast("long").alias("made"))
+    counters = made.select((F.lit(n_gas) - (F.col("made") if live_gas else F.lit(0))).cast("long").alias("n_gas"), (F.lit(n_star) + F.col("made")).cast("long").alias("n_star"))
+    return Converted(moved, merge_conversions(leaves, delta), stars, counters)
+
+
+def merge_conversions(leaves: DataFrame, delta: DataFrame) -> DataFrame:
+    """``leaves`` (leaf, type_count, type_offset, flags) after ``delta`` (leaf, __k): so many gas rows of a leaf have become stars."""
+    has_gas, has_star = LEAF_FLAGS["HasGas"], LEAF_FLAGS["HasStar"]
+    met = leaves.join(delta, "leaf", "left")
+    counts = f"transform(type_count, (c, t) -> if(t = {GAS}, c - __k, if(t = {STAR}, c + __k, c)))"
+    offsets = f"transform(type_offset, (o, t) -> if(t > {GAS} and t <= {STAR}, o - __k, o))"
+    flags = f"(flags | {has_star}) - if(type_count[{GAS}] = __k, flags & {has_gas}, 0)"
+    new = [F.expr(f"if(__k is null, {c}, {e})").alias(c) for c, e in (("type_count", counts), ("type_offset", offsets), ("flags", flags))]
+    kept = [c for c in leaves.columns if c not in ("type_count", "type_offset", "flags")]
+    return met.select(*kept, *new).select(*leaves.columns)
+
+
 def star_payload(n_star: int, count: int, like: DataFrame) -> DataFrame:
     """Zeroed payload rows for ``count`` new stars."""
     zero = [F.lit(0).cast(f.dataType).alias(f.name) for f in like.schema if f.name != "type_idx"]

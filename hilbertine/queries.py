@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from .config import PRESETS
 from .functions import cubes, flags, marks
 from .functions.hilbert import hilbert_sql, with_hilbert_key
-from .operators import account, arena, exchange, layouts, leaves, mutate, order, partition
+from .operators import account, arena, atoms, exchange, layouts, leaves, mutate, order, partition
 from .plans import maintenance
 from .schema import array_count, record_bytes, schema_for
 from .shipping import shipped
 from .sources import generate, random
+from .sources.shared import new_folder, written
 from .sources.views import CLUSTERED, PARTICLES, particles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 TARGET, TOLERANCE, DELTA = 32, 0.5, 256
+SPH = PRESETS["StandardSPH"]
 
 
 def query(name: str, sql: str | None = None):
@@ -183,9 +185,17 @@ def s7(spark, sf_dir):
 
 @query("s8_fill_layout", f"{with_idx(slotted())} select slot, id, cast(ptype as bigint) as ptype, type_idx, slot*1e-3 as vel_x, slot as ti_current, case when ptype=0 then slot*1e-4 end as density, case when ptype=0 then cast(slot%1000 as double) end as metals0, case when ptype=4 then slot*1e-5 end as stellar_age, case when ptype=5 then slot*1e-6 end as bh_mass from (select * replace (cast(slot as double) as slot) from idx_)".replace("select slot, id,", "select cast(slot as bigint) as slot, id,").replace("slot as ti_current", "cast(slot as bigint) as ti_current"))
 def s8(spark, sf_dir):
-    laid = layouts.fill("B", _rows(spark, sf_dir))
-    idx = laid.common.select("slot", "type_idx")
-    return layouts.logical(laid).join(idx, "slot").withColumn("ptype", F.col("ptype").cast("long")).drop("key")
+    """The fine store: a table an atom, of which this reads the seven that hold these fields."""
+    rows = atoms.read(atoms.fill(_fine(), _rows(spark, sf_dir)), "common.id", "common.type", "common.type_idx", "common.vel", "common.ti_current", "gas.density", "gas.metals", "star.stellar_age", "bh.bh_mass")
+    return rows.selectExpr("slot", "id", "cast(type as bigint) as ptype", "type_idx", "vel[0] as vel_x", "ti_current", "density", "metals[0] as metals0", "stellar_age", "bh_mass")
+
+
+def _fine() -> atoms.Atoms:
+    return atoms.Atoms(SPH, "B", "double")
+
+
+def _coarse() -> atoms.Atoms:
+    return atoms.Atoms(SPH, "Bc", "double")
 
 
 @query("s9_set_positions", f"{slotted()} select slot, id, cast(x as bigint) as x, case when slot % 3 = 0 then (slot * 7) % 2097152 else y end as y, z from rows_")
@@ -416,7 +426,33 @@ def _meaning(laid: layouts.Layout) -> DataFrame:
     return layouts.logical(laid).select("slot", "id", F.col("ptype").cast("long").alias("ptype"), "vel_x", "density", "stellar_age", "bh_mass")
 
 
-for _name, _kind in (("p10_reorder_common_only", "B"), ("p13_reorder_all", "C"), ("p15_reorder_directory", "A")):
+def _stored(spark, sf_dir, registry: atoms.Atoms) -> atoms.Store:
+    """Rows stored by id, before any order."""
+    return atoms.fill(registry, with_hilbert_key(particles(spark, sf_dir)).withColumn("slot", F.col("id")))
+
+
+def _said(store: atoms.Store) -> DataFrame:
+    rows = atoms.read(store, "common.id", "common.type", "common.vel", "gas.density", "star.stellar_age", "bh.bh_mass")
+    return rows.selectExpr("slot", "id", "cast(type as bigint) as ptype", "vel[0] as vel_x", "density", "stellar_age", "bh_mass")
+
+
+def _key_order(spark, sf_dir) -> DataFrame:
+    return order.sort_permutation(with_hilbert_key(particles(spark, sf_dir)), slot="id")
+
+
+@query("p10_reorder_common_only", f"{slotted()} {_LOGICAL}")
+def p10(spark, sf_dir):
+    """The fine store: each common atom's table moves by itself, payload tables stay."""
+    return _said(atoms.reorder(_stored(spark, sf_dir, _fine()), _key_order(spark, sf_dir)))
+
+
+@query("p10_reorder_coarse", f"{slotted()} {_LOGICAL}")
+def p10_coarse(spark, sf_dir):
+    """The coarse store: one table of common structs moves."""
+    return _said(atoms.reorder(_stored(spark, sf_dir, _coarse()), _key_order(spark, sf_dir)))
+
+
+for _name, _kind in (("p13_reorder_all", "C"), ("p15_reorder_directory", "A")):
     query(_name, f"{slotted()} {_LOGICAL}")(lambda spark, sf_dir, k=_kind: _meaning(_sorted(_laid(spark, sf_dir, k), spark, sf_dir)))
 
 
@@ -443,7 +479,8 @@ def p14(spark, sf_dir):
 @query("p16_swap_same_type", f"{slotted()}, q as (select case id when 10 then 20 when 20 then 10 else id end as slot, id, ptype from rows_) {_LOGICAL.replace('rows_', 'q')}")
 def p16(spark, sf_dir):
     """Ids 10 and 20 are gas; all four layouts mean the same afterwards, of which one is returned if so."""
-    meant = [_meaning(layouts.swap_same_type(_laid(spark, sf_dir, k), 10, 20)) for k in ("B", "Bc", "C", "A")]
+    meant = [_said(atoms.swap(_stored(spark, sf_dir, r), 10, 20)) for r in (_fine(), _coarse())]
+    meant += [_meaning(layouts.swap_same_type(_laid(spark, sf_dir, k), 10, 20)) for k in ("C", "A")]
     same = all(meant[0].exceptAll(m).isEmpty() and m.exceptAll(meant[0]).isEmpty() for m in meant[1:])
     return meant[0].filter(F.lit(same))
 
@@ -457,6 +494,51 @@ def p17(spark, sf_dir):
     return _long(order.subsort_leaf(homes.join(made.select("leaf", "begin"), "leaf")), "id", "leaf", "new_slot")
 
 
+_ADDED = {"halo": ("common", "halo_id i8, depth real", {"halo_id": "id * 7", "depth": "slot * 0.5D"}), "tracer": ("gas", "dye real, origin i8", {"dye": "slot * 0.25D", "origin": "id"})}
+
+
+def _with_added(registry: atoms.Atoms) -> atoms.Atoms:
+    for name, (group, fields, rules) in _ADDED.items():
+        registry.add(name, group, fields, rules)
+    return registry
+
+
+@query("p7_added_atoms", f"{slotted()}, a_ as (select *, id % 6 = 0 and ptype = 0 as gone from rows_), s_ as (select case id when 10 then (select slot from rows_ where id = 20) when 20 then (select slot from rows_ where id = 10) else slot end as at, id, ptype, gone from a_), "
+       "i_ as (select id, row_number() over (order by id) - 1 as type_idx from a_ where ptype = 0 and not gone) select store, s.at as slot, s.id, s.id * 7 as halo_id, cast(s.id as double) * 0.5 as depth, i.type_idx, case when ptype = 0 and not gone then cast(s.id as double) * 0.25 end as dye, case when ptype = 0 and not gone then s.id end as origin from s_ s left join i_ i using (id), (select unnest(['B', 'Bc']) as store)")
+def p7_added(spark, sf_dir):
+    """Two atoms added once are filled, compacted, moved, swapped, sent and received like all others, in both stores."""
+    perm, out = _key_order(spark, sf_dir).cache(), None
+    places = {r["old_slot"]: r["new_slot"] for r in perm.filter("old_slot in (10, 20)").collect()}
+    for registry in (_fine(), _coarse()):
+        folder = new_folder(spark, "atoms")
+        store = atoms.save(_stored(spark, sf_dir, _with_added(registry)), f"{folder}/filled")
+        store = atoms.swap(atoms.reorder(atoms.compact(_gone_of(store))[0], perm), places[10], places[20])
+        store = atoms.save(store, f"{folder}/moved")
+        message = atoms.pack(store, atoms.read(store, "common.id").selectExpr("slot", "slot as seq"))
+        back = atoms.save(atoms.unpack(store, message, 0, {}), f"{folder}/received")  # over all that is there: indices are now by slot
+        kept = atoms.read(store, "common.id", "common.type", "common.type_idx").selectExpr("id", "if(type = 0, type_idx, null) as type_idx")
+        rows = atoms.read(back, "common.id", "common.halo_id", "common.depth", "gas.dye", "gas.origin").join(kept, "id")
+        said = rows.select(F.lit(registry.kind).alias("store"), "slot", "id", "halo_id", "depth", "type_idx", "dye", "origin")
+        out = said if out is None else out.unionByName(said)
+    return out
+
+
+_BYTES_OF_ATOMS = {"core": 64, "dyn": 64, "leap": 64, "time": 64, "meta": 64, "linkage": 64, "gas_core": 64, "gas_grad": 64, "gas_metal": 128, "gas_sf": 64, "star_core": 128, "star_meta": 64, "bh_core": 128, "bh_env": 128, "bh_repos": 128}
+_OF_GROUP = "case when a like 'gas%' then 'gas' when a like 'star%' then 'star' when a like 'bh%' then 'bh' else 'common' end"
+
+
+@query("p9_registered_atoms", f"with a as (select *, {_OF_GROUP} as grp from (values {', '.join(f"('{a}', {b})" for a, b in _BYTES_OF_ATOMS.items())}) as t(a, b)), n as (select 'common' as grp, count(*) as n from orders union all select case ptype when 0 then 'gas' when 4 then 'star' else 'bh' end, count(*) from ({PARTICLES}) where ptype in (0, 4, 5) group by 1) select a as atom, grp, cast(b as bigint) as elem_bytes, n as n_rows, cast(b * n as bigint) as bytes from a join n using (grp)")
+def p9_atoms(spark, sf_dir):
+    """What the fine store's arrays hold: rows counted in the tables themselves, bytes by the registry."""
+    store = _stored(spark, sf_dir, atoms.Atoms(SPH, "B"))
+    counts = None
+    for a in store.atoms.atoms.values():
+        part = store.tables[a.name].agg(F.count("*").alias("n_rows")).select(F.lit(a.name).alias("atom"), F.lit(a.group).alias("grp"), "n_rows")
+        counts = part if counts is None else counts.unionByName(part)
+    sizes = spark.createDataFrame([(name, size) for name, _, size, _ in store.atoms.report({})], "atom string, elem_bytes long")
+    return counts.join(sizes, "atom").select("atom", "grp", "elem_bytes", "n_rows", (F.col("elem_bytes") * F.col("n_rows")).alias("bytes"))
+
+
 # --- leaves and partition -----------------------------------------------------------------------------
 
 _LEAF = 'select leaf, "begin", "end", level, key_begin, key_last, cast(side_cells as bigint) as side_cells from leaf_'
@@ -591,6 +673,13 @@ def _gone(laid: layouts.Layout) -> layouts.Layout:
     return replace(laid, common=out)
 
 
+def _gone_of(store: atoms.Store) -> atoms.Store:
+    """The same in a store whose slots are ids."""
+    core = store.atoms.holder("common", "type").name
+    kind = F.col(core)["type"]
+    return store.put("common", atoms.with_field(store.table("common", core), core, "type", F.when((kind == 0) & (F.col("slot") % 6 == 0), 1).otherwise(kind)), core)
+
+
 @query("j5_orphans", f"{with_idx(slotted().replace('row_number() over (order by key, id) - 1 as slot', 'id as slot'))} select type_idx from idx_ where ptype = 0 and id % 6 = 0")
 def j5(spark, sf_dir):
     return mutate.orphans(_gone(_laid(spark, sf_dir, "Bc")), "gas").select("type_idx")
@@ -654,7 +743,6 @@ def a8(spark, sf_dir):
 
 _RECORDS = [("GravityOnly", 192, 0, 0, 0, 192), ("StandardSPH", 192, 256, 128, 320, 512), ("FullMHD", 192, 384, 128, 512, 704), ("MFMHydro", 192, 320, 128, 320, 512)]
 _R = "preset, common, gas, star, bh, legacy_fixed"
-SPH = PRESETS["StandardSPH"]
 
 
 @query("x1_record_sizes", _values(_RECORDS, _R))
@@ -750,8 +838,18 @@ def x10(spark, sf_dir):
 # --- mutation --------------------------------------------------------------------------------------------
 
 _SUBSORTED = f"{tiled()}, typed_ as (select id, key, ptype, leaf, \"begin\" as b, cast(\"begin\" + {_SUB} as bigint) as slot from rows_ r {_HOME}), indexed_ as (select *, row_number() over (partition by case when ptype in (1, 2, 3) then 1 else ptype end order by slot) - 1 as type_idx from typed_)"
-_PICK = "pick_ as (select id, row_number() over (order by slot) - 1 as seq from (select *, row_number() over (partition by leaf order by slot) as r from indexed_ where ptype = 0) where r = 2)"
-_MUTATED = f"{_SUBSORTED}, {_PICK}, n_ as (select count(*) as s from indexed_ where ptype = 4), new_ as (select i.id, leaf, b, slot, case when p.id is not null then 4 else ptype end as ptype, case when p.id is not null then s + seq else type_idx end as type_idx, coalesce(-1 - seq, 0) as front from indexed_ i left join pick_ p using (id), n_)"
+# Two requests a leaf, of which the second counts in what the first has left; some ask for gas that isn't there, and stars have room for three of four leaves.
+_CONVERTED = (
+    f"{_SUBSORTED}, g_ as (select leaf, min(b) as b, count(*) filter (ptype = 0) as n, min(b) + count(*) filter (ptype < 4) as star_at from indexed_ group by leaf), "
+    "q_ as (select *, leaf % 9 as j1, leaf % 31 as j2, case when leaf % 9 < n then 1 else 0 end as fit1 from g_), "
+    "f_ as (select leaf, 2 * leaf as seq, j1 as \"at\" from q_ where fit1 = 1 union all select leaf, 2 * leaf + 1, case when fit1 = 1 and j2 >= j1 then j2 + 1 else j2 end from q_ where j2 < n - fit1), "
+    "s_ as (select count(*) as s from indexed_ where ptype = 4), m_ as (select *, row_number() over (order by seq) - 1 as nth from f_), "
+    "ok_ as (select *, row_number() over (partition by leaf order by nth) as i from m_ where nth < (select count(*) * 3 // 4 from g_)), "
+    "k_ as (select leaf, count(*) as k from ok_ group by leaf), "
+    "new_ as (select r.id, r.leaf, case when ok_.nth is not null then g_.star_at - ok_.i when r.slot >= g_.star_at then r.slot when r.ptype = 0 then r.slot - (select count(*) from ok_ o where o.leaf = r.leaf and o.\"at\" < r.slot - r.b) else r.slot - coalesce(k, 0) end as slot, "
+    "case when ok_.nth is not null then 4 else r.ptype end as ptype, case when ok_.nth is not null then (select s from s_) + ok_.nth else r.type_idx end as type_idx "
+    "from indexed_ r join g_ using (leaf) left join k_ using (leaf) left join ok_ on ok_.leaf = r.leaf and r.ptype = 0 and ok_.\"at\" = r.slot - r.b)"
+)
 
 
 def _subsorted(spark, sf_dir):
@@ -760,21 +858,40 @@ def _subsorted(spark, sf_dir):
     return layouts.with_type_index(rows)
 
 
-def _mutated(spark, sf_dir):
-    rows = _subsorted(spark, sf_dir)
-    gas = order.ranked(rows.filter("ptype = 0").select("id", "leaf", "slot"), "slot", [], "r", within="leaf").filter("r = 1")
-    chosen = order.ranked(gas.select("id", "slot"), "slot", [], "seq").select("id", "seq")
-    return mutate.mutate_gas_to_star(rows, chosen, rows.filter("ptype = 4").count())
+def _converted(spark, sf_dir, live_gas: bool = True) -> mutate.Converted:
+    rows = written(_subsorted(spark, sf_dir))
+    n = {r["ptype"]: r["count"] for r in rows.groupBy("ptype").count().collect()}  # six types
+    begins = rows.groupBy("leaf").agg(F.min("slot").alias("begin"))
+    state = written(leaves.leaf_state(rows, begins))
+    asked = state.select(F.explode(F.expr("array(struct(2 * leaf as seq, leaf, leaf % 9 as j), struct(2 * leaf + 1 as seq, leaf, leaf % 31 as j))")).alias("r")).select("r.*")
+    return mutate.convert_gas(rows, state, asked, n.get(0, 0), n.get(4, 0), n.get(4, 0) + state.count() * 3 // 4, live_gas)
 
 
-@query("m1_mutate_gas_to_star", f"{_MUTATED} select id, cast(b + row_number() over (partition by leaf order by ptype, front, slot) - 1 as bigint) as slot, cast(ptype as bigint) as ptype, cast(type_idx as bigint) as type_idx from new_")
+@query("m1_mutate_gas_to_star", f"{_CONVERTED} select id, cast(slot as bigint) as slot, cast(ptype as bigint) as ptype, cast(type_idx as bigint) as type_idx from new_")
 def m1(spark, sf_dir):
-    return _long(_mutated(spark, sf_dir), "id", "slot", "ptype", "type_idx")
+    return _long(_converted(spark, sf_dir).rows, "id", "slot", "ptype", "type_idx")
+
 
+_STATE = ", ".join(f"count(*) filter (ptype = {t}) as n{t}" for t in range(6))
 
-@query("m2_mutated_counts", f"{_MUTATED} select leaf, count(*) filter (ptype = 0) as n_gas, count(*) filter (ptype = 4) as n_star from new_ group by leaf")
+
+@query("m2_mutated_counts", f"{_CONVERTED} select leaf, n0 as n_gas, n4 as n_star, cast(b + n0 + n1 + n2 + n3 as bigint) as star_begin, cast(b + n0 + n1 + n2 + n3 + n4 as bigint) as bh_begin, cast(case when n0 > 0 then 8 else 0 end + case when n4 > 0 then 16 else 0 end + case when n5 > 0 then 32 else 0 end + case when n1 + n2 + n3 > 0 then 64 else 0 end as bigint) as flags from (select leaf, min(slot) as b, {_STATE} from new_ group by leaf)")
 def m2(spark, sf_dir):
-    return _mutated(spark, sf_dir).groupBy("leaf").agg(F.count_if(F.col("ptype") == 0).alias("n_gas"), F.count_if(F.col("ptype") == 4).alias("n_star"))
+    """The leaf table as it was kept, against one counted from the changed rows."""
+    state = _converted(spark, sf_dir).leaves
+    return state.selectExpr("leaf", "type_count[0] as n_gas", "type_count[4] as n_star", "type_offset[4] as star_begin", "type_offset[5] as bh_begin", "cast(flags as bigint) as flags")
+
+
+@query("m2_refused", f"{_CONVERTED} select seq, coalesce((select s from s_) + nth, -1) as star from (select 2 * leaf + unnest([0, 1]) as seq from g_) left join ok_ using (seq)")
+def m2_refused(spark, sf_dir):
+    return _converted(spark, sf_dir).stars
+
+
+@query("m2_counters", f"{_CONVERTED}, c_ as (select count(*) as k from ok_), o_ as (select count(*) filter (ptype = 0) as g, count(*) filter (ptype = 4) as s from indexed_) select 'B' as store, g - k as n_gas, s + k as n_star from o_, c_ union all select 'Bc', g, s + k from o_, c_")
+def m2_counters(spark, sf_dir):
+    """The fine layout counts gas that lives, the coarse one what its table holds until compaction."""
+    both = [_converted(spark, sf_dir, live).counters.select(F.lit(k).alias("store"), "n_gas", "n_star") for k, live in (("B", True), ("Bc", False))]
+    return both[0].unionByName(both[1])
 
 
 _STAGED = f"{_SUBSORTED}, g as (select leaf, min(slot) + 2 as here, min(slot) + count(*) - 1 as last from indexed_ where ptype = 0 group by leaf having count(*) > 2), i as (select indexed_.*, g.here, g.last from indexed_ left join g using (leaf))"
@@ -808,8 +925,9 @@ def m5(spark, sf_dir):
 
 @query("m6_compact_fine", _LIVE)
 def m6(spark, sf_dir):
-    laid, _ = mutate.compact(_gone(_laid(spark, sf_dir, "B")))
-    return laid.common.filter("ptype = 0").join(laid.typed["gas"], "type_idx").select("id", "type_idx", "density")
+    """The fine store: its linkage is renewed, and every payload atom's table packed."""
+    done, _ = atoms.compact(_gone_of(_stored(spark, sf_dir, _fine())))
+    return atoms.read(done, "common.id", "common.type", "common.type_idx", "gas.density").filter("type = 0").select("id", "type_idx", "density")
 
 
 # --- memory and accounting ------------------------------------------------------------------------------

@@ -52,9 +52,14 @@ ATOMS = {
 
 def fields(atom: str, config: PhysicsConfig, precision: str = "mixed") -> list[tuple[str, str, int]]:
     """(name, scalar kind, count) of an atom; count 0 is a field that doesn't exist."""
+    return parsed(ATOMS[atom], config, precision)
+
+
+def parsed(text: str, config: PhysicsConfig, precision: str = "mixed") -> list[tuple[str, str, int]]:
+    """The fields that ``text`` lists, written as in ``ATOMS``."""
     counts = {"M": config.n_metal_species, "P": config.cr_proton_bins, "E": config.cr_electron_bins, "L": 3 * config.has_leapfrog, "O": int(config.output_potential)}
     out = []
-    for item in ATOMS[atom].split(", "):
+    for item in text.split(", "):
         name, kind = item.split(" ")
         kind, _, n = kind.partition("*")
         out.append((name, PRECISIONS[precision].get(kind, kind), counts[n] if n in counts else int(n or 1)))
@@ -62,8 +67,12 @@ def fields(atom: str, config: PhysicsConfig, precision: str = "mixed") -> list[t
 
 
 def struct_for(atom: str, config: PhysicsConfig, precision: str = "mixed") -> T.StructType:
+    return struct_of(fields(atom, config, precision))
+
+
+def struct_of(listed: list[tuple[str, str, int]]) -> T.StructType:
     out = T.StructType()
-    for name, kind, n in fields(atom, config, precision):
+    for name, kind, n in listed:
         base = SCALARS[kind][1]
         if n:
             out.add(name, base if n == 1 and name not in ("metals",) else T.ArrayType(base, False), False)
@@ -71,8 +80,12 @@ def struct_for(atom: str, config: PhysicsConfig, precision: str = "mixed") -> T.
 
 
 def size_of(atom: str, config: PhysicsConfig, align: int = 8, precision: str = "mixed") -> int:
+    return size_of_fields(fields(atom, config, precision), align)
+
+
+def size_of_fields(listed: list[tuple[str, str, int]], align: int = 8) -> int:
     at = widest = 0
-    for _, kind, n in fields(atom, config, precision):
+    for _, kind, n in listed:
         size = SCALARS[kind][0]
         widest = max(widest, size)
         at = -(-at // size) * size + size * n

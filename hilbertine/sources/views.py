@@ -20,8 +20,13 @@ CLUSTERED = """select o_orderkey as id,
 
 def particles(spark: SparkSession, sf_dir: str, clustered: bool = False) -> DataFrame:
     """(id, x, y, z, ptype) from ``orders``."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    return spark.sql((CLUSTERED if clustered else PARTICLES).replace("from orders", "from {orders}"), orders=orders)
+    return as_particles(spark.read.parquet(f"{sf_dir}/orders.parquet"), clustered)
+
+
+def as_particles(orders: DataFrame, clustered: bool = False) -> DataFrame:
+    """(id, x, y, z, ptype) of rows of ``orders``."""
+    text = (CLUSTERED if clustered else PARTICLES).replace("from orders", "from {orders}")
+    return orders.sparkSession.sql(text, orders=orders.select("o_orderkey", "o_custkey"))
 
 
 def write_particles(rows: DataFrame, path: str) -> None:
