@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .config import PRESETS
 from .functions import cubes, flags, marks
 from .functions.hilbert import hilbert_sql, with_hilbert_key
-from .operators import account, arena, atoms, exchange, layouts, leaves, mutate, order, partition
-from .plans import maintenance
+from .operators import account, arena, atoms, clustered, delta, exchange, layouts, leaves, mutate, order, partition, tree
+from .plans import checked, maintenance
 from .schema import array_count, record_bytes, schema_for
 from .shipping import shipped
 from .sources import generate, random
@@ -386,6 +386,19 @@ def p5(spark, sf_dir):
     return order.apply_permutation(rows, _sparse_perm(rows)).select("slot", "id", "key")
 
 
+_THEN = "case when slot < n - n % 20 then case slot % 20 when 1 then slot + 4 when 5 then slot - 4 else slot end else slot end"
+
+
+@query("p5_sparse_delta", f"{slotted()}, q as (select *, count(*) over () as n from rows_), one_ as (select cast({_SPARSE} as bigint) as slot, id, key, n from q) select cast({_THEN} as bigint) as slot, id, key from one_")
+def p5_delta(spark, sf_dir):
+    """Two sparse permutations, of which only number pairs of the rows that are away are written."""
+    places = delta.begin(_rows(spark, sf_dir), new_folder(spark, "places"))
+    for text in (_SPARSE, _THEN):
+        slots = places.read().selectExpr("slot", f"{places.n}L as n")
+        places = delta.apply(places, slots.selectExpr(f"cast({text} as bigint) as new_slot", "slot as old_slot"))
+    return places.read().select("slot", "id", "key")
+
+
 @query("p6_count_changed", f"{slotted()} select count(*) filter (slot <> id) as changed from rows_")
 def p6(spark, sf_dir):
     return order.count_changed(_rows(spark, sf_dir).selectExpr("slot as new_slot", "id as old_slot"))
@@ -565,6 +578,44 @@ def l3(spark, sf_dir):
     return leaves.find_leaf(partition.perturb(rows, DELTA), made).select("id", "leaf")
 
 
+_RANGES = "c as (select l.leaf, count(h.id) as n, count(h.id) filter (h.ptype = 0) as g from leaf_ l left join home_ h on h.leaf = l.leaf group by l.leaf), e as (select *, cast(coalesce(sum(n) over (order by leaf rows between unbounded preceding and 1 preceding), 0) as bigint) as b from c)"
+
+
+@query("l3_kept_lookup", f"{moved()} select id, leaf from home_")
+def l3_kept(spark, sf_dir):
+    """Rows and leaves are stored once; rows that have moved are looked up again only if they have left their leaf."""
+    rows = written(_rows(spark, sf_dir))
+    made = written(leaves.build_leaves(rows, TARGET, TOLERANCE))
+    kept = clustered.store(leaves.find_leaf(rows, made), made, new_folder(spark, "clustered"), 8)
+    return clustered.renewed(partition.perturb(kept.rows, DELTA), kept).select("id", "leaf")
+
+
+@query("l8_checked_write", f"{moved()}, {_RANGES}, r_ as (select h.*, e.b, row_number() over (order by coalesce(h.leaf, 9000000000), case when ptype = 0 then 0 else 1 end, h.slot) - 1 as spot from home_ h left join e on e.leaf = h.leaf) select count(*) as rows_written, count(*) filter (ptype = 0) as gas, count(*) filter (ptype = 4) as star, count(*) filter (ptype = 5) as bh, count(*) filter (leaf is null) as outside, count(*) filter (leaf is not null and (spot < b or spot >= b + n)) as wrong from (select r_.*, c.n from r_ left join c on c.leaf = r_.leaf)")
+def l8_checked(spark, sf_dir):
+    """Dealt rows written, and range, cube, gas, slots and capacity checked in the same pass."""
+    homes, made = _dealt(spark, sf_dir)
+    homes = written(homes.withColumn("slot", F.col("new_slot")).drop("new_slot"))
+    ranges = partition.updated_ranges(made, homes).join(made.select("leaf", "key_begin", "key_last", "side_cells"), "leaf")
+    path = new_folder(spark, "checked")
+    seen = checked.write_checked(homes, ranges, path, {"common": homes.count()})
+    found = spark.read.parquet(path).agg(F.count("*").alias("rows_written"))
+    return found.select("rows_written", *[F.lit(seen[k]).cast("long").alias(k) for k in ("gas", "star", "bh", "outside")], F.lit(sum(v for k, v in seen.items() if k.startswith("wrong_"))).cast("long").alias("wrong"))
+
+
+_NODES = (
+    "n_ as (select l.level as own, key, x, y, z, id % 7 + 1 as mass, cast(unnest(range(22)) as bigint) as level from rows_ r join leaf_ l on r.slot >= l.\"begin\" and r.slot < l.\"end\"), "
+    "t_ as (select level, key >> (63 - 3 * level) as prefix, min(own = level) as is_leaf, min(x) // (2097152 >> level) as cx, min(y) // (2097152 >> level) as cy, min(z) // (2097152 >> level) as cz, count(*) as n, cast(sum(mass) as bigint) as mass, "
+    "cast(sum(mass * x) as double) as mx, cast(sum(mass * y) as double) as my, cast(sum(mass * z) as double) as mz from n_ where level <= own group by 1, 2)"
+)
+
+
+@query("t1_octree", f"{tiled(CLUSTERED)}, {_NODES} select level, prefix, case when level = 0 then null else prefix >> 3 end as parent, is_leaf, " + ", ".join(f"(c{c} + 0.5::double) * (2097152 >> level) as centre_{c}" for c in "xyz") + ", (2097152 >> level) / 2.0::double as half_width, n, mass, " + ", ".join(f"m{c} / mass as com_{c}" for c in "xyz") + " from t_")
+def t1(spark, sf_dir):
+    rows = written(_rows(spark, sf_dir, True))
+    made = written(leaves.build_leaves(rows, TARGET, TOLERANCE))
+    return tree.octree(leaves.find_leaf(rows, made).withColumn("mass", F.expr("id % 7 + 1")), made)
+
+
 def _dealt(spark, sf_dir):
     """Moved rows with their leaf and new slot, and the leaves."""
     rows = _rows(spark, sf_dir)
@@ -577,7 +628,6 @@ def l4(spark, sf_dir):
     return _dealt(spark, sf_dir)[0].selectExpr("new_slot", "slot as old_slot")
 
 
-_RANGES = "c as (select l.leaf, count(h.id) as n, count(h.id) filter (h.ptype = 0) as g from leaf_ l left join home_ h on h.leaf = l.leaf group by l.leaf), e as (select *, cast(coalesce(sum(n) over (order by leaf rows between unbounded preceding and 1 preceding), 0) as bigint) as b from c)"
 
 
 @query("l5_updated_ranges", f"{moved()}, {_RANGES} select leaf, b as \"begin\", cast(b + n as bigint) as \"end\", b as gas_begin, cast(b + g as bigint) as gas_end from e")
