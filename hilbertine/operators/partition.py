@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cubes
 from ..functions.hilbert import with_hilbert_key
+from ..sources.random import drawn
 from .leaves import find_leaf
 from .order import ranked, running_sum
 
@@ -23,6 +26,26 @@ def perturb(rows: DataFrame, delta: int, iteration: int = 0) -> DataFrame:
     return with_hilbert_key(out.drop("key") if "key" in rows.columns else out)
 
 
+def perturb_in_order(rows: DataFrame, delta: int, n: int, iteration: int = 0, seed: int = 24680) -> DataFrame:
+    """Rows (slot, x, y, z) moved as a loop over all ``n`` slots moves them that draws three numbers a row from one generator, and keyed anew.
+
+    A row's numbers are found by jumping ahead in the one sequence, past those of the slots and iterations before, so that
+    the result doesn't depend on how rows are dealt. The seed is a fixed value of the published loop.
+    """
+    if not delta:
+        return with_hilbert_key(rows.drop("key"))
+
+    @F.pandas_udf("x long, y long, z long")
+    def steps(slot: pd.Series) -> pd.DataFrame:
+        found = drawn(seed, slot.to_numpy() + iteration * n, 3) % np.uint64(2 * delta + 1)
+        return pd.DataFrame(found.astype(np.int64) - delta, columns=["x", "y", "z"])
+
+    out = rows.withColumn("__step", steps("slot"))
+    for c in "xyz":
+        out = out.withColumn(c, F.expr(f"cast({cubes.clamp(f'{c} + __step.{c}')} as bigint)"))
+    return with_hilbert_key(out.drop("__step", "key"))
+
+
 def dealt(rows: DataFrame, leaves: DataFrame, n: int | None = None) -> DataFrame:
     """Rows (slot, key, ptype, ...) with ``leaf`` and ``new_slot``: by leaf, gas first in each, else in their order; rows outside all leaves last.
 

@@ -641,6 +641,17 @@ def l6(spark, sf_dir):
     return partition.perturb(_rows(spark, sf_dir), DELTA).select("id", "x", "y", "z", "key")
 
 
+_AXES = ", ".join(f"cast({cubes.clamp(f'{c} + d{c} - {DELTA}')} as bigint) as {c}" for c in "xyz")
+_STEPS = ", ".join(f"cast(max(value) filter (i % 3 = {k}) % {2 * DELTA + 1}::uhugeint as bigint) as d{c}" for k, c in enumerate("xyz"))
+
+
+@query("l6_perturb_in_order", f"{slotted()}, seed_ as (select 0 as i, 24680::uhugeint as seed), {_seeded('seed_', 'i')}, run_ as (select i, s0, s1, s2, s3 from state_ union all select i + 1, {_NEXT} from run_ where i + 1 < 3 * (select count(*) from orders)), "
+       f"step_ as (select i // 3 as slot, {_STEPS} from (select i, {_DRAWN} as value from run_) group by 1), moved_ as (select id, {_AXES} from rows_ join step_ using (slot)), {hilbert_sql('moved_', 'id, x, y, z').replace('hilbert_walk', 'walk2').replace('hilbert_keyed', 'moved_keyed')} select id, x, y, z, key from moved_keyed")
+def l6_ordered(spark, sf_dir):
+    rows = written(_rows(spark, sf_dir))
+    return partition.perturb_in_order(rows, DELTA, rows.count()).select("id", "x", "y", "z", "key")
+
+
 @query("l7_coverage_violations", "select cast('' as varchar) as what, cast(0 as bigint) as leaf where false")
 def l7(spark, sf_dir):
     rows, made, _ = _homes(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -59,3 +60,49 @@ def stream(seed: int) -> Iterator[int]:
         s0 ^= s3
         s2 ^= t
         state = [s0, s1, s2, (s3 << 45 | s3 >> 19) & full]
+
+
+#: Consecutive items whose numbers are drawn one after the other from a jump to the first.
+JUMP_ITEMS = 64
+
+
+@lru_cache(maxsize=64)
+def _leap(k: int) -> np.ndarray:
+    """What 2^k steps do to a state of 256 bits, as a matrix over two elements: a step is linear but for its output."""
+    if k:
+        half = _leap(k - 1).astype(np.float32)
+        return (half @ half % 2).astype(np.uint8)  # sums of at most 256 ones
+    after = []
+    for bit in range(256):
+        one = Streams(np.zeros(1, U))
+        one.state = [U(1 << (bit % 64)) * np.ones(1, U) if bit // 64 == w else np.zeros(1, U) for w in range(4)]
+        one.next()
+        after.append(np.unpackbits(np.concatenate(one.state).astype("<u8").view(np.uint8), bitorder="little"))
+    return np.array(after)  # row: where a bit of the old state goes
+
+
+def jumped(seed: int, steps: np.ndarray) -> Streams:
+    """For each of ``steps`` (not negative) the generator of ``seed`` after so many numbers: the leaps of its binary digits, one after the other."""
+    out = Streams(np.full(len(steps), seed % 2**64, U))
+    bits = np.unpackbits(np.stack(out.state, 1).astype("<u8").view(np.uint8).reshape(len(steps), 32), axis=1, bitorder="little")
+    left = np.asarray(steps, U).copy()
+    for k in range(64):
+        goes = (left >> U(k) & U(1)).astype(bool)
+        if goes.any():
+            bits[goes] = (bits[goes].astype(np.float32) @ _leap(k).astype(np.float32) % 2).astype(np.uint8)
+    words = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    out.state = [words[:, w].astype(U) for w in range(4)]
+    return out
+
+
+def drawn(seed: int, items: np.ndarray, each: int) -> np.ndarray:
+    """The numbers that one generator draws for ``items`` of a sequence, ``each`` for every item: (items, each), in any order of items.
+
+    Items are taken in runs of ``JUMP_ITEMS``; a run starts where its first item's numbers lie in the one sequence, so that
+    tasks need nothing from each other.
+    """
+    items = np.asarray(items, np.int64)
+    run, which = np.unique(items // JUMP_ITEMS, return_inverse=True)
+    at = jumped(seed, run * (JUMP_ITEMS * each))
+    numbers = np.stack([at.next() for _ in range(JUMP_ITEMS * each)], 1).reshape(len(run), JUMP_ITEMS, each)
+    return numbers[which, items % JUMP_ITEMS]

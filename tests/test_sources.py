@@ -55,3 +55,40 @@ def test_schemas():
     for wrong in (PhysicsConfig(hydro_mfm=True), PhysicsConfig(star_formation=False), PhysicsConfig(n_metal_species=-1)):
         with pytest.raises(ValueError):
             schema_for(wrong)
+
+
+def test_jumping_ahead_in_one_sequence():
+    from itertools import islice
+
+    import numpy as np
+
+    from hilbertine.sources import random
+
+    want = list(islice(random.stream(24680), 3000))
+    steps = np.array([0, 1, 2, 63, 64, 1000, 2999, 5])
+    assert [int(v) for v in random.jumped(24680, steps).next()] == [want[i] for i in steps]
+    items = np.array([999, 0, 64, 63, 63, 500])
+    assert random.drawn(24680, items, 3).tolist() == [want[3 * i : 3 * i + 3] for i in items]
+    far = random.jumped(7, np.array([2**40 + 12345]))  # two leaps are as far as one
+    again = random.jumped(7, np.array([2**40]))
+    for _ in range(12345):
+        again.next()
+    assert int(far.next()[0]) == int(again.next()[0])
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_perturbed_rows_follow_the_one_sequence(spark, parts):
+    from hilbertine.operators import partition
+    from hilbertine.sources import random
+
+    n, delta = 700, 256
+    rows = spark.range(n).selectExpr("id as slot", "id * 31 as x", "2097151 - id as y", "id * 7 % 300 as z").repartition(parts)
+    draws = random.stream(24680)
+    places = {i: [i * 31, 2097151 - i, i * 7 % 300] for i in range(n)}
+    for it in range(2):
+        for i in range(n):
+            places[i] = [min(max(v + next(draws) % (2 * delta + 1) - delta, 0), 2**21 - 1) for v in places[i]]
+        rows = partition.perturb_in_order(rows, delta, n, it).select("slot", "x", "y", "z", "key")
+        assert {r.slot: [r.x, r.y, r.z] for r in rows.collect()} == places
+    still = partition.perturb_in_order(rows, 0, n)
+    assert {r.slot: [r.x, r.y, r.z] for r in still.collect()} == places
