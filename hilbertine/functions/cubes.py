@@ -60,3 +60,9 @@ def bounds(target: int, tolerance: float) -> tuple[int, int]:
 
 def clamp(value: str) -> str:
     return f"greatest(0, least({CELLS - 1}, {value}))"
+
+
+def bounds_sql(target: str, tolerance: str) -> tuple[str, str]:
+    """``bounds`` of columns."""
+    within = f"least(1.0D, greatest(0.0D, {tolerance}))"
+    return f"greatest(1L, cast(floor({target} * (1 - {within})) as bigint))", f"greatest(1L, cast(ceil({target} * (1 + {within})) as bigint))"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..config import PhysicsConfig
 from ..schema import BENCH_COARSE_COMMON, BENCH_COMMON, BENCH_LINKAGE, BENCH_SLOT, BENCH_TYPED, BENCH_WHOLE, common_atoms, size_of, typed_atoms
 
@@ -33,6 +36,25 @@ def reorder_streams(layout: str, n: dict[str, int]) -> int:
     return len(BENCH_COMMON) + sum(len(BENCH_TYPED[k]) for k in BENCH_TYPED if n[k])
 
 
+def reorder_streams_of(layout: str, n: dict[str, Column]) -> Column:
+    """``reorder_streams`` of columns that hold the rows of each kind."""
+    there = {k: F.when(v > 0, 1).otherwise(0) for k, v in n.items()}
+    if layout == "A":
+        return sum(there.values(), F.lit(0))
+    if layout in ("B", "Bc"):
+        return F.lit({"B": 5, "Bc": 4}[layout])
+    return sum((there[k] * len(v) for k, v in BENCH_TYPED.items()), F.lit(len(BENCH_COMMON)))
+
+
+def stored_bytes(layout: str, n: dict[str, Column]) -> Column:
+    """Bytes that rows take in the benchmark's structs, by columns that hold the rows of each kind."""
+    total = sum(n.values(), F.lit(0))
+    if layout == "A":
+        return sum((n[k] * BENCH_WHOLE[k] for k in n), total * BENCH_SLOT)
+    common = {"B": _COMMON + BENCH_LINKAGE, "Bc": BENCH_COARSE_COMMON, "C": _COMMON}[layout]
+    return sum((n[k] * v for k, v in _TYPED.items()), total * common)
+
+
 def swap_bytes(layout: str, kind: str) -> int:
     """Bytes that exchanging two rows of a kind moves."""
     per = {"A": BENCH_WHOLE[kind], "B": _COMMON + BENCH_LINKAGE, "Bc": BENCH_COARSE_COMMON, "C": _COMMON + _TYPED.get(kind, 0)}

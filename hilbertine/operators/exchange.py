@@ -199,3 +199,11 @@ def exchange_sizes(config: PhysicsConfig, n: dict[str, int]) -> dict[str, float]
     if n["gas"] + n["star"] + n["bh"] > n["common"]:
         raise ValueError("more typed rows than rows")
     return {"tight_bytes": tight, "fixed_bytes": fixed, "saving_pct": 100.0 * (1 - tight / fixed) if fixed else 0.0}
+
+
+def with_exchange_sizes(counts: DataFrame, config: PhysicsConfig) -> DataFrame:
+    """``counts`` (n_common, n_gas, n_star, n_bh, ...) with tight_bytes, fixed_bytes and saving_pct of a message of each row's counts."""
+    out = exchange_header(counts, config).withColumn("tight_bytes", F.col("total_bytes"))
+    out = out.withColumn("fixed_bytes", (F.col("n_common") * record_bytes(config)["legacy_fixed"]).cast("long"))
+    saved = F.when(F.col("fixed_bytes") > 0, 100.0 * (1 - F.col("tight_bytes").cast("double") / F.col("fixed_bytes"))).otherwise(0.0)
+    return out.withColumn("saving_pct", saved).drop("magic", "version", "total_bytes", *[f"{b}_bytes" for b in BLOCKS])

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from .functions import cubes, flags, marks
 from .functions.hilbert import hilbert_sql, with_hilbert_key
 from .operators import account, arena, atoms, clustered, delta, exchange, layouts, leaves, mutate, order, partition, tree
 from .plans import checked, maintenance
-from .schema import array_count, record_bytes, schema_for
+from .schema import array_count, common_atoms, record_bytes, typed_atoms
 from .shipping import shipped
 from .sources import generate, random
 from .sources.shared import new_folder, written
@@ -95,12 +95,12 @@ def _values(rows: list[tuple], names: str) -> str:
 # --- sources -----------------------------------------------------------------------------------------
 
 # Fixed values throughout: sizes and byte counts in the SQL below are the published ones.
-SIZES = (1, 20, 1000, 32768, 1_000_000)
 
 
-@query("s1_counts_from_total", "with s as (select cast(unnest([1, 20, 1000, 32768, 1000000]) as bigint) as n) select n, n - n*4949//10000 - n*5//1000 - n//10000 as gas, n*4949//10000 as dm, n*5//1000 as star, n//10000 as bh from s")
+@query("s1_counts_from_total", "select o_orderkey as n, n - n*4949//10000 - n*5//1000 - n//10000 as gas, n*4949//10000 as dm, n*5//1000 as star, n//10000 as bh from (select o_orderkey, o_orderkey as n from orders)")
 def s1(spark, sf_dir):
-    return _table(spark, [(n, *generate.counts_from_total(n).values()) for n in SIZES], "n long, gas long, dm long, star long, bh long")
+    """Every order's number taken as a total."""
+    return particles(spark, sf_dir).selectExpr("id as n", *[f"{e} as {k}" for k, e in generate.counts_sql("id").items()])
 
 
 # The generator in SQL, on 128-bit unsigned integers. The numbers are fixed values of it.
@@ -135,27 +135,30 @@ def _draws(seed: int, n: int) -> str:
     return f"seed_ as (select 0 as i, {seed}::uhugeint as seed), {_seeded('seed_', 'i')}, run_ as (select i, s0, s1, s2, s3 from state_ union all select i + 1, {_NEXT} from run_ where i + 1 < {n}), draws_ as (select cast(i as bigint) as i, {_DRAWN} as value from run_)"
 
 
-@query("s2_random_stream", f"with recursive {_draws(12345, 1000)} select i, cast(value as varchar) as value from draws_")
+_FIRST = f"seed_ as (select o_orderkey as id, o_orderkey::uhugeint as seed from orders), {_seeded('seed_', 'id')}, one_ as (select id, {_DRAWN} as v0, {_NEXT} from state_), two_ as (select id, v0, {_DRAWN} as v1, {_NEXT} from one_)"
+
+
+@query("s2_random_stream", f"with {_FIRST} select id, cast(v0 as varchar) as v0, cast(v1 as varchar) as v1, cast({_DRAWN} as varchar) as v2 from two_")
 def s2(spark, sf_dir):
-    draws = random.stream(12345)
-    return _table(spark, [(i, str(next(draws))) for i in range(1000)], "i long, value string")
+    """The first three numbers of a generator seeded with each order's number, as text, for they have 64 bits."""
+    return generate.first_draws(particles(spark, sf_dir).select("id"), 3)
 
 
-def _positions(n: int, seed: int) -> str:
-    """CTEs that end in ``particles`` (id, x, y, z): a generator for each row, three draws of it."""
+def _positions(seed: int) -> str:
+    """CTEs that end in ``particles`` (id, x, y, z): a generator for each order, three draws of it."""
     cell = f"cast(({_DRAWN}) % 2097152::uhugeint as bigint)"
-    rows = f"row_ as (select cast(unnest(range({n})) as bigint) as id), seed_ as (select id, ({seed}::uhugeint + {0xD1B54A32D192ED03}::uhugeint * (id + 1)::uhugeint) % {_FULL} as seed from row_)"
+    rows = f"row_ as (select o_orderkey as id from orders), seed_ as (select id, ({seed}::uhugeint + {0xD1B54A32D192ED03}::uhugeint * (id + 1)::uhugeint) % {_FULL} as seed from row_)"
     return f"{rows}, {_seeded('seed_', 'id')}, one_ as (select id, {cell} as x, {_NEXT} from state_), two_ as (select id, x, {cell} as y, {_NEXT} from one_), particles as (select id, x, y, {cell} as z from two_)"
 
 
-@query("s3_positions_plain", f"with recursive {_positions(15_000, 12345)}, {hilbert_sql('particles', 'id, x, y, z')} select id, x, y, z, key from hilbert_keyed")
+@query("s3_positions_plain", f"with recursive {_positions(12345)}, {hilbert_sql('particles', 'id, x, y, z')} select id, x, y, z, key from hilbert_keyed")
 def s3(spark, sf_dir):
-    return generate.generate_positions(spark, 15_000)
+    return generate.positions_of(particles(spark, sf_dir).select("id"))
 
 
 @query("s4_positions_clustered")
 def s4(spark, sf_dir):
-    return generate.generate_positions(spark, 15_000, clustered=True, temperature=0.25)
+    return generate.positions_of(particles(spark, sf_dir).select("id"), clustered=True, temperature=0.25)
 
 
 @query("s5_keys_from_positions", f"{keyed()} select id, key from hilbert_keyed")
@@ -166,10 +169,11 @@ def s5(spark, sf_dir):
 _CELLS_OF_ROW = ", ".join(f"cast(max(value) filter (i % 3 = {k}) % 2097152::uhugeint as bigint) as {c}" for k, c in enumerate("xyz"))
 
 
-@query("s6_random_keys", f"with recursive {_draws(12345, 6000)}, particles as (select i // 3 as r, {_CELLS_OF_ROW} from draws_ group by 1), {hilbert_sql('particles', 'r, x, y, z')} select x, y, z, key from hilbert_keyed")
+@query("s6_random_keys", f"with recursive seed_ as (select 0 as i, 12345::uhugeint as seed), {_seeded('seed_', 'i')}, run_ as (select i, s0, s1, s2, s3 from state_ union all select i + 1, {_NEXT} from run_ where i + 1 < 3 * (select count(*) from orders)), "
+       f"particles as (select cast(i // 3 as bigint) as r, {_CELLS_OF_ROW} from (select i, {_DRAWN} as value from run_) group by 1), {hilbert_sql('particles', 'r, x, y, z')} select r as id, x, y, z, key from hilbert_keyed")
 def s6(spark, sf_dir):
-    x, y, z = generate.random_cells_exact(2000, 1 << 21, 12345)
-    return with_hilbert_key(spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "z": z})))
+    """Cells drawn from one sequence, three numbers an order, by jumping to each one's place."""
+    return with_hilbert_key(generate.random_cells(particles(spark, sf_dir).select("id"), 1 << 21, 12345))
 
 
 _N = "(select count(*) from orders)"
@@ -205,7 +209,7 @@ def s9(spark, sf_dir):
     return rows.join(new, "slot", "left").withColumn("y", F.coalesce("new_y", "y")).select("slot", "id", "x", "y", "z")
 
 
-@query("s10_sparse_permutation", f"with n_ as (select count(*) as n, cast(floor(0.1 * count(*)) as bigint) as k from orders), r_ as (select o_orderkey as slot, k, row_number() over (order by {generate.draw('o_orderkey', 98765)}, o_orderkey) - 1 as r from orders, n_) select a.slot as new_slot, b.slot as old_slot from r_ a join r_ b on b.r = case when a.r < a.k then (a.r + 1) % a.k else a.r end")
+@query("s10_sparse_permutation", f"with n_ as (select count(*) as n, cast(floor(0.1 * count(*)) as bigint) as k from orders), r_ as (select o_orderkey as slot, k, row_number() over (order by {generate.draw('o_orderkey', 98765)}, o_orderkey) - 1 as r from orders, n_), again_ as (select slot, row_number() over (order by {generate.draw('slot', 98766)}, slot) - 1 as r from r_ where r < k) select a.slot as new_slot, b.slot as old_slot from r_ a join again_ b on b.r = a.r where a.r < a.k union all select slot, slot from r_ where r >= k")
 def s10(spark, sf_dir):
     return generate.sparse_permutation(particles(spark, sf_dir).selectExpr("id as slot"), 0.1)
 
@@ -222,14 +226,35 @@ def s11(spark, sf_dir):
     return generate.swap_pairs(particles(spark, sf_dir).selectExpr("id as slot", "ptype"), _PAIRS)
 
 
-_ARRAYS = [(p, lay, array_count(c, lay)) for p, c in PRESETS.items() for lay in ("B", "C", "Bc")]
+# Arrays of a container: common ones, and those of gas, star and bh.
+_ARRAYS = [("GravityOnly", "B", 5, 0, 0, 0), ("GravityOnly", "C", 4, 0, 0, 0), ("GravityOnly", "Bc", 4, 0, 0, 0), ("StandardSPH", "B", 6, 4, 2, 3), ("StandardSPH", "C", 5, 4, 2, 3), ("StandardSPH", "Bc", 4, 1, 1, 1),
+           ("FullMHD", "B", 7, 5, 2, 5), ("FullMHD", "C", 6, 5, 2, 5), ("FullMHD", "Bc", 4, 1, 1, 1), ("MFMHydro", "B", 6, 4, 2, 3), ("MFMHydro", "C", 5, 4, 2, 3), ("MFMHydro", "Bc", 4, 1, 1, 1)]
+_BY_KIND = f"(select {{by}}, count(*) as n_common, count(*) filter (ptype = 0) as n_gas, count(*) filter (ptype in (1, 2, 3)) as n_dm, count(*) filter (ptype = 4) as n_star, count(*) filter (ptype = 5) as n_bh from ({PARTICLES}) group by 1)"
+_BY_TASK = _BY_KIND.format(by="id % 50 as task")
+
+
+def _kinds(spark, sf_dir) -> DataFrame:
+    """task (of 50, by id) and its rows: n_common, n_gas, n_dm, n_star, n_bh."""
+    count = lambda t: F.count_if(F.expr(f"ptype in ({t})"))
+    return particles(spark, sf_dir).groupBy(F.expr("id % 50").alias("task")).agg(F.count("*").alias("n_common"), count("0").alias("n_gas"), count("1, 2, 3").alias("n_dm"), count("4").alias("n_star"), count("5").alias("n_bh"))
+
 
+def _each(counts: DataFrame, of, make) -> DataFrame:
+    """The rows that ``make`` selects from ``counts`` for each of a few presets or layouts."""
+    return reduce(DataFrame.unionByName, [counts.select("task", *make(x)) for x in of])
 
-@query("s12_container_schema", _values([("GravityOnly", "B", 5), ("GravityOnly", "C", 4), ("GravityOnly", "Bc", 4), ("StandardSPH", "B", 15), ("StandardSPH", "C", 14), ("StandardSPH", "Bc", 7), ("FullMHD", "B", 19), ("FullMHD", "C", 18), ("FullMHD", "Bc", 7), ("MFMHydro", "B", 15), ("MFMHydro", "C", 14), ("MFMHydro", "Bc", 7)], "preset, layout, arrays"))
+
+@query("s12_container_schema", f"select task, preset, layout, arrays + gas + star + bh as arrays, cast(arrays * n_common + gas * n_gas + star * n_star + bh * n_bh as bigint) as elements from {_BY_TASK}, ({_values(_ARRAYS, 'preset, layout, arrays, gas, star, bh')})")
 def s12(spark, sf_dir):
-    for c in PRESETS.values():
-        spark.createDataFrame([], schema_for(c)["common"]).limit(0)
-    return _table(spark, _ARRAYS, "preset string, layout string, arrays long")
+    """The arrays that each task's container has, and the elements that its rows take in all of them."""
+
+    def make(x):
+        (preset, config), layout = x
+        parts = {t: 1 if layout == "Bc" else len(a) for t, a in typed_atoms(config).items()}
+        elements = F.col("n_common") * len(common_atoms(config, layout)) + sum((F.col(f"n_{t}") * k for t, k in parts.items()), F.lit(0))
+        return F.lit(preset).alias("preset"), F.lit(layout).alias("layout"), F.lit(array_count(config, layout)).cast("long").alias("arrays"), elements.cast("long").alias("elements")
+
+    return _each(_kinds(spark, sf_dir), [(p, lay) for p in PRESETS.items() for lay in ("B", "C", "Bc")], make)
 
 
 @query("s13_report", f"{tiled()} select count(*) as n_leaves, cast(min(\"end\"-\"begin\") as bigint) as least, cast(max(\"end\"-\"begin\") as bigint) as most, count(*) filter (\"end\"-\"begin\" < 16) as underfull, count(*) filter (\"end\"-\"begin\" > 48) as overfull, cast((select count(*) from rows_) as bigint) as n from leaf_")
@@ -268,12 +293,11 @@ def f3(spark, sf_dir):
     return pair.selectExpr("slot", f"cast({cubes.common_level('key', 'before')} as bigint) as level")
 
 
-_BOUNDS = [(t, tol) for t in (1, 5, 32, 64, 1000) for tol in (-1.0, 0.0, 0.25, 0.5, 1.0, 2.0)]
-
-
-@query("f4_leaf_bounds", f"with t as ({_values(_BOUNDS, 'target, tolerance')}) select target, tolerance, greatest(1, cast(floor(target * (1 - least(1.0, greatest(0.0, tolerance)))) as bigint)) as least_rows, greatest(1, cast(ceil(target * (1 + least(1.0, greatest(0.0, tolerance)))) as bigint)) as most_rows from t")
+@query("f4_leaf_bounds", f"with t as (select id, id % 1000 as target, (id % 13 - 3) / 8.0::double as tolerance from ({PARTICLES})) select id, target, tolerance, greatest(1, cast(floor(target * (1 - least(1.0::double, greatest(0.0::double, tolerance)))) as bigint)) as least_rows, greatest(1, cast(ceil(target * (1 + least(1.0::double, greatest(0.0::double, tolerance)))) as bigint)) as most_rows from t")
 def f4(spark, sf_dir):
-    return _table(spark, [(t, tol, *cubes.bounds(t, tol)) for t, tol in _BOUNDS], "target long, tolerance double, least_rows long, most_rows long")
+    asked = particles(spark, sf_dir).selectExpr("id", "id % 1000 as target", "(id % 13 - 3) / 8.0D as tolerance")
+    least, most = cubes.bounds_sql("target", "tolerance")
+    return asked.selectExpr("id", "target", "tolerance", f"{least} as least_rows", f"{most} as most_rows")
 
 
 @query("f5_clamp", f"select id, case when x < 1000000 then 0 else x - 1000000 end as low, case when x + 1000000 > 2097151 then 2097151 else x + 1000000 end as high from ({PARTICLES})")
@@ -575,7 +599,7 @@ def l2(spark, sf_dir):
 @query("l3_find_leaf", f"{moved()} select id, leaf from home_")
 def l3(spark, sf_dir):
     rows, made, _ = _homes(spark, sf_dir)
-    return leaves.find_leaf(partition.perturb(rows, DELTA), made).select("id", "leaf")
+    return leaves.find_leaf(partition.perturb(rows, DELTA).cache(), made).select("id", "leaf")  # keys are computed once, not for each level of the leaves
 
 
 _RANGES = "c as (select l.leaf, count(h.id) as n, count(h.id) filter (h.ptype = 0) as g from leaf_ l left join home_ h on h.leaf = l.leaf group by l.leaf), e as (select *, cast(coalesce(sum(n) over (order by leaf rows between unbounded preceding and 1 preceding), 0) as bigint) as b from c)"
@@ -623,6 +647,13 @@ def _dealt(spark, sf_dir):
     return partition.dealt(partition.perturb(rows, DELTA).cache(), made, rows.count()), made
 
 
+def _moved_homes(spark, sf_dir):
+    """Moved rows with their leaf, and the leaves: what counting needs, without an order."""
+    rows = _rows(spark, sf_dir)
+    made = leaves.build_leaves(rows, TARGET, TOLERANCE).cache()
+    return leaves.find_leaf(partition.perturb(rows, DELTA).cache(), made), made  # its keys are computed once
+
+
 @query("l4_partition_permutation", f"{moved()} select row_number() over (order by coalesce(leaf, 9000000000), case when ptype = 0 then 0 else 1 end, slot) - 1 as new_slot, cast(slot as bigint) as old_slot from home_")
 def l4(spark, sf_dir):
     return _dealt(spark, sf_dir)[0].selectExpr("new_slot", "slot as old_slot")
@@ -632,7 +663,7 @@ def l4(spark, sf_dir):
 
 @query("l5_updated_ranges", f"{moved()}, {_RANGES} select leaf, b as \"begin\", cast(b + n as bigint) as \"end\", b as gas_begin, cast(b + g as bigint) as gas_end from e")
 def l5(spark, sf_dir):
-    homes, made = _dealt(spark, sf_dir)
+    homes, made = _moved_homes(spark, sf_dir)
     return partition.updated_ranges(made, homes)
 
 
@@ -751,31 +782,42 @@ def j5(spark, sf_dir):
 _COUNTS = "count(*) as n_common, count(*) filter (ptype = 0) as n_gas, count(*) filter (ptype = 4) as n_star, count(*) filter (ptype = 5) as n_bh"
 
 
-@query("a1_count_range", f"{slotted()} select {_COUNTS} from rows_ where slot >= 100 and slot < 1100")
+# The middle half of all slots, and a list half as long again as the table, in which some slots come twice.
+_FROM, _TO = "(select count(*) // 4 from orders)", "(select count(*) * 3 // 4 from orders)"
+
+
+def _middle(rows: DataFrame) -> DataFrame:
+    n = rows.count()
+    return exchange.select_range(rows, n // 4, n * 3 // 4 - n // 4)
+
+
+@query("a1_count_range", f"{slotted()} select {_COUNTS} from rows_ where slot >= {_FROM} and slot < {_TO}")
 def a1(spark, sf_dir):
-    return exchange.exchange_counts(exchange.select_range(_rows(spark, sf_dir), 100, 1000))
+    return exchange.exchange_counts(_middle(_rows(spark, sf_dir)))
 
 
-_LIST = "select i as seq, (i * 7919) % 1000 as slot from (select unnest(range(1500)) as i)"
+_LIST = "select i as seq, (i * 7919) % n as slot from (select n, unnest(range(n * 3 // 2)) as i from (select count(*) as n from orders))"
 
 
-def _list(spark):
-    return spark.range(1500).selectExpr("id as seq", "(id * 7919) % 1000 as slot")
+def _list(rows: DataFrame) -> DataFrame:
+    n = rows.count()
+    return rows.sparkSession.range(n * 3 // 2).selectExpr("id as seq", f"(id * 7919) % {n} as slot")
 
 
 @query("a2_count_list", f"{slotted()}, l as ({_LIST}) select {_COUNTS} from l join rows_ using (slot)")
 def a2(spark, sf_dir):
-    return exchange.exchange_counts(exchange.select_list(_rows(spark, sf_dir), _list(spark)))
+    rows = _rows(spark, sf_dir)
+    return exchange.exchange_counts(exchange.select_list(rows, _list(rows)))
 
 
 @query("a3_leaf_histogram", f"{moved()} select leaf, count(*) as n, count(*) filter (ptype = 0) as n_gas from home_ where leaf is not null group by leaf")
 def a3(spark, sf_dir):
-    return partition.leaf_histogram(_dealt(spark, sf_dir)[0])
+    return partition.leaf_histogram(_moved_homes(spark, sf_dir)[0])
 
 
 @query("a4_prefix_sum", f"{moved()}, {_RANGES} select leaf, b as before from e")
 def a4(spark, sf_dir):
-    homes, made = _dealt(spark, sf_dir)
+    homes, made = _moved_homes(spark, sf_dir)
     return partition.updated_ranges(made, homes).selectExpr("leaf", "begin as before")
 
 
@@ -806,17 +848,29 @@ _RECORDS = [("GravityOnly", 192, 0, 0, 0, 192), ("StandardSPH", 192, 256, 128, 3
 _R = "preset, common, gas, star, bh, legacy_fixed"
 
 
-@query("x1_record_sizes", _values(_RECORDS, _R))
+_IN_BYTES = f"select task, preset, cast(n_common * common as bigint) as common, cast(n_gas * gas as bigint) as gas, cast(n_star * star as bigint) as star, cast(n_bh * bh as bigint) as bh, cast(n_common * legacy_fixed as bigint) as legacy_fixed from {_BY_TASK}, ({_values(_RECORDS, _R)})"
+
+
+def _record_totals(spark, sf_dir) -> DataFrame:
+    def make(x):
+        preset, size = x[0], record_bytes(x[1])
+        return F.lit(preset).alias("preset"), *[(F.col(f"n_{b}") * size[b]).cast("long").alias(b) for b in exchange.BLOCKS], (F.col("n_common") * size["legacy_fixed"]).cast("long").alias("legacy_fixed")
+
+    return _each(_kinds(spark, sf_dir), PRESETS.items(), make)
+
+
+@query("x1_record_sizes", _IN_BYTES)
 def x1(spark, sf_dir):
-    return _table(spark, [(p, *record_bytes(c).values()) for p, c in PRESETS.items()], "preset string, common long, gas long, star long, bh long, legacy_fixed long")
+    """The bytes of each task's records by block, and as records of one size."""
+    return _record_totals(spark, sf_dir)
 
 
-_CHOSEN = f"{slotted()}, c as (select {_COUNTS} from rows_ where slot >= 100 and slot < 1100)"
+_CHOSEN = f"{slotted()}, c as (select {_COUNTS} from rows_ where slot >= {_FROM} and slot < {_TO})"
 _BYTES = "n_common*192 as common_bytes, n_gas*256 as gas_bytes, n_star*128 as star_bytes, n_bh*320 as bh_bytes, 80+n_common*192+n_gas*256+n_star*128+n_bh*320 as total_bytes"
 
 
 def _header(spark, sf_dir):
-    return exchange.exchange_header(exchange.exchange_counts(exchange.select_range(_rows(spark, sf_dir), 100, 1000)), SPH)
+    return exchange.exchange_header(exchange.exchange_counts(_middle(_rows(spark, sf_dir))), SPH)
 
 
 @query("x2_header", f"{_CHOSEN} select n_common, n_gas, n_star, n_bh, cast({exchange.MAGIC} as bigint) as magic, cast(2 as bigint) as version, {_BYTES} from c")
@@ -838,10 +892,10 @@ def x4(spark, sf_dir):
 
 def _message(spark, sf_dir):
     laid = _sorted(_laid(spark, sf_dir, "Bc"), spark, sf_dir)
-    return laid, exchange.pack(laid, exchange.select_range(laid.common, 100, 1000), SPH)
+    return laid, exchange.pack(laid, _middle(laid.common), SPH)
 
 
-@query("x5_pack_range", f"{slotted()} select 'common' as block, slot - 100 as seq, id from rows_ where slot >= 100 and slot < 1100 union all select case ptype when 0 then 'gas' when 4 then 'star' else 'bh' end, row_number() over (partition by ptype order by slot) - 1, id from rows_ where slot >= 100 and slot < 1100 and ptype in (0, 4, 5)")
+@query("x5_pack_range", f"{slotted()} select 'common' as block, slot - {_FROM} as seq, id from rows_ where slot >= {_FROM} and slot < {_TO} union all select case ptype when 0 then 'gas' when 4 then 'star' else 'bh' end, row_number() over (partition by ptype order by slot) - 1, id from rows_ where slot >= {_FROM} and slot < {_TO} and ptype in (0, 4, 5)")
 def x5(spark, sf_dir):
     _, message = _message(spark, sf_dir)
     out = message["common"].selectExpr("'common' as block", "seq", "id")
@@ -853,7 +907,7 @@ def x5(spark, sf_dir):
 @query("x6_pack_list", f"{slotted()}, l as ({_LIST}), m as (select seq, id, ptype from l join rows_ using (slot)) select 'common' as block, seq, id from m union all select case ptype when 0 then 'gas' when 4 then 'star' else 'bh' end, row_number() over (partition by ptype order by seq) - 1, id from m where ptype in (0, 4, 5)")
 def x6(spark, sf_dir):
     laid = _sorted(_laid(spark, sf_dir, "Bc"), spark, sf_dir)
-    message = exchange.pack(laid, exchange.select_list(laid.common, _list(spark)), SPH)
+    message = exchange.pack(laid, exchange.select_list(laid.common, _list(laid.common)), SPH)
     out = message["common"].selectExpr("'common' as block", "seq", "id")
     for k in ("gas", "star", "bh"):
         out = out.unionByName(message[k].selectExpr(f"'{k}' as block", "block_seq as seq", "owner as id"))
@@ -874,26 +928,27 @@ def x7(spark, sf_dir):
     return buffer.groupBy(F.expr(block).alias("block")).agg(F.count("*").alias("records"), F.sum(F.length("bytes")).alias("bytes"), F.min("offset").alias("first_offset")).filter(F.lit(header["valid"]))
 
 
-@query("x8_unpack", f"{slotted()} select slot, id, cast(ptype as bigint) as ptype, case when ptype = 0 then cast(id as double)*1e-4 end as density from rows_ where slot < 300 union all select slot - 100 + 300, id, ptype, case when ptype = 0 then cast(id as double)*1e-4 end from rows_ where slot >= 100 and slot < 1100")
+_AT = "(select count(*) // 8 from orders)"
+
+
+@query("x8_unpack", f"{slotted()} select slot, id, cast(ptype as bigint) as ptype, case when ptype = 0 then cast(id as double)*1e-4 end as density from rows_ where slot < {_AT} union all select slot - {_FROM} + {_AT}, id, ptype, case when ptype = 0 then cast(id as double)*1e-4 end from rows_ where slot >= {_FROM} and slot < {_TO}")
 def x8(spark, sf_dir):
     laid, message = _message(spark, sf_dir)
     n = {k: laid.typed[k].count() for k in ("gas", "star", "bh")}
     buffer = exchange.to_buffer(message, SPH)
-    out = exchange.unpack(laid, exchange.from_buffer(buffer, {k: v.schema for k, v in message.items()}, SPH), 300, n)
+    out = exchange.unpack(laid, exchange.from_buffer(buffer, {k: v.schema for k, v in message.items()}, SPH), laid.common.count() // 8, n)
     return layouts.logical(out).select("slot", "id", F.col("ptype").cast("long").alias("ptype"), "density")
 
 
-_MIX = {"common": 37, "gas": 10, "star": 5, "bh": 2}
-
-
-@query("x9_exchange_size", "select cast(11024 as bigint) as tight_bytes, cast(18944 as bigint) as fixed_bytes, 100.0::double * (1 - 11024.0::double / 18944) as saving_pct")
+@query("x9_exchange_size", f"select task, tight as tight_bytes, cast(n_common * 512 as bigint) as fixed_bytes, 100.0::double * (1 - tight::double / (n_common * 512)) as saving_pct from (select *, cast(80 + n_common * 192 + n_gas * 256 + n_star * 128 + n_bh * 320 as bigint) as tight from {_BY_TASK})")
 def x9(spark, sf_dir):
-    return _table(spark, [tuple(exchange.exchange_sizes(SPH, _MIX).values())], "tight_bytes long, fixed_bytes long, saving_pct double")
+    """What a tight message of each task's rows takes, against records of one size."""
+    return exchange.with_exchange_sizes(_kinds(spark, sf_dir), SPH).select("task", "tight_bytes", "fixed_bytes", "saving_pct")
 
 
-@query("x10_record_ints", _values([(p, c // 4, f // 4) for p, c, _, _, _, f in _RECORDS], "preset, common_ints, fixed_ints"))
+@query("x10_record_ints", f"select task, preset, common // 4 as common_ints, legacy_fixed // 4 as fixed_ints from ({_IN_BYTES})")
 def x10(spark, sf_dir):
-    return _table(spark, [(p, r["common"] // 4, r["legacy_fixed"] // 4) for p, r in ((p, record_bytes(c)) for p, c in PRESETS.items())], "preset string, common_ints long, fixed_ints long")
+    return _record_totals(spark, sf_dir).selectExpr("task", "preset", "common div 4 as common_ints", "legacy_fixed div 4 as fixed_ints")
 
 
 # --- mutation --------------------------------------------------------------------------------------------
@@ -1002,34 +1057,47 @@ query("r1_arena_blocks")(lambda spark, sf_dir: arena.replay(_trace(spark, sf_dir
 query("r2_arena_stack")(lambda spark, sf_dir: arena.replay(_trace(spark, sf_dir).filter("op in ('push', 'pop')"), 1 << 20).select("trace", "step", "used"))
 query("r3_arena_counters")(lambda spark, sf_dir: arena.replay(_trace(spark, sf_dir), 1 << 20))
 
-_CAP = {"common": 64, "gas": 32, "star": 16, "bh": 8}
+# Bytes of a row's common part, linkage and payload by layout.
+_ALLOCATED = [("StandardSPH", 200, 256, 128, 320), ("GravityOnly", 200, 0, 0, 0)]
 
 
-@query("b1_allocated_bytes", _values([("StandardSPH", 64 * (192 + 8) + 32 * 256 + 16 * 128 + 8 * 320), ("GravityOnly", 64 * (192 + 8))], "preset, bytes"))
+@query("b1_allocated_bytes", f"select task, preset, cast(n_common * c + n_gas * g + n_star * s + n_bh * h as bigint) as bytes from {_BY_TASK}, ({_values(_ALLOCATED, 'preset, c, g, s, h')})")
 def b1(spark, sf_dir):
-    return _table(spark, [(p, account.allocated_bytes(PRESETS[p], "Bc", _CAP)) for p in ("StandardSPH", "GravityOnly")], "preset string, bytes long")
+    """A coarse container as large as each task's rows."""
+    capacity = {b: F.col(f"n_{b}") for b in exchange.BLOCKS}
+    return _each(_kinds(spark, sf_dir), ("StandardSPH", "GravityOnly"), lambda p: (F.lit(p).alias("preset"), account.allocated_bytes(PRESETS[p], "Bc", capacity).cast("long").alias("bytes")))
 
 
-_PUBLISHED = [("A", 4, 1_425_356_800), ("B", 5, 1_536_000_000), ("Bc", 4, 1_280_000_000), ("C", 13, 1_802_662_400)]
+def _rows_of_kinds() -> dict:
+    return {k: F.col(f"n_{k}") for k in ("gas", "dm", "star", "bh")}
 
 
-@query("b2_reorder_bytes", _values(_PUBLISHED, "layout, streams, bytes"))
-def b2(spark, sf_dir):
-    n = generate.counts_from_total(1_000_000)
-    return _table(spark, [(k, account.reorder_streams(k, n), account.reorder_bytes(k, n)) for k in account.LAYOUTS], "layout string, streams long, bytes long")
+_HAS = "(case when n_{} > 0 then 1 else 0 end)"
+_STREAMS = f"case layout when 'A' then {' + '.join(_HAS.format(k) for k in ('gas', 'dm', 'star', 'bh'))} when 'B' then 5 when 'Bc' then 4 else 4 + 4 * {_HAS.format('gas')} + 2 * {_HAS.format('star')} + 3 * {_HAS.format('bh')} end"
+_MOVED = "case layout when 'A' then 4 * (448 * n_gas + 256 * n_dm + 320 * n_star + 448 * n_bh) + 16 * n_common when 'B' then 4 * 384 * n_common when 'Bc' then 4 * 320 * n_common else 4 * (320 * n_common + 256 * n_gas + 128 * n_star + 256 * n_bh) + 8 * n_common end"
+_SWAPPED = "6 * case layout when 'A' then 448 * n_gas + 256 * n_dm + 320 * n_star + 448 * n_bh when 'B' then 384 * n_common when 'Bc' then 320 * n_common else 320 * n_common + 256 * n_gas + 128 * n_star + 256 * n_bh end"
+_HELD = "case layout when 'A' then 448 * n_gas + 256 * n_dm + 320 * n_star + 448 * n_bh + 16 * n_common when 'B' then 384 * n_common + 256 * n_gas + 128 * n_star + 256 * n_bh else 320 * n_common + 256 * n_gas + 128 * n_star + 256 * n_bh end"
+_LAYOUTS_OF_TASKS = f"{_BY_TASK}, (select unnest(['A', 'B', 'Bc', 'C']) as layout)"
 
 
-_SWAPS = [(lay, kind, v) for kind, row in (("gas", (2688, 2304, 1920, 3456)), ("dm", (1536, 2304, 1920, 1920)), ("star", (1920, 2304, 1920, 2688)), ("bh", (2688, 2304, 1920, 3456))) for lay, v in zip(account.LAYOUTS, row, strict=True)]
+@query("b2_reorder_bytes", f"select task, layout, cast({_STREAMS} as bigint) as streams, cast({_MOVED} as bigint) as bytes from {_LAYOUTS_OF_TASKS}")
+def b2(spark, sf_dir):
+    """What reordering each task's rows moves."""
+    n = _rows_of_kinds()
+    return _each(_kinds(spark, sf_dir), account.LAYOUTS, lambda k: (F.lit(k).alias("layout"), account.reorder_streams_of(k, n).cast("long").alias("streams"), account.reorder_bytes(k, n).cast("long").alias("bytes")))
 
 
-@query("b3_swap_bytes", _values(_SWAPS, "layout, kind, bytes"))
+@query("b3_swap_bytes", f"select task, layout, cast({_SWAPPED} as bigint) as bytes from {_LAYOUTS_OF_TASKS}")
 def b3(spark, sf_dir):
-    return _table(spark, [(k, t, account.swap_bytes(k, t)) for t in ("gas", "dm", "star", "bh") for k in account.LAYOUTS], "layout string, kind string, bytes long")
+    """What exchanging each of a task's rows once with another of its kind moves."""
+    n = _rows_of_kinds()
+    return _each(_kinds(spark, sf_dir), account.LAYOUTS, lambda k: (F.lit(k).alias("layout"), sum((v * account.swap_bytes(k, t) for t, v in n.items()), F.lit(0)).cast("long").alias("bytes")))
 
 
-@query("b4_size_report", _values([("A", 1488), ("B", 896 + 128), ("Bc", 320 + 640), ("C", 960)], "layout, bytes"))
+@query("b4_size_report", f"select task, layout, cast({_HELD} as bigint) as bytes from {_LAYOUTS_OF_TASKS}")
 def b4(spark, sf_dir):
-    return _table(spark, account.size_report(), "layout string, name string, bytes long").groupBy("layout").agg(F.sum("bytes").alias("bytes"))
+    """What each task's rows take in the benchmark's structs."""
+    return _each(_kinds(spark, sf_dir), account.LAYOUTS, lambda k: (F.lit(k).alias("layout"), account.stored_bytes(k, _rows_of_kinds()).cast("long").alias("bytes")))
 
 
 @query("b5_sparse_bytes", "select cast(1280000000 as bigint) * (count(*) // 10) // (2 * count(*)) as bytes from orders")
