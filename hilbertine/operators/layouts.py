@@ -35,11 +35,11 @@ def with_group(rows: DataFrame) -> DataFrame:
     return rows.withColumn("grp", F.expr("case when ptype = 0 then 'gas' when ptype in (1, 2, 3) then 'dm' when ptype = 4 then 'star' else 'bh' end"))
 
 
-def with_type_index(rows: DataFrame, out: str = "type_idx", by_type: bool = False) -> DataFrame:
-    """``out``: how many rows of the group (or the very type) come before, by slot."""
+def with_type_index(rows: DataFrame, out: str = "type_idx", by_type: bool = False, n: int | None = None) -> DataFrame:
+    """``out``: how many rows of the group (or the very type) come before, by slot. ``n``: how many rows there are, if known."""
     if by_type:
-        return ranked(rows, "slot", [], out, within="ptype")
-    return ranked(with_group(rows), "slot", [], out, within="grp").drop("grp")
+        return ranked(rows, "slot", [], out, within="ptype", n=n)
+    return ranked(with_group(rows), "slot", [], out, within="grp", n=n).drop("grp")
 
 
 def fill(kind: str, rows: DataFrame) -> Layout:
@@ -78,6 +78,28 @@ def logical(layout: Layout) -> DataFrame:
     return rows.select("slot", "id", "key", "ptype", *COMMON, *fields)
 
 
+def with_payload(layout: Layout, name: str) -> DataFrame:
+    """The rows of one type with the fields of its payload, found as the layout connects them.
+
+    B and Bc: by the index that a common row holds. C: by position, the rank of a row among its type. A: by the
+    directory's entry, into whole rows. A staged row's payload is that of its bare type.
+    """
+    t, fields = PAYLOADS[name]
+    if layout.kind == "A":
+        return layout.common.filter(F.col("grp") == name).join(layout.typed[name], "type_idx").drop("grp", "type_idx")
+    common = layout.common if "type_idx" in layout.common.columns else with_type_index(layout.common)
+    return common.filter(F.expr("ptype & 127") == t).join(layout.typed[name].drop("owner"), "type_idx").drop("type_idx")
+
+
+def by_directory(layout: Layout) -> DataFrame:
+    """Of layout A: every slot with its directory entry (grp, type_idx), and id, key and ptype from the whole row that it points to."""
+    parts = [layout.common.filter(F.col("grp") == g).join(whole.select("type_idx", "id", "key", "ptype"), "type_idx") for g, whole in layout.typed.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("slot", "grp", "type_idx", "id", "key", "ptype")
+
+
 def reshuffle(layout: Layout, perm: DataFrame) -> Layout:
     """Move a layout's rows by a permutation of slots.
 
@@ -86,12 +108,13 @@ def reshuffle(layout: Layout, perm: DataFrame) -> Layout:
     """
     if layout.kind in ("B", "Bc"):
         return replace(layout, common=gather(layout.common, perm))
+    n = perm.count()  # once for all that is numbered
     if layout.kind == "A":
         moved = gather(layout.common, perm)
-        new = ranked(moved.withColumnRenamed("type_idx", "old_idx"), "slot", [], "type_idx", within="grp").cache()
+        new = ranked(moved.withColumnRenamed("type_idx", "old_idx"), "slot", [], "type_idx", within="grp", n=n).cache()
         typed = {g: new.filter(F.col("grp") == g).select("old_idx", F.col("type_idx").alias("new_idx")).join(t.withColumnRenamed("type_idx", "old_idx"), "old_idx").withColumnRenamed("new_idx", "type_idx").drop("old_idx") for g, t in layout.typed.items()}
         return replace(layout, common=new.drop("old_idx"), typed=typed)
-    both = with_type_index(gather(with_type_index(layout.common, "old_idx"), perm)).cache()
+    both = with_type_index(gather(with_type_index(layout.common, "old_idx", n=n), perm), n=n).cache()
     typed = {}
     for name, payload in layout.typed.items():
         places = both.filter(F.expr("ptype & 127") == PAYLOADS[name][0]).select("old_idx", F.col("type_idx").alias("new_idx"))

@@ -67,6 +67,12 @@ def build_leaves(rows: DataFrame, target: int, tolerance: float = 0.5, max_side:
     return leaves.withColumn("underfull", count < least).withColumn("overfull", count > most)
 
 
+def prefix_runs(rows: DataFrame, level: int) -> DataFrame:
+    """prefix, first, past: the run of slots of each cube of a level, of rows (slot, key) numbered in the order of their keys."""
+    runs = rows.groupBy(F.expr(cubes.prefix("key", str(level))).alias("prefix"))
+    return runs.agg(F.min("slot").alias("first"), (F.max("slot") + 1).alias("past"))
+
+
 def find_leaf(keys: DataFrame, leaves: DataFrame, key: str = "key", broadcast_leaves: int = BROADCAST_LEAVES, n: int | None = None) -> DataFrame:
     """``keys`` with ``leaf``: the leaf whose cube holds the key, or null.
 

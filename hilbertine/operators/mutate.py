@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..config import GAS, STAGED, STAR
 from ..functions.flags import LEAF_FLAGS, PARTICLE_FLAGS
+from ..sources.shared import written
 from .layouts import PAYLOADS, Layout
 from .order import ranked
 
@@ -77,17 +78,17 @@ def convert_gas(rows: DataFrame, leaves: DataFrame, requests: DataFrame, n_gas:
             out.append((seq, at))
         return pd.DataFrame(out, columns=["seq", "at"]).astype({"at": "Int64"})
 
-    places = asked.groupBy("leaf").applyInPandas(take, "seq long, at long")
+    places = written(asked.groupBy("leaf").applyInPandas(take, "seq long, at long"))  # a pair of numbers a request
     numbered = ranked(places.filter("at is not null"), "seq", [], "nth").filter(F.col("nth") < room)
     stars = requests.select(F.col("seq").cast("long").alias("seq")).join(numbered.select("seq", (F.col("nth") + n_star).alias("star")), "seq", "left").na.fill(-1, ["star"])
-    granted = asked.join(numbered, "seq").cache()
-    order = Window.partitionBy("leaf").orderBy("at")
-    moves = granted.select("leaf", (F.col("gas_at") + F.col("at")).alias("slot"), (F.col("nth") + n_star).cast("long").alias("__star"), (F.col("star_at") - 1 - F.row_number().over(Window.partitionBy("leaf").orderBy("nth")) + 1).alias("__to"))
-    gone = granted.select("leaf", "gas_at", "at", "star_at", F.row_number().over(order).alias("k")).groupBy("leaf").agg(
+    granted = asked.join(numbered, "seq")
+    nearest = F.row_number().over(Window.partitionBy("leaf").orderBy("nth"))  # the first granted lies right before the old stars, the last in front
+    moves = granted.select((F.col("gas_at") + F.col("at")).alias("slot"), (F.col("nth") + n_star).cast("long").alias("__star"), (F.col("star_at") - nearest).alias("__to"))
+    gone = granted.groupBy("leaf").agg(
         F.count("*").alias("__k"), F.first("gas_at").alias("__gas_at"), F.first("star_at").alias("__star_at"), F.sort_array(F.collect_list("at")).alias("__taken")
     )  # as many numbers as the leaf has requests
     delta = gone.select("leaf", "__k")
-    changed = rows.join(moves.select("slot", "__star", "__to"), "slot", "left").join(gone, "leaf", "left")
+    changed = rows.join(moves, "slot", "left").join(gone, "leaf", "left")
     before = F.expr("case when slot >= __star_at then 0 when ptype = 0 then size(filter(__taken, t -> t < slot - __gas_at)) else __k end")
     slot = F.when(F.col("__star").isNotNull(), F.col("__to")).when(F.col("__k").isNotNull(), F.col("slot") - before).otherwise(F.col("slot"))
     moved = changed.withColumn("__slot", slot.cast("long")).withColumn("ptype", F.when(F.col("__star").isNotNull(), STAR).otherwise(F.col("ptype")).cast(rows.schema["ptype"].dataType))

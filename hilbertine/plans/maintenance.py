@@ -9,9 +9,7 @@ from ..functions.hilbert import CELLS, with_hilbert_key
 from ..operators.leaves import build_leaves, find_leaf
 from ..operators.order import ranked
 from ..operators.partition import dealt, perturb, updated_ranges
-
-#: Rounds of maintenance that one plan holds without a checkpoint.
-PLAN_ROUNDS = 8
+from ..sources.shared import written
 
 
 def slotted(particles: DataFrame) -> DataFrame:
@@ -32,23 +30,17 @@ def leaf_occupancy(particles: DataFrame, target: int = 32, tolerance: float = 0.
 def maintain(particles: DataFrame, iterations: int, delta: int, target: int = 32, tolerance: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Rows and leaf ranges after some rounds of moving, classifying and dealing.
 
-    A round looks each row's leaf up once and deals the rows with all their columns. With a
-    folder for checkpoints, each round's rows are cut from their history; without one, as many rounds as
-    a plan should hold (``PLAN_ROUNDS``) are taken, more are refused.
+    A round looks each row's leaf up once and deals the rows with all their columns. Each round's
+    rows are written to the shared folder, so that a plan holds one round, however many there are, and a lost executor costs no more than that.
     """
-    reliable = particles.sparkSession.sparkContext.getCheckpointDir() is not None
-    if iterations > PLAN_ROUNDS and not reliable:
-        raise ValueError(f"set a checkpoint folder for more than {PLAN_ROUNDS} rounds")
     rows = slotted(particles)
     n = rows.count()
     leaves = build_leaves(rows, target, tolerance).cache()
     homes = None
     for i in range(iterations):
         moved = perturb(rows, delta, i).cache()  # its keys are computed once
-        homes = dealt(moved, leaves, n).withColumn("slot", F.col("new_slot")).drop("new_slot")
-        if reliable:
-            homes = homes.checkpoint()
-            moved.unpersist()
-            rows.unpersist()
+        homes = written(dealt(moved, leaves, n).withColumn("slot", F.col("new_slot")).drop("new_slot"))
+        for done in (moved, rows):
+            done.unpersist()
         rows = homes.drop("leaf")
     return rows, leaves if homes is None else updated_ranges(leaves, homes)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .config import PRESETS
 from .functions import cubes, flags, marks
 from .functions.hilbert import hilbert_sql, with_hilbert_key
-from .operators import account, arena, atoms, clustered, delta, exchange, layouts, leaves, mutate, order, partition, tree
+from .operators import account, arena, atoms, clustered, delta, exchange, fields, layouts, leaves, mutate, order, partition, tree
 from .plans import checked, maintenance
 from .schema import array_count, common_atoms, record_bytes, typed_atoms
 from .shipping import shipped
@@ -205,8 +205,8 @@ def _coarse() -> atoms.Atoms:
 @query("s9_set_positions", f"{slotted()} select slot, id, cast(x as bigint) as x, case when slot % 3 = 0 then (slot * 7) % 2097152 else y end as y, z from rows_")
 def s9(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    new = rows.filter("slot % 3 = 0").selectExpr("slot", "(slot * 7) % 2097152 as new_y")
-    return rows.join(new, "slot", "left").withColumn("y", F.coalesce("new_y", "y")).select("slot", "id", "x", "y", "z")
+    new = rows.filter("slot % 3 = 0").selectExpr("slot", "(slot * 7) % 2097152 as y")
+    return fields.set_fields(rows, new).select("slot", "id", "x", "y", "z")
 
 
 @query("s10_sparse_permutation", f"with n_ as (select count(*) as n, cast(floor(0.1 * count(*)) as bigint) as k from orders), r_ as (select o_orderkey as slot, k, row_number() over (order by {generate.draw('o_orderkey', 98765)}, o_orderkey) - 1 as r from orders, n_), again_ as (select slot, row_number() over (order by {generate.draw('slot', 98766)}, slot) - 1 as r from r_ where r < k) select a.slot as new_slot, b.slot as old_slot from r_ a join again_ b on b.r = a.r where a.r < a.k union all select slot, slot from r_ where r >= k")
@@ -343,10 +343,11 @@ def f10(spark, sf_dir):
 
 @query("f11_get_set_by_slot", f"{slotted()} select slot, case when slot = 5 then 99 else id end as id, case when slot = 7 then cast(123 as bigint) else key end as key, cast(ptype as bigint) as ptype from rows_ where slot in (0, 5, 7, (select max(slot) from rows_))")
 def f11(spark, sf_dir):
+    """Fields of four slots, after those of two have been set."""
     rows = _rows(spark, sf_dir)
-    last = rows.agg(F.max("slot")).first()[0]
-    changed = rows.withColumn("id", F.expr("case when slot = 5 then 99 else id end")).withColumn("key", F.expr("case when slot = 7 then 123L else key end"))
-    return _long(changed.filter(F.col("slot").isin(0, 5, 7, last)), "slot", "id", "key", "ptype")
+    changed = fields.set_fields(fields.set_fields(rows, rows.limit(1).selectExpr("5L as slot", "99L as id")), rows.limit(1).selectExpr("7L as slot", "123L as key"))
+    asked = rows.agg(F.max("slot").alias("last")).select(F.explode(F.array(F.lit(0).cast("long"), F.lit(5).cast("long"), F.lit(7).cast("long"), "last")).alias("slot"))
+    return _long(fields.get_fields(changed, asked, "id", "key", "ptype"), "slot", "id", "key", "ptype")
 
 
 def _homes(spark, sf_dir):
@@ -592,8 +593,7 @@ query("l1_build_leaves_clustered", f"{tiled(CLUSTERED)} {_LEAF}")(lambda spark,
 
 @query("l2_prefix_runs", f"{slotted()} select {cubes.prefix('key', '2')} as prefix, cast(min(slot) as bigint) as first, cast(max(slot) + 1 as bigint) as past from rows_ group by 1")
 def l2(spark, sf_dir):
-    rows = _rows(spark, sf_dir).withColumn("prefix", F.expr(cubes.prefix("key", "2")))
-    return rows.groupBy("prefix").agg(F.min("slot").alias("first"), (F.max("slot") + 1).alias("past"))
+    return leaves.prefix_runs(_rows(spark, sf_dir), 2)
 
 
 @query("l3_find_leaf", f"{moved()} select id, leaf from home_")
@@ -740,17 +740,21 @@ def l12(spark, sf_dir):
 
 @query("j1_linkage_join", f"{slotted()} select slot, id, cast(id as double)*1e-4 as density from rows_ where ptype = 0")
 def j1(spark, sf_dir):
-    laid = _sorted(_laid(spark, sf_dir, "B"), spark, sf_dir)
-    return laid.common.filter(flags.bare_type("ptype") + " = 0").join(laid.typed["gas"], "type_idx").select("slot", "id", "density")
+    return layouts.with_payload(_sorted(_laid(spark, sf_dir, "B"), spark, sf_dir), "gas").select("slot", "id", "density")
 
 
 @query("j2_positional_join", f"{slotted()} select slot, id, cast(id as double)*1e-5 as stellar_age from rows_ where ptype = 4")
 def j2(spark, sf_dir):
-    laid = _sorted(_laid(spark, sf_dir, "C"), spark, sf_dir)
-    return layouts.with_type_index(laid.common).filter("ptype = 4").join(laid.typed["star"], "type_idx").select("slot", "id", "stellar_age")
+    return layouts.with_payload(_sorted(_laid(spark, sf_dir, "C"), spark, sf_dir), "star").select("slot", "id", "stellar_age")
 
 
-query("j3_directory_join", f"{slotted()} {_LOGICAL}")(lambda spark, sf_dir: _meaning(_sorted(_laid(spark, sf_dir, "A"), spark, sf_dir)))
+_GRP = "case ptype when 0 then 'gas' when 4 then 'star' when 5 then 'bh' else 'dm' end"
+
+
+@query("j3_directory_join", f"{slotted()} select slot, {_GRP} as grp, row_number() over (partition by {_GRP} order by slot) - 1 as type_idx, id, key, cast(ptype as bigint) as ptype from rows_")
+def j3(spark, sf_dir):
+    """Each slot's entry of the directory, and the whole row that it leads to, after a reorder has rewritten both."""
+    return layouts.by_directory(_sorted(_laid(spark, sf_dir, "A"), spark, sf_dir)).withColumn("ptype", F.col("ptype").cast("long"))
 
 
 @query("j4_interval_lookup", f"{tiled()}, k as (select id, cast(id * 614891469123651 as bigint) as key from particles) select id, leaf from k left join leaf_ l on k.key between l.key_begin and l.key_last")

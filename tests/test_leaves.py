@@ -79,6 +79,20 @@ def test_both_ways_of_lookup(spark, few, monkeypatch):
     assert len(got) == len(asked) and all(r.leaf == next((x for a, b, x in cubes_ if a <= r.key <= b), None) and r.leaf_idx == r.key % 7 for r in got)
 
 
+def test_rounds_of_maintenance(spark):
+    """As many rounds as one likes: positions are those of the moves alone, and rows lie by leaf, gas first."""
+    base = spark.range(300).selectExpr("id", "id * 6007 % 2097152 as x", "id * 3001 % 2097152 as y", "id * 977 as z", "cast(id % 3 as int) as ptype")
+    rows, ranges = maintenance.maintain(base, 4, 900, 16)
+    want = base
+    for i in range(4):
+        want = partition.perturb(want, 900, i).select("id", "x", "y", "z", "ptype", "key")
+    places = lambda df: sorted(map(tuple, df.select("id", "x", "y", "z", "key").collect()))
+    assert places(rows) == places(want)
+    made = leaves.build_leaves(maintenance.slotted(base), 16)
+    assert partition.partition_violations(leaves.find_leaf(rows, made), ranges).count() == 0
+    assert [r.slot for r in rows.orderBy("slot").collect()] == list(range(300))
+
+
 def test_breaches_of_coverage_are_found(spark):
     rng = random.Random(7)
     keys = sorted(rng.randrange(2**63 - 1) for _ in range(200))

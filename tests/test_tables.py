@@ -225,3 +225,23 @@ def test_what_new_blocks_hold(fill, byte):
 
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_fields_by_slot(spark, rows):
+    from hilbertine.operators import fields
+
+    updates = spark.createDataFrame([(3, 77, None), (5, None, 9), (500, 1, 1)], "slot long, id long, ptype int")
+    got = {r.slot: r for r in fields.set_fields(rows, updates).collect()}
+    assert len(got) == 120 and (got[3].id, got[3].ptype) == (77, None) and (got[5].id, got[5].ptype) == (None, 9) and got[4].id == 1004
+    asked = spark.createDataFrame([(3,), (3,), (119,), (999,)], "slot long")
+    assert sorted((r.slot, r.id) for r in fields.get_fields(rows, asked, "id").collect()) == [(3, 1003), (119, 1119)]
+
+
+@pytest.mark.parametrize("kind", ["A", "B", "Bc", "C"])
+def test_payload_by_each_connection(spark, rows, kind):
+    laid = layouts.reshuffle(layouts.fill(kind, rows), order.sort_permutation(rows))
+    got = layouts.with_payload(laid, "gas").collect()
+    assert len(got) == rows.filter("ptype = 0").count() and all(r.density == pytest.approx((r.id - 1000) * 1e-4) for r in got)
+    if kind == "A":
+        entries = layouts.by_directory(laid).collect()
+        assert sorted(r.slot for r in entries) == list(range(120)) and all(r.type_idx == sum(o.grp == r.grp and o.slot < r.slot for o in entries) for r in entries)
