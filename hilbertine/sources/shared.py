@@ -35,16 +35,22 @@ def written(df: DataFrame) -> DataFrame:
     This cuts the lineage, survives lost executors, and keeps plans short: a cache upon a cache has the plans of both in its own.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/hilbertine-tables/{spark.sparkContext.applicationId}"
+    folder = _folder(spark)
     if folder not in _cleared:
         _cleared.add(folder)
-        atexit.register(_clear, spark, folder)
+        atexit.register(clear_written, spark)
     path, schema = f"{folder}/{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def _clear(spark: SparkSession, folder: str) -> None:
+def _folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/hilbertine-tables/{spark.sparkContext.applicationId}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete what ``written`` has left; no result that reads it may be used afterwards. To be called before a session is stopped by hand."""
     with contextlib.suppress(Exception):  # the application may have ended
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

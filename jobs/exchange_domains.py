@@ -24,7 +24,7 @@ from hilbertine.operators import layouts
 from hilbertine.operators.leaves import build_leaves, find_leaf
 from hilbertine.operators.messages import domains, pack_messages
 from hilbertine.operators.order import ranked
-from hilbertine.sources.shared import written
+from hilbertine.sources.shared import clear_written, written
 from hilbertine.sources.views import as_particles
 
 log = logging.getLogger(__name__)
@@ -78,6 +78,7 @@ def main(argv: list[str] | None = None) -> None:
     try:
         run(spark, a.orders, a.output, json.loads(Path(a.config).read_text()))
     finally:
+        clear_written(spark)
         spark.stop()
 
 
