@@ -4,25 +4,26 @@ Groups of equal texts are indivisible unless one alone exceeds the capacity
 of a shard. Sorted by size, each enters the shard with the tightest remaining
 capacity that holds it, found in a balanced tree of remaining capacities.
 
-The packing itself is done on a table of bounded size. A group larger than
-``capacity / FINE`` is an item of its own, of which all shards together hold at
-most ``shards * FINE``. Smaller groups are gathered by hash into at most
-``BUNDLES`` items. The sizes are summed by key before anything is collected.
+Groups of one size are interchangeable, so the packing works on how many groups
+each size has, and all groups of a size that enter one shard in succession do so
+at once. Distinct sizes add up to no more than all bytes: there are at most
+sqrt(2 * bytes) of them, and no more than the longest text has bytes, but for repeated texts.
+Which groups of a size go where is then settled by their number among that size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import materialise
 
 ROW_BYTES = 16
-FINE = 2_000
-BUNDLES = 1 << 16
-#: Rows of a shard that one task numbers.
-SLOT_ROWS = 20_000
+#: Rows that one task numbers.
+PART_ROWS = 20_000
+#: A group with more than this part of all rows is joined by broadcast; there are fewer such groups than this.
+HOT = 1_000
 
 
 class _Rooms:
@@ -75,26 +76,57 @@ class _Rooms:
         return b
 
 
-def best_fit_decreasing(items: list[tuple[int, int]], shards: int, capacity: int) -> dict[int, int]:
-    """Shard of each (key, size); an item that no shard can hold goes to the emptiest."""
-    rooms, out = _Rooms(), {}
+def best_fit_decreasing(sizes: list[tuple[int, int]], shards: int, capacity: int) -> list[tuple[int, int, int]]:
+    """Runs (size, first, shard) for ``sizes`` (size, number of groups): groups from number ``first`` of a size on go to ``shard``.
+
+    The shard with the tightest room that holds a group is still the tightest after it has taken it, so it takes as many of the
+    size as it can hold. A group that no shard can hold goes to the emptiest; since the shards together hold all
+    bytes, fewer groups of a size than there are shards come to that.
+    """
+    rooms, out = _Rooms(), []
     for shard in range(shards):
         rooms.add(capacity, shard)
-    for key, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        left, shard = rooms.take(size)
-        rooms.add(left - size, shard)
-        out[key] = shard
+    for size, count in sorted(sizes, reverse=True):
+        done = 0
+        while done < count:
+            room, shard = rooms.take(size)
+            many = min(count - done, max(1, room // size))
+            rooms.add(room - many * size, shard)
+            out.append((size, done, shard))
+            done += many
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, fine: int = FINE, bundles: int = BUNDLES) -> DataFrame:
+def even_capacity(sizes: list[tuple[int, int]], shards: int) -> int:
+    """The capacity of each shard if groups that are larger get one of their own and the others share the rest evenly."""
+    rest = sum(size * count for size, count in sizes)
+    for size, count in sorted(sizes, reverse=True):
+        for _ in range(count):
+            if shards == 1 or size * shards <= rest:
+                return -(-rest // shards) or 1
+            rest, shards = rest - size, shards - 1
+    return 1
+
+
+def _numbered(rows: DataFrame, key: str, h: Column, order: list[str], name: str) -> DataFrame:
+    """``rows`` with a gapless number from 0 among those of one ``key`` (of few values), dealt over tasks by the hash ``h``."""
+    parts = rows.groupBy(key).agg(F.expr(f"cast(ceil(count(*) / {PART_ROWS}) as bigint)").alias("parts"))
+    dealt = rows.join(F.broadcast(parts), key).withColumn("part", F.pmod(h, F.col("parts")))
+    counts = dealt.groupBy(key, "part").agg(F.count("*").alias("n"))
+    before = counts.select(key, "part", (F.sum("n").over(Window.partitionBy(key).orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(key, "part").orderBy(*order))
+    return dealt.withColumn("rank", rank).join(before, [key, "part"]).withColumn(name, F.col("before") + F.col("rank") - 1).drop("part", "parts", "rank", "before")
+
+
+def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Place all ``docs`` (doc_id, text) into ``shards`` shards of nearly equal bytes.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 16; a null text has
     none), text_crc32, law ('bytes'), shard, slot (gapless from 0 in a shard)
     and grown_shard (null). A null text groups with the empty one; rows that
     repeat a doc_id are documents of their own; a null doc_id is kept; an empty
-    table gives no rows; other columns are not used.
+    table gives no rows; other columns are not used. A very long text is measured and
+    hashed where it is read and never moved.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -107,38 +139,34 @@ def shard_documents(docs: DataFrame, shards: int = 40, fine: int = FINE, bundles
     ))
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
     capacity = -(-(total or 0) // shards) or 1
-    sizes = rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    # a group above the capacity is dealt over several chunks by a hash of doc_id; there are at most `shards` such groups
+    sizes = rows.groupBy("grp").agg(F.sum("size").alias("bytes"))
+    # a group above the capacity is dealt over several chunks by a hash of doc_id; there are fewer than `shards` such groups
     over = [(r["grp"], -(-4 * r["bytes"] // capacity)) for r in sizes.filter(F.col("bytes") > capacity).collect()]
     chunk = F.lit(0)
     for grp, parts in over:
         chunk = F.when(F.col("grp") == grp, F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(parts))).otherwise(chunk)
     rows = rows.withColumn("item", F.xxhash64("grp", chunk.cast("long")) if over else F.col("grp"))
-    large = rows.groupBy("item").agg(F.sum("size").alias("bytes")).withColumn("large", F.col("bytes") * fine > capacity)
-    bundle = F.pmod("item", F.lit(bundles)).cast("long")
-    named = large.select(F.when(F.col("large"), F.col("item")).otherwise(bundle).alias("key"), "large", "bytes")
-    items = named.groupBy("large", "key").agg(F.sum("bytes").alias("bytes")).toPandas()
-    keys = list(zip(items["large"].tolist(), items["key"].tolist(), strict=True))
-    placed = best_fit_decreasing([(i, int(b)) for i, b in enumerate(items["bytes"].tolist())], shards, capacity)
-    of_large = [(k, placed[i]) for i, (is_large, k) in enumerate(keys) if is_large]
-    of_bundle = [(k, placed[i]) for i, (is_large, k) in enumerate(keys) if not is_large]
-    large_map = spark.createDataFrame(of_large, "item long, large_shard int")
-    bundle_map = spark.createDataFrame(of_bundle, "bundle long, bundle_shard int")
-    # both maps are bounded by shards * fine and by bundles, so that a broadcast is safe at every size
-    put = (
-        rows.join(F.broadcast(large_map), "item", "left").withColumn("bundle", bundle).join(F.broadcast(bundle_map), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("large_shard", "bundle_shard").alias("shard"), F.xxhash64("doc_id", "grp").alias("h"))
+    items = materialise(rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    histogram = [(r["bytes"], r["count"]) for r in items.groupBy("bytes").count().collect()]
+    runs = best_fit_decreasing(histogram, shards, even_capacity(histogram, shards))
+    # as many rows as distinct sizes, and a few for each shard; sizes of one run need no numbers
+    of_size: dict[int, list] = {}
+    for size, first, shard in runs:
+        of_size.setdefault(size, []).append((first, shard))
+    whole = spark.createDataFrame([(size, r[0][1]) for size, r in of_size.items() if len(r) == 1], "bytes long, shard int")
+    split = spark.createDataFrame([(size, r) for size, r in of_size.items() if len(r) > 1], "bytes long, runs array<struct<first: long, shard: int>>")
+    numbered = _numbered(items.join(F.broadcast(split.select("bytes")), "bytes"), "bytes", F.xxhash64("item", F.lit(3)), ["item"], "number")
+    of_run = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("number")), -1)["shard"]
+    placed = materialise(
+        items.join(F.broadcast(whole), "bytes").select("item", "shard", "n")
+        .union(numbered.join(F.broadcast(split), "bytes").select("item", of_run.alias("shard"), "n"))
     )
-    parts = max(1, -(-n // (shards * SLOT_ROWS)))
-    put = put.withColumn("part", F.pmod("h", F.lit(parts)))
-    counts = put.groupBy("shard", "part").agg(F.count("*").alias("n")).collect()
-    before, start = [], {}
-    for shard, part, rows_here in sorted(counts):
-        before.append((shard, part, start.get(shard, 0)))
-        start[shard] = start.get(shard, 0) + rows_here
-    offsets = spark.createDataFrame(before, "shard int, part long, first long")
-    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("h", "doc_id", "text_crc32"))
-    return put.join(F.broadcast(offsets), ["shard", "part"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("first") + rank - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    hot = placed.filter(F.col("n") * HOT > n).select("item", F.col("shard").alias("hot_shard"))
+    met = rows.join(F.broadcast(hot), "item", "left")
+    put = materialise(
+        met.filter("hot_shard is null").join(placed.select("item", "shard"), "item").select("doc_id", "size", "text_crc32", "grp", "shard")
+        .union(met.filter("hot_shard is not null").select("doc_id", "size", "text_crc32", "grp", "hot_shard"))
     )
+    return _numbered(put, "shard", F.xxhash64("doc_id", "grp"), ["doc_id", "text_crc32", "grp"], "slot").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

@@ -1,6 +1,7 @@
 import random
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 from hilbertine.llm import sharding
@@ -21,7 +22,7 @@ def check(rows, shards):
 def test_sizes_are_near_equal_and_groups_stay_together(spark):
     rng = random.Random(3)
     texts = ["é" * rng.randint(0, 400) + str(rng.randint(0, 300)) for _ in range(1500)] + ["hot " * 200] * 700
-    rows = sharding.shard_documents(docs(spark, texts), 8, fine=50, bundles=256).collect()
+    rows = sharding.shard_documents(docs(spark, texts), 8).collect()
     assert all(r.size == len(texts[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
     loads = check(rows, 8)
     assert max(loads) - min(loads) < 0.02 * sum(loads) / 8
@@ -42,32 +43,64 @@ def naive(sizes, shards, capacity):
     return out
 
 
-def test_placement_against_brute_force(spark):
+def test_placement_against_brute_force(spark, monkeypatch):
+    """Groups of one size may change places, so shards are compared by the sizes of their groups."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 7)
     rng = random.Random(8)
-    lengths = rng.sample(range(1, 4000), 300)
-    texts = [f"{i}".ljust(n, "x") for i, n in enumerate(lengths)]
-    texts += [t for t in texts[:40] for _ in range(rng.randint(1, 3))]
+    texts = [f"{i}".ljust(rng.choice([20, 21, 90, rng.randint(1, 3000)]), "x") for i in range(400)]
+    texts += [t for t in texts[:60] for _ in range(rng.randint(1, 3))] + [""] * 150
+    rng.shuffle(texts)
     sizes = {}
     for t in texts:
         sizes[t] = sizes.get(t, 0) + len(t) + 16
-    sizes = {t: s for t, s in sizes.items() if list(sizes.values()).count(s) == 1}  # ties are placed in any order
-    texts = [t for t in texts if t in sizes]
-    rng.shuffle(texts)
-    want = naive(sizes, 6, -(-sum(sizes.values()) // 6))
-    rows = sharding.shard_documents(docs(spark, texts), 6, fine=10**9).collect()
-    assert len(rows) == len(texts) and all(r.shard == want[texts[r.doc_id]] for r in rows)
+    placed = naive(sizes, 6, -(-sum(sizes.values()) // 6))
+    rows = sharding.shard_documents(docs(spark, texts).repartition(5), 6).collect()
+    where = {}
+    for r in rows:
+        assert where.setdefault(texts[r.doc_id], r.shard) == r.shard
+    assert len(rows) == len(texts) and where.keys() == sizes.keys()
+    assert sorted((s, sizes[t]) for t, s in where.items()) == sorted((s, sizes[t]) for t, s in placed.items())
     check(rows, 6)
 
 
-def test_tree_of_rooms():
+def spread(runs, sizes):
+    """(size, shard) of each group."""
+    ends = {(size, first): None for size, first, _ in runs}
+    firsts = {}
+    for size, first in ends:
+        firsts.setdefault(size, []).append(first)
+    out = []
+    for size, first, shard in runs:
+        later = [f for f in firsts[size] if f > first]
+        out += [(size, shard)] * ((min(later) if later else dict(sizes)[size]) - first)
+    return sorted(out)
+
+
+def test_runs_of_sizes_against_one_by_one():
     rng = random.Random(9)
     for shards in (1, 2, 40):
-        sizes = {k: s for k, s in enumerate(sorted((rng.randint(1, 500) for _ in range(400)), reverse=True))}
-        assert sharding.best_fit_decreasing(list(sizes.items()), shards, 90_000 // shards) == naive(sizes, shards, 90_000 // shards)
+        for most in (12, 500):
+            items = dict(enumerate(rng.randint(1, most) for _ in range(400)))
+            sizes = list(Counter(items.values()).items())
+            capacity = -(-sum(items.values()) // shards)
+            want = sorted((items[k], s) for k, s in naive(items, shards, capacity).items())
+            assert spread(sharding.best_fit_decreasing(sizes, shards, capacity), sizes) == want
 
 
 def test_tightest_bin_first():
-    assert sharding.best_fit_decreasing([(0, 5), (1, 4), (2, 3), (3, 3)], 2, 8) == {0: 0, 1: 1, 2: 0, 3: 1}
+    assert sharding.best_fit_decreasing([(5, 1), (4, 1), (3, 2)], 2, 8) == [(5, 0, 0), (4, 0, 1), (3, 0, 0), (3, 1, 1)]
+
+
+def test_one_size_for_all(spark):
+    rows = sharding.shard_documents(docs(spark, [f"{i:04d}" for i in range(1000)]), 7).collect()
+    loads = check(rows, 7)
+    assert len(rows) == 1000 and max(loads) - min(loads) <= 20
+
+
+def test_very_long_text(spark):
+    rows = sharding.shard_documents(docs(spark, ["x" * 10_000_000, *(f"{i}" for i in range(200))]), 4).collect()
+    loads = sorted(check(rows, 4))
+    assert loads[-1] == 10_000_016 and loads[2] - loads[0] <= 40
 
 
 def test_edges(spark):
