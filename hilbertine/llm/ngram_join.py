@@ -40,6 +40,8 @@ from .text import U64, shingle_sets
 
 #: Shingles of one group chunk, and of the queries that one task compares with it in a row.
 CHUNK_SHINGLES = 100_000
+#: Occurrences in the sketch from which on a shingle's classes are dealt over ``SALTS`` tasks.
+HOT, SALTS = 8192, 64
 
 
 def _class_of(shingles: np.ndarray) -> int:
@@ -83,14 +85,15 @@ def _sets_and_sketch(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, n: int, t: int, counts: np.ndarray) -> DataFrame:
-    """(token, cls, size) for each prefix shingle; one that the sketch shows to be in one document is left out."""
+    """(token, cls, size, hot) for each prefix shingle; one that the sketch shows to be in one document is left out."""
+    hot_from = HOT
     counts = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how_many = counts.value
         done: set[int] = set()  # classes that this task has seen
         for batch in batches:
-            tokens, classes, sizes, ready = [], [], [], 0
+            tokens, classes, sizes, hot, ready = [], [], [], [], 0
             for _, s in shingle_sets(batch.column(1), n):
                 c = _class_of(s)
                 if not len(s) or c in done:
@@ -102,17 +105,41 @@ def _prefixes(docs: DataFrame, n: int, t: int, counts: np.ndarray) -> DataFrame:
                 tokens.append(first)
                 classes.append(np.full(len(first), c, np.int64))
                 sizes.append(np.full(len(first), len(s), np.int64))
+                hot.append(how_many[slot(first)] >= hot_from)
                 ready += len(first)
                 if ready > 1 << 18:
-                    yield _batch(tokens, classes, sizes)
-                    tokens, classes, sizes, ready = [], [], [], 0
+                    yield _batch(tokens, classes, sizes, hot)
+                    tokens, classes, sizes, hot, ready = [], [], [], [], 0
             if tokens:
-                yield _batch(tokens, classes, sizes)
+                yield _batch(tokens, classes, sizes, hot)
 
-    def _batch(tokens: list, classes: list, sizes: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], names=["token", "cls", "size"])
+    def _batch(tokens: list, classes: list, sizes: list, hot: list) -> pa.RecordBatch:
+        columns = [np.concatenate(tokens).view(np.int64), np.concatenate(classes), np.concatenate(sizes), np.concatenate(hot)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "cls", "size", "hot"])
 
-    return _texts(docs).mapInArrow(scan, "token bigint, cls bigint, size bigint")
+    return _texts(docs).mapInArrow(scan, "token bigint, cls bigint, size bigint, hot boolean")
+
+
+def _salt() -> Column:
+    """The task of its token that a class goes to."""
+    return F.when(F.col("hot"), F.pmod("cls", F.lit(SALTS))).otherwise(0).cast("int")
+
+
+def _salts(rows: DataFrame) -> DataFrame:
+    """``rows`` (hot, ...), a hot token's ones once for each of its tasks."""
+    return rows.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def _over_token(rows: DataFrame, *aggregates: tuple[str, Column]) -> DataFrame:
+    """``rows`` (token, cls, hot, ...) with named least or largest values over all rows of a token.
+
+    Rows of a hot token are never in one task: their values are combined where they stand, and joined back by token and salt.
+    """
+    by_token = Window.partitionBy("token")
+    cold, hot = rows.filter("not hot"), rows.filter("hot")
+    found = hot.groupBy("token").agg(*(a.alias(name) for name, a in aggregates)).withColumn("hot", F.lit(True))
+    back = hot.withColumn("salt", _salt()).join(_salts(found).drop("hot"), ["token", "salt"]).drop("salt")
+    return cold.select("*", *(a.over(by_token).alias(name) for name, a in aggregates)).unionByName(back)
 
 
 def _least_hits(x: str, y: str, t: int) -> str:
@@ -221,15 +248,16 @@ def _components(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
     counts = summed_sketch(scanned.filter("slab is not null").select("slab", "counts"))
     classes = materialise(rows.filter("size > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
 
-    by_token = Window.partitionBy("token")
+    # a shingle of one class alone is left out; of hot ones such as copies have a few stay, which is harmless
+    here = Window.partitionBy("token", "salt")
     shared = materialise(
-        _prefixes(docs, n, t, counts).withColumn("lo", F.min("cls").over(by_token)).withColumn("hi", F.max("cls").over(by_token))
-        .filter("lo < hi").select("token", "cls", "size").distinct()
+        _prefixes(docs, n, t, counts).withColumn("salt", _salt()).withColumn("lo", F.min("cls").over(here)).withColumn("hi", F.max("cls").over(here))
+        .filter("hot or lo < hi").select("token", "salt", "cls", "size", "hot").distinct().drop("salt")
     )
     # the class with fewest shingles of its own is the likeliest centre of its kin
     own = materialise(shared.groupBy("cls", "size").agg(F.count("*").alias("n")).selectExpr("cls", f"cast(round(1000000 * n / (size - ({t} * size + 99) div 100 + 1)) as int) as mark"))
-    best = F.max(F.struct("mark", "cls", "size")).over(by_token)
-    named = shared.join(own, "cls").withColumn("best", best).selectExpr("cls", "size", "best.cls as pivot", "best.size as pivot_size")
+    marked = shared.join(own.select("cls", "mark"), "cls")
+    named = _over_token(marked, ("best", F.max(F.struct("mark", "cls", "size")))).selectExpr("cls", "size", "best.cls as pivot", "best.size as pivot_size")
     to_pivot = materialise(
         named.filter(f"cls <> pivot and 100 * least(size, pivot_size) >= {t} * greatest(size, pivot_size)")
         .groupBy("cls", "size", "pivot", "pivot_size").agg(F.count("*").alias("hits"))
@@ -245,17 +273,18 @@ def _components(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
 
     linked_as = grouped.selectExpr("node as cls", "comp")
     owned = shared.join(linked_as, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    several = materialise(owned.withColumn("lo", F.min("comp").over(by_token)).withColumn("hi", F.max("comp").over(by_token)).filter("lo < hi").drop("lo", "hi"))
+    several = materialise(_over_token(owned, ("lo", F.min("comp")), ("hi", F.max("comp"))).filter("lo < hi").drop("lo", "hi"))
     kin = to_pivot.groupBy("cls").agg(F.max(F.struct("hits", "pivot")).getField("pivot").alias("grp"))
     members = materialise(several.select("cls", "size", "comp").distinct().join(kin, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")))
     chunks = materialise(members.groupBy("grp").agg((F.floor(F.sum("size") / CHUNK_SHINGLES) + 1).cast("int").alias("chunks")))
     members = materialise(members.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int")).drop("chunks"))
     matrix = (
-        several.select("token", "cls").join(members, "cls").groupBy("token", "grp", "chunk")
+        several.select("token", "cls", "hot").join(members, "cls").groupBy("token", "hot", "grp", "chunk")
         .agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("first")).withColumnRenamed("token", "m_token")
     )
     # of a pair, the class with the larger identity is the query
-    ask = several.join(matrix, F.expr(f"token = m_token and cls > first and not (lo = comp and hi = comp) and 100 * high >= {t} * size and 100 * size >= {t} * low"))
+    asking, asked = several.withColumn("salt", _salt()), _salts(matrix).drop("hot").withColumnRenamed("salt", "m_salt")
+    ask = asking.join(asked, F.expr(f"token = m_token and salt = m_salt and cls > first and not (lo = comp and hi = comp) and 100 * high >= {t} * size and 100 * size >= {t} * low"))
     near, far = f"greatest(low, ({t} * size + 99) div 100)", f"least(high, (100 * size) div {t})"
     opened = materialise(
         ask.groupBy("cls", "size", "comp", "grp", "chunk").agg(F.count("*").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"))

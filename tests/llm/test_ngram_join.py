@@ -64,6 +64,15 @@ def test_against_brute_force(spark, monkeypatch, seed, n, threshold, chunk):
     assert 30 < len({c for _, c in want.values()}) < 400
 
 
+@pytest.mark.parametrize("hot", [0, 30])
+def test_tokens_dealt_over_tasks_give_the_same(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "SALTS", 5)
+    texts = corpus(4, 300)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs(spark, texts).repartition(5), 4, 0.85).collect()}
+    assert got == brute(texts, 4, 85)
+
+
 def test_one_of_each_stays(spark):
     texts = ["a b c d e f g h", "A b c d e f g h", "", None, "other words are in this one here"]
     d = docs(spark, texts)
