@@ -2,8 +2,8 @@
 
 The curve is built from one rule. Its octants are visited along a Gray path, and the
 curve within each is the whole one, turned or mirrored; the 24 orientations that
-arise are the states. Three levels are looked up at a time, so that a key takes
-seven lookups that stay inside generated code.
+arise are the states. Two levels are looked up at a time, in a table short enough that
+plans that hold it many times over stay small; all lookups stay inside generated code.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 BITS = 21
 CELLS = 1 << BITS
-STEP = 3
+#: Levels of one lookup: its table is a literal in every plan that keys rows, and 8 times as long with each level more (1,536 numbers at 2, 12,288 at 3).
+STEP = 2
+#: Shifts and masks that move the bits of a 21-bit number three places apart.
+SPREAD = [(32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)]
 
 # Octants (x, y, z) in the order in which the curve visits them, and how the
 # curve within each is turned: which axis each coordinate is taken from, and which are mirrored.
@@ -87,30 +90,37 @@ def hilbert_key_numpy(x: np.ndarray, y: np.ndarray, z: np.ndarray, bits: int = B
 
 
 def with_hilbert_key(df: DataFrame, out: str = "key", x: str = "x", y: str = "y", z: str = "z", bits: int = BITS) -> DataFrame:
-    """``df`` with the Hilbert key of three bigint columns, of which the lowest ``bits`` count."""
+    """``df`` with the Hilbert key of three bigint columns, of which the lowest ``bits`` count.
+
+    The axes' bits are interleaved first by masks and shifts, so that a level's octant is one shift: generated code
+    stays below the size beyond which the JVM leaves a method uncompiled.
+    """
     bits = min(max(bits, 0), BITS)
     if not bits:
         return df.withColumn(out, F.lit(0).cast("long"))
-    table, names = {}, []
-    at = bits
+    axes = [f"__{out}_{i}" for i in "xyz"]
+    df = df.select("*", *[F.expr(f"cast({c} as bigint) & {CELLS - 1}L").alias(a) for c, a in zip((x, y, z), axes, strict=True)])
+    for by, mask in SPREAD:
+        df = df.withColumns({a: F.expr(f"({a} | shiftleft({a}, {by})) & {mask}L") for a in axes})
+    mixed, table, names, at = f"__{out}_mixed", {}, [], bits
+    df = df.withColumn(mixed, F.expr(f"shiftleft({axes[0]}, 2) | shiftleft({axes[1]}, 1) | {axes[2]}")).drop(*axes)
     while at:
         levels = min(STEP, at)
         at -= levels
         if levels not in table:
             # one literal, which is parsed once when constants are folded
             table[levels] = f"cast(split('{','.join(map(str, _stepped(levels)))}', ',') as array<int>)"
-        size = 8**levels
-        octants = " + ".join(
-            f"cast(shiftright({c}, {at + k}) & 1 as int) * {(4 >> axis) << (3 * k)}" for k in range(levels) for axis, c in enumerate((x, y, z))
-        )
-        state = f"({names[-1][0]} div {names[-1][1]}) * {size} + " if names else ""
+        octants = f"cast(shiftright({mixed}, {3 * at}) & {8**levels - 1}L as int)"
+        # an entry's lowest bits are ranks, those above them the state
+        state = f"shiftleft(shiftright({names[-1][0]}, {3 * names[-1][1]}), {3 * levels}) | " if names else ""
         name = f"__{out}_{len(names)}"
-        df = df.withColumn(name, F.expr(f"get({table[levels]}, cast({state}{octants} as int))"))
-        names.append((name, size))
-    key = f"cast({names[0][0]} % {names[0][1]} as bigint)"
-    for name, size in names[1:]:
-        key = f"({key} * {size} + {name} % {size})"
-    return df.withColumn(out, F.expr(key)).drop(*[n for n, _ in names])
+        df = df.withColumn(name, F.expr(f"get({table[levels]}, {state}{octants})"))
+        names.append((name, levels))
+    parts, at = [], bits
+    for name, levels in names:
+        at -= levels
+        parts.append(f"shiftleft(cast({name} & {8**levels - 1} as bigint), {3 * at})")
+    return df.withColumn(out, F.expr(" | ".join(parts))).drop(mixed, *[n for n, _ in names])
 
 
 def hilbert_sql(source: str, carried: str, bits: int = BITS) -> str:

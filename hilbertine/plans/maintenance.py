@@ -15,9 +15,10 @@ from ..sources.shared import written
 def slotted(particles: DataFrame) -> DataFrame:
     """Particles (id, x, y, z, ptype) with key and slot: their place by key and then id.
 
-    Every later step reads these rows more than once, so they are cached (in memory, and on disk beyond it).
+    Numbering and every later step read these rows more than once, so they are written to the shared folder, before and after: keys are
+    computed once, and later plans hold a scan in place of the key's lookups.
     """
-    return ranked(with_hilbert_key(particles), "key", ["id"], "slot").cache()
+    return written(ranked(written(with_hilbert_key(particles)), "key", ["id"], "slot"))
 
 
 def leaf_occupancy(particles: DataFrame, target: int = 32, tolerance: float = 0.5, max_side: int = CELLS) -> DataFrame:

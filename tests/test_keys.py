@@ -48,3 +48,13 @@ def test_cubes(spark):
         assert r.l == (21 if r.a == r.b else max(x for x in range(22) if r.a >> (63 - 3 * x) == r.b >> (63 - 3 * x)))
     assert cubes.bounds(32, 0.5) == (16, 48) and cubes.bounds(1, 1) == (1, 2) and cubes.bounds(10, 7) == (1, 20)
     assert cubes.level_for_side(2097152) == 0 and cubes.level_for_side(1024) == 11 and cubes.level_for_side(1) == 21
+
+
+def test_key_takes_a_short_plan_and_small_methods(spark):
+    """Plans with long tables fill the driver, and methods of 8,000 bytes and more stay uncompiled."""
+    df = with_hilbert_key(spark.range(10).selectExpr("id", "id as x", "id * 2 as y", "id * 3 as z"))
+    plan = df._jdf.queryExecution().executedPlan()
+    assert len(plan.toString()) < 120_000
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    made = debug.codegenStringSeq(plan)
+    assert made.size() and all(made.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(made.size()))
