@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..config import BH, GAS, STAR, PhysicsConfig
 from ..schema import ATOMS, LINE, common_atoms, parsed, size_of_fields, struct_of, typed_atoms
+from ..sources.shared import written
 from .layouts import with_type_index
 from .order import REGISTRY_ARRAYS, gather, ranked, swap_rows
 
@@ -132,7 +133,7 @@ def key_of(group: str) -> str:
 
 def fill(atoms: Atoms, rows: DataFrame) -> Store:
     """A store of rows (slot, id, key, ptype, x, y, z), their payload in the order in which they come."""
-    indexed = with_type_index(rows).cache()
+    indexed = written(with_type_index(rows))
     store = Store(atoms, {})
     for group in atoms.groups:
         own = indexed if group == "common" else indexed.filter(F.col("ptype") == TYPES[group])

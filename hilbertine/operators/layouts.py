@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .order import gather, ranked, swap_rows
 
 #: Table of each payload, its type and its fields as SQL over the slot at which a row was filled in.
@@ -45,9 +46,9 @@ def with_type_index(rows: DataFrame, out: str = "type_idx", by_type: bool = Fals
 def fill(kind: str, rows: DataFrame) -> Layout:
     """Lay out rows (slot, id, key, ptype, ...) with payload in the order in which they come.
 
-    All tables of the layout are cut from the indexed rows, which are cached.
+    All tables of the layout are cut from the indexed rows, which are written to the shared folder.
     """
-    indexed = with_type_index(rows).cache()
+    indexed = written(with_type_index(rows))
     typed = {name: indexed.filter(F.col("ptype") == t).select("type_idx", F.col("id").alias("owner"), *[F.expr(e).alias(c) for c, e in fields.items()]) for name, (t, fields) in PAYLOADS.items()}
     common = indexed.select("*", *[F.expr(e).alias(c) for c, e in COMMON.items()])
     if kind == "A":  # whole rows by group; the directory has slot, group and index only
@@ -111,10 +112,11 @@ def reshuffle(layout: Layout, perm: DataFrame) -> Layout:
     n = perm.count()  # once for all that is numbered
     if layout.kind == "A":
         moved = gather(layout.common, perm)
-        new = ranked(moved.withColumnRenamed("type_idx", "old_idx"), "slot", [], "type_idx", within="grp", n=n).cache()
+        new = ranked(moved.withColumnRenamed("type_idx", "old_idx"), "slot", [], "type_idx", within="grp", n=n)
+        new = written(new)
         typed = {g: new.filter(F.col("grp") == g).select("old_idx", F.col("type_idx").alias("new_idx")).join(t.withColumnRenamed("type_idx", "old_idx"), "old_idx").withColumnRenamed("new_idx", "type_idx").drop("old_idx") for g, t in layout.typed.items()}
         return replace(layout, common=new.drop("old_idx"), typed=typed)
-    both = with_type_index(gather(with_type_index(layout.common, "old_idx", n=n), perm), n=n).cache()
+    both = written(with_type_index(gather(written(with_type_index(layout.common, "old_idx", n=n)), perm), n=n))
     typed = {}
     for name, payload in layout.typed.items():
         places = both.filter(F.expr("ptype & 127") == PAYLOADS[name][0]).select("old_idx", F.col("type_idx").alias("new_idx"))

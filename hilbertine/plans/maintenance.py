@@ -24,7 +24,7 @@ def slotted(particles: DataFrame) -> DataFrame:
 def leaf_occupancy(particles: DataFrame, target: int = 32, tolerance: float = 0.5, max_side: int = CELLS) -> DataFrame:
     """Rows of each type in each leaf."""
     rows = slotted(particles)
-    homes = find_leaf(rows, build_leaves(rows, target, tolerance, max_side).cache())
+    homes = find_leaf(rows, written(build_leaves(rows, target, tolerance, max_side)))
     return homes.groupBy("leaf", "ptype").agg(F.count("*").alias("n"))
 
 
@@ -36,12 +36,10 @@ def maintain(particles: DataFrame, iterations: int, delta: int, target: int = 32
     """
     rows = slotted(particles)
     n = rows.count()
-    leaves = build_leaves(rows, target, tolerance).cache()
+    leaves = written(build_leaves(rows, target, tolerance))
     homes = None
     for i in range(iterations):
-        moved = perturb(rows, delta, i).cache()  # its keys are computed once
+        moved = written(perturb(rows, delta, i))  # its keys are computed once
         homes = written(dealt(moved, leaves, n).withColumn("slot", F.col("new_slot")).drop("new_slot"))
-        for done in (moved, rows):
-            done.unpersist()
         rows = homes.drop("leaf")
     return rows, leaves if homes is None else updated_ranges(leaves, homes)
