@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_right, insort
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +40,25 @@ def mutate_gas_to_star(rows: DataFrame, chosen: DataFrame, n_star: int, star_cap
     return changed.withColumn("__first", first).withColumn("slot", F.col("__first") + F.row_number().over(order) - 1).select(*rows.columns)
 
 
+def _leaf_by_leaf(asked: DataFrame, answer: Callable[[list[tuple]], Iterable[tuple]], out: pa.Schema) -> DataFrame:
+    """The rows that ``answer`` makes of each leaf's requests, (leaf, seq, j, n, first) in the order of seq, then j.
+
+    Requests are dealt by leaf, sorted, and streamed through a task: a call of Spark's own for each leaf would take it
+    milliseconds a leaf. One leaf's requests are in memory at a time.
+    """
+    columns = ["leaf", "seq", "j", "n", "first"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in columns), strict=True))
+        said = chain.from_iterable(answer(list(own)) for _, own in groupby(rows, key=itemgetter(0)))
+        while part := list(islice(said, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), out.types, strict=True)], schema=out)
+
+    types = {pa.int64(): "bigint", pa.bool_(): "boolean"}
+    longs = [F.col(c).cast("long").alias(c) for c in columns]
+    return asked.select(*longs).repartition("leaf").sortWithinPartitions("leaf", "seq", "j").mapInArrow(run, ", ".join(f"{f.name} {types[f.type]}" for f in out))
+
+
 @dataclass(frozen=True)
 class Converted:
     """What ``convert_gas`` changes: rows, the leaf table, and counters; ``stars`` (seq, star): each request's new index, or -1."""
@@ -63,22 +85,17 @@ def convert_gas(rows: DataFrame, leaves: DataFrame, requests: DataFrame, n_gas:
     asked = requests.select(F.col("seq").cast("long").alias("seq"), "leaf", F.col("j").cast("long").alias("j")).join(known, "leaf", "left")
     room = 2**62 if star_capacity is None else max(0, star_capacity - n_star)
 
-    def take(key: tuple, r: pd.DataFrame) -> pd.DataFrame:
+    def take(requests: list[tuple]) -> Iterator[tuple]:
         """Which places of the leaf's gas the requests take, one after the other: only requests are in memory, not rows."""
-        n, taken, out = (0 if pd.isna(r["n"].iloc[0]) else int(r["n"].iloc[0])), [], []
-        for seq, j in sorted(zip(r["seq"], r["j"], strict=True)):
+        taken: list[int] = []
+        for _, seq, j, n, _ in requests:
             at = None
-            if 0 <= j < n - len(taken):
-                at = int(j)
-                for t in taken:  # ascending: those before shift it
-                    if t > at:
-                        break
-                    at += 1
+            if j is not None and 0 <= j < (n or 0) - len(taken):
+                at = j + bisect_right(range(len(taken)), j, key=lambda i: taken[i] - i)  # those taken before it shift it
                 insort(taken, at)
-            out.append((seq, at))
-        return pd.DataFrame(out, columns=["seq", "at"]).astype({"at": "Int64"})
+            yield seq, at
 
-    places = written(asked.groupBy("leaf").applyInPandas(take, "seq long, at long"))  # a pair of numbers a request
+    places = written(_leaf_by_leaf(asked.withColumn("first", F.col("gas_at")), take, pa.schema([("seq", pa.int64()), ("at", pa.int64())])))  # a pair of numbers a request
     numbered = ranked(places.filter("at is not null"), "seq", [], "nth").filter(F.col("nth") < room)
     stars = requests.select(F.col("seq").cast("long").alias("seq")).join(numbered.select("seq", (F.col("nth") + n_star).alias("star")), "seq", "left").na.fill(-1, ["star"])
     granted = asked.join(numbered, "seq")
@@ -130,28 +147,29 @@ def stage_gas_to_star(rows: DataFrame, requests: DataFrame, n_star: int, star_ca
     asked = requests.select("seq", "leaf", "j").join(gas, "leaf", "left")
     room = 2**62 if star_capacity is None else max(0, star_capacity - n_star)
 
-    def fit(key: tuple, r: pd.DataFrame) -> pd.DataFrame:
-        left, out = (0 if pd.isna(r["n"].iloc[0]) else int(r["n"].iloc[0])), []
-        for seq, j in sorted(zip(r["seq"], r["j"], strict=True)):
-            out.append((seq, 0 <= j < left))
-            left -= 0 <= j < left
-        return pd.DataFrame(out, columns=["seq", "fits"])
+    def fit(requests: list[tuple]) -> Iterator[tuple]:
+        left = requests[0][3] or 0
+        for _, seq, j, _, _ in requests:
+            fits = j is not None and 0 <= j < left
+            left -= fits
+            yield seq, fits
 
-    fits = asked.groupBy("leaf").applyInPandas(fit, "seq bigint, fits boolean")
+    fits = written(_leaf_by_leaf(asked, fit, pa.schema([("seq", pa.int64()), ("fits", pa.bool_())])))
     numbered = ranked(fits.filter("fits"), "seq", [], "place").withColumn("ok", F.col("place") < room)
     stars = requests.select("seq").join(numbered.select("seq", F.expr(f"if(ok, place + {n_star}L, -1L)").alias("star")), "seq", "left").na.fill(-1, ["star"])
     taken = asked.join(numbered.filter("ok").select("seq"), "seq", "left_semi")
 
-    def swap(key: tuple, r: pd.DataFrame) -> pd.DataFrame:
-        n = int(r["n"].iloc[0])
-        at = list(range(n))  # which row stands in each place of the leaf's gas
-        for k, j in enumerate(r.sort_values("seq")["j"]):
+    def swap(requests: list[tuple]) -> Iterator[tuple]:
+        n, first = requests[0][3:]
+        at: dict[int, int] = {}  # which row stands in a place of the leaf's gas, where it may be another
+        for k, (_, _, j, _, _) in enumerate(requests):
             last = n - 1 - k
-            at[j], at[last] = at[last], at[j]
-        first = int(r["first"].iloc[0])
-        return pd.DataFrame([(first + was, first + now, now >= n - len(r)) for now, was in enumerate(at) if was != now or now >= n - len(r)], columns=["old_slot", "new_slot", "staged"])
+            at[j], at[last] = at.get(last, last), at.get(j, j)
+        for now, was in at.items():
+            if was != now or now >= n - len(requests):
+                yield first + was, first + now, now >= n - len(requests)
 
-    moves = taken.groupBy("leaf").applyInPandas(swap, "old_slot bigint, new_slot bigint, staged boolean")
+    moves = written(_leaf_by_leaf(taken, swap, pa.schema([("old_slot", pa.int64()), ("new_slot", pa.int64()), ("staged", pa.bool_())])))
     kept = rows.select("slot", F.col("gas_idx").alias("__idx")).withColumnRenamed("slot", "__slot")
     moved = rows.join(moves, F.col("slot") == F.col("old_slot"), "left").join(kept, F.col("new_slot") == F.col("__slot"), "left")
     staged, flag = F.coalesce("staged", F.lit(False)), PARTICLE_FLAGS["PendingMutation"]

@@ -1,7 +1,10 @@
 """What grows with the table: keys of large ids, and plans that must not."""
 
+from pyspark.sql import GroupedData
+from pyspark.sql import functions as F
+
 from hilbertine import queries
-from hilbertine.operators import layouts
+from hilbertine.operators import layouts, leaves, mutate
 from hilbertine.plans.maintenance import slotted
 from hilbertine.sources.views import as_particles
 
@@ -27,3 +30,28 @@ def test_ordered_and_laid_rows_are_scans(spark):
     for df in (rows, laid.common, laid.typed["gas"]):
         plan = df._jdf.queryExecution().toString()
         assert "InMemoryRelation" not in plan and "split(" not in plan and len(plan) < 20_000
+
+
+def _no_call_per_leaf(*_, **__):
+    raise AssertionError("a call by Spark for each leaf takes milliseconds a leaf")
+
+
+def test_conversion_calls_nothing_per_leaf(spark, monkeypatch):
+    """Leaves of three gas rows each: requests 0, 0 and 0 take them all, whatever task a leaf is in; a fourth is refused."""
+    monkeypatch.setattr(GroupedData, "applyInPandas", _no_call_per_leaf)
+    rows = spark.range(1500).selectExpr("id as slot", "id div 3 as leaf", "id", "0 as ptype", "id as type_idx")
+    state = leaves.leaf_state(rows, rows.groupBy("leaf").agg(F.min("slot").alias("begin")))
+    asked = spark.range(2000).selectExpr("id as seq", "id % 500 as leaf", "0L as j")
+    got = mutate.convert_gas(rows, state, asked, 1500, 0)
+    assert [r.star for r in got.stars.orderBy("seq").collect()] == list(range(1500)) + [-1] * 500
+    assert [(r.id, r.ptype, r.type_idx) for r in got.rows.orderBy("slot").collect()] == [(3 * leaf + k, 4, 500 * k + leaf) for leaf in range(500) for k in (2, 1, 0)]
+
+
+def test_staging_calls_nothing_per_leaf(spark, monkeypatch):
+    monkeypatch.setattr(GroupedData, "applyInPandas", _no_call_per_leaf)
+    rows = spark.range(1200).selectExpr("id as slot", "id div 3 as leaf", "id", "0 as ptype", "0 as flags", "id as gas_idx")
+    asked = spark.range(1600).selectExpr("id as seq", "id % 400 as leaf", "0L as j")
+    out, stars = mutate.stage_gas_to_star(rows, asked, 7)
+    assert [r.star for r in stars.orderBy("seq").collect()] == list(range(7, 1207)) + [-1] * 400
+    # the first goes to the last place; then what has come to the first place goes to the middle; then the rest stays
+    assert [(r.id, r.ptype) for r in out.orderBy("slot").collect()] == [(3 * leaf + k, 128) for leaf in range(400) for k in (1, 2, 0)]
