@@ -12,7 +12,7 @@ from ..functions.hilbert import BITS, CELLS
 from .order import range_cuts
 
 #: Rows of one block of consecutive slots.
-BLOCK_ROWS = 500_000
+BLOCK_ROWS = 100_000
 #: Most leaves that are broadcast to a lookup (32 bytes each).
 BROADCAST_LEAVES = 500_000
 
@@ -49,7 +49,7 @@ def build_leaves(rows: DataFrame, target: int, tolerance: float = 0.5, max_side:
     cube = near.withColumn("level", F.expr(level)).withColumn("key_last", F.expr(cubes.key_last("key", "level"))).select("slot", "key", "block", "level", "key_last")
     furthest = cube.groupBy("block").agg(F.max("key_last").alias("reach")).withColumn("earlier", F.max("reach").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("reach")
     within = Window.partitionBy("block").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each block of half a million rows
+    # one row for each block
     starts = (
         cube.withColumn("so_far", F.max("key_last").over(within)).join(F.broadcast(furthest), "block")
         .filter("coalesce(greatest(so_far, earlier), -1) < key")

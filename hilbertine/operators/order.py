@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..sources.shared import written
 
 #: Rows that one task orders, rows of a sample for each such range, and most ranges; beyond their product a task's rows grow, and are sorted on disk.
-RANGE_ROWS, SAMPLED, RANGES = 500_000, 20, 1 << 17
+RANGE_ROWS, SAMPLED, RANGES = 100_000, 20, 1 << 17
 #: Most changed rows whose permutation is broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 LEAST = -(2**63)
