@@ -145,11 +145,15 @@ def swap_same_type(layout: Layout, i: int, j: int) -> Layout:
 
 
 def payload_violations(layout: Layout) -> DataFrame:
-    """Common rows (slot) of a type with payload whose payload is missing or another's."""
+    """Common rows (slot) of a type with payload whose payload is missing or another's.
+
+    The indexed rows are written once and read for each payload, for an order by itself for each would fill the plan.
+    """
     common = layout.common if "type_idx" in layout.common.columns else with_type_index(layout.common)
+    common = written(common.select("slot", "id", "type_idx", F.expr("ptype & 127").alias("kind")))
     out = None
     for name, payload in layout.typed.items():
-        rows = common.filter(F.expr("ptype & 127") == PAYLOADS[name][0]).select("slot", "id", "type_idx")
+        rows = common.filter(F.col("kind") == PAYLOADS[name][0]).drop("kind")
         bad = rows.join(payload.select("type_idx", "owner"), "type_idx", "left").filter("not (owner <=> id)").select("slot")
         out = bad if out is None else out.unionByName(bad)
     return out

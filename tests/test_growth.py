@@ -55,3 +55,16 @@ def test_staging_calls_nothing_per_leaf(spark, monkeypatch):
     assert [r.star for r in stars.orderBy("seq").collect()] == list(range(7, 1207)) + [-1] * 400
     # the first goes to the last place; then what has come to the first place goes to the middle; then the rest stays
     assert [(r.id, r.ptype) for r in out.orderBy("slot").collect()] == [(3 * leaf + k, 128) for leaf in range(400) for k in (1, 2, 0)]
+
+
+def test_payload_is_checked_on_written_rows(spark):
+    """One order of the rows for all payloads; a missing and a foreign payload are found."""
+    rows = slotted(as_particles(_orders(spark, 0, 300)))
+    perm = rows.selectExpr("id as new_slot", "slot as old_slot")
+    for kind in ("B", "C"):
+        laid = layouts.reshuffle(layouts.fill(kind, rows), perm)
+        good = layouts.payload_violations(laid)
+        assert good.isEmpty() and "Window" not in good._jdf.queryExecution().executedPlan().toString()
+        gas = laid.typed["gas"].filter("type_idx <> 3").withColumn("owner", F.expr("if(type_idx = 5, -1L, owner)"))
+        bad = layouts.payload_violations(layouts.replace(laid, typed=laid.typed | {"gas": gas}))
+        assert bad.count() == 2
