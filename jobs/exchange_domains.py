@@ -19,11 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hilbertine.config import PRESETS
-from hilbertine.functions.hilbert import with_hilbert_key
 from hilbertine.operators import layouts
 from hilbertine.operators.leaves import build_leaves, find_leaf
 from hilbertine.operators.messages import domains, pack_messages
-from hilbertine.operators.order import ranked
+from hilbertine.plans.maintenance import slotted
 from hilbertine.sources.shared import clear_written, written
 from hilbertine.sources.views import as_particles
 
@@ -42,7 +41,7 @@ def run(spark: SparkSession, orders: str, output: str, config: dict | None = Non
     parts, physics = int(c["parts"]), PRESETS[c["preset"]]
     if parts < 1:
         raise ValueError("parts must be 1 at least")
-    rows = written(ranked(with_hilbert_key(as_particles(spark.read.parquet(orders))), "key", ["id"], "slot"))
+    rows = slotted(as_particles(spark.read.parquet(orders)))
     n = rows.count()
     log.info("read %d particles from %s", n, orders)
     leaves = written(domains(build_leaves(rows, int(c["target"]), float(c["tolerance"])), n, parts))
