@@ -23,10 +23,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import toxicity_tables
 from .scratch import materialise
 from .text import U64, byte_class, mix, runs, word_hashes, words
 
@@ -35,7 +37,7 @@ SAMPLE = 20_000
 STEM_BYTES = 4
 #: How much commoner in toxic documents a token must be; with many documents, chance alone would let the words of a language pass.
 LEAST_RATIO = 2
-#: Most tokens and pairs told apart, some 20 MB to broadcast; the significance asked for rises until as many are left.
+#: Most tokens and pairs told apart that are broadcast, some 20 MB; beyond, all of them stay in tables and are joined (``toxicity_tables``).
 MOST_TOKENS, MOST_PAIRS = 1 << 18, 1 << 20
 DISCOUNT = 0.75
 THRESHOLD = 0.3
@@ -292,15 +294,19 @@ def leaning(ordinary: int, toxic: int) -> str:
     return f"if(n1 * {ordinary}D >= {LEAST_RATIO} * n0 * {toxic}D, {departure('n0', 'n1', expected)} + {without}, 0D)"
 
 
-def _vocabulary(training: DataFrame, ordinary: int, toxic: int, most: int) -> Vocabulary:
-    """The tokens whose leaning among so many tokens is more than chance: fewer than one would lean so far by chance."""
+def _vocabulary(training: DataFrame, ordinary: int, toxic: int, most: int) -> Vocabulary | DataFrame:
+    """The tokens whose leaning among so many tokens is more than chance: fewer than one would lean so far by chance.
+
+    More than ``most`` stay in a table (token).
+    """
     if not ordinary or not toxic:
         return Vocabulary([])
     tokens = materialise(_token_documents(training).withColumn("lean", F.expr(leaning(ordinary, toxic))).select("token", "lean"))
     level = 2 * math.log(max(2, tokens.count()))
-    while (lean := tokens.filter(F.col("lean") >= level)).limit(most + 1).count() > most:
-        level *= 1.25
-    return Vocabulary([r[0] for r in lean.select("token").collect()])
+    lean = tokens.filter(F.col("lean") >= level).select("token")
+    if lean.limit(most + 1).count() > most:
+        return materialise(lean)
+    return Vocabulary([r[0] for r in lean.collect()])
 
 
 def _bigrams(training: DataFrame, vocabulary, size: int) -> DataFrame:
@@ -346,7 +352,10 @@ def different(least: np.ndarray) -> float:
 
 
 class _Corpus:
-    """What the models are made of, for any choice of folds: bounded by the tokens and pairs told apart."""
+    """What the models are made of, for any choice of folds: bounded by the tokens and pairs told apart.
+
+    Where there are more than ``most_pairs`` pairs, ``pairs`` is None, and nothing else is gathered.
+    """
 
     def __init__(self, counted: DataFrame, size: int, most_pairs: int = MOST_PAIRS) -> None:
         self.size = size
@@ -354,13 +363,15 @@ class _Corpus:
         pairs = materialise(counted.filter("what = 0").groupBy("key").agg(*by_part).selectExpr("*", f"key div {size} as b", f"key % {size} as w"))
         sums = [F.sum(f"n{p}").alias(f"n{p}") for p in range(4)]
         kinds = [F.count_if(F.expr(" + ".join(f"n{p}" for p in c) + " > 0")).alias("k" + "".join(map(str, c))) for c in ((0,), (1,), (2,), (3,), (0, 1), (2, 3))]
-        self.seen = pairs.groupBy("b").agg(*sums, *kinds).toPandas().set_index("b").reindex(range(size), fill_value=0)
         # a word's own share of toxic uses is what a pair is held against; at most MOST_TOKENS rows
         words_ = pairs.groupBy("w").agg(F.expr("(sum(n2 + n3) + 0.5D) / (sum(n0 + n1 + n2 + n3) + 1D) as share"))
         held = pairs.join(F.broadcast(words_), "w").withColumn("g", F.expr(departure("(n0 + n1)", "(n2 + n3)", "share"))).filter("b > 0 or w > 0")
         level = 2 * math.log(max(2, held.count()))
-        while (apart := held.filter(F.col("g") >= level)).limit(most_pairs + 1).count() > most_pairs:
-            level *= 1.25
+        apart = held.filter(F.col("g") >= level)
+        if apart.limit(most_pairs + 1).count() > most_pairs:
+            self.pairs = None
+            return
+        self.seen = pairs.groupBy("b").agg(*sums, *kinds).toPandas().set_index("b").reindex(range(size), fill_value=0)
         self.pairs = apart.select("key", "n0", "n1", "n2", "n3").toPandas().sort_values("key")
         after = counted.filter("what = 1").groupBy("key", "n").agg(F.expr("bit_or(cast(shiftleft(1, part) as int))").alias("parts"))
         self.after = after.groupBy("key", "parts").agg(F.count("*").alias("n")).toPandas()  # words before, by the parts that they are found in
@@ -396,18 +407,37 @@ class _Corpus:
         return Evidence(counts[1], counts[0], self._continuation([2 * c + f for c in (0, 1) for f in folds]))
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample: int = SAMPLE, most_tokens: int = MOST_TOKENS) -> Model:
+def _weights(rows: pd.DataFrame) -> np.ndarray:
+    """Weights of the features fitted on rows (toxic, total, n)."""
+    y = rows["toxic"].to_numpy()
+    if len(rows) and 0 < y.sum() < len(y):
+        return rising_weights(_features(rows["total"].to_numpy(), rows["n"].to_numpy()), y)
+    share = (y.sum() + 0.5) / (len(y) + 2.5)  # one class only: its share is all that is known
+    return np.array([0.0, 0.0, np.log(share / (1 - share))])
+
+
+def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, sample: int = SAMPLE, most_tokens: int = MOST_TOKENS, most_pairs: int = MOST_PAIRS) -> Model | toxicity_tables.Tables:
     """Learn from the labelled rows of ``docs`` that pass ``where``.
 
     Labels that are null, or of no document, are passed over; of several labels of
-    a document the largest counts. Without labels the model takes every text for ordinary.
+    a document the largest counts. Without labels the model takes every text for ordinary. More than
+    ``most_tokens`` tokens or ``most_pairs`` pairs told apart are not gathered: the model is tables then, which scoring joins.
     """
     training = materialise(_training(docs, labels, F.lit(True) if where is None else where))
     by_class = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     vocabulary = _vocabulary(training, by_class.get(0, 0), by_class.get(1, 0), most_tokens)
-    context, size = docs.sparkSession.sparkContext, len(vocabulary.tokens) + 1
-    used = context.broadcast(vocabulary)
-    corpus = _Corpus(_bigrams(training, used, size), size)
+    share = min(1.0, sample / max(1, sum(by_class.values())))
+    few = training.filter(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * share)).select(*COLUMNS)
+    corpus = None
+    if isinstance(vocabulary, Vocabulary):
+        context, size = docs.sparkSession.sparkContext, len(vocabulary.tokens) + 1
+        used = context.broadcast(vocabulary)
+        corpus = _Corpus(_bigrams(training, used, size), size, most_pairs)
+    if corpus is None or corpus.pairs is None:
+        tokens = docs.sparkSession.createDataFrame([(t,) for t in vocabulary.tokens.view(np.int64).tolist()], "token long") if corpus else vocabulary
+        tables = toxicity_tables.learnt(training, tokens)
+        tables.weights = _weights(toxicity_tables.held(tables, few).toPandas())
+        return tables
     crossed = context.broadcast([corpus.evidence((1,)), corpus.evidence((0,))])  # a row of fold 0 is scored by the counts of fold 1
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,25 +448,20 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, sampl
                 total, n = (np.concatenate([g[i] for g in got]) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(total), pa.array(n.astype(np.int64))], names=["toxic", "total", "n"])
 
-    share = min(1.0, sample / max(1, sum(by_class.values())))
-    few = training.filter(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * share)).select(*COLUMNS)
-    rows = few.mapInArrow(held, "toxic int, total double, n bigint").toPandas()
-    y = rows["toxic"].to_numpy()
-    if len(rows) and 0 < y.sum() < len(y):
-        weights = rising_weights(_features(rows["total"].to_numpy(), rows["n"].to_numpy()), y)
-    else:  # one class only: its share is all that is known
-        share = (y.sum() + 0.5) / (len(y) + 2.5)
-        weights = np.array([0.0, 0.0, np.log(share / (1 - share))])
+    weights = _weights(few.mapInArrow(held, "toxic int, total double, n bigint").toPandas())
     return Model(vocabulary, corpus.evidence(), weights)
 
 
-def score_documents(docs: DataFrame, model: Model, held_out: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model | toxicity_tables.Tables, held_out: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: more likely toxic) and predicted (1 from ``threshold`` on).
 
     A null or empty text has no evidence and gets the score of that. Every row
     is scored by its text alone; a null doc_id is kept and not held out; an
     empty table gives no rows; other columns are not used.
     """
+    held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
+    if isinstance(model, toxicity_tables.Tables):
+        return toxicity_tables.score_documents(docs, model, held, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,17 +469,18 @@ def score_documents(docs: DataFrame, model: Model, held_out: Column | None = Non
             p = shared.value.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
-def keep_ordinary(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def keep_ordinary(docs: DataFrame, model: Model | toxicity_tables.Tables, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score is ``threshold`` or more; all columns are kept.
 
     A null or empty text is scored as one without words. Every row is judged by its text
     alone, also those that repeat a doc_id. An empty table gives an empty one.
     """
+    if isinstance(model, toxicity_tables.Tables):
+        return toxicity_tables.keep_ordinary(docs, model, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 

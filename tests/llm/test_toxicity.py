@@ -161,3 +161,24 @@ def test_edges(spark):
         assert len({r.score for r in rows if r.doc_id in (1, 2, 3)}) == 1
     model = tox.train(none(spark), labels)
     assert tox.score_documents(none(spark), model).count() == 0
+
+
+def test_beyond_the_broadcast_nothing_is_dropped(spark):
+    """Tokens or pairs beyond what is broadcast are joined from tables, and give the scores that the broadcast ones give."""
+    texts, toxic = corpus(400, 5)
+    texts += [None, "", " - "]
+    d = docs(spark, texts).union(docs(spark, texts[:3]))
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    whole = tox.train(d, labels)
+    assert len(whole.vocabulary.tokens) > 2 and len(whole.table.keys) > 1
+    held = F.col("doc_id") % 2 == 1
+    want = sorted((r.doc_id, r.held_out, r.predicted, r.score) for r in tox.score_documents(d, whole, held).collect())
+    for most in ({"most_tokens": 1}, {"most_pairs": 1}):
+        model = tox.train(d, labels, **most)
+        got = sorted((r.doc_id, r.held_out, r.predicted, r.score) for r in tox.score_documents(d, model, held).collect())
+        assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=0.01)
+        assert model.tokens.count() == len(whole.vocabulary.tokens) and model.pairs.count() == len(whole.table.keys)
+        words = {r.id: r.e for r in model.words.collect()}
+        assert np.allclose([words[t] for t in whole.vocabulary.tokens.view(np.int64).tolist()], whole.table.word[1:], atol=0.02)
+        kept = tox.keep_ordinary(d, model)
+        assert kept.columns == d.columns and kept.count() == sum(not r[2] for r in got)
