@@ -26,6 +26,8 @@ from hilbertine.operators.order import ranked, running_sum
 log = logging.getLogger(__name__)
 CONFIG = Path(__file__).with_suffix(".json")
 RECORDS = "doc_id long, source string, text string, n_bytes long, text_md5 string, type_idx long, first_byte long, batch long, kind string"
+#: Records, with their texts, that one task orders or sums up.
+RANGE_ROWS = 10_000
 COUNTS = "kind string, n long, n_bytes long, batch long"
 
 
@@ -72,8 +74,8 @@ def _append(batch: DataFrame, number: int, output: str) -> None:
         F.coalesce(F.expr("nullif(cast(kind as string), '')"), F.lit("none")).alias("kind"), F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("__by"),
     ).persist()
     held = spark.read.schema(COUNTS).parquet(f"{output}/counts").filter(F.col("batch") < number).groupBy("kind").agg(F.sum("n").alias("__n"), F.sum("n_bytes").alias("__bytes"))
-    nth = ranked(rows, "__by", ["text_md5", F.asc_nulls_first("source")], "__nth", within="kind")
-    placed = running_sum(nth, "__nth", "n_bytes", "__earlier", within=("kind",)).join(held, "kind", "left").withColumn("batch", F.lit(number).cast("long"))
+    nth = ranked(rows, "__by", ["text_md5", F.asc_nulls_first("source")], "__nth", within="kind", rows_per_range=RANGE_ROWS)
+    placed = running_sum(nth, "__nth", "n_bytes", "__earlier", block=RANGE_ROWS, within=("kind",)).join(held, "kind", "left").withColumn("batch", F.lit(number).cast("long"))
     placed = placed.withColumn("type_idx", F.col("__nth") + F.coalesce("__n", F.lit(0))).withColumn("first_byte", F.col("__earlier") + F.coalesce("__bytes", F.lit(0)))
     _write(placed.select(*[f.split(" ")[0] for f in RECORDS.split(", ")]), f"{output}/records", "batch", "kind")
     added = spark.read.schema(RECORDS).parquet(f"{output}/records").filter(F.col("batch") == number)  # what is there, not what was meant

@@ -87,6 +87,21 @@ def test_archive_of_repeated_and_null_ids(spark, tmp_path):
     assert [r.doc_id for r in got] == [None, None, 1, 1, 1] and [r.type_idx for r in got] == list(range(5))
 
 
+def test_archive_in_small_ranges(spark, tmp_path, monkeypatch):
+    """A task gets so many records with their texts and no more, and the archive is the same."""
+    put(spark, f"{tmp_path}/in", "a", documents(0, 300))
+    want, most, deal = held(archive_documents.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark")), [], archive_documents.ranked
+
+    def spied(df, *args, **more):
+        most.append(more["rows_per_range"])
+        return deal(df, *args, **more)
+
+    assert archive_documents.RANGE_ROWS <= 10_000
+    monkeypatch.setattr(archive_documents, "RANGE_ROWS", 20)
+    monkeypatch.setattr(archive_documents, "ranked", spied)
+    assert held(archive_documents.run(spark, f"{tmp_path}/in", f"{tmp_path}/out2", f"{tmp_path}/mark2")) == want and most == [20]
+
+
 @pytest.fixture
 def orders(spark, tmp_path):
     spark.range(3000).selectExpr("id as o_orderkey", "id * 37 % 911 as o_custkey", "'x' as o_comment").write.parquet(f"{tmp_path}/orders")
