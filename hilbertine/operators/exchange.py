@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..config import BH, GAS, STAR, PhysicsConfig
 from ..schema import record_bytes
+from ..sources.shared import written
 from .layouts import PAYLOADS, Layout
 from .order import ranked
 
@@ -65,9 +66,11 @@ def block_offsets(headers: DataFrame) -> DataFrame:
 def pack(layout: Layout, chosen: DataFrame, config: PhysicsConfig) -> dict[str, DataFrame]:
     """The blocks of a message: common rows by ``seq`` without their linkage, payload rows in the order in which they come.
 
-    Refuses rows of a type whose physics is off.
+    Refuses rows of a type whose physics is off. The chosen rows are written to the shared folder, for each block numbers
+    them by itself and would find them anew several times.
     """
     size = record_bytes(config)
+    chosen = written(chosen)
     bare = F.expr("ptype & 127")
     for name, (t, _) in PAYLOADS.items():
         if not size[name] and chosen.filter(bare == t).limit(1).count():

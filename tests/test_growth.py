@@ -4,7 +4,8 @@ from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from hilbertine import queries
-from hilbertine.operators import layouts, leaves, mutate
+from hilbertine.config import PRESETS
+from hilbertine.operators import exchange, layouts, leaves, mutate
 from hilbertine.plans.maintenance import slotted
 from hilbertine.sources.views import as_particles
 
@@ -68,3 +69,11 @@ def test_payload_is_checked_on_written_rows(spark):
         gas = laid.typed["gas"].filter("type_idx <> 3").withColumn("owner", F.expr("if(type_idx = 5, -1L, owner)"))
         bad = layouts.payload_violations(layouts.replace(laid, typed=laid.typed | {"gas": gas}))
         assert bad.count() == 2
+
+
+def test_a_message_is_cut_from_written_rows(spark):
+    """Chosen rows are found once, not again for each block and count."""
+    rows = slotted(as_particles(_orders(spark, 0, 300)))
+    laid = layouts.reshuffle(layouts.fill("Bc", rows), rows.selectExpr("id as new_slot", "slot as old_slot"))
+    message = exchange.pack(laid, exchange.select_range(laid.common, 10, 200), PRESETS["StandardSPH"])
+    assert "Join" not in message["common"]._jdf.queryExecution().toString() and message["common"].count() == 200
