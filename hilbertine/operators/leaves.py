@@ -98,8 +98,8 @@ def find_leaf(keys: DataFrame, leaves: DataFrame, key: str = "key", broadcast_le
 def _find_by_ranges(keys: DataFrame, leaves: DataFrame, key: str, n: int, rows_per_range: int = BLOCK_ROWS) -> DataFrame:
     cut = leaves.select(F.col("key_begin").alias("__key"), F.struct("leaf", "key_last").alias("__here"))
     cuts = range_cuts(keys.select(F.col(key).alias("__key")).union(cut.select("__key")), "__key", n, rows_per_range)
-    events = keys.select(F.col(key).alias("__key"), F.struct("*").alias("__row")).unionByName(cut, allowMissingColumns=True).withColumn("__range", cuts.range_of("__key"))
-    last = cut.groupBy(cuts.range_of("__key").alias("__range")).agg(F.max_by("__here", "__key").alias("__end")).collect()  # a row a range
+    events = cuts.dealt(keys.select(F.col(key).alias("__key"), F.struct("*").alias("__row")).unionByName(cut, allowMissingColumns=True), "__key")
+    last = cuts.dealt(cut, "__key").groupBy("__range").agg(F.max_by("__here", "__key").alias("__end")).collect()  # a row a range
     carried, now, ends = [], None, {r["__range"]: r["__end"] for r in last}
     for r in range(len(cuts) + 1):
         carried.append((r, now))

@@ -46,6 +46,26 @@ class Cuts:
         return F.expr(f"aggregate(array({steps}), 0, (at, step) -> if(at + step <= {len(self.keys)} and {at_most}, at + step, at))")
 
 
+    def dealt(self, df: DataFrame, by: str, tie: str | None = None, out: str = "__range") -> DataFrame:
+        """``df`` with ``out``: ``range_of`` each row.
+
+        Each step of the search is a column of generated code, where Spark interprets a loop; the loop is left to rows whose
+        key is a cut's, too, so that their tie-breaks decide.
+        """
+        if not self.keys:
+            return df.withColumn(out, F.lit(0))
+        tied, at = bool(self.ties and tie), "0"
+        table = f"cast(split('{','.join(map(str, self.keys))}', ',') as array<bigint>)"  # one literal, which is parsed once
+        found = df.withColumns({f"{out}_key": F.coalesce(by, F.lit(LEAST)), f"{out}_keys": F.expr(table)})
+        for k in reversed(range(len(self.keys).bit_length())):
+            # beyond the table's end get() is null
+            step = f"if(get({out}_keys, {at} + {(1 << k) - 1}) {'<' if tied else '<='} {out}_key, {at} + {1 << k}, {at})"
+            at = f"{out}_{k}"
+            found = found.withColumn(at, F.expr(step))
+        place = F.when(F.expr(f"get({out}_keys, {at}) = {out}_key"), self.range_of(f"{out}_key", tie)).otherwise(F.col(at)) if tied else F.col(at)
+        return found.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(out))
+
+
 def _literal(value: int) -> str:
     return f"{value}L" if value > LEAST else f"({LEAST + 1}L - 1L)"
 
@@ -90,7 +110,7 @@ def ranked(df: DataFrame, by: str, then: list[str], out: str, within: str | list
     groups = [within] if isinstance(within, str) else list(within or [])
     tie = then[0] if then and isinstance(then[0], str) and isinstance(df.schema[then[0]].dataType, LongType) else None
     cuts = range_cuts(df, by, df.count() if n is None else n, rows_per_range, tie)
-    dealt = df.withColumn("__range", cuts.range_of(by, tie))
+    dealt = cuts.dealt(df, by, tie)
     order = Window.partitionBy("__range", *groups).orderBy(by, *then)
     numbered = dealt.withColumn(out, F.row_number().over(order).cast("long") - 1)
     if not len(cuts):
