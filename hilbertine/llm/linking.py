@@ -16,6 +16,47 @@ from .text import mix
 #: Counters of a sketch. Counters travel in slabs, which are added up apart from each other.
 COUNTERS, SLAB = 1 << 21, 1 << 15
 SKETCH_SCHEMA = "slab int, counts binary"
+#: Edges that a task contracts at a time.
+EDGES = 1 << 19
+
+
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, in order, and the smallest node that each reaches by them."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return nodes, nodes[root]
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while ((up := root[root]) != root).any():
+            root = up
+
+
+def _contracted(edges: DataFrame, most: int) -> DataFrame:
+    """Edges (u, v) that connect the same nodes: of every ``most`` edges of a task, each node to the smallest that it reaches by them."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def given() -> pa.RecordBatch:
+            node, least = smallest_reachable(*(np.concatenate([np.asarray(x.column(i)) for x in held]) for i in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], names=["u", "v"]).filter(pa.array(node != least))
+
+        for batch in batches:
+            while batch.num_rows:
+                held.append(batch.slice(0, most - n))
+                batch, n = batch.slice(most - n), n + held[-1].num_rows
+                if n == most:
+                    yield given()
+                    held, n = [], 0
+        if n:
+            yield given()
+
+    return edges.mapInArrow(contract, "u bigint, v bigint")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,8 +66,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     of a node to its smallest one, then the smaller. A round needs no node's
     neighbours in one place, and some log n rounds suffice. Each round's edges are
     written to the shared folder. Loops and repeated edges are harmless.
+
+    Before the rounds tasks contract up to ``EDGES`` edges at a time; where that has taken all of them, no round is left to do.
     """
     e = materialise(edges.filter("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct())
+    parts = -(-e.count() // EDGES)
+    e = materialise(_contracted(e.coalesce(max(1, parts)), EDGES))
+    if parts <= 1:
+        return e.selectExpr("u as node", "v as comp").union(e.selectExpr("v as node", "v as comp").distinct())
     mark = None
     while True:
         both = e.selectExpr("u as x", "v as y").union(e.selectExpr("v as x", "u as y"))

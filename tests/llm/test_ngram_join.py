@@ -88,6 +88,31 @@ def test_rows_that_repeat_an_id_are_told_apart(spark):
     assert sorted(r.gone for r in kept.collect()) == [0, 2, 4, 6] and kept.columns == d.columns
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(600)] + [(i, i + 1) for i in range(1000, 1200)] + [(5, 5)]
+    root: dict[int, int] = {}
+
+    def find(k):
+        while root.get(k, k) != k:
+            k = root[k]
+        return k
+
+    for x, y in pairs:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    want = {k: find(k) for pair in pairs if pair[0] != pair[1] for k in pair}
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    writes = []
+    kept = linking.materialise
+    monkeypatch.setattr(linking, "materialise", lambda df: writes.append(1) or kept(df))
+    for most, rounds in ((linking.EDGES, False), (50, True)):  # all in one task; dealt over several
+        writes.clear()
+        monkeypatch.setattr(linking, "EDGES", most)
+        got = linking.connected_components(edges).collect()
+        assert {r.node: r.comp for r in got} == want and len(got) == len(want) and (len(writes) > 2) == rounds
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(9)
     ids = rng.sample(range(-500, 500), 300)
